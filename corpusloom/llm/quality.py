@@ -144,7 +144,6 @@ def keep_good(docs: DataFrame, model: np.ndarray, text_col: str = "text", thresh
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
     def scored(texts):
         return texts.map(lambda t: score_text(t or "", weights.value)).astype("float64")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, exact_dedup, html_extract, order_minhash, packing, quality, secrets, simhash, token_counts
+from corpusloom.llm import byte_bpe, exact_dedup, html_extract, order_minhash, packing, paragraph_dedup, quality, secrets, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_neighbours(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_packing,
         op4_exact_dedup,
         op5_order_minhash,
+        op6_paragraph_dedup,
         op7_secrets,
         op8_quality,
         op9_byte_bpe,
