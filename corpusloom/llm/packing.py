@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -38,15 +39,26 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import checkpointed, map_rows, text_of
 
 CAPACITY = 2048
-CACHE_ROWS = 400_000
+CACHE_ROWS = 600_000
 SALT_ROWS = 1_000_000
 #: Unicode White_Space, at which the tokenizer's words always end.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{_SPACE}]+")
+#: Letters of Latin-1 alone, then marks: the split pattern cuts between them, and NFC and lower case act on each letter.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: The characters by which byte-level vocabularies write bytes: printable ones are themselves, the others follow 255 in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _worker: dict = {}
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+
 class WordEncoder:
     """Ids of texts by the library, word by word, with bounded caches of two generations."""
 
@@ -56,11 +68,36 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, part: str) -> bytes:
+        """Of what the normaliser and the split pattern leave as it is: the library's merges alone."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return packed_ids([t.id for t in self.merge(part)])
+
+    def _learn(self, words: list[str]) -> None:
+        """The words' ids; a plain word is merged once for all its cases and the marks behind it."""
+        young, old, rest = self.young, self.old, []
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if not plain:
+                rest.append(word)
+                continue
+            ids = b""
+            for part in (plain[1].lower(), plain[2]):
+                if part:
+                    own = young.get(part) or old.get(part)
+                    if own is None:
+                        own = young[part] = self._merged(part)
+                    ids += own
+            young[word] = ids
+        young.update(zip(rest, self._library(rest), strict=True))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -72,15 +109,15 @@ class WordEncoder:
             if len(self.young) > CACHE_ROWS:
                 self.old, self.young = self.young, {}
                 missing = set(words)
-            unseen = []
+            old, young, unseen = self.old, self.young, []
             for word in missing:
-                ids = self.old.get(word)
+                ids = old.get(word)
                 if ids is None:
                     unseen.append(word)
                 else:
-                    self.young[word] = ids
+                    young[word] = ids
             if unseen:
-                self.young.update(zip(unseen, self._library(unseen), strict=True))
+                self._learn(unseen)
         return b"".join(map(self.young.__getitem__, words))
 
 
