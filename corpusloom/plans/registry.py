@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from corpusloom.plans import core  # noqa: F401
+    from corpusloom.plans import core, q_aggs, q_decide, q_joins, q_project, q_rows, q_stream, q_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
