@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_rows, text_of
 
-CACHE_ROWS = 400_000
+CACHE_ROWS = 1_000_000
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 #: Unicode White_Space, as the split pattern's \s has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
