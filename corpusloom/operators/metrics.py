@@ -7,9 +7,9 @@ grid cell, one row) is then a sum of vectors and a closed form, in SQL alone.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -56,25 +56,48 @@ def chrf_words(text: str) -> list[str]:
     return out
 
 
-def _grams(items: Sequence, n: int) -> Counter:
-    return Counter(tuple(items[i : i + n]) if not isinstance(items, str) else items[i : i + n] for i in range(len(items) - n + 1))
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _matches(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the multiset intersection."""
+    if not len(a) or not len(b):
+        return 0
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.minimum(n, np.where(y[at] == x, m[at], 0)).sum())
+
+
+def _orders(a: np.ndarray, b: np.ndarray, orders: int):
+    """(n-grams of a, of b, in both) for n from 1 on; items are numbers, an n-gram is its 64-bit hash."""
+    a, b = (x.astype(np.uint64) * _MIX for x in (a, b))
+    x, y = a, b
+    for n in range(1, orders + 1):
+        if n > 1:
+            x = ((x[:-1] ^ (x[:-1] >> np.uint64(29))) * _STEP + a[n - 1 :]) if len(x) > 1 else x[:0]
+            y = ((y[:-1] ^ (y[:-1] >> np.uint64(29))) * _STEP + b[n - 1 :]) if len(y) > 1 else y[:0]
+        yield len(x), len(y), _matches(x, y)
+
+
+def _numbered(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    ids: dict[str, int] = {}
+    return tuple(np.array([ids.setdefault(w, len(ids) + 1) for w in side], np.uint64) for side in (a, b))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def pair_statistics(hypothesis: str, reference: str) -> list[int]:
     """The counts of one row, ``WIDTH`` of them."""
     hyp, ref = tokenize_13a(hypothesis), tokenize_13a(reference)
-    matches, totals = [], []
-    for n in range(1, ORDERS + 1):
-        own = _grams(hyp, n)
-        matches.append(sum((own & _grams(ref, n)).values()))
-        totals.append(sum(own.values()))
-    out = [len(hyp), len(ref), *matches, *totals]
-    chars = ("".join(hypothesis.split()), "".join(reference.split()))
-    words = (chrf_words(hypothesis), chrf_words(reference))
-    for (a, b), orders in ((chars, CHAR_ORDERS), (words, WORD_ORDERS)):
-        for n in range(1, orders + 1):
-            x, y = _grams(a, n), _grams(b, n)
-            out += [sum(x.values()), sum(y.values()), sum((x & y).values())]
+    own = list(_orders(*_numbered(hyp, ref), ORDERS))
+    out = [len(hyp), len(ref), *[m for *_, m in own], *[n for n, *_ in own]]
+    for counts in _orders(_codes(hypothesis), _codes(reference), CHAR_ORDERS):
+        out += counts
+    for counts in _orders(*_numbered(chrf_words(hypothesis), chrf_words(reference)), WORD_ORDERS):
+        out += counts
     return out
 
 

@@ -304,10 +304,10 @@ def m20(spark, d):
     return O.membership_flag(docs, hit, "doc_id", "rare_name").select("doc_id", "rare_name", F.col("text").rlike(r"<gap>|[\[\]{}<>]|[₀-₉]").alias("marker_rich"))
 
 
-@query("M21_terms", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(?:the|and|und|les)\\b'))) AS terms FROM documents WHERE lang IN ('en', 'de')")
+@query("M21_terms", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(?:the|and|und|les)\\b'))) AS terms FROM documents WHERE lang = 'en'")
 def m21(spark, d):
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(?:the|and|und|les)\b"), 0)
-    return table(spark, d, "documents").where("lang IN ('en', 'de')").select("doc_id", F.array_sort(F.array_distinct(found)).alias("terms"))
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_sort(F.array_distinct(found)).alias("terms"))
 
 
 @query("M22_sentence_scores")
