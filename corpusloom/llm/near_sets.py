@@ -86,10 +86,10 @@ def jaccard_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tu
     return out
 
 
-def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shingle: int = SHINGLE, decode=None) -> DataFrame:
+def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(src, dst) links that connect all of ``items(comp, id, body)`` that are similar within their comp.
 
-    ``body`` holds the text in UTF-8, or what ``decode`` turns into that.
+    ``body`` holds the text in UTF-8.
     """
     spark = items.sparkSession
     sizes = items.groupBy("comp").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
@@ -116,7 +116,7 @@ def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shin
                     key, ids, sets = now, [], []
                 if not ids or ids[-1] != i:
                     ids.append(i)
-                    sets.append(shingle_set(decode(body) if decode else body, shingle))
+                    sets.append(shingle_set(body, shingle))
             if len(out[0]) > 10_000:
                 yield {"src": out[0], "dst": out[1]}
                 out = ([], [])

@@ -1,85 +1,120 @@
 """Substring deduplication by paragraph MinHash banding (operator 6).
 
-A paragraph is a line of a text with ``WORDS`` words or more. Equal paragraphs (by their words,
-A-Z in lower case) are one from the start and keep only their counts. Distinct ones get
-``BANDS`` keys of ``ROWS`` MinHash minima each over their five-word shingles; at a similarity
-of 0.8 a pair shares a key with a probability of 0.998, at 0.3 of 0.09. Paragraphs that share a key
-are joined through the bucket's least member (no pairs), loose groups are verified by exact
-Jaccard similarity, and the verified links' connected components are the classes. The first
-occurrence of a class, by doc_id and then place, stays; the others are removals.
-
-The result has a row per occurrence of a repeated paragraph; documents without one don't
-appear. ``cleaned`` gives whole documents without the removed lines.
+Paragraphs are the lines of a text. Equal ones (by their words, A-Z in lower case) are one from
+the start and keep only their counts. Distinct ones of ``LONG`` words or more get ``BANDS`` keys of
+``ROWS`` MinHash minima each over their five-word shingles; at a similarity of 0.8 a pair shares
+a key with a probability of 0.998, at 0.3 of 0.09. Paragraphs that share a key are joined
+through the bucket's least member (no pairs), loose groups are verified by exact Jaccard
+similarity, and the verified links' connected components are the classes. Shorter lines, from
+``SHORT`` words, are in one class if they are equal; still shorter ones don't count.
+
+A passage is a run of lines of one document that stand one behind the other, are all repeated,
+and have ``WORDS`` words or more together: one long paragraph, or several lines that are repeated as
+a block. Repeated lines outside such runs (a licence line, a common short sentence) are left alone.
+The first occurrence of a class, by doc_id and then place, stays; the others are removals.
+
+The result has a row per line of a repeated passage; documents without one don't appear.
+``cleaned`` gives whole documents without the removed lines.
 
 Defined cases: a null text has no paragraphs; a null doc_id comes after all others; of repeated
-rows (same doc_id and text) each occurrence counts; repeats inside one document count too;
-extra columns are ignored, and kept by ``cleaned``; an empty table gives an empty result.
+rows (same doc_id and text) each occurrence counts, and they are told apart by no more than their
+number; repeats inside one document count too; extra columns are ignored, and kept by
+``cleaned``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import checkpointed, map_rows, text_of
 from corpusloom.llm.near_sets import Bands, bucket_stars, classes, shingle_set, verified_links
 
-WORDS = 50
+WORDS, LONG, SHORT = 50, 20, 5
 BANDS, ROWS = 12, 4
-GROUP = 20_000
+GROUP = 1_000
+BROADCAST_IDS = 1_000_000
 
 
-def paragraphs(text: str, words: int = WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normalised words) of the long lines; places in code points."""
+def paragraphs(text: str, short: int = SHORT) -> list[tuple[int, int, int, int, bytes]]:
+    """(place among the counted lines, start, end, words, normalised words); start and end in code points."""
     out, at = [], 0
     for line in text.split("\n"):
-        if len(line) >= 2 * words - 1:
+        if len(line) >= 2 * short - 1:
             parts = line.encode().lower().split()
-            if len(parts) >= words:
-                out.append((at, at + len(line), len(parts), b" ".join(parts)))
+            if len(parts) >= short:
+                out.append((len(out), at, at + len(line), len(parts), b" ".join(parts)))
         at += len(line) + 1
     return out
 
 
-def occurrences(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_words, id, keys, body) of every long paragraph."""
-    kinds = "doc_id long, start int, end int, n_words int, id long, keys array<long>, body binary"
+def paragraph_id(body: bytes) -> int:
+    own = xxhash.xxh64_intdigest(body, 42)
+    return own - ((own >> 63) << 64)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, place, start, end, n_words, id, keys) of every counted line; keys of long ones only.
+
+    ``row`` is a number of the document's own text, so that rows that share a doc_id stay apart.
+    """
+    kinds = "doc_id long, row long, place int, start int, end int, n_words int, id long, keys array<long>"
     names = [k.split()[0] for k in kinds.split(", ")]
 
     def cut(batches):
-        bands, squeeze = Bands(BANDS, ROWS), zstandard.ZstdCompressor(level=1)
+        bands = Bands(BANDS, ROWS)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for start, end, n, body in paragraphs(text, words):
-                    own = xxhash.xxh64_intdigest(body, 42)
-                    own -= (own >> 63) << 64
-                    values = (doc_id, start, end, n, own, bands.keys(shingle_set(body)), squeeze.compress(body))
-                    for k, v in zip(names, values, strict=True):
+                row = paragraph_id(text.encode())
+                for place, start, end, n, body in paragraphs(text):
+                    keys = bands.keys(shingle_set(body)) if n >= LONG else []
+                    for k, v in zip(names, (doc_id, row, place, start, end, n, paragraph_id(body), keys), strict=True):
                         out[k].append(v)
             yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return map_rows(rows, cut, kinds, batch_rows=500)
+    return map_rows(_texts(docs, id_col, text_col), cut, kinds, batch_rows=500)
 
 
-def _inflate(body: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(body)
+def _bodies(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, body) of the paragraphs named by ``ids``, read again from the texts.
+
+    Few ids (checked) go to the executors and filter where the lines are; more are joined.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["id"] for r in ids.collect())) if few else None
+
+    def cut(batches):
+        for batch in batches:
+            out: dict[str, list] = {"id": [], "body": []}
+            for text in batch["text"].to_pylist():
+                for *_, n, body in paragraphs(text, LONG):
+                    own = paragraph_id(body)
+                    if wanted is None or own in wanted.value:
+                        out["id"].append(own)
+                        out["body"].append(body)
+            yield out
+
+    found = map_rows(_texts(docs, id_col, text_col).select("text"), cut, "id long, body binary", batch_rows=500)
+    found = found if few else found.join(ids, "id", "left_semi")
+    return found.groupBy("id").agg(F.min("body").alias("body"))
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_words, class_id, class_size, class_docs, keep_doc_id, removed)."""
-    found = checkpointed(occurrences(docs, words, id_col, text_col))
-    distinct = checkpointed(found.groupBy("id").agg(F.first("keys").alias("keys"), F.first("body").alias("body")))
-    stars = bucket_stars(distinct.select("id", F.explode("keys").alias("key")))
-    loose = classes(stars)
-    items = distinct.select("id", "body").join(loose, "id").select(F.col("root").alias("comp"), "id", "body")
-    exact = classes(verified_links(items, GROUP, decode=_inflate))
-    places = found.select("doc_id", "start", "end", "n_words", "id").join(exact, "id", "left")
-    places = places.withColumn("class_id", F.coalesce("root", "id")).drop("root", "id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("start").alias("s")))
+    """(doc_id, start, end, n_words, passage_words, class_id, class_size, class_docs, keep_doc_id, removed)."""
+    found = checkpointed(occurrences(docs, id_col, text_col))
+    distinct = found.where(F.size("keys") > 0).groupBy("id").agg(F.first("keys").alias("keys"))
+    loose = classes(bucket_stars(checkpointed(distinct.select("id", F.explode("keys").alias("key")))))
+    items = _bodies(docs, loose.select("id"), id_col, text_col).join(loose, "id").select(F.col("root").alias("comp"), "id", "body")
+    exact = classes(verified_links(items, GROUP))
+    places = found.drop("keys").join(exact, "id", "left").withColumn("class_id", F.coalesce("root", "id")).drop("root", "id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("start").alias("s")))
     groups = (
         places.groupBy("class_id", "doc_id")
         .agg(F.count("*").alias("n"), first.alias("f"))
@@ -87,9 +122,18 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_
         .agg(F.sum("n").alias("class_size"), F.count("*").alias("class_docs"), F.min("f").alias("f"))
         .where("class_size > 1")
     )
-    kept = F.col("doc_id").eqNullSafe(F.col("f.d")) & (F.col("start") == F.col("f.s"))
-    return places.join(groups, "class_id").select(
-        "doc_id", "start", "end", "n_words", "class_id", "class_size", "class_docs", F.col("f.d").alias("keep_doc_id"), (~kept).alias("removed")
+    repeats = places.join(groups, "class_id")
+    # Lines of a run keep the same difference of place and rank; repeated rows are told apart by turns.
+    turn = F.row_number().over(W.partitionBy("doc_id", "row", "place").orderBy("start"))
+    turned = repeats.withColumn("_turn", turn)
+    own = W.partitionBy("doc_id", "row", "_turn").orderBy("place")
+    runs = turned.withColumn("_run", F.col("place") - F.row_number().over(own))
+    total = F.sum("n_words").over(W.partitionBy("doc_id", "row", "_turn", "_run"))
+    kept = (
+        F.col("doc_id").eqNullSafe(F.col("f.d")) & (F.col("row") == F.col("f.r")) & (F.col("start") == F.col("f.s")) & (F.col("_turn") == 1)
+    )
+    return runs.withColumn("passage_words", total).where(F.col("passage_words") >= words).select(
+        "doc_id", "start", "end", "n_words", "passage_words", "class_id", "class_size", "class_docs", F.col("f.d").alias("keep_doc_id"), (~kept).alias("removed")
     )
 
 

@@ -73,30 +73,45 @@ def test_near_copies_awkward(spark):
     assert simhash.near_duplicate_rows(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [20_000, 4])
-def test_paragraphs_match_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,ids", [(1000, 1_000_000), (4, 0)])
+def test_paragraphs_match_brute_force(spark, monkeypatch, group, ids):
     monkeypatch.setattr(paragraph_dedup, "GROUP", group)
+    monkeypatch.setattr(paragraph_dedup, "BROADCAST_IDS", ids)
     rng = random.Random(3)
-    lines = near_copies(rng, 30, 60)
-    texts = ["\n".join(rng.choice(lines + ["short line", ""]) for _ in range(rng.randint(0, 4))) for _ in range(80)]
+    lines = near_copies(rng, 25, 60) + near_copies(rng, 25, 30) + near_copies(rng, 10, 9)
+    texts = ["\n".join(rng.choice(lines + ["short line", ""]) for _ in range(rng.randint(0, 5))) for _ in range(90)]
+    texts += ["\n".join(lines[-4:] * 2 + lines[70:72]), "\n".join(["x", *lines[70:72], "y", lines[0]])]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = paragraph_dedup.repeated_paragraphs(docs).toPandas()
     places = []
     for i, text in enumerate(texts):
-        for m in re.finditer("[^\n]+", text):
-            if len(words_of(m.group())) >= 50:
-                places.append((i, m.start(), m.end(), shingles(m.group())))
-    roots = brute_components(len(places), lambda a, b: similar(places[a][3], places[b][3]))
+        counted = [m for m in re.finditer("[^\n]+", text) if len(words_of(m.group())) >= 5]
+        places += [(i, m.start(), m.end(), k, words_of(m.group())) for k, m in enumerate(counted)]
+
+    def linked(a, b):
+        x, y = places[a][4], places[b][4]
+        return x == y or min(len(x), len(y)) >= 20 and similar(shingles(" ".join(x)), shingles(" ".join(y)))
+
+    roots = brute_components(len(places), linked)
     sizes = {r: roots.count(r) for r in roots}
-    want = {p[:3]: (places[r][0], sizes[r], k != r) for k, (p, r) in enumerate(zip(places, roots)) if sizes[r] > 1}
+    want = {}
+    for i in range(len(texts)):
+        run = []
+        for k in [*[k for k, p in enumerate(places) if p[0] == i], None]:
+            if k is not None and sizes[roots[k]] > 1:
+                run.append(k)
+                continue
+            if sum(len(places[x][4]) for x in run) >= 50:
+                want |= {places[x][:3]: (places[roots[x]][0], sizes[roots[x]], x != roots[x]) for x in run}
+            run = []
     assert {(r.doc_id, r.start, r.end): (r.keep_doc_id, r.class_size, r.removed) for r in got.itertuples()} == want
+    assert any(p[4] and len(p[4]) < 50 for p in places if p[:3] in want)
     assert got.groupby("class_id").keep_doc_id.nunique().max() == 1
     clean = paragraph_dedup.cleaned(docs).toPandas().set_index("doc_id").text
     for i, text in enumerate(texts):
-        gone = {(s, e) for (d, s, e), v in want.items() if d == i and v[2]}
+        gone = {s for (d, s, e), v in want.items() if d == i and v[2]}
         spans = [(m.start(), m.end()) for m in re.finditer("[^\n]*(?:\n|$)", text) if m.end() > m.start()]
-        rest = "".join(text[a:b] for a, b in spans if not any(s == a for s, _ in gone))
-        assert clean[i].rstrip("\n") == rest.rstrip("\n")
+        assert clean[i].rstrip("\n") == "".join(text[a:b] for a, b in spans if a not in gone).rstrip("\n")
 
 
 def test_paragraphs_awkward(spark):
