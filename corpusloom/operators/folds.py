@@ -101,7 +101,7 @@ def length_stats(df: DataFrame, length: Column, limits: Sequence[int], by: Seque
         *[F.count_if(F.col("_l") > x).alias(f"_over{x}") for x in limits],
     )
     over = F.coalesce(*[F.when(F.col("limit") == x, F.col(f"_over{x}")) for x in limits])
-    out = base.withColumn("limit", grid).withColumn("n_over", over).withColumn("over_pct", over * 100 / F.col("n_rows"))
+    out = base.withColumn("limit", grid).withColumn("n_over", over).withColumn("over_pct", F.try_divide(over * 100, F.col("n_rows")))
     return out.drop(*[f"_over{x}" for x in limits])
 
 

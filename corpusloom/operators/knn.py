@@ -154,6 +154,8 @@ def dense_neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: st
             one = dense_neighbours(split.where(F.col("_b") == i).drop("_b"), corpus, key, vector, k, 2 * block)
             out = one if out is None else out.union(one)
         return out
+    if not asked:
+        return corpus.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
     ids = np.array([i for i, _ in asked], np.int64)
     matrix = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))

@@ -180,7 +180,7 @@ def health_by_chars(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _pct(T.strip(p) == "").alias("empty_pct"),
         _pct(T.strip(p) == T.strip(s)).alias("copy_pct"),
         _pct((F.length(r) > 0) & (F.length(p) < F.length(r) * 0.5)).alias("short_pct"),
-        (F.count_distinct(p) * 100 / F.count("*")).alias("unique_pct"),
+        F.try_divide(F.count_distinct(p) * 100, F.count("*")).alias("unique_pct"),
         _pct(p.rlike(r"<extra_id_\d+>")).alias("bad_pct"),
         _pct(T.strip(p) == "<extra_id_0>").alias("only_mark_pct"),
     )
@@ -222,7 +222,7 @@ def health_rounded(df: DataFrame) -> DataFrame:
         _pct(T.strip(p) == "").alias("empty_pct"),
         _pct(F.length(p) < F.greatest(F.lit(1.0), F.length(r) / 2)).alias("short_pct"),
         _pct((T.strip(p) == T.strip(s)) & (T.strip(p) != "")).alias("copy_pct"),
-        (F.count_distinct(p) * 100 / F.count("*")).alias("unique_pct"),
+        F.try_divide(F.count_distinct(p) * 100, F.count("*")).alias("unique_pct"),
     )
     return out.select("n_rows", *[F.round(c, 4).alias(c) for c in out.columns if c != "n_rows"])
 
@@ -234,7 +234,7 @@ def health_rebuilt(parents: DataFrame) -> DataFrame:
         F.count("*").alias("n_rows"),
         _pct(p == "").alias("empty_pct"),
         _pct((F.length(r) > 0) & (F.length(p) / F.length(r) < 0.5)).alias("short_pct"),
-        (F.count_distinct(p) * 100 / F.count("*")).alias("unique_pct"),
+        F.try_divide(F.count_distinct(p) * 100, F.count("*")).alias("unique_pct"),
     )
 
 

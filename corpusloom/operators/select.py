@@ -187,7 +187,7 @@ def shortlist(grid: DataFrame, tolerance: float = 0.03) -> DataFrame:
 def random_policy_p95(scores: DataFrame, value: str) -> DataFrame:
     """The order statistic at round(0.95 * (n - 1)), not interpolated."""
     ordered = F.array_sort(F.collect_list(value))
-    return scores.agg(ordered.alias("_v")).select(F.element_at("_v", (F.bround((F.size("_v") - 1) * 0.95) + 1).cast("int")).alias("p95"))
+    return scores.agg(ordered.alias("_v")).select(F.get("_v", F.bround((F.size("_v") - 1) * 0.95).cast("int")).alias("p95"))
 
 
 def concat_candidates(chunks: DataFrame, parent: str, order: str, text: str) -> DataFrame:

@@ -279,7 +279,7 @@ def a33(spark, d):
     q = s.agg(F.percentile("a", F.lit(0.25)).alias("qa"), F.percentile("b", F.lit(0.25)).alias("qb"))
     low_a, low_b = F.col("a") <= F.col("qa"), F.col("b") <= F.col("qb")
     both, any_ = F.count_if(low_a & low_b), F.count_if(low_a | low_b)
-    return s.join(F.broadcast(q)).agg(both.alias("both_low"), any_.alias("any_low"), (both / any_).alias("jaccard"))
+    return s.join(F.broadcast(q)).agg(both.alias("both_low"), any_.alias("any_low"), F.try_divide(both, any_).alias("jaccard"))
 
 
 @query("A34_pair_similarity")

@@ -61,6 +61,14 @@ def s6(spark, d):
     return IO.read_jsonl(spark, path, "event_id long, event_type string, value double")
 
 
+@query("S7_csv_sink", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_returnflag = 'R'")
+def s7(spark, d):
+    path = IO.scratch(spark, "sink")
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    IO.write_csv(rows, path)
+    return IO.read_csv(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
 @query("S8_append_resume", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s8(spark, d):
     path = IO.scratch(spark, "grid")
