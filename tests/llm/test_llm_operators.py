@@ -388,6 +388,23 @@ def test_wrapper_induction_finds_constants_and_content(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><header class='entry-header'><h1>A &lt;b&gt;</h1></header><p>x<p>y<ul><li>1<li>2</ul></article>", "A <b>\n\nx\n\ny\n\n1\n\n2"),
+        ("<header><h1>Site</h1></header><div class='content with-sidebar'><p>x</p><div class='sidebar'>s</div></div>", "x"),
+        ("<main><p>a<script>if (1 < 2) { '</p>' }</script> b</p><section id='comments'><p>c</p></section></main><p>out</p>", "a b"),
+        ("<div class='page-header'>h</div><p>a<br/>b&#8212;c</p><div class='ad-slot'>buy</div><div role='banner'>n</div><!-- c -->", "a b—c"),
+        ("<table><tr><td>1<td>2<tr><td>3</table><pre>  k  l\n</pre>", "1\n\n2\n\n3\n\nk l"),
+        ("<p hidden>no</p><p style='display: none'>no</p>&nbsp;yes", "yes"),
+        ("<nav>only</nav>", ""),
+        ("<div>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_page_parts(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_wrappers_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(i, f"https://h.example/{i}", PAGE.format(n=f"w{i}")) for i in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
