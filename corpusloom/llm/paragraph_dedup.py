@@ -8,8 +8,8 @@ through the bucket's least member (no pairs), loose groups are verified by exact
 similarity, and the verified links' connected components are the classes. Shorter lines, from
 ``SHORT`` words, are in one class if they are equal; still shorter ones don't count.
 
-A passage is a run of lines of one document that stand one behind the other, are all repeated,
-and have ``WORDS`` words or more together: one long paragraph, or several lines that are repeated as
+A passage is a run of lines of one document that stand one behind the other, are all repeated in
+another document, and have ``WORDS`` words or more together: one long paragraph, or several lines that are repeated as
 a block. Repeated lines outside such runs (a licence line, a common short sentence) are left alone.
 The first occurrence of a class, by doc_id and then place, stays; the others are removals.
 
@@ -17,9 +17,9 @@ The result has a row per line of a repeated passage; documents without one don't
 ``cleaned`` gives whole documents without the removed lines.
 
 Defined cases: a null text has no paragraphs; a null doc_id comes after all others; of repeated
-rows (same doc_id and text) each occurrence counts, and they are told apart by no more than their
-number; repeats inside one document count too; extra columns are ignored, and kept by
-``cleaned``; an empty table gives an empty result.
+rows (same doc_id and text) each occurrence counts, but they are one document; lines that are repeated
+inside one document alone are no passage, beside others they count; extra columns are ignored,
+and kept by ``cleaned``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from corpusloom.llm.near_sets import Bands, bucket_stars, classes, shingle_set,
 WORDS, LONG, SHORT = 50, 20, 5
 BANDS, ROWS = 12, 4
 GROUP = 1_000
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def paragraphs(text: str, short: int = SHORT) -> list[tuple[int, int, int, int, bytes]]:
@@ -120,7 +120,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_
         .agg(F.count("*").alias("n"), first.alias("f"))
         .groupBy("class_id")
         .agg(F.sum("n").alias("class_size"), F.count("*").alias("class_docs"), F.min("f").alias("f"))
-        .where("class_size > 1")
+        .where("class_docs > 1")
     )
     repeats = places.join(groups, "class_id")
     # Lines of a run keep the same difference of place and rank; repeated rows are told apart by turns.
