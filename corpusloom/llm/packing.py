@@ -40,7 +40,7 @@ from corpusloom.llm.common import checkpointed, map_rows, text_of
 
 CAPACITY = 2048
 CACHE_ROWS = 600_000
-SALT_ROWS = 1_000_000
+SALT_ROWS = 2_000
 #: Unicode White_Space, at which the tokenizer's words always end.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{_SPACE}]+")
