@@ -62,11 +62,17 @@ def edit_log(cleaned: DataFrame, key: str, split: str = "train") -> DataFrame:
     return cleaned.select(F.lit(split).alias("split"), F.col(key).alias("sample_id"), F.explode("edits").alias("e")).select("split", "sample_id", "e.*")
 
 
+def first_examples(rows: DataFrame, group: str, order: str, example: Column, n: int) -> DataFrame:
+    """(group, examples): the first n rows of each group; Spark drops the others before its shuffle."""
+    ranked = rows.select(group, F.col(order).alias("_o"), example.alias("_e")).withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy("_o")))
+    few = ranked.where(F.col("_rn") <= n).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_rn", "_e"))).alias("_l"))
+    return few.select(group, F.transform("_l", lambda x: x["_e"]).alias("examples"))
+
+
 def hit_stats(log: DataFrame, examples: int = 3) -> DataFrame:
     """Per rule its hits and first examples."""
-    ranked = log.withColumn("_rn", F.row_number().over(W.partitionBy("rule_id").orderBy("sample_id")))
-    example = F.when(F.col("_rn") <= examples, F.struct("sample_id", "before", "after"))
-    return ranked.groupBy("rule_id").agg(F.count("*").alias("hits"), F.array_sort(F.collect_list(example)).alias("examples"))
+    counts = log.groupBy("rule_id").agg(F.count("*").alias("hits"))
+    return counts.join(first_examples(log, "rule_id", "sample_id", F.struct("sample_id", "before", "after"), examples), "rule_id")
 
 
 def known_characters(df: DataFrame, text: str = "text") -> DataFrame:
@@ -74,13 +80,11 @@ def known_characters(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def symbol_inventory(df: DataFrame, key: str, text: str = "text", examples: int = 5) -> DataFrame:
-    """(char, count, examples): every character with its first rows."""
-    c = T.blank(F.col(text))
-    per_row = df.select(key, F.explode(F.filter(F.split(c, ""), lambda x: x != "")).alias("char")).groupBy(key, "char").agg(F.count("*").alias("n"))
-    ranked = per_row.withColumn("_rn", F.row_number().over(W.partitionBy("char").orderBy(key)))
-    return ranked.groupBy("char").agg(
-        F.sum("n").alias("count"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= examples, F.col(key)))).alias("examples")
-    )
+    """(char, count, examples): every character with its first rows. Counts combine where the texts are."""
+    chars = F.split(T.blank(F.col(text)), "")
+    counts = df.select(F.explode(chars).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
+    rows = df.select(key, F.explode(F.array_distinct(chars)).alias("char")).where("char <> ''")
+    return counts.join(first_examples(rows, "char", key, F.col(key), examples), "char")
 
 
 def with_names(inventory: DataFrame) -> DataFrame:
@@ -130,9 +134,9 @@ def pattern_profile(df: DataFrame, key: str, text: str = "text", patterns: dict[
     hits = df.select(key, c.alias("_t"), F.explode(counts).alias("x")).select(key, "_t", "x.*")
     at = F.instr("_t", F.col("m"))
     context = F.substring("_t", F.greatest(at - around, F.lit(1)), F.length("m") + F.least(at - 1, F.lit(around)) + around)
-    ranked = hits.withColumn("_rn", F.when(F.col("n") > 0, F.row_number().over(W.partitionBy("pattern", F.col("n") > 0).orderBy(key))))
-    example = F.when(F.col("_rn") <= examples, F.struct(F.col(key), context.alias("context")))
-    return ranked.groupBy("pattern").agg(F.sum("n").alias("hits"), F.array_sort(F.collect_list(example)).alias("examples"))
+    counts = hits.groupBy("pattern").agg(F.sum("n").alias("hits"))
+    shown = first_examples(hits.where("n > 0"), "pattern", key, F.struct(F.col(key), context.alias("context")), examples)
+    return counts.join(shown, "pattern", "left")
 
 
 def only_in(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "char") -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import measures as M
@@ -162,10 +161,20 @@ def row_scores(df: DataFrame, name: str = "stats") -> DataFrame:
 # -- health ------------------------------------------------------------------------------
 
 
-def repeated(text: Column, ignore_empty: bool = False) -> Column:
-    """Does another row have this text."""
-    again = F.count("*").over(W.partitionBy(text)) > 1
-    return again & (text != "") if ignore_empty else again
+def with_repeat_count(df: DataFrame, text: str, name: str) -> DataFrame:
+    """How many rows have this row's text: an aggregate and a join, as a frequent text would be one window's work."""
+    counts = df.groupBy(F.col(text).alias("_t")).agg(F.count("*").alias(name))
+    return df.join(counts, F.col(text).eqNullSafe(F.col("_t"))).drop("_t")
+
+
+def _by_text(df: DataFrame, text: Column, flags: dict[str, Column], ignore_empty: bool) -> DataFrame:
+    """Means of the flags over rows, and the share of rows whose text stands more than once, from one aggregation by text."""
+    groups = df.groupBy(text.alias("_t")).agg(F.count("*").alias("_n"), *[F.sum(c.cast("double")).alias(k) for k, c in flags.items()])
+    again = F.when((F.col("_n") > 1) & (F.lit(not ignore_empty) | (F.col("_t") != "")), F.col("_n")).otherwise(0)
+    n = F.sum("_n")
+    share = lambda c: F.try_divide(F.sum(c), n)
+    means = [(share(k) * (1 if k.startswith("mean") else 100)).alias(k) for k in flags]
+    return groups.agg(F.coalesce(n, F.lit(0)).alias("n_rows"), *means, (share(again) * 100).alias("repeat_pct"))
 
 
 def _pct(flag: Column) -> Column:
@@ -188,30 +197,27 @@ def health_by_chars(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def health_by_words(df: DataFrame) -> DataFrame:
     """v2: lengths in words; a row is repeated if its text stands more than once, empty ones too."""
-    p, r = F.col("prediction"), F.col("reference")
-    w = df.withColumn("_again", repeated(p)).withColumn("_pw", T.word_count(p)).withColumn("_rw", T.word_count(r))
-    return w.agg(
-        F.count("*").alias("n_rows"),
-        _pct(F.col("_pw") == 0).alias("empty_pct"),
-        _pct(F.col("_pw") < F.greatest(F.lit(1.0), F.col("_rw") / 2)).alias("short_pct"),
-        _pct(F.col("_again")).alias("repeat_pct"),
-        _pct(M.repeat_score(T.words(p)) > 0).alias("internal_repeat_pct"),
-        F.avg("_pw").alias("mean_pred_words"),
-        F.avg("_rw").alias("mean_ref_words"),
-    )
+    p = F.col("prediction")
+    w = df.withColumn("_pw", T.word_count(p)).withColumn("_rw", T.word_count(F.col("reference")))
+    flags = {
+        "empty_pct": F.col("_pw") == 0,
+        "short_pct": F.col("_pw") < F.greatest(F.lit(1.0), F.col("_rw") / 2),
+        "internal_repeat_pct": M.repeat_score(T.words(p)) > 0,
+        "mean_pred_words": F.col("_pw"),
+        "mean_ref_words": F.col("_rw"),
+    }
+    return _by_text(w, p, flags, ignore_empty=False)
 
 
 def health_nonempty(df: DataFrame) -> DataFrame:
     """v3: a copy needs a prediction; empty texts never count as repeated."""
     p, s, r = T.strip(F.col("prediction")), T.strip(F.col("source")), F.col("reference")
-    w = df.withColumn("_again", repeated(p, ignore_empty=True))
-    return w.agg(
-        F.count("*").alias("n_rows"),
-        _pct(p == "").alias("empty_pct"),
-        _pct((p != "") & (p == s)).alias("copy_pct"),
-        _pct(T.word_count(p) < F.greatest(F.lit(1.0), T.word_count(r) / 2)).alias("short_pct"),
-        _pct(F.col("_again")).alias("repeat_pct"),
-    )
+    flags = {
+        "empty_pct": p == "",
+        "copy_pct": (p != "") & (p == s),
+        "short_pct": T.word_count(p) < F.greatest(F.lit(1.0), T.word_count(r) / 2),
+    }
+    return _by_text(df, p, flags, ignore_empty=True)
 
 
 def health_rounded(df: DataFrame) -> DataFrame:

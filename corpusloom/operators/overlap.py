@@ -80,7 +80,7 @@ def first_by_priority(frames: Sequence[DataFrame], key: Column, order: str) -> D
 def removal_log(df: DataFrame, text: str, order: str, reasons: Sequence[tuple[str, DataFrame]], duplicate_reason: str) -> DataFrame:
     """``df`` with ``reason``: the first reference set that holds its text, else whether it was seen before; null: kept.
 
-    Only rows that no set removes count as seen.
+    Only rows that no set removes count as seen; ``order`` is a unique key.
     """
     out = df
     for i, (_, keys) in enumerate(reasons):
@@ -89,9 +89,11 @@ def removal_log(df: DataFrame, text: str, order: str, reasons: Sequence[tuple[st
     for i in range(len(reasons) - 1, -1, -1):
         chain = F.when(F.col(f"_f{i}"), reasons[i][0]).otherwise(chain)
     out = out.withColumn("reason", chain)
-    w = W.partitionBy(text, F.col("reason").isNull()).orderBy(order)
-    again = F.col("reason").isNull() & (F.row_number().over(w) > 1)
-    return out.withColumn("reason", F.when(again, duplicate_reason).otherwise(F.col("reason"))).drop(*[f"_f{i}" for i in range(len(reasons))])
+    first = out.where("reason IS NULL").groupBy(F.col(text).alias("_t")).agg(F.min(order).alias("_first"))
+    out = out.join(first, out[text].eqNullSafe(first["_t"]), "left")
+    again = F.col("reason").isNull() & (F.col(order) > F.col("_first"))
+    out = out.withColumn("reason", F.when(again, duplicate_reason).otherwise(F.col("reason")))
+    return out.drop("_t", "_first", *[f"_f{i}" for i in range(len(reasons))])
 
 
 def dedup_summary(df: DataFrame, text: str = "text") -> DataFrame:

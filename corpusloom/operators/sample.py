@@ -41,6 +41,19 @@ def numbered(df: DataFrame, key: str, name: str = "_pos") -> DataFrame:
     return joined.withColumn(name, (F.col("_shift") + F.col("_rn") - 1).cast("long")).drop("_part", "_p", "_shift", "_rn")
 
 
+def group_rank(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows with their rank 1, 2, .. within the group, also where a few groups hold all rows.
+
+    ``order`` ends in a unique key. Rows are numbered over the whole table by (group, order), and
+    each group's first place is taken off.
+    """
+    keyed = df.withColumn("_k", F.struct(F.col(group).alias("g"), *[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    placed = numbered(keyed, "_k", "_at").drop("_k")
+    base = placed.groupBy(group).agg(F.min("_at").alias("_base")).withColumnRenamed(group, "_g")
+    joined = placed.join(base, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(name, F.col("_at") - F.col("_base") + 1).drop("_at", "_base", "_g")
+
+
 def sample_with_replacement(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n draws with replacement: ``draw`` 0 to n-1, each with the row at a hashed place."""
     total = df.count()

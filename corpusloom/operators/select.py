@@ -12,6 +12,7 @@ from corpusloom.functions import measures as M
 from corpusloom.functions import seq
 from corpusloom.functions import text as T
 from corpusloom.operators import metrics as S
+from corpusloom.operators.sample import group_rank
 
 #: Actions in the order that breaks ties.
 ACTIONS = ["pass_a_prediction", "selective_patch_light", "looptrim_concat", "raw_concat"]
@@ -151,9 +152,9 @@ def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], leas
     df = measured(df, [base, *candidates])
     best = F.array_max(F.filter(F.array(*[option(i, n) for i, n in enumerate(candidates)]), lambda x: x["s"].isNotNull()))
     rows = df.withColumn("_b", best).withColumn("gate_score", F.col("_b.s"))
-    open_ = F.coalesce(F.col("gate_score") >= threshold, F.lit(False))
-    rank = F.row_number().over(W.partitionBy(open_).orderBy(F.desc("gate_score"), key))
-    rows = rows.withColumn("gate_rank", F.when(open_, rank))
+    rows = rows.withColumn("_open", F.coalesce(F.col("gate_score") >= threshold, F.lit(False)))
+    rows = group_rank(rows, "_open", [-F.coalesce("gate_score", F.lit(0.0)), F.col(key)], "gate_rank")
+    rows = rows.withColumn("gate_rank", F.when(F.col("_open"), F.col("gate_rank"))).drop("_open")
     on = F.col("gate_rank").isNotNull() if cap < 0 else F.coalesce(F.col("gate_rank") <= cap, F.lit(False))
     return unmeasured(rows.withColumn("switched", on).withColumn("chosen", F.when(on, F.col("_b.text")).otherwise(c0)).drop("_b"), [base, *candidates])
 
@@ -210,7 +211,7 @@ def best_concat(candidates: DataFrame, parent: str, names=("raw", "gapfix", "loo
 
 def repetition_fallback(df: DataFrame, key: str, fallback: DataFrame, times: int = 5, short_times: int = 4, length: int = 180) -> DataFrame:
     """Predictions that stand too often in the table are replaced by the fallback's."""
-    joined = df.join(fallback.select(key, F.col("prediction").alias("_f")), key, "left").withColumn("_n", F.count("*").over(W.partitionBy("prediction")))
+    joined = S.with_repeat_count(df, "prediction", "_n").join(fallback.select(key, F.col("prediction").alias("_f")), key, "left")
     bad = (F.col("_n") >= times) | ((F.col("_n") >= short_times) & (F.length("prediction") <= length))
     use = bad & F.col("_f").isNotNull()
     return joined.withColumn("fell_back", use).withColumn("prediction", F.when(use, F.col("_f")).otherwise(F.col("prediction"))).drop("_f", "_n")

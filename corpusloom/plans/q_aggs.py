@@ -219,9 +219,7 @@ REPEATS = f"{X.CHUNKS}, k AS (SELECT prediction, parent, count(*) OVER (PARTITIO
 
 
 def _repeats(spark, d):
-    from pyspark.sql import Window as W
-
-    return X.chunks(spark, d).select("prediction", "parent", F.count("*").over(W.partitionBy("prediction")).alias("n"))
+    return S.with_repeat_count(X.chunks(spark, d).select("prediction", "parent"), "prediction", "n")
 
 
 @query("A27_repeat_groups", f"WITH {REPEATS} SELECT prediction, n AS repeat_count, count(*) AS n_rows, count(DISTINCT parent) AS n_parents FROM k GROUP BY 1, 2 ORDER BY n_rows DESC, prediction LIMIT 10")

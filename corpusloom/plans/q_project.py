@@ -241,7 +241,7 @@ def p1(spark, d):
 
 @query(
     "P2_id_synthesis",
-    f"WITH {X.CHUNKS} SELECT id, parent || '__c' || (chunk_index + 1) || 'of' || chunk_total AS chunk_id, 'oracc_' || lpad(CAST(id AS VARCHAR), 8, '0') AS long_id, parent || '__replay' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS replay_id FROM chunks",
+    f"WITH {X.CHUNKS} SELECT id, parent || '__c' || (chunk_index + 1) || 'of' || chunk_total AS chunk_id, 'ext_' || lpad(CAST(id AS VARCHAR), 8, '0') AS long_id, parent || '__replay' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS replay_id FROM chunks",
 )
 def p2(spark, d):
     from corpusloom.operators.reconstruct import chunk_id, padded_id
@@ -249,7 +249,7 @@ def p2(spark, d):
     return X.chunks(spark, d).select(
         "id",
         chunk_id("parent", "chunk_index", "chunk_total").alias("chunk_id"),
-        padded_id("oracc_", F.col("id"), 8).alias("long_id"),
+        padded_id("ext_", F.col("id"), 8).alias("long_id"),
         F.concat(F.col("parent").cast("string"), padded_id("__replay", F.col("chunk_index"), 5)).alias("replay_id"),
     )
 

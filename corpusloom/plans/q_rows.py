@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import seq
 from corpusloom.functions import text as T
+from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
 from corpusloom.operators import sample as P
@@ -24,8 +25,8 @@ from corpusloom.session import table
 def w1(spark, d):
     r = X.chunks(spark, d).select("id", (F.col("parent") % 3).alias("split"), F.col("chunk_total").alias("c"), T.word_count(F.col("reference")).alias("t"))
     r = r.withColumn("hard", (F.col("c") >= 4) | (F.col("t") >= 129)).withColumn("score", 2 * F.col("c") + F.col("t"))
-    rank = F.row_number().over(W.partitionBy("split", "hard").orderBy(F.desc("score"), F.desc("t"), F.desc("c"), "id"))
-    return r.select("id", "split", F.when(F.col("hard"), rank).otherwise(0).cast("long").alias("route_rank"))
+    hard = P.group_rank(r.where("hard"), "split", [-F.col("score"), -F.col("t"), -F.col("c"), F.col("id")], "route_rank")
+    return hard.select("id", "split", "route_rank").union(r.where("NOT hard").select("id", "split", F.lit(0).cast("long")))
 
 
 @query("W2_first_rank", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 64")
@@ -35,17 +36,15 @@ def w2(spark, d):
 
 @query("W3_policy_rank", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN row_number() OVER (PARTITION BY s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey) ELSE 0 END AS policy_rank FROM supplier")
 def w3(spark, d):
-    on = F.col("s_acctbal") > 0
-    rank = F.row_number().over(W.partitionBy(on).orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    return table(spark, d, "supplier").select("s_suppkey", F.when(on, rank).otherwise(0).cast("long").alias("policy_rank"))
+    ranked = P.group_rank(table(spark, d, "supplier").withColumn("on", F.col("s_acctbal") > 0), "on", [-F.col("s_acctbal"), F.col("s_suppkey")], "rank")
+    return ranked.select("s_suppkey", F.when(F.col("on"), F.col("rank")).otherwise(0).alias("policy_rank"))
 
 
 @query("W4_repeat_counts", "SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents")
 def w4(spark, d):
     """Counts by an aggregate and a join: a text that stands in a third of the rows is no single window."""
-    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.md5(F.col("text").cast("binary")).alias("m"))
-    counts = docs.groupBy("h", "m").agg(F.count("*").alias("n"))
-    return docs.join(counts, ["h", "m"]).select("doc_id", "n")
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
+    return S.with_repeat_count(docs, "m", "n").select("doc_id", "n")
 
 
 @query("W5_next_anchor", "SELECT conv_id, turn, coalesce((SELECT min(n.turn) FROM conversations n WHERE n.conv_id = c.conv_id AND n.role = 'user' AND n.turn > c.turn), -1) AS next_user FROM conversations c")
