@@ -10,7 +10,8 @@ whole, runs of base64 (standard or URL alphabet) are decoded by themselves, and
 inside are inflated. Each new layer is scanned with the same patterns and unwrapped in turn until
 no layer yields a new one; a layer already seen at the same place is not taken up again. Every
 character of a layer carries the range of original characters that it came from, so spans are
-given in the original text; a span in inflated data covers the whole encoded run.
+given in the original text; a span in inflated data covers the whole encoded run. An escape sign
+that is escaped more than sixteen times over is unwrapped in one step.
 
 Defined cases: a null text counts as empty (no spans); equal spans are given once; repeated rows
 give repeated results; extra columns are ignored; inflated data of over ``INFLATED`` bytes is cut
@@ -39,6 +40,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+#: An escaped escape sign, over sixteen times around itself: unwrapped at once, or each round would take off one.
+_DEEP_PERCENT = re.compile(r"%(?:25){17,}(?=[0-9A-Fa-f]{2})")
+_DEEP_ESCAPE = re.compile(r"\\u005[cC](?:u005[cC]){16,}(?=u[0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URL_TO_STANDARD = str.maketrans("-_", "+/")
 
@@ -186,9 +190,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         layer = work.pop()
         new = []
         if "%" in layer.text:
-            new += _replaced(layer, _PERCENT, _percent)
+            deep = _replaced(layer, _DEEP_PERCENT, lambda run: [("%", 0, len(run))])
+            new += deep or _replaced(layer, _PERCENT, _percent)
         if "\\" in layer.text:
-            new += _replaced(layer, _ESCAPE, _escaped)
+            deep = _replaced(layer, _DEEP_ESCAPE, lambda run: [("\\", 0, len(run))])
+            new += deep or _replaced(layer, _ESCAPE, _escaped)
         new += _unpacked(layer)
         for x in new:
             key = (x.text, x.at[0], x.at[-1])
