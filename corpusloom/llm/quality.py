@@ -27,6 +27,7 @@ from corpusloom.llm.common import map_rows, text_of
 
 BITS = 18
 TRAIN_ROWS = 8_000
+CACHE_ROWS = 150_000
 EPOCHS = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -50,7 +51,7 @@ def _shape(token: str) -> str:
 def _hashes(token: str) -> tuple[int, int]:
     got = _cache.get(token)
     if got is None:
-        if len(_cache) > 300_000:
+        if len(_cache) > CACHE_ROWS:
             _cache.clear()
         got = _cache[token] = (zlib.crc32(token.encode()), zlib.crc32(("\x00" + _shape(token)).encode()))
     return got
