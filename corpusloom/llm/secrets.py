@@ -10,8 +10,8 @@ whole, runs of base64 (standard or URL alphabet) are decoded by themselves, and
 inside are inflated. Each new layer is scanned with the same patterns and unwrapped in turn until
 no layer yields a new one; a layer already seen at the same place is not taken up again. Every
 character of a layer carries the range of original characters that it came from, so spans are
-given in the original text; a span in inflated data covers the whole encoded run. An escape sign
-that is escaped more than sixteen times over is unwrapped in one step.
+given in the original text; a span in inflated data covers the whole encoded run. Rounds that would only take
+a level off escape signs escaped more than sixteen times over are one step, and give the same spans.
 
 Defined cases: a null text counts as empty (no spans); equal spans are given once; repeated rows
 give repeated results; extra columns are ignored; inflated data of over ``INFLATED`` bytes is cut
@@ -40,9 +40,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-#: An escaped escape sign, over sixteen times around itself: unwrapped at once, or each round would take off one.
+#: An escaped escape sign, over sixteen times around itself, and the length of a level: one at a time would be quadratic.
 _DEEP_PERCENT = re.compile(r"%(?:25){17,}(?=[0-9A-Fa-f]{2})")
 _DEEP_ESCAPE = re.compile(r"\\u005[cC](?:u005[cC]){16,}(?=u[0-9A-Fa-f]{4})")
+_HEX_RUN = re.compile(r"[0-9a-f]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _URL_TO_STANDARD = str.maketrans("-_", "+/")
 
@@ -110,26 +111,38 @@ def _escaped(run: str) -> list[tuple[str, int, int]] | None:
     return out
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode) -> list[Layer]:
-    """A layer for each line in which the pattern's runs were decoded."""
-    out = []
+def _replaced(layer: Layer, pattern: re.Pattern, decode, deep: re.Pattern, level: int) -> tuple[list[Layer], list[tuple[int, int, int]]]:
+    """A layer for each line in which the pattern's runs were decoded, and the spans of the layers skipped.
+
+    In a line with nothing to decode but signs of the ``deep`` pattern, each level of which is
+    ``level`` characters, the rounds in which all of them stay signs are skipped.
+    """
+    text, out, skipped = layer.text, [], []
     for start, end in _line(layer, pattern):
+        runs = [(m.start(), m.end(), got) for m in pattern.finditer(text, start, end) if (got := decode(m.group())) is not None]
+        if not runs:
+            continue
+        signs = {m.start(): (m.end() - m.start() - 1) // level for m in deep.finditer(text, start, end)}
+        if signs and all(a in signs and b == a + 1 + level for a, b, _ in runs):
+            levels = min(signs[a] for a, _, _ in runs) - 1
+            runs = [(a, a + 1 + level * levels, [(text[a], 0, 1 + level * levels)]) for a, _, _ in runs]
+            for a, _, _ in runs:
+                stop = _HEX_RUN.match(text, a + 1).end()
+                for first in range(a + 1 + level, min(a + 1 + level * levels, stop - 23), level):
+                    x, y = layer.original(first, stop)
+                    skipped.append((x, 2, y))
         parts, at, last = [], [], start
-        for m in pattern.finditer(layer.text, start, end):
-            got = decode(m.group())
-            if got is None:
-                continue
-            parts.append(layer.text[last : m.start()])
-            at += [layer.original(i, i + 1) for i in range(last, m.start())]
-            for c, a, b in got:
+        for a, b, got in runs:
+            parts.append(text[last:a])
+            at += [layer.original(i, i + 1) for i in range(last, a)]
+            for c, x, y in got:
                 parts.append(c)
-                at.append(layer.original(m.start() + a, m.start() + b))
-            last = m.end()
-        if parts:
-            parts.append(layer.text[last:end])
-            at += [layer.original(i, i + 1) for i in range(last, end)]
-            out.append(Layer("".join(parts), at))
-    return out
+                at.append(layer.original(a + x, a + y))
+            last = b
+        parts.append(text[last:end])
+        at += [layer.original(i, i + 1) for i in range(last, end)]
+        out.append(Layer("".join(parts), at))
+    return out, skipped
 
 
 def _inflated(data: bytes) -> bytes | None:
@@ -189,12 +202,11 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     while work:
         layer = work.pop()
         new = []
-        if "%" in layer.text:
-            deep = _replaced(layer, _DEEP_PERCENT, lambda run: [("%", 0, len(run))])
-            new += deep or _replaced(layer, _PERCENT, _percent)
-        if "\\" in layer.text:
-            deep = _replaced(layer, _DEEP_ESCAPE, lambda run: [("\\", 0, len(run))])
-            new += deep or _replaced(layer, _ESCAPE, _escaped)
+        for sign, *unwrap in (("%", _PERCENT, _percent, _DEEP_PERCENT, 2), ("\\", _ESCAPE, _escaped, _DEEP_ESCAPE, 5)):
+            if sign in layer.text:
+                layers, skipped = _replaced(layer, *unwrap)
+                new += layers
+                found.update(skipped)
         new += _unpacked(layer)
         for x in new:
             key = (x.text, x.at[0], x.at[-1])

@@ -337,6 +337,21 @@ def test_secrets_stop_at_cycles_and_bombs():
     assert secrets.all_spans(bomb)[0] == slow_base(bomb)
 
 
+@pytest.mark.parametrize("sign", ["%" + "25" * 40 + "3D", "\\u005c" + "u005c" * 40 + "u003d"])
+def test_deeply_escaped_signs_leave_the_rest_decoded(sign, monkeypatch):
+    plain = ["token%3Dabcdefgh", "\\u0074oken=hijklmno", f"a{sign}b token%3Dpqrstuvw{sign}%2561"]
+    text = "\n".join([f"secret{sign}deepdeep", *plain, f"x{sign[:1]}{sign}0123456789abcdef{sign}"])
+    _, found = secrets.all_spans(text)
+    for line in plain[:2]:
+        at = text.index(line)
+        assert (at, 0, at + len(line)) in found
+        assert line[-8:] not in secrets.redacted(text, found)
+    never = re.compile("(?!)")
+    monkeypatch.setattr(secrets, "_DEEP_PERCENT", never)
+    monkeypatch.setattr(secrets, "_DEEP_ESCAPE", never)
+    assert found == secrets.all_spans(text)[1]
+
+
 def test_secret_query_awkward(spark):
     docs = awkward(spark)
     got = secrets.secret_spans(docs).toPandas()
