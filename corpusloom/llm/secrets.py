@@ -6,8 +6,9 @@ letters or digits, 20 or more in all), hex (24 or more of 0-9a-f). A match that
 is dropped, but what it covers is not searched again.
 
 The worklist then unwraps layers: lines with percent escapes or \\u and \\x escapes are decoded as a
-whole, runs of base64 (standard or URL alphabet) are decoded by themselves, and gzip or zlib data
-inside are inflated. Each new layer is scanned with the same patterns and unwrapped in turn until
+whole, runs of base64 (standard or URL alphabet) are decoded by themselves and joined across line
+breaks, gzip or zlib data inside are inflated, and every stretch of ASCII text in what comes out is a
+layer, whatever stands around it. Each new layer is scanned with the same patterns and unwrapped in turn until
 no layer yields a new one; a layer already seen at the same place is not taken up again. Every
 character of a layer carries the range of original characters that it came from, so spans are
 given in the original text; a span in inflated data covers the whole encoded run. Rounds that would only take
@@ -21,7 +22,6 @@ off there (against zip bombs; the run itself stays whole in the text).
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -45,6 +45,11 @@ _DEEP_PERCENT = re.compile(r"%(?:25){17,}(?=[0-9A-Fa-f]{2})")
 _DEEP_ESCAPE = re.compile(r"\\u005[cC](?:u005[cC]){16,}(?=u[0-9A-Fa-f]{4})")
 _HEX_RUN = re.compile(r"[0-9a-f]*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines: the end of a line, whole lines, the start of a line.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: No pattern, and no escape or base64 run that leads to one, fits in fewer characters of text or holds any other.
+_TEXT = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _URL_TO_STANDARD = str.maketrans("-_", "+/")
 
 
@@ -145,8 +150,12 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, deep: re.Pattern, level
     return out, skipped
 
 
+def _squeezed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
 def _inflated(data: bytes) -> bytes | None:
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+    if not _squeezed(data):
         return None
     try:
         return zlib.decompressobj(47).decompress(data, INFLATED)
@@ -154,44 +163,68 @@ def _inflated(data: bytes) -> bytes | None:
         return None
 
 
-def _printable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() else None
+def _decoded(body: str) -> bytes:
+    """The bytes of a base64 run without padding; a last character that alone holds no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)].translate(_URL_TO_STANDARD)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _deflated(data: bytes) -> bytes | None:
+    """What is left after up to 64 rounds of inflating; None if nothing is compressed."""
+    out, rounds = None, 0
+    while rounds < 64 and (data := _inflated(data)) is not None:
+        out, rounds = data, rounds + 1
+    return out
+
+
+class Same:
+    """The one range of every character of inflated text."""
+
+    def __init__(self, whole: tuple[int, int]):
+        self.whole = whole
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.whole
+
+
+def _texts(layer: Layer, body: str, places) -> list[Layer]:
+    """The layers of a base64 run; ``places[i]`` is where its character ``i`` stands in the layer."""
+    data = _decoded(body)
+    squeezed = _deflated(data)
+    if squeezed is not None:
+        whole = layer.original(places[0], places[len(body) - 1] + 1)
+        return [Layer(m.group().decode(), Same(whole)) for m in _TEXT.finditer(squeezed)]
+    out = []
+    for m in _TEXT.finditer(data):
+        at = [layer.original(places[i * 8 // 6], places[min(len(body), -(-(i + 1) * 8 // 6)) - 1] + 1) for i in range(m.start(), m.end())]
+        out.append(Layer(m.group().decode(), at))
+    return out
 
 
 def _unpacked(layer: Layer) -> list[Layer]:
-    """A layer for each base64 run that holds text, or compressed text."""
+    """Layers of the text, or compressed text, in base64 runs.
+
+    Lines that are joined may begin before the run does: they are decoded from the first line of
+    each alignment, and from every line that begins like compressed data.
+    """
     out = []
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=").translate(_URL_TO_STANDARD)
-        if len(body) % 4 == 1:
+        out += _texts(layer, m.group().rstrip("="), range(m.start(), m.end()))
+    if "\n" not in layer.text:
+        return out
+    for m in _WRAPPED.finditer(layer.text):
+        if m.end() - m.start() < 16:
             continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        whole = layer.original(m.start(), m.end())
-        squeezed = _inflated(data)
-        rounds = 0
-        while squeezed is not None and rounds < 64:
-            text = _printable(squeezed)
-            if text is not None:
-                out.append(Layer(text, [whole] * len(text)))
-                break
-            squeezed, rounds = _inflated(squeezed), rounds + 1
-        else:
-            text = _printable(data)
-            if text is not None:
-                at, byte = [], 0
-                for c in text:
-                    n = len(c.encode())
-                    first = m.start() + byte * 8 // 6
-                    at.append(layer.original(first, min(m.end(), m.start() - (-(byte + n) * 8 // 6))))
-                    byte += n
-                out.append(Layer(text, at))
+        pieces = [(p.start(), p.end()) for p in _PIECE.finditer(layer.text, m.start(), m.end())]
+        body = "".join([layer.text[a:b] for a, b in pieces])
+        places = [i for a, b in pieces for i in range(a, b)]
+        aligned, first = set(), 0
+        for a, b in pieces[:-1]:
+            fresh = first % 4 not in aligned
+            aligned.add(first % 4)
+            if fresh or _squeezed(_decoded(body[first : first + 4])):
+                out += _texts(layer, body[first:], places[first:])
+            first += b - a
     return out
 
 

@@ -352,6 +352,39 @@ def test_deeply_escaped_signs_leave_the_rest_decoded(sign, monkeypatch):
     assert found == secrets.all_spans(text)[1]
 
 
+SECRET = "password=hunter2hunter2"
+
+
+@pytest.mark.parametrize("odd", ["\xa0", "\ufeff", "\u200b", "\xad", "\u3000", "\f", "\0", b"\xff\xfe\x80"])
+@pytest.mark.parametrize("squeeze", [lambda x: x, gzip.compress])
+def test_odd_bytes_beside_encoded_secrets(odd, squeeze):
+    odd = odd if isinstance(odd, bytes) else odd.encode()
+    encoded = base64.b64encode(squeeze(odd + f"long file\n{SECRET}\n{LAYERS['base64'](SECRET)}".encode() + odd)).decode()
+    text = f"see {encoded} end"
+    _, found = secrets.all_spans(text)
+    spans = [(a, b) for a, k, b in found if k == 0]
+    assert spans and all(4 <= a < b <= 4 + len(encoded) for a, b in spans)
+    assert squeeze is gzip.compress or len(spans) == 2
+
+
+@pytest.mark.parametrize("pack", ["plain", "gzip", "zlib"])
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("before,newline", [("", "\n"), ("-----BEGIN CERTIFICATE-----\n", "\r\n"), ("some_identifier_before_it\nodd\n", "\n  ")])
+def test_wrapped_base64_is_joined(pack, width, before, newline):
+    noise = "".join(random.Random(5).choice("ghijklmnopqrstuvwxyz ") for _ in range(300))
+    raw = f"{noise} {SECRET} {noise}".encode()
+    raw = {"plain": lambda x: x, "gzip": gzip.compress, "zlib": zlib.compress}[pack](raw)
+    coded = base64.b64encode(raw).decode()
+    text = before + newline.join(coded[i : i + width] for i in range(0, len(coded), width)) + "\nthe end"
+    _, found = secrets.all_spans(text)
+    assert any(k == 0 and len(before) <= a < b <= len(text) for a, k, b in found)
+    assert SECRET not in "".join(secrets.redacted(text, found))
+    if pack == "plain":  # just the secret goes, also where a line breaks in it
+        a, b = next((a, b) for a, k, b in found if k == 0)
+        joined = re.sub(r"\s", "", text[a:b])
+        assert joined in coded and len(joined) <= len(SECRET) * 4 / 3 + 4
+
+
 def test_secret_query_awkward(spark):
     docs = awkward(spark)
     got = secrets.secret_spans(docs).toPandas()
