@@ -18,7 +18,7 @@ repeated row gets the same class; a null doc_id is kept and never names a class
 the class has no other id; extra columns are ignored; an empty table gives an empty result.
 
 ``near_duplicate_rows`` is the form for removal: five-word shingles and a verified similarity of 0.8
-or more, with candidates from MinHash bands beside the fingerprints.
+or more, with candidates from MinHash bands instead of the fingerprints.
 """
 
 from __future__ import annotations
@@ -244,78 +244,32 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     )
 
 
-LOOSE_RADIUS = 20
 GROUP = 4000
 BANDS, ROWS = 12, 3
 
 
-def loose_links(marks: DataFrame, radius: int = LOOSE_RADIUS) -> DataFrame:
-    """(src, dst) candidate links of ``marks(id, fp, keys)``: in each band's bucket, by bit-sliced comparison.
-
-    Members of a bucket of more than ``BUCKET`` are linked without that filter, by a minimum and a
-    join: candidates are verified in any case, and no bucket is one task's work.
-    """
-    from corpusloom.llm.near_sets import bucket_stars
-
-    tables = checkpointed(marks.select("id", "fp", F.explode("keys").alias("key")))
-    sizes = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(tables.join(sizes.select("key", (F.col("n") > BUCKET).alias("hot")), "key"))
-
-    def search(batches):
-        held_key, ids, fps = None, [], []
-        out: tuple[list, list] = ([], [])
-
-        def close():
-            if len(ids) > 1:
-                for lane, root in BitSlices([v & 0xFFFFFFFFFFFFFFFF for v in fps]).forest(radius):
-                    if lane != root:
-                        out[0].append(ids[lane])
-                        out[1].append(ids[root])
-
-        for batch in batches:
-            for key, i, fp in zip(*[batch[c].to_pylist() for c in ("key", "id", "fp")], strict=True):
-                if key != held_key:
-                    close()
-                    held_key, ids, fps = key, [], []
-                ids.append(i)
-                fps.append(fp)
-            if len(out[0]) > 10_000:
-                yield {"src": out[0], "dst": out[1]}
-                out = ([], [])
-        close()
-        yield {"src": out[0], "dst": out[1]}
-
-    cold = shared.where(~F.col("hot")).select("key", "id", "fp")
-    dealt = cold.repartition(shuffle_partitions(marks.sparkSession), "key").sortWithinPartitions("key", "id")
-    sliced = map_rows(dealt, search, "src long, dst long", batch_rows=1 << 14)
-    return sliced.union(bucket_stars(shared.where("hot").select("key", "id")))
-
-
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near copies the one with the least doc_id.
 
     Texts are in one class if a chain of pairs with a Jaccard similarity of ``least`` or more over
-    ``shingle``-word shingles links them. Candidates share a MinHash band and have
-    fingerprints (over the same shingles) within ``LOOSE_RADIUS`` bits; they are then verified.
+    ``shingle``-word shingles links them. Candidates share a MinHash band; all of them are verified,
+    as fingerprints weigh repeated shingles and would refuse copies that repeat a line.
     Texts without words are never near copies. Fully repeated rows stay or go together, as exact
     deduplication is the operator for them.
     """
-    from corpusloom.llm.near_sets import Bands, classes, verified_links
+    from corpusloom.llm.near_sets import Bands, bucket_stars, classes, verified_links
 
     def mark(batches):
         bands = Bands(BANDS, ROWS)
         for batch in batches:
-            fps, keys = [], []
-            for text in as_bytes(batch["text"]):
-                digests = shingle_digests(text, shingle)
-                fps.append(signed(fingerprint(digests)))
-                keys.append(bands.keys(np.unique(digests.astype(np.uint64))))
-            yield {"doc_id": batch["doc_id"], "id": batch["id"], "fp": fps, "keys": keys}
+            keys = [bands.keys(np.unique(shingle_digests(t, shingle).astype(np.uint64))) for t in as_bytes(batch["text"])]
+            yield {"doc_id": batch["doc_id"], "id": batch["id"], "keys": keys}
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"))
-    marks = checkpointed(map_rows(rows, mark, "doc_id long, id long, fp long, keys array<long>", batch_rows=500))
-    loose = classes(loose_links(marks.where(F.size("keys") > 0).dropDuplicates(["id"])))
+    marks = checkpointed(map_rows(rows, mark, "doc_id long, id long, keys array<long>", batch_rows=500))
+    distinct = marks.where(F.size("keys") > 0).dropDuplicates(["id"])
+    loose = classes(bucket_stars(checkpointed(distinct.select("id", F.explode("keys").alias("key")))))
     members = rows.select("id", "text").join(loose, "id").dropDuplicates(["id"])
     exact = classes(verified_links(members.select(F.col("root").alias("comp"), "id", F.col("text").cast("binary").alias("body")), GROUP, least, shingle))
     named = marks.where(F.size("keys") > 0).select("doc_id", "id").join(exact, "id", "left")

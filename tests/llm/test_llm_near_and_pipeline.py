@@ -65,6 +65,20 @@ def test_near_copies_match_brute_force(spark, sf_dir, monkeypatch, group, bucket
     assert sorted(r.doc_id for r in got.collect()) == sorted(500 - i for i in keep)
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    rng = random.Random(6)
+    texts = []
+    for times in [1, 5, 10, 20, 50] * 6:
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+        own, line = " ".join(word() for _ in range(250)), " ".join(word() for _ in range(20))
+        texts += [f"{own}\n{line}", "\n".join([own, *[line] * times])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [shingles(t) for t in texts]
+    roots = brute_components(len(texts), lambda i, j: similar(own[i], own[j]))
+    assert len(set(roots)) == len(texts) // 2
+    assert sorted(r.doc_id for r in simhash.near_duplicate_rows(docs).collect()) == sorted(set(roots))
+
+
 def test_near_copies_awkward(spark):
     docs = awkward(spark)
     kept = simhash.near_duplicate_rows(docs)
