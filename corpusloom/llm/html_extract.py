@@ -1,9 +1,11 @@
 """Main text of web pages by wrapper induction (operator 10).
 
-Wrappers: of each host at most ``SAMPLE`` pages (those with the least hash of page_id) are parsed,
-and the first one's tree is aligned with each other's by simple tree matching. A text that
-stands at the matched place of nearly all of them is constant, part of the host's template;
-places whose texts differ are slots. A wrapper is the set of the host's constants.
+Wrappers: all pages of a host are read, copies (equal texts) once. Pages with the same containers
+(tag, class and place, digits alike) are one layout. A text that stands at the same path of
+nearly all pages of a layout, or of nearly all of a host, is constant, part of the
+template; places whose texts differ are slots. A wrapper is the set of the constants of a host and
+of its layouts. Texts are counted map-side by host, layout, path and text, so no host is one task's work;
+layouts and hosts of fewer than ``LEAST_PAGES`` different pages have nothing to tell a constant by.
 
 Roles: slots hold menus and adverts as well as the article, and these differ from page to page
 too, so alignment alone can't tell them apart. A slot is therefore content only if it isn't
@@ -11,7 +13,7 @@ below an element that HTML marks as something else (nav, footer, aside, form, sc
 or a class, id or role that says menu, advert, cookie notice, comments ..), and if the page has
 article or main elements, only below them.
 
-Every page is then read whole and once: blocks in page order, constants and other roles left
+Every page is then read whole again: blocks in page order, constants and other roles left
 out, white space in a block turned into one space. Wrappers go to the executors by broadcast
 while they are few (``BROADCAST_ROWS`` constants, checked); beyond that pages and wrappers are
 joined by host.
@@ -23,16 +25,16 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from html.parser import HTMLParser
 
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import checkpointed, map_rows
 
-SAMPLE = 8
 LEAST_PAGES = 4
 SHARE = 0.8
 BROADCAST_ROWS = 200_000
@@ -51,6 +53,9 @@ _NOT_TEXT = frozenset(
     "head title script style noscript template nav footer aside form button select textarea iframe svg canvas object audio video "
     "menu dialog fieldset datalist".split()
 )
+#: What makes a layout; paragraphs, lists, tables and their like depend on what a page says.
+_CONTAINER = frozenset("html body div section article main header footer nav aside form".split())
+_DIGITS = re.compile("[0-9]+")
 #: These take no room in a text.
 _UNSEEN = frozenset("script style noscript template".split())
 _NOT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -193,78 +198,30 @@ def _path(node: Node) -> str:
     return "/".join(reversed(names))
 
 
-def simple_tree_matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Matched element pairs: the best order-keeping match of children, level by level."""
-    weights: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: Node, y: Node, depth: int) -> tuple[int, list]:
-        key = (id(x), id(y))
-        if key in weights:
-            return weights[key]
-        xs = [c for c in x.children if isinstance(c, Node)]
-        ys = [c for c in y.children if isinstance(c, Node)]
-        if len(xs) * len(ys) > 10_000 or depth > 60:  # long lists are matched from both ends
-            n = min(len(xs), len(ys))
-            pairs = [*zip(xs[: n // 2], ys[: n // 2], strict=True), *zip(xs[len(xs) - n + n // 2 :], ys[len(ys) - n + n // 2 :], strict=True)]
-            pairs = [p for p in pairs if (p[0].tag, p[0].name) == (p[1].tag, p[1].name)] if depth <= 60 else []
-            got = [match(p, q, depth + 1) for p, q in pairs]
-            weights[key] = (1 + sum(w for w, _ in got), pairs)
-            return weights[key]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, p in enumerate(xs):
-            for j, q in enumerate(ys):
-                w = match(p, q, depth + 1)[0] if (p.tag, p.name) == (q.tag, q.name) else 0
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-        pairs, i, j = [], len(xs), len(ys)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((xs[i], ys[j]))
-        weights[key] = (1 + best[len(xs)][len(ys)], pairs[::-1])
-        return weights[key]
-
-    out, work = [], [(a, b)]
-    while work:
-        x, y = work.pop()
-        out.append((x, y))
-        work += match(x, y, 0)[1]
-    return out
-
-
-def induce(pages: list[str]) -> list[int]:
-    """Keys of the constant blocks of one host's pages."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    texts = [blocks(t) for t in trees]
-    unlike = {tuple(t for *_, t in own): i for i, own in enumerate(texts)}
-    chosen = sorted(unlike.values())
-    if len(chosen) < LEAST_PAGES:
-        return []
-    first, others = chosen[0], chosen[1:]
-    own: dict[int, list[str]] = {}
-    for node, _, text in texts[first]:
-        own.setdefault(id(node), []).append(text)
-    hits: dict[tuple[int, str], int] = {}
-    for k in others:
-        theirs: dict[int, set[str]] = {}
-        for node, _, text in texts[k]:
-            theirs.setdefault(id(node), set()).add(text)
-        for x, y in simple_tree_matching(trees[first], trees[k]):
-            for text in set(own.get(id(x), ())) & theirs.get(id(y), set()):
-                hits[id(x), text] = hits.get((id(x), text), 0) + 1
-    need = SHARE * len(others)
-    return sorted({_block_key(_path(node), text) for node, _, text in texts[first] if hits.get((id(node), text), 0) >= need})
+def layout(root: Node) -> int:
+    """A number from 1 of the page's set of container paths."""
+    seen, stack = set(), [(root, 0)]
+    while stack:
+        node, own = stack.pop()
+        for child in node.children:
+            if isinstance(child, Node) and child.tag in _CONTAINER:
+                path = zlib.crc32(f"{own}/{child.tag}.{_DIGITS.sub('0', child.name)}".encode("utf-8", "surrogatepass"))
+                seen.add(path)
+                stack.append((child, path))
+    return zlib.crc32(",".join(map(str, sorted(seen))).encode()) >> 1 | 1
 
 
 def main_text(html: str, constants=frozenset()) -> str:
     """The page's blocks of content, joined by blank lines."""
-    found = blocks(parse(html))
+    root = parse(html)
+    found = blocks(root)
     if any(inside for _, inside, _ in found):
         found = [x for x in found if x[1]]
-    return "\n\n".join(t for node, _, t in found if not constants or _block_key(_path(node), t) not in constants)
+    if constants:
+        own = layout(root) << 32
+        keys = [_block_key(_path(node), t) for node, _, t in found]
+        found = [x for x, key in zip(found, keys, strict=True) if key not in constants and own | key not in constants]
+    return "\n\n".join(t for *_, t in found)
 
 
 def _host():
@@ -272,21 +229,33 @@ def _host():
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, constants) of the hosts that have constants, from at most ``SAMPLE`` pages each."""
-    ids = pages.select("page_id", _host().alias("host")).where("host <> '' AND page_id IS NOT NULL").distinct()
-    order = W.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE).select("page_id", "host", "rn")
-    chosen = checkpointed(chosen)
-    if chosen.count() <= BROADCAST_ROWS:  # three short values a row; beyond that pages are shuffled by page_id
-        chosen = F.broadcast(chosen)
-    sample = pages.select("page_id", "html").where("html <> ''").join(chosen, "page_id")
-
-    def fit(group):
-        constants = induce(group.sort_values(["rn", "html"]).html.drop_duplicates().head(SAMPLE).tolist())
-        return group.head(1)[["host"]].assign(constants=[constants])
-
-    found = sample.groupBy("host").applyInPandas(fit, "host string, constants array<long>")
-    return found.where(F.size("constants") > 0)
+    """(host, constants) of the hosts that have constants: block keys, below the layout if of a layout only."""
+
+    def read(batches):
+        for batch in batches:
+            out: dict[str, list] = {"host": batch["host"].to_pylist(), "texts": [], "layout": [], "keys": []}
+            for html in batch["html"].to_pylist():
+                root = parse(html)
+                found = blocks(root)
+                texts = "\0".join(t for *_, t in found)
+                out["texts"].append(xxhash.xxh64_intdigest(texts.encode("utf-8", "surrogatepass"), 42) - (1 << 63))
+                out["layout"].append(layout(root))
+                out["keys"].append(sorted({_block_key(_path(node), t) for node, _, t in found}))
+            yield out
+
+    rows = pages.select(_host().alias("host"), "html").where("host <> '' AND html <> ''")
+    read_rows = map_rows(rows, read, "host string, texts long, layout long, keys array<long>", batch_rows=500)
+    page = checkpointed(read_rows.groupBy("host", "texts").agg(F.min(F.struct("layout", "keys")).alias("p")).select("host", "p.*"))
+    sizes = page.groupBy("host", "layout").agg(F.count("*").alias("pages"))
+    counts = checkpointed(page.select("host", "layout", F.explode("keys").alias("key")).groupBy("host", "layout", "key").agg(F.count("*").alias("n")))
+
+    def nearly_all(counted, sized, *by):
+        found = counted.where(F.col("n") >= LEAST_PAGES).join(sized.where(F.col("pages") >= LEAST_PAGES), list(by))
+        return found.where(F.col("n") - 1 >= SHARE * (F.col("pages") - 1) - 1e-9)
+
+    of_host = nearly_all(counts.groupBy("host", "key").agg(F.sum("n").alias("n")), sizes.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
+    of_layout = nearly_all(counts, sizes, "host", "layout").select("host", F.shiftleft("layout", 32).bitwiseOR(F.col("key")).alias("key"))
+    return of_host.select("host", "key").union(of_layout).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constants"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

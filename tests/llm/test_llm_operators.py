@@ -439,6 +439,17 @@ def test_wrapper_induction_finds_constants_and_content(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_every_layout_of_a_host_has_its_constants(spark):
+    a = "<body><div class='a'><p>Terms of A</p></div><div class='t'><p>text {n}</p><p>all pages say so</p></div></body>"
+    b = "<body><div class='t'><p>text {n}</p><p>all pages say so</p></div><section><div class='t'><p>Terms of B</p></div></section></body>"
+    html = lambda i, minor: (b if minor(i) else a).format(n=f"w{i}")
+    hosts = {"half": (40, lambda i: i % 2 == 0), "minor": (200, lambda i: i % 20 == 7)}
+    rows = [(1000 * k + i, f"https://{h}.example/{i}", html(i, minor)) for k, (h, (n, minor)) in enumerate(hosts.items()) for i in range(n)]
+    rows += [(9000 + i, f"https://copies.example/{i}", f"<body><div class='n{i}'></div><p>one text</p></body>") for i in range(9)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id").text
+    assert all(got[i] == (f"text w{i % 1000}" if i < 9000 else "one text") for i, *_ in rows)
+
+
 @pytest.mark.parametrize(
     "html,text",
     [
