@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,33 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+class Presence:
+    """A bitmap of ``BITS`` bits on every executor that tells of most absent values that they are absent.
+
+    Its size is fixed. With many more values than bits it lets everything through, which costs a larger join
+    and changes no result: what passes is joined with the values themselves.
+    """
+
+    BITS = 1 << 24
+
+    def __init__(self, values: DataFrame, column: str):
+        """``values`` should be cheap to read: a checkpointed table of longs."""
+        slots = values.select(F.pmod(F.col(column), F.lit(self.BITS)).cast("int").alias("s"))
+        got = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1, s & 31))").alias("b")).toArrow()
+        bits = np.zeros(self.BITS // 32, np.uint32)
+        bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint32)
+        self.bits = values.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        """Per 64-bit value, whether it may be among the values; for executors."""
+        slot = values.view(np.uint64) & np.uint64(self.BITS - 1)
+        bits = np.frombuffer(self.bits.value, np.uint32)
+        return (bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+    def __getstate__(self):
+        return {"bits": self.bits}
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(src, dst)``; root is the smallest reachable node.
 

@@ -17,12 +17,13 @@ an empty result.
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ASCII_SPACE, checkpointed, map_rows, text_of
+from corpusloom.llm.common import ASCII_SPACE, Presence, checkpointed, map_rows, text_of
 
 COUNTERS = 128
 
@@ -110,18 +111,26 @@ def exact_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows whose digest no other row has are not shuffled, but for false alarms of a bitmap.
+    """
     own = docs.columns
     tagged = docs.select(
-        *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)],
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)],
         F.col(id_col).alias("_id"),
         F.char_length(text_of(text_col)).cast("long").alias("_len"),
         text_digest(text_col).alias("_digest"),
     )
-    heavy = checkpointed(heavy_winners(checkpointed(tagged.select("_id", "_len", "_digest")), counters))
-    rows = tagged.join(F.broadcast(heavy), "_digest", "left").where(_is_winner())
-    first = rows.withColumn("_rn", F.row_number().over(W.partitionBy("_digest").orderBy(*_order()))).where("_rn = 1")
-    return first.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
+    digests = checkpointed(tagged.select("_id", "_len", "_digest"))
+    heavy = checkpointed(heavy_winners(digests, counters))
+    left = digests.join(F.broadcast(heavy), "_digest", "left").where(_is_winner())
+    shared = left.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = Presence(checkpointed(shared.select(F.xxhash64("_digest").alias("probe"))), "probe")
+    may = F.pandas_udf(lambda probe: pd.Series(wanted.may_hold(probe.to_numpy())), "boolean")
+    rows = tagged.join(F.broadcast(heavy), "_digest", "left").where(_is_winner()).withColumn("_may", may(F.xxhash64("_digest")))
+    first = rows.where("_may").withColumn("_rn", F.row_number().over(W.partitionBy("_digest").orderBy(*_order()))).where("_rn = 1")
+    return rows.where(~F.col("_may")).unionByName(first.drop("_rn")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
 
 
 ORACLE_SQL = r"""

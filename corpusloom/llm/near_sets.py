@@ -1,49 +1,52 @@
 """Verified similarity of shingle sets: MinHash bands for candidates, exact Jaccard for links.
 
 Candidates come as loose groups; a group is verified where it stands by a breadth-first
-search with an inverted index, so that each member is claimed once and no pair is emitted.
+search with an inverted index or bit slices, so that each member is claimed once and no pair is emitted.
 Groups of more than ``group`` members are cut into blocks by a hash, and every pair of
 blocks is searched in a task of its own, which sees all pairs of the group between them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import checkpointed, connected_components, map_rows, shuffle_partitions
-from corpusloom.llm.simhash import shingle_digests
+from corpusloom.llm.segments import DocumentSets, words
+from corpusloom.llm.simhash import BitSlices, fingerprint
 
 SHINGLE = 5
 SIMILARITY = 0.8
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles' hashes, in order."""
-    return np.unique(shingle_digests(text, shingle).astype(np.uint64))
+def document_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[DocumentSets]:
+    """The shingle sets of a column of texts without nulls, some documents at a time."""
+    for part in words(column):
+        yield DocumentSets(part, shingle)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of distinct hashes: the bits set in over half of them."""
+    return fingerprint(hashes.view(np.uint64).astype(">u8"))
 
 
-class Bands:
-    """Band keys of a set: ``bands`` hashes of ``rows`` minima each."""
+def sliced_forest(sets: list[np.ndarray], radius: int, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """``jaccard_forest`` of the pairs whose fingerprints are within ``radius`` bits, found by bit slices."""
+    sizes = np.array([len(s) for s in sets])
 
-    def __init__(self, bands: int, rows: int):
-        rng = np.random.default_rng(11)
-        self.bands, self.rows = bands, rows
-        self.xor = rng.integers(0, 1 << 63, bands * rows, np.uint64)
-        self.times = rng.integers(0, 1 << 62, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    def similar(lane: int, lanes: list[int]) -> list[int]:
+        mine = np.isin(np.concatenate([sets[i] for i in lanes]), sets[lane])
+        ends = np.cumsum(sizes[lanes])
+        counted = np.concatenate([[0], np.cumsum(mine)])
+        shared = counted[ends] - counted[ends - sizes[lanes]]
+        good = shared >= least * (sizes[lane] + sizes[lanes] - shared) - 1e-9
+        return [i for i, yes in zip(lanes, good.tolist(), strict=True) if yes]
 
-    def keys(self, hashes: np.ndarray) -> list[int]:
-        if not len(hashes):
-            return []
-        least = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 4096):
-            np.minimum(least, ((hashes[at : at + 4096] ^ self.xor[:, None]) * self.times[:, None]).min(axis=1), out=least)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(self.rows):
-            key = (key ^ least[r :: self.rows]) * np.uint64(0xFF51AFD7ED558CCD)
-            key ^= key >> np.uint64(32)
-        return key.view(np.int64).tolist()
+    return BitSlices([set_fingerprint(s) for s in sets]).forest(radius, similar)
 
 
 def jaccard_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -54,6 +57,13 @@ def jaccard_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tu
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(n), sizes)
     waiting = np.ones(n, bool)
+    while True:  # who shares too few tokens with all others together is similar to none
+        shared = np.bincount(tokens[waiting[owner]], minlength=len(tokens))[tokens] > 1
+        able = waiting & (np.bincount(owner[shared], minlength=n) >= least * sizes - 1e-9)
+        if (able == waiting).all():
+            break
+        waiting = able
+    alone = np.flatnonzero(~waiting)
 
     def index():
         use = waiting[owner]
@@ -62,7 +72,7 @@ def jaccard_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tu
         return owner[use][order], pointers, waiting.sum()
 
     postings, pointers, indexed = index()
-    out = []
+    out = [(int(i), int(i)) for i in alone]
     for root in range(n):
         if not waiting[root]:
             continue
@@ -86,17 +96,35 @@ def jaccard_forest(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tu
     return out
 
 
-def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(src, dst) links that connect all of ``items(comp, id, body)`` that are similar within their comp.
+def _plausible(items: DataFrame, least: float) -> DataFrame:
+    """The items of which enough tokens are shared within their comp to be similar to anything there."""
+    shared = items.select("comp", F.explode("tokens").alias("t")).groupBy("comp", "t").agg(F.count("*").alias("n")).where("n > 1")
+    own = items.select("comp", "id", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(shared, ["comp", "t"])
+    enough = own.groupBy("comp", "id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    enough = enough.where(F.col("n") >= least * F.col("size") - 1e-9).select("comp", "id")
+    return items.join(enough, ["comp", "id"], "left_semi")
+
+
+def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+    """(src, dst) links that connect all of ``items(comp, id, tokens)`` that are similar within their comp.
 
-    ``body`` holds the text in UTF-8.
+    ``tokens`` are distinct hashes. From comps of more than ``group`` members those go first that share
+    too few tokens with all others together: texts around a common passage, which only look alike.
+    With a ``radius`` only those are verified whose SimHash fingerprints are so near.
     """
     spark = items.sparkSession
-    sizes = items.groupBy("comp").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    items = checkpointed(items)
+    sizes = checkpointed(items.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt = items.join(sizes.where(F.col("n") <= group).select("comp"), "comp", "left_semi")
+    if sizes.where(F.col("n") > group).limit(1).count():
+        large = items.join(sizes.where(F.col("n") > group).select("comp"), "comp", "left_semi")
+        dealt = dealt.unionByName(_plausible(large, least))
+    blocks = dealt.groupBy("comp").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = items.join(sizes, "comp").select("comp", own.alias("_own"), other.alias("_other"), "id", "body")
-    dealt = dealt.select("comp", F.least("_own", "_other").alias("b0"), F.greatest("_own", "_other").alias("b1"), "id", "body")
+    dealt = dealt.join(blocks, "comp").select("comp", own.alias("_own"), other.alias("_other"), "id", "tokens")
+    dealt = dealt.select("comp", F.least("_own", "_other").alias("b0"), F.greatest("_own", "_other").alias("b1"), "id", "tokens")
+    kind = {"bigint": "long"}.get(dict(items.dtypes)["id"], dict(items.dtypes)["id"])
 
     def search(batches):
         key, ids, sets = None, [], []
@@ -104,19 +132,20 @@ def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shin
 
         def close():
             if len(ids) > 1:
-                for i, root in jaccard_forest(sets, least):
+                for i, root in jaccard_forest(sets, least) if radius is None else sliced_forest(sets, radius, least):
                     if i != root:
                         out[0].append(ids[i])
                         out[1].append(ids[root])
 
         for batch in batches:
-            for *now, i, body in zip(*[batch[c].to_pylist() for c in ("comp", "b0", "b1", "id", "body")], strict=True):
+            names = [batch[c].to_pylist() for c in ("comp", "b0", "b1", "id")]
+            for at, (*now, i) in enumerate(zip(*names, strict=True)):
                 if now != key:
                     close()
                     key, ids, sets = now, [], []
                 if not ids or ids[-1] != i:
                     ids.append(i)
-                    sets.append(shingle_set(body, shingle))
+                    sets.append(batch["tokens"][at].values.to_numpy())
             if len(out[0]) > 10_000:
                 yield {"src": out[0], "dst": out[1]}
                 out = ([], [])
@@ -124,7 +153,7 @@ def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, shin
         yield {"src": out[0], "dst": out[1]}
 
     rows = dealt.repartition(shuffle_partitions(spark), "comp", "b0", "b1").sortWithinPartitions("comp", "b0", "b1", "id")
-    return map_rows(rows, search, "src long, dst long", batch_rows=500)
+    return map_rows(rows, search, f"src {kind}, dst {kind}", batch_rows=500)
 
 
 def bucket_stars(keys: DataFrame) -> DataFrame:

@@ -1,164 +1,378 @@
 """Substring deduplication by paragraph MinHash banding (operator 6).
 
-Paragraphs are the lines of a text. Equal ones (by their words, A-Z in lower case) are one from
-the start and keep only their counts. Distinct ones of ``LONG`` words or more get ``BANDS`` keys of
-``ROWS`` MinHash minima each over their five-word shingles; at a similarity of 0.8 a pair shares
-a key with a probability of 0.998, at 0.3 of 0.09. Paragraphs that share a key are joined
-through the bucket's least member (no pairs), loose groups are verified by exact Jaccard
-similarity, and the verified links' connected components are the classes. Shorter lines, from
-``SHORT`` words, are in one class if they are equal; still shorter ones don't count.
-
-A passage is a run of lines of one document that stand one behind the other, are all repeated in
-another document, and have ``WORDS`` words or more together: one long paragraph, or several lines that are repeated as
-a block. Repeated lines outside such runs (a licence line, a common short sentence) are left alone.
-The first occurrence of a class, by doc_id and then place, stays; the others are removals.
-
-The result has a row per line of a repeated passage; documents without one don't appear.
-``cleaned`` gives whole documents without the removed lines.
-
-Defined cases: a null text has no paragraphs; a null doc_id comes after all others; of repeated
-rows (same doc_id and text) each occurrence counts, but they are one document; lines that are repeated
-inside one document alone are no passage, beside others they count; extra columns are ignored,
-and kept by ``cleaned``; an empty table gives an empty result.
+Paragraphs are cut by content (``segments``), so a repeated passage has the same paragraphs inside,
+whatever lines, words or documents stand around it. Each has ``BANDS`` keys of one MinHash
+minimum over its five-word shingles: similar pairs share a key with a probability of 0.992 at
+a similarity of 0.8, equal ones always. The paragraphs of a key that occurs in two documents are
+joined through its least member (no pairs); loose groups are verified by exact Jaccard similarity, and
+the verified links' connected components are the classes. A class in two documents is repeated.
+
+A run is a row of repeated paragraphs. Its ends, and places in it where the number of documents
+changes, grow outwards word by word as long as another document goes on with the same
+words, so that a passage ends where its repetition ends and not at a cut. Runs that touch, or
+leave out so few words that the whole would still be 0.8 similar (``SHARE`` of the words), are one
+passage; passages of ``WORDS`` words or more are reported. The first occurrence of a class, by doc_id and then
+place, stays; the others are removals.
+
+The result has a row per stretch of a passage with one fate; documents without one don't appear.
+``cleaned`` gives whole documents without the removed stretches.
+
+Paragraphs have a 64-bit identity: it takes equal hashes in several neighbouring paragraphs to report a passage
+that is none, as none has ``WORDS`` words alone.
+
+Defined cases: a null text has no paragraphs; a null doc_id comes after all others, and its document
+is known by its text; of repeated rows (same doc_id and text) each occurrence counts, but they are one
+document; passages that are repeated inside one document alone are none; extra columns
+are ignored, and kept by ``cleaned``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import xxhash
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, map_rows, text_of
-from corpusloom.llm.near_sets import Bands, bucket_stars, classes, shingle_set, verified_links
+from corpusloom.llm.common import Presence, checkpointed, map_rows, shuffle_partitions, text_of
+from corpusloom.llm.near_sets import classes, verified_links
+from corpusloom.llm.segments import MOST, REACH, Paragraphs, growth, words
 
-WORDS, LONG, SHORT = 50, 20, 5
-BANDS, ROWS = 12, 4
+WORDS = 50
+BANDS = 3
+#: Of the words of a passage; what shares this part of its shingles with a text of its size has a similarity of 0.8.
+SHARE = 8 / 9
 GROUP = 1_000
-BROADCAST_IDS = 200_000
-
-
-def paragraphs(text: str, short: int = SHORT) -> list[tuple[int, int, int, int, bytes]]:
-    """(place among the counted lines, start, end, words, normalised words); start and end in code points."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if len(line) >= 2 * short - 1:
-            parts = line.encode().lower().split()
-            if len(parts) >= short:
-                out.append((len(out), at, at + len(line), len(parts), b" ".join(parts)))
-        at += len(line) + 1
-    return out
-
-
-def paragraph_id(body: bytes) -> int:
-    own = xxhash.xxh64_intdigest(body, 42)
-    return own - ((own >> 63) << 64)
+#: Paragraphs of a task that are combined before they are shuffled.
+COMBINED = 300_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    """(own, row, unnamed, text): ``own`` is the doc_id, or made from the text where it is null; ``row`` is of the text."""
+    text, doc_id = text_of(text_col), F.col(id_col).cast("long")
+    row = F.xxhash64(text)
+    own = F.coalesce(doc_id, row.bitwiseOR(F.lit(-(1 << 63))))
+    return docs.select(own.alias("own"), row.alias("row"), doc_id.isNull().alias("unnamed"), text.alias("text"))
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, place, start, end, n_words, id, keys) of every counted line; keys of long ones only.
+def _paragraphs(column, least: int):
+    for part in words(column):
+        found = Paragraphs(part, least)
+        if not found.empty:
+            yield found
 
-    ``row`` is a number of the document's own text, so that rows that share a doc_id stay apart.
-    """
-    kinds = "doc_id long, row long, place int, start int, end int, n_words int, id long, keys array<long>"
-    names = [k.split()[0] for k in kinds.split(", ")]
+
+def band_rows(texts: DataFrame, least: int) -> DataFrame:
+    """(key, id, lo, hi): the band keys of each paragraph with the least and greatest document, combined map-side."""
 
     def cut(batches):
-        bands = Bands(BANDS, ROWS)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in names}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                row = paragraph_id(text.encode())
-                for place, start, end, n, body in paragraphs(text):
-                    keys = bands.keys(shingle_set(body)) if n >= LONG else []
-                    for k, v in zip(names, (doc_id, row, place, start, end, n, paragraph_id(body), keys), strict=True):
-                        out[k].append(v)
-            yield out
+        held: list[tuple] = []
+
+        def combined() -> dict:
+            if not held:
+                return {"key": [], "id": [], "lo": [], "hi": []}
+            ids, keys, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((own, ids))
+            ids, own = ids[order], own[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            last = np.concatenate([first[1:], [len(ids)]]) - 1
+            one = [np.repeat(x, BANDS) for x in (ids[first].view(np.int64), own[first], own[last])]
+            return {"key": keys[order][first].reshape(-1).view(np.int64), "id": one[0], "lo": one[1], "hi": one[2]}
 
-    return map_rows(_texts(docs, id_col, text_col), cut, kinds, batch_rows=500)
+        for batch in batches:
+            own = batch["own"].to_numpy()
+            for p in _paragraphs(batch["text"], least):
+                held.append((p.id, p.band_keys(BANDS), own[p.doc]))
+                if sum(len(x[0]) for x in held) > COMBINED:
+                    yield combined()
+        yield combined()
 
+    return map_rows(texts.select("own", "text"), cut, "key long, id long, lo long, hi long")
 
-def _bodies(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, body) of the paragraphs named by ``ids``, read again from the texts.
 
-    Few ids (checked) go to the executors and filter where the lines are; more are joined.
-    """
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["id"] for r in ids.collect())) if few else None
+def _tokens(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """(id, tokens) of the paragraphs named by ``ids``: their distinct shingles, read again from the texts."""
+    wanted = Presence(ids, "id")
 
     def cut(batches):
+        seen: set[int] = set()
         for batch in batches:
-            out: dict[str, list] = {"id": [], "body": []}
-            for text in batch["text"].to_pylist():
-                for *_, n, body in paragraphs(text, LONG):
-                    own = paragraph_id(body)
-                    if wanted is None or own in wanted.value:
+            out: dict[str, list] = {"id": [], "tokens": []}
+            for p in _paragraphs(batch["text"], least):
+                hit = np.flatnonzero(wanted.may_hold(p.id))
+                if not len(hit):
+                    continue
+                value, inside = p.shingles()
+                for i in hit.tolist():
+                    own = int(p.id[i].view(np.int64))
+                    if own not in seen:
+                        seen.add(own)
+                        at = slice(p.word[i], p.word[i] + p.size[i])
                         out["id"].append(own)
-                        out["body"].append(body)
+                        out["tokens"].append(np.unique(value[at][inside[at]]).view(np.int64))
+            if len(seen) > COMBINED:
+                seen.clear()
             yield out
 
-    found = map_rows(_texts(docs, id_col, text_col).select("text"), cut, "id long, body binary", batch_rows=500)
-    found = found if few else found.join(ids, "id", "left_semi")
-    return found.groupBy("id").agg(F.min("body").alias("body"))
+    found = map_rows(texts.select("text"), cut, "id long, tokens array<long>")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def repeated_paragraphs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_words, passage_words, class_id, class_size, class_docs, keep_doc_id, removed)."""
-    found = checkpointed(occurrences(docs, id_col, text_col))
-    distinct = found.where(F.size("keys") > 0).groupBy("id").agg(F.first("keys").alias("keys"))
-    loose = classes(bucket_stars(checkpointed(distinct.select("id", F.explode("keys").alias("key")))))
-    items = _bodies(docs, loose.select("id"), id_col, text_col).join(loose, "id").select(F.col("root").alias("comp"), "id", "body")
+def _places(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
+    """Every occurrence of the paragraphs named by ``ids`` (and of some others), with the sizes of its neighbours."""
+    wanted = Presence(ids, "id")
+    kinds = "id long, own long, row long, unnamed boolean, place int, word int, size int, start int, end int, before int, after int"
+
+    def cut(batches):
+        for batch in batches:
+            own, row = batch["own"].to_numpy(), batch["row"].to_numpy()
+            for p in _paragraphs(batch["text"], least):
+                hit = np.flatnonzero(wanted.may_hold(p.id))
+                start, end = p.spans()
+                base = np.searchsorted(p.doc, p.doc[hit])
+                before = np.where(p.place[hit] > 0, p.size[hit - 1], 0)
+                after = np.where(p.last[hit], 0, p.size[(hit + 1) % len(p.size)])
+                doc = p.doc[hit]
+                yield {
+                    "id": p.id[hit].view(np.int64), "own": own[doc], "row": row[doc], "unnamed": batch["unnamed"].take(doc),
+                    "place": p.place[hit].astype(np.int32), "word": (p.word[hit] - p.word[base]).astype(np.int32), "size": p.size[hit].astype(np.int32),
+                    "start": start[hit].astype(np.int32), "end": end[hit].astype(np.int32), "before": before.astype(np.int32), "after": after.astype(np.int32),
+                }
+
+    return map_rows(texts, cut, kinds)
+
+
+def repeated_places(texts: DataFrame, least: int) -> DataFrame:
+    """Every occurrence of a paragraph whose class is in two documents, with what is known of the class."""
+    key = W.partitionBy("key")
+    lo, hi = F.min("lo").over(key).alias("lo"), F.max("hi").over(key).alias("hi")
+    keyed = band_rows(texts, least).select("id", F.min("id").over(key).alias("dst"), lo, hi).where("lo < hi")
+    near = checkpointed(keyed.select("id", "dst").distinct())
+    loose = classes(near.where("id <> dst").select(F.col("id").alias("src"), "dst"))
+    items = _tokens(texts, loose.select("id"), least).join(loose, "id").select(F.col("root").alias("comp"), "id", "tokens")
     exact = classes(verified_links(items, GROUP))
-    places = found.drop("keys").join(exact, "id", "left").withColumn("class_id", F.coalesce("root", "id")).drop("root", "id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("start").alias("s")))
-    groups = (
-        places.groupBy("class_id", "doc_id")
-        .agg(F.count("*").alias("n"), first.alias("f"))
-        .groupBy("class_id")
-        .agg(F.sum("n").alias("class_size"), F.count("*").alias("class_docs"), F.min("f").alias("f"))
+    named = near.select("id").distinct().join(exact, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
+    named = checkpointed(named)
+    found = checkpointed(_places(texts, named, least).join(named, "id").drop("id"))
+    first = F.min(F.struct("unnamed", "own", "row", "start"))
+    sizes = (
+        found.groupBy("class_id", "own").agg(F.count("*").alias("n"), first.alias("f"))
+        .groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count("*").alias("class_docs"), F.min("f").alias("f"))
         .where("class_docs > 1")
-    )
-    repeats = places.join(groups, "class_id")
-    # Lines of a run keep the same difference of place and rank; repeated rows are told apart by turns.
-    turn = F.row_number().over(W.partitionBy("doc_id", "row", "place").orderBy("start"))
-    turned = repeats.withColumn("_turn", turn)
-    own = W.partitionBy("doc_id", "row", "_turn").orderBy("place")
-    runs = turned.withColumn("_run", F.col("place") - F.row_number().over(own))
-    total = F.sum("n_words").over(W.partitionBy("doc_id", "row", "_turn", "_run"))
-    kept = (
-        F.col("doc_id").eqNullSafe(F.col("f.d")) & (F.col("row") == F.col("f.r")) & (F.col("start") == F.col("f.s")) & (F.col("_turn") == 1)
-    )
-    return runs.withColumn("passage_words", total).where(F.col("passage_words") >= words).select(
-        "doc_id", "start", "end", "n_words", "passage_words", "class_id", "class_size", "class_docs", F.col("f.d").alias("keep_doc_id"), (~kept).alias("removed")
-    )
-
-
-def cleaned(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed lines, all columns kept."""
-    gone = repeated_paragraphs(docs, words, id_col, text_col).where("removed AND doc_id IS NOT NULL")
-    spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-
-    def cut(texts, spans):
+    )
+    sizes = checkpointed(sizes.select("class_id", "class_size", "class_docs", *[F.col(f"f.{c}").alias(f"keep_{c}") for c in ("unnamed", "own", "row", "start")]))
+    return checkpointed(found.join(sizes, "class_id"))
+
+
+def _by_document(rows: DataFrame, fn, schema: str, columns: list[str]) -> DataFrame:
+    """``fn(table)`` over pandas tables of whole documents, in order of place."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            table = pd.DataFrame({c: batch[c].to_numpy(zero_copy_only=False) for c in columns})
+            if not len(table):
+                continue
+            new = np.flatnonzero((np.diff(table["own"]) != 0) | (np.diff(table["row"]) != 0))
+            whole = held and (table["own"].iat[0] != held[-1]["own"].iat[-1] or table["row"].iat[0] != held[-1]["row"].iat[-1])
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut or whole:
+                yield fn(pd.concat([*held, table.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(table.iloc[cut:])
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    dealt = rows.select(*columns).repartition(shuffle_partitions(rows.sparkSession), "own", "row")
+    return map_rows(dealt.sortWithinPartitions("own", "row", "place"), run, schema, batch_rows=1 << 14)
+
+
+def _ends(places: DataFrame, least: int) -> DataFrame:
+    """(own, row, place, right, class_id, reach): the ends that are to grow, by at most ``reach`` words.
+
+    Runs that can't come to ``least`` words with their neighbours are left out.
+    """
+    columns = ["own", "row", "place", "word", "size", "before", "after", "class_id", "class_docs"]
+
+    def find(t: pd.DataFrame) -> dict:
+        t = t.drop_duplicates(["own", "row", "place"])
+        own, row, place, docs = (t[c].to_numpy() for c in ("own", "row", "place", "class_docs"))
+        joined = (own[1:] == own[:-1]) & (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1)
+        starts = np.concatenate([[True], ~joined])
+        run = np.cumsum(starts) - 1
+        total = np.bincount(run, t["size"].to_numpy())
+        total += t["before"].to_numpy()[starts] + t["after"].to_numpy()[np.concatenate([~joined, [True]])] + 2 * REACH
+        use = total[run] >= least
+        changed = joined & (docs[1:] != docs[:-1])
+        left = use & np.concatenate([[True], ~joined | changed])
+        right = use & np.concatenate([~joined | changed, [True]])
+        out = []
+        for side, on, beyond in ((False, left, "before"), (True, right, "after")):
+            part = t.loc[on, ["own", "row", "place", "class_id"]]
+            out.append(part.assign(right=side, reach=(t.loc[on, beyond] + REACH).clip(upper=MOST).astype(np.int32)))
+        both = pd.concat(out)
+        return {c: both[c].to_numpy() for c in ("own", "row", "place", "right", "class_id", "reach")}
+
+    return _by_document(places, find, "own long, row long, place int, right boolean, class_id long, reach int", columns)
+
+
+def grown(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
+    """(own, row, place, right, steps, to): how many words an end grows, and the code point it comes to."""
+    ends = checkpointed(ends)
+    wanted = Presence(ends.select("row"), "row")
+
+    def keep(batches):
+        for batch in batches:
+            hit = np.flatnonzero(wanted.may_hold(batch["row"].to_numpy()))
+            yield {c: batch[c].take(hit) for c in ("own", "row", "text")}
+
+    few = map_rows(texts.select("own", "row", "text"), keep, "own long, row long, text string")
+    of_text = ends.groupBy("own", "row").agg(F.sort_array(F.collect_set(F.struct("place", "right", "class_id", "reach"))).alias("ends"))
+    of_text = of_text.select("own", "row", *[F.col(f"ends.{c}").alias(c) for c in ("place", "right", "class_id", "reach")])
+    names = ("g", "own", "row", "place", "right", "steps", "to")
+
+    def follow(batches):
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in names}
+            own, row = batch["own"].to_pylist(), batch["row"].to_pylist()
+            want = [batch[c].to_pylist() for c in ("place", "right", "class_id", "reach")]
+            for p in _paragraphs(batch["text"], least):
+                start, end = p.words.start[p.index], p.words.end[p.index]
+                heads = np.flatnonzero(np.concatenate([[True], p.doc[1:] != p.doc[:-1]]))
+                stops = np.concatenate([p.word[heads[1:]], [len(p.hash)]])
+                for head, stop in zip(heads.tolist(), stops.tolist(), strict=True):
+                    doc = int(p.doc[head])
+                    for place, right, kind, reach in zip(*[w[doc] for w in want], strict=True):
+                        at = head + place
+                        a, b = int(p.word[at]), int(p.word[at] + p.size[at])
+                        if right:
+                            on, to = p.hash[b : min(stop, b + reach)], end[b : min(stop, b + reach)]
+                        else:
+                            low = max(int(p.word[head]), a - reach)
+                            on, to = p.hash[low:a][::-1], start[low:a][::-1]
+                        n = len(on)
+                        if n:
+                            out["g"].append(growth(on, kind ^ (1 if right else 2)).view(np.int64))
+                            out["steps"].append(np.arange(1, n + 1, dtype=np.int32))
+                            out["to"].append(to.astype(np.int32))
+                            for k, v in (("own", own[doc]), ("row", row[doc]), ("place", place), ("right", right)):
+                                out[k].append(np.full(n, v))
+            yield {k: np.concatenate(v) if v else [] for k, v in out.items()}
+
+    chains = map_rows(few.join(of_text, ["own", "row"]), follow, "g long, own long, row long, place int, right boolean, steps int, to int")
+    chains = checkpointed(chains)
+    shared = chains.groupBy("g").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("g")
+    on = chains.join(checkpointed(shared), "g", "left_semi")
+    return on.groupBy("own", "row", "place", "right").agg(F.max("steps").alias("steps"), F.max_by("to", "steps").alias("to"))
+
+
+def _passages(t: pd.DataFrame, least: int) -> dict:
+    """The stretches of the passages in whole documents, a row of ``t`` for each repeated paragraph and copy of a row."""
+    key = ["own", "row", "place"]
+    copies = t.groupby(key)["place"].transform("size")
+    t = t.assign(copies=copies).drop_duplicates(key)
+    c = {k: t[k].tolist() for k in t.columns}
+    names = ("doc_id", "start", "end", "passage_words", "class_id", "class_size", "class_docs", "keep_doc_id", "removed", "own", "row", "turn")
+    out: dict[str, list] = {k: [] for k in names}
+
+    def close(total: int, runs: list) -> None:
+        """``runs``: first and last paragraph, first and last code point, of each run of the passage."""
+        if total < least:
+            return
+        stretches: list[list] = []  # code points, class of the keeper and fate, first paragraph
+        for first, last, start, end in runs:
+            for i in range(first, last + 1):
+                a, b = start if i == first else c["start"][i], end if i == last else c["end"][i]
+                keeper = (c["keep_unnamed"][i], c["keep_own"][i])
+                gone = (c["own"][i], c["row"][i], c["start"][i]) != (c["keep_own"][i], c["keep_row"][i], c["keep_start"][i])
+                if stretches and stretches[-1][2] == (keeper, gone):
+                    stretches[-1][1] = max(b, stretches[-1][1])
+                else:
+                    stretches.append([max(a, stretches[-1][1] if stretches else 0), b, (keeper, gone), i])
+        for turn in range(c["copies"][runs[0][0]]):
+            for a, b, ((unnamed, keep), gone), i in stretches:
+                if a < b:
+                    values = (
+                        None if c["unnamed"][i] else c["own"][i], a, b, total, c["class_id"][i], c["class_size"][i], c["class_docs"][i],
+                        None if unnamed else keep, gone or turn > 0, c["own"][i], c["row"][i], turn,
+                    )
+                    for k, v in zip(names, values, strict=True):
+                        out[k].append(v)
+
+    low = high = covered = 0
+    doc, runs = None, []
+    i, n = 0, len(t)
+    while i < n:
+        j = i
+        while j + 1 < n and (c["own"][j + 1], c["row"][j + 1], c["place"][j + 1]) == (c["own"][i], c["row"][i], c["place"][j] + 1):
+            j += 1
+        a, start, b, end = c["word"][i], c["start"][i], c["word"][j] + c["size"][j], c["end"][j]
+        for k in range(i, j + 1):
+            if c["word"][k] - c["steps_l"][k] < a:
+                a, start = c["word"][k] - c["steps_l"][k], c["to_l"][k]
+            if c["word"][k] + c["size"][k] + c["steps_r"][k] > b:
+                b, end = c["word"][k] + c["size"][k] + c["steps_r"][k], c["to_r"][k]
+        more = b - max(a, high)
+        if runs and doc == (c["own"][i], c["row"][i]) and covered + more >= SHARE * (b - low):
+            high, covered = max(b, high), covered + max(more, 0)
+        else:
+            close(high - low, runs)
+            doc, low, high, covered, runs = (c["own"][i], c["row"][i]), a, b, b - a, []
+        runs.append((i, j, start, end))
+        i = j + 1
+    close(high - low, runs)
+    return out
+
+
+def _stretches(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    texts = _texts(docs, id_col, text_col)
+    places = repeated_places(texts, least)
+    growths = checkpointed(grown(texts, _ends(places, least), least))
+    key = ["own", "row", "place"]
+    for right, side in ((False, "l"), (True, "r")):
+        part = growths.where(F.col("right") == right).select(*key, F.col("steps").alias(f"steps_{side}"), F.col("to").alias(f"to_{side}"))
+        places = places.join(part, key, "left").fillna(0, [f"steps_{side}", f"to_{side}"])
+    columns = [
+        "own", "row", "unnamed", "place", "word", "size", "start", "end", "class_id", "class_size", "class_docs", "keep_unnamed", "keep_own",
+        "keep_row", "keep_start", "steps_l", "to_l", "steps_r", "to_r",
+    ]
+    kinds = "doc_id long, start int, end int, passage_words int, class_id long, class_size long, class_docs long, keep_doc_id long, removed boolean"
+    return _by_document(places, lambda t: _passages(t, least), f"{kinds}, own long, row long, turn int", columns)
+
+
+def repeated_paragraphs(docs: DataFrame, least: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, passage_words, class_id, class_size, class_docs, keep_doc_id, removed).
+
+    The class is that of the stretch's first paragraph; ``start`` and ``end`` are code points.
+    """
+    return _stretches(docs, least, id_col, text_col).drop("own", "row", "turn")
+
+
+def cleaned(docs: DataFrame, least: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the removed stretches, all columns kept; repeated rows are treated alike."""
+    gone = _stretches(docs, least, id_col, text_col).where("removed AND turn = 0")
+    spans = gone.groupBy("own", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans, strict=True):
-            if own is not None and text is not None:
+            if own is not None:
                 parts, at = [], 0
                 for span in own:
-                    parts.append(text[at : span["start"]])
-                    at = min(len(text), span["end"] + 1)
+                    parts.append(text[at : max(at, span["start"])])
+                    at = max(at, span["end"])
                 text = "".join([*parts, text[at:]])
             out.append(text)
-        return out
-
-    def run(texts, spans):
-        import pandas as pd
-
-        return pd.Series(cut(texts, spans), dtype=object)
+        return pd.Series(out, dtype=object)
 
     own = docs.columns
-    joined = docs.join(spans, F.col(id_col) == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col), F.col("_spans"))).select(*own)
+    names = [f"c{i}" for i in range(len(own))]
+    where = dict(zip(own, names, strict=True))
+    tagged = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in where.items()])
+    text, doc_id = F.col(where[text_col]), F.col(where[id_col]).cast("long")
+    row = F.xxhash64(text_of(where[text_col]))
+    tagged = tagged.withColumns({"own": F.coalesce(doc_id, row.bitwiseOR(F.lit(-(1 << 63)))), "row": row})
+    joined = tagged.join(spans, ["own", "row"], "left")
+    cleared = F.when(F.col("_spans").isNull(), text).otherwise(F.pandas_udf(cut, "string")(text, F.col("_spans")))
+    return joined.withColumn(where[text_col], cleared).select(*[F.col(n).alias(c) for c, n in where.items()])

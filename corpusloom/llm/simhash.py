@@ -18,7 +18,8 @@ repeated row gets the same class; a null doc_id is kept and never names a class
 the class has no other id; extra columns are ignored; an empty table gives an empty result.
 
 ``near_duplicate_rows`` is the form for removal: five-word shingles and a verified similarity of 0.8
-or more, with candidates from MinHash bands instead of the fingerprints.
+or more. No pigeonhole is selective at the ten bits by which such fingerprints differ, so candidates come
+from MinHash bands; they are compared by the same bit slices before they are verified.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, checkpointed, connected_components, map_rows, shuffle_partitions, text_of
+from corpusloom.llm.common import Presence, as_bytes, checkpointed, connected_components, map_rows, shuffle_partitions, text_of
 
 RADIUS = 2
 BUCKET = 4096
@@ -246,38 +248,65 @@ def simhash_classes(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
 
 GROUP = 4000
 BANDS, ROWS = 12, 3
+#: Fingerprints over distinct shingles differ in about 10 of 64 bits at a similarity of 0.8, in over 24 with a probability of 1e-5.
+LOOSE_RADIUS = 24
 
 
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near copies the one with the least doc_id.
 
     Texts are in one class if a chain of pairs with a Jaccard similarity of ``least`` or more over
-    ``shingle``-word shingles links them. Candidates share a MinHash band; all of them are verified,
-    as fingerprints weigh repeated shingles and would refuse copies that repeat a line.
+    ``shingle``-word shingles links them. Candidates share a MinHash band; in each group of them
+    fingerprints over the distinct shingles (a repeated line counts once) are compared by bit slices within
+    ``LOOSE_RADIUS`` bits, and exact Jaccard decides. This holds for groups of any size: large ones are cut into pairs of blocks.
+    Texts are known by 128 bits. Only rows that may be removed are shuffled with their texts.
     Texts without words are never near copies. Fully repeated rows stay or go together, as exact
-    deduplication is the operator for them.
+    deduplication is the operator for them; of equal texts that have near copies the least doc_id stays.
     """
-    from corpusloom.llm.near_sets import Bands, bucket_stars, classes, verified_links
+    from corpusloom.llm.near_sets import bucket_stars, classes, document_sets, verified_links
 
     def mark(batches):
-        bands = Bands(BANDS, ROWS)
         for batch in batches:
-            keys = [bands.keys(np.unique(shingle_digests(t, shingle).astype(np.uint64))) for t in as_bytes(batch["text"])]
+            keys: list = [None] * len(batch["text"])
+            for found in document_sets(batch["text"], shingle):
+                for i, own in zip(found.docs.tolist(), found.band_keys(BANDS, ROWS), strict=True):
+                    keys[i] = own
             yield {"doc_id": batch["doc_id"], "id": batch["id"], "keys": keys}
 
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("id"))
-    marks = checkpointed(map_rows(rows, mark, "doc_id long, id long, keys array<long>", batch_rows=500))
-    distinct = marks.where(F.size("keys") > 0).dropDuplicates(["id"])
+    identity = F.unhex(F.md5(text.cast("binary")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), identity.alias("id"))
+    marks = checkpointed(map_rows(rows, mark, "doc_id long, id binary, keys array<long>").where("keys IS NOT NULL"))
+    distinct = marks.dropDuplicates(["id"])
     loose = classes(bucket_stars(checkpointed(distinct.select("id", F.explode("keys").alias("key")))))
-    members = rows.select("id", "text").join(loose, "id").dropDuplicates(["id"])
-    exact = classes(verified_links(members.select(F.col("root").alias("comp"), "id", F.col("text").cast("binary").alias("body")), GROUP, least, shingle))
-    named = marks.where(F.size("keys") > 0).select("doc_id", "id").join(exact, "id", "left")
-    named = named.withColumn("root", F.coalesce("root", "id"))
+    wanted = Presence(loose.select(F.xxhash64("id").alias("probe")), "probe")
+
+    def read(batches):
+        for batch in batches:
+            hit = np.flatnonzero(wanted.may_hold(batch["probe"].to_numpy()))
+            tokens: list = [None] * len(hit)
+            for found in document_sets(batch["text"].take(hit), shingle):
+                for i, own in zip(found.docs.tolist(), found.sets(), strict=True):
+                    tokens[i] = own
+            yield {"id": batch["id"].take(hit), "tokens": tokens}
+
+    sets = map_rows(rows.select("id", F.xxhash64("id").alias("probe"), "text"), read, "id binary, tokens array<long>")
+    items = sets.where("tokens IS NOT NULL").join(loose, "id").dropDuplicates(["id"]).select(F.col("root").alias("comp"), "id", "tokens")
+    exact = classes(verified_links(items, GROUP, least, LOOSE_RADIUS))
+    named = marks.select("doc_id", "id").join(exact, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("id").alias("i")))
-    keep = named.groupBy("root").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
-    table = named.join(keep, "root").select("id", F.col("f.d").alias("_keep_id"), F.col("f.i").alias("_keep_text")).dropDuplicates(["id"])
+    keep = named.groupBy("root").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("root", "f.d", "f.i")
+    losers = checkpointed(named.join(keep, "root").where("id <> i OR NOT (doc_id <=> d)").select("doc_id", "id").distinct())
+    return without_rows(docs, losers, id_col, identity)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, identity) -> DataFrame:
+    """``docs`` without the rows of ``gone(doc_id, id)``, a checkpointed table; the others aren't shuffled, but for false alarms."""
     own = docs.columns
-    tagged = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("id"))
-    stays = F.col("_keep_text").isNull() | ((F.col("_keep_text") == F.col("id")) & F.col("_keep_id").eqNullSafe(F.col("_doc")))
-    return tagged.join(table, "id", "left").where(stays).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
+    wanted = Presence(gone.select(F.xxhash64("id").alias("probe")), "probe")
+    may = F.pandas_udf(lambda probe: pd.Series(wanted.may_hold(probe.to_numpy())), "boolean")
+    tagged = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(id_col).cast("long").alias("_doc"), identity.alias("_id"))
+    tagged = tagged.withColumn("_may", may(F.xxhash64("_id")))
+    match = (F.col("_id") == gone["id"]) & F.col("_doc").eqNullSafe(gone["doc_id"])
+    stay = tagged.where(~F.col("_may")).unionByName(tagged.where("_may").join(gone, match, "left_anti"))
+    return stay.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
