@@ -86,30 +86,34 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 class Presence:
-    """A bitmap of ``BITS`` bits on every executor that tells of most absent values that they are absent.
+    """A bitmap on every executor that tells of most absent values that they are absent.
 
-    Its size is fixed. With many more values than bits it lets everything through, which costs a larger join
-    and changes no result: what passes is joined with the values themselves.
+    Two bits stand for a value, of sixteen or more a value and ``MOST_BITS`` (32 MB) at most. With many more values it lets
+    everything through, which costs a larger join and changes no result: what passes is joined with the values themselves.
     """
 
-    BITS = 1 << 24
+    MOST_BITS = 1 << 28
 
     def __init__(self, values: DataFrame, column: str):
         """``values`` should be cheap to read: a checkpointed table of longs."""
-        slots = values.select(F.pmod(F.col(column), F.lit(self.BITS)).cast("int").alias("s"))
+        wanted = 16 * values.count()
+        self.n = min(self.MOST_BITS, max(1 << 16, 1 << wanted.bit_length()))
+        v = F.col(column)
+        slots = values.select(F.explode(F.array(*[F.pmod(x, F.lit(self.n)).cast("int") for x in (v, F.shiftrightunsigned(v, 32))])).alias("s"))
         got = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1, s & 31))").alias("b")).toArrow()
-        bits = np.zeros(self.BITS // 32, np.uint32)
+        bits = np.zeros(self.n // 32, np.uint32)
         bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint32)
         self.bits = values.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def may_hold(self, values: np.ndarray) -> np.ndarray:
         """Per 64-bit value, whether it may be among the values; for executors."""
-        slot = values.view(np.uint64) & np.uint64(self.BITS - 1)
         bits = np.frombuffer(self.bits.value, np.uint32)
-        return (bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-    def __getstate__(self):
-        return {"bits": self.bits}
+        values = values.view(np.uint64)
+        out = np.ones(len(values), bool)
+        for shift in (0, 32):
+            slot = values >> np.uint64(shift) & np.uint64(self.n - 1)
+            out &= (bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+        return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -114,15 +114,17 @@ def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, radi
     """
     spark = items.sparkSession
     items = checkpointed(items)
-    sizes = checkpointed(items.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1"))
-    dealt = items.join(sizes.where(F.col("n") <= group).select("comp"), "comp", "left_semi")
-    if sizes.where(F.col("n") > group).limit(1).count():
-        large = items.join(sizes.where(F.col("n") > group).select("comp"), "comp", "left_semi")
-        dealt = dealt.unionByName(_plausible(large, least))
-    blocks = dealt.groupBy("comp").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.join(blocks, "comp").select("comp", own.alias("_own"), other.alias("_other"), "id", "tokens")
+    sizes = items.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = checkpointed(items.join(sizes, "comp"))
+    large = dealt.where(F.col("n") > group)
+    if large.limit(1).count():
+        left = checkpointed(_plausible(large, least))
+        cut = left.groupBy("comp").agg(F.count("*").alias("n"))
+        dealt = dealt.where(F.col("n") <= group).unionByName(left.drop("n").join(cut, "comp"))
+    blocks = F.ceil(F.col("n") / group).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = dealt.select("comp", own.alias("_own"), other.alias("_other"), "id", "tokens")
     dealt = dealt.select("comp", F.least("_own", "_other").alias("b0"), F.greatest("_own", "_other").alias("b1"), "id", "tokens")
     kind = {"bigint": "long"}.get(dict(items.dtypes)["id"], dict(items.dtypes)["id"])
 

@@ -3,13 +3,12 @@
 Paragraphs are cut by content (``segments``), so a repeated passage has the same paragraphs inside,
 whatever lines, words or documents stand around it. Each has ``BANDS`` keys of one MinHash
 minimum over its five-word shingles: similar pairs share a key with a probability of 0.992 at
-a similarity of 0.8, equal ones always. The paragraphs of a key that occurs in two documents are
-joined through its least member (no pairs); loose groups are verified by exact Jaccard similarity, and
-the verified links' connected components are the classes. A class in two documents is repeated.
+a similarity of 0.8, equal ones always. The different paragraphs of a key that occurs in
+two documents are verified against each other by exact Jaccard similarity, and the verified links'
+connected components are the classes. A class in two documents is repeated.
 
-A run is a row of repeated paragraphs. Its ends, and places in it where the number of documents
-changes, grow outwards word by word as long as another document goes on with the same
-words, so that a passage ends where its repetition ends and not at a cut. Runs that touch, or
+A run is a row of repeated paragraphs. Its ends grow outwards word by word as long as another document
+goes on with the same words, so that a passage ends where its repetition ends and not at a cut. Runs that touch, or
 leave out so few words that the whole would still be 0.8 similar (``SHARE`` of the words), are one
 passage; passages of ``WORDS`` words or more are reported. The first occurrence of a class, by doc_id and then
 place, stays; the others are removals.
@@ -20,9 +19,9 @@ The result has a row per stretch of a passage with one fate; documents without o
 Paragraphs have a 64-bit identity: it takes equal hashes in several neighbouring paragraphs to report a passage
 that is none, as none has ``WORDS`` words alone.
 
-Defined cases: a null text has no paragraphs; a null doc_id comes after all others, and its document
-is known by its text; of repeated rows (same doc_id and text) each occurrence counts, but they are one
-document; passages that are repeated inside one document alone are none; extra columns
+Defined cases: a null text has no paragraphs; a null doc_id comes after all others (below 2^62), and its
+document is known by its text; rows with the same doc_id are one document, of repeated rows (same text, too) the
+first keeps what it has; passages that are repeated inside one document alone are none; extra columns
 are ignored, and kept by ``cleaned``; an empty table gives an empty result.
 """
 
@@ -36,23 +35,28 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Presence, checkpointed, map_rows, shuffle_partitions, text_of
 from corpusloom.llm.near_sets import classes, verified_links
-from corpusloom.llm.segments import MOST, REACH, Paragraphs, growth, words
+from corpusloom.llm.segments import MOST, REACH, SHINGLE, Paragraphs, growth, mix, words
 
 WORDS = 50
 BANDS = 3
 #: Of the words of a passage; what shares this part of its shingles with a text of its size has a similarity of 0.8.
 SHARE = 8 / 9
 GROUP = 1_000
+UNNAMED = 1 << 62
 #: Paragraphs of a task that are combined before they are shuffled.
 COMBINED = 300_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(own, row, unnamed, text): ``own`` is the doc_id, or made from the text where it is null; ``row`` is of the text."""
+    """(own, row, text): ``own`` is the doc_id, or made from the text and above ``UNNAMED`` where it is null; ``row`` is of the text."""
     text, doc_id = text_of(text_col), F.col(id_col).cast("long")
     row = F.xxhash64(text)
-    own = F.coalesce(doc_id, row.bitwiseOR(F.lit(-(1 << 63))))
-    return docs.select(own.alias("own"), row.alias("row"), doc_id.isNull().alias("unnamed"), text.alias("text"))
+    own = F.coalesce(doc_id, row.bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+    return docs.select(own.alias("own"), row.alias("row"), text.alias("text"))
+
+
+def _doc_id(own: str):
+    return F.when(F.col(own) < UNNAMED, F.col(own))
 
 
 def _paragraphs(column, least: int):
@@ -93,6 +97,7 @@ def band_rows(texts: DataFrame, least: int) -> DataFrame:
 
 def _tokens(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     """(id, tokens) of the paragraphs named by ``ids``: their distinct shingles, read again from the texts."""
+    ids = checkpointed(ids)
     wanted = Presence(ids, "id")
 
     def cut(batches):
@@ -110,19 +115,22 @@ def _tokens(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
                         seen.add(own)
                         at = slice(p.word[i], p.word[i] + p.size[i])
                         out["id"].append(own)
-                        out["tokens"].append(np.unique(value[at][inside[at]]).view(np.int64))
+                        out["tokens"].append(np.unique(value[at][inside[at]].astype(np.uint32)).view(np.int32))
             if len(seen) > COMBINED:
                 seen.clear()
             yield out
 
-    found = map_rows(texts.select("text"), cut, "id long, tokens array<long>")
+    found = map_rows(texts.select("text"), cut, "id long, tokens array<int>")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _places(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """Every occurrence of the paragraphs named by ``ids`` (and of some others), with the sizes of its neighbours."""
+    """Every occurrence of the paragraphs named by ``ids`` (and of some others).
+
+    ``at`` is the number of the paragraph and of its first word, ``sizes`` its size and those of its neighbours, ``span``
+    its first code point and the one after, packed.
+    """
     wanted = Presence(ids, "id")
-    kinds = "id long, own long, row long, unnamed boolean, place int, word int, size int, start int, end int, before int, after int"
 
     def cut(batches):
         for batch in batches:
@@ -130,43 +138,53 @@ def _places(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
             for p in _paragraphs(batch["text"], least):
                 hit = np.flatnonzero(wanted.may_hold(p.id))
                 start, end = p.spans()
-                base = np.searchsorted(p.doc, p.doc[hit])
+                word = p.word[hit] - p.word[np.searchsorted(p.doc, p.doc[hit])]
                 before = np.where(p.place[hit] > 0, p.size[hit - 1], 0)
                 after = np.where(p.last[hit], 0, p.size[(hit + 1) % len(p.size)])
-                doc = p.doc[hit]
                 yield {
-                    "id": p.id[hit].view(np.int64), "own": own[doc], "row": row[doc], "unnamed": batch["unnamed"].take(doc),
-                    "place": p.place[hit].astype(np.int32), "word": (p.word[hit] - p.word[base]).astype(np.int32), "size": p.size[hit].astype(np.int32),
-                    "start": start[hit].astype(np.int32), "end": end[hit].astype(np.int32), "before": before.astype(np.int32), "after": after.astype(np.int32),
-                }
+                    "id": p.id[hit].view(np.int64),
+                    "own": own[p.doc[hit]],
+                    "row": row[p.doc[hit]],
+                    "at": p.place[hit] << 32 | word,
+                    "sizes": (p.size[hit] | before << 8 | after << 16).astype(np.int32),
+                    "span": start[hit] << 32 | end[hit],
+                }
+
+    return map_rows(texts, cut, "id long, own long, row long, at long, sizes int, span long")
+
+
+def repeated_ids(texts: DataFrame, least: int) -> DataFrame:
+    """(id, class_id, keep): the paragraphs whose class is in two documents, and the least of these documents."""
+    key, same = W.partitionBy("key"), W.partitionBy("key", "id")
+    own = {"own_lo": F.min("lo").over(same), "own_hi": F.max("hi").over(same)}
+    rows = band_rows(texts, least).withColumns(own)
+    rows = rows.withColumns({"key_lo": F.min("lo").over(key), "key_hi": F.max("hi").over(key), "least": F.min("id").over(key), "most": F.max("id").over(key)})
+    near = rows.where("key_lo < key_hi").groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("own_lo", "own_hi", "least", "most")])
+    near = checkpointed(near)
+    shared = near.where("least < most").select(F.col("key").alias("comp"), "id")
+    items = _tokens(texts, shared.select("id").distinct(), least).join(shared, "id").select("comp", "id", "tokens")
+    exact = classes(verified_links(items, GROUP))
+    ids = near.groupBy("id").agg(F.min("own_lo").alias("lo"), F.max("own_hi").alias("hi")).join(exact, "id", "left")
+    of_class = W.partitionBy("class_id")
+    ids = ids.select("id", F.coalesce("root", "id").alias("class_id"), "lo", "hi")
+    ids = ids.select("id", "class_id", F.min("lo").over(of_class).alias("keep"), F.max("hi").over(of_class).alias("hi"))
+    return checkpointed(ids.where("keep < hi").drop("hi"))
 
-    return map_rows(texts, cut, kinds)
+
+PLACES = ["own", "row", "at", "sizes", "span", "class_id", "keep"]
 
 
 def repeated_places(texts: DataFrame, least: int) -> DataFrame:
-    """Every occurrence of a paragraph whose class is in two documents, with what is known of the class."""
-    key = W.partitionBy("key")
-    lo, hi = F.min("lo").over(key).alias("lo"), F.max("hi").over(key).alias("hi")
-    keyed = band_rows(texts, least).select("id", F.min("id").over(key).alias("dst"), lo, hi).where("lo < hi")
-    near = checkpointed(keyed.select("id", "dst").distinct())
-    loose = classes(near.where("id <> dst").select(F.col("id").alias("src"), "dst"))
-    items = _tokens(texts, loose.select("id"), least).join(loose, "id").select(F.col("root").alias("comp"), "id", "tokens")
-    exact = classes(verified_links(items, GROUP))
-    named = near.select("id").distinct().join(exact, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
-    named = checkpointed(named)
-    found = checkpointed(_places(texts, named, least).join(named, "id").drop("id"))
-    first = F.min(F.struct("unnamed", "own", "row", "start"))
-    sizes = (
-        found.groupBy("class_id", "own").agg(F.count("*").alias("n"), first.alias("f"))
-        .groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count("*").alias("class_docs"), F.min("f").alias("f"))
-        .where("class_docs > 1")
-    )
-    sizes = checkpointed(sizes.select("class_id", "class_size", "class_docs", *[F.col(f"f.{c}").alias(f"keep_{c}") for c in ("unnamed", "own", "row", "start")]))
-    return checkpointed(found.join(sizes, "class_id"))
-
-
-def _by_document(rows: DataFrame, fn, schema: str, columns: list[str]) -> DataFrame:
-    """``fn(table)`` over pandas tables of whole documents, in order of place."""
+    """Every occurrence of a paragraph whose class is in two documents; documents are whole in a partition, and in order."""
+    ids = repeated_ids(texts, least)
+    found = _places(texts, ids, least).join(ids, "id").select(*PLACES)
+    dealt = found.repartition(shuffle_partitions(texts.sparkSession), "own", "row")
+    return checkpointed(dealt.sortWithinPartitions("own", "row", "at"))
+
+
+def _by_document(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(table)`` over pandas tables of whole documents; ``rows`` has them so."""
+    columns = rows.columns
 
     def run(batches):
         held: list[pd.DataFrame] = []
@@ -184,142 +202,194 @@ def _by_document(rows: DataFrame, fn, schema: str, columns: list[str]) -> DataFr
         if held:
             yield fn(pd.concat(held, ignore_index=True))
 
-    dealt = rows.select(*columns).repartition(shuffle_partitions(rows.sparkSession), "own", "row")
-    return map_rows(dealt.sortWithinPartitions("own", "row", "place"), run, schema, batch_rows=1 << 14)
+    return map_rows(rows, run, schema, batch_rows=1 << 14)
+
+
+def _joined(t: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The table without copies of rows, and whether each paragraph but the first goes on with its predecessor's run."""
+    t = t.drop_duplicates(["own", "row", "at"])
+    own, row, place = t["own"].to_numpy(), t["row"].to_numpy(), t["at"].to_numpy() >> 32
+    return t, (own[1:] == own[:-1]) & (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1)
 
 
 def _ends(places: DataFrame, least: int) -> DataFrame:
-    """(own, row, place, right, class_id, reach): the ends that are to grow, by at most ``reach`` words.
+    """(own, row, place, right, class_id, edge): the ends that are to grow, and ends for them to be compared with; ``edge`` names one.
 
-    Runs that can't come to ``least`` words with their neighbours are left out.
+    Runs that can't come to ``least`` words with their neighbours are left out. Another document may have a longer run
+    around the same paragraph; of each way in which runs go on from the paragraph of an end, one is added.
     """
-    columns = ["own", "row", "place", "word", "size", "before", "after", "class_id", "class_docs"]
-
-    def find(t: pd.DataFrame) -> dict:
-        t = t.drop_duplicates(["own", "row", "place"])
-        own, row, place, docs = (t[c].to_numpy() for c in ("own", "row", "place", "class_docs"))
-        joined = (own[1:] == own[:-1]) & (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1)
-        starts = np.concatenate([[True], ~joined])
-        run = np.cumsum(starts) - 1
-        total = np.bincount(run, t["size"].to_numpy())
-        total += t["before"].to_numpy()[starts] + t["after"].to_numpy()[np.concatenate([~joined, [True]])] + 2 * REACH
+    kinds = "own long, row long, place int, right boolean, class_id long, edge long"
+
+    def outer(t: pd.DataFrame) -> dict:
+        t, joined = _joined(t)
+        sizes = t["sizes"].to_numpy()
+        first, last = np.concatenate([[True], ~joined]), np.concatenate([~joined, [True]])
+        run = np.cumsum(first) - 1
+        total = np.bincount(run, sizes & 255) + (sizes[first] >> 8 & 255) + (sizes[last] >> 16) + 2 * REACH
         use = total[run] >= least
-        changed = joined & (docs[1:] != docs[:-1])
-        left = use & np.concatenate([[True], ~joined | changed])
-        right = use & np.concatenate([~joined | changed, [True]])
-        out = []
-        for side, on, beyond in ((False, left, "before"), (True, right, "after")):
-            part = t.loc[on, ["own", "row", "place", "class_id"]]
-            out.append(part.assign(right=side, reach=(t.loc[on, beyond] + REACH).clip(upper=MOST).astype(np.int32)))
-        both = pd.concat(out)
-        return {c: both[c].to_numpy() for c in ("own", "row", "place", "right", "class_id", "reach")}
+        return _sides(t, np.flatnonzero(use & first), np.flatnonzero(use & last))
 
-    return _by_document(places, find, "own long, row long, place int, right boolean, class_id long, reach int", columns)
+    def _sides(t: pd.DataFrame, left: np.ndarray, right: np.ndarray) -> dict:
+        at = np.concatenate([left, right])
+        out = {c: t[c].to_numpy()[at] for c in ("own", "row", "class_id")}
+        place, right = t["at"].to_numpy()[at] >> 32, np.arange(len(at)) >= len(left)
+        return out | {"place": place.astype(np.int32), "right": right, "edge": edge_names(out["own"], out["row"], place, right)}
 
+    ends = checkpointed(_by_document(places, outer, kinds))
+    wanted = Presence(ends.select("class_id"), "class_id")
 
-def grown(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
-    """(own, row, place, right, steps, to): how many words an end grows, and the code point it comes to."""
-    ends = checkpointed(ends)
-    wanted = Presence(ends.select("row"), "row")
+    def inner(t: pd.DataFrame) -> dict:
+        t, joined = _joined(t)
+        kind = t["class_id"].to_numpy()
+        may = wanted.may_hold(kind)
+        left, right = np.flatnonzero(joined & may[1:]) + 1, np.flatnonzero(joined & may[:-1])
+        return _sides(t, left, right) | {"other": np.concatenate([kind[left - 1], kind[right + 1]])}
 
-    def keep(batches):
-        for batch in batches:
-            hit = np.flatnonzero(wanted.may_hold(batch["row"].to_numpy()))
-            yield {c: batch[c].take(hit) for c in ("own", "row", "text")}
+    ways = _by_document(places, inner, f"{kinds}, other long").join(ends.select("class_id", "right").distinct(), ["class_id", "right"], "left_semi")
+    one = ways.groupBy("class_id", "right", "other").agg(F.min(F.struct("own", "row", "place", "edge")).alias("m"))
+    return checkpointed(ends.unionByName(one.select("m.*", "right", "class_id")).dropDuplicates(["edge"]))
+
+
+def edge_names(own: np.ndarray, row: np.ndarray, place: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each side of each paragraph."""
+    value = mix(own.view(np.uint64)) + row.view(np.uint64)
+    return mix(value + (place.astype(np.uint64) << np.uint64(1)) + right.astype(np.uint64)).view(np.int64)
+
+
+#: Words at which growth is tried first; then each word behind the last of them that another document has.
+LADDER = 4
 
-    few = map_rows(texts.select("own", "row", "text"), keep, "own long, row long, text string")
-    of_text = ends.groupBy("own", "row").agg(F.sort_array(F.collect_set(F.struct("place", "right", "class_id", "reach"))).alias("ends"))
-    of_text = of_text.select("own", "row", *[F.col(f"ends.{c}").alias(c) for c in ("place", "right", "class_id", "reach")])
-    names = ("g", "own", "row", "place", "right", "steps", "to")
+
+def _chains(texts: DataFrame, wanted: Presence, coarse: bool, least: int) -> DataFrame:
+    """(g, own, edge, far) of the ends in ``wanted`` (and some others): names of beginnings of the words beyond an end.
+
+    Coarse: after every ``LADDER`` words. Otherwise ``wanted`` holds ends with the words that are sure (``_sure``), and
+    the names are of one word more up to the next step of the ladder.
+    """
 
     def follow(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in names}
-            own, row = batch["own"].to_pylist(), batch["row"].to_pylist()
-            want = [batch[c].to_pylist() for c in ("place", "right", "class_id", "reach")]
+            out: dict[str, list] = {k: [] for k in ("g", "own", "edge", "far")}
+            own, row = batch["own"].to_numpy(), batch["row"].to_numpy()
             for p in _paragraphs(batch["text"], least):
                 start, end = p.words.start[p.index], p.words.end[p.index]
-                heads = np.flatnonzero(np.concatenate([[True], p.doc[1:] != p.doc[:-1]]))
-                stops = np.concatenate([p.word[heads[1:]], [len(p.hash)]])
-                for head, stop in zip(heads.tolist(), stops.tolist(), strict=True):
-                    doc = int(p.doc[head])
-                    for place, right, kind, reach in zip(*[w[doc] for w in want], strict=True):
-                        at = head + place
-                        a, b = int(p.word[at]), int(p.word[at] + p.size[at])
-                        if right:
-                            on, to = p.hash[b : min(stop, b + reach)], end[b : min(stop, b + reach)]
-                        else:
-                            low = max(int(p.word[head]), a - reach)
-                            on, to = p.hash[low:a][::-1], start[low:a][::-1]
-                        n = len(on)
-                        if n:
-                            out["g"].append(growth(on, kind ^ (1 if right else 2)).view(np.int64))
-                            out["steps"].append(np.arange(1, n + 1, dtype=np.int32))
-                            out["to"].append(to.astype(np.int32))
-                            for k, v in (("own", own[doc]), ("row", row[doc]), ("place", place), ("right", right)):
-                                out[k].append(np.full(n, v))
+                shingle, _ = p.shingles()
+                first, stop = p.bounds()
+                for right in (False, True):
+                    names = edge_names(own[p.doc], row[p.doc], p.place, np.full(len(p.doc), right))
+                    # The words that are there: those of the neighbour and some more, as its end may depend on what follows.
+                    beyond = np.append(p.size[1:], 0) if right else np.append(0, p.size[:-1])
+                    room = np.minimum(np.where(p.last if right else p.place == 0, 0, beyond) + REACH, stop - p.word - p.size if right else p.word - first)
+                    for sure in [0] if coarse else range(0, int(room.max()) + 1, LADDER):
+                        steps = np.arange(sure + LADDER, MOST + REACH + 1, LADDER) if coarse else np.arange(sure + 1, sure + LADDER)
+                        for i in np.flatnonzero((room > sure) & wanted.may_hold(names if coarse else _sure(names, sure))).tolist():
+                            a, b = int(p.word[i]), int(p.word[i] + p.size[i])
+                            n = int(room[i])
+                            if right:
+                                on, to, seed = p.hash[b : b + n], end[b : b + n], shingle[b - SHINGLE]
+                            else:
+                                on, to, seed = p.hash[a - n : a][::-1], start[a - n : a][::-1], shingle[a]
+                            at = steps[steps <= n]
+                            out["g"].append(growth(on, int(seed) ^ (1 if right else 2))[at - 1].view(np.int64))
+                            out["far"].append(at << 32 | to[at - 1])
+                            out["own"].append(np.full(len(at), own[p.doc[i]]))
+                            out["edge"].append(np.full(len(at), names[i]))
             yield {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
-    chains = map_rows(few.join(of_text, ["own", "row"]), follow, "g long, own long, row long, place int, right boolean, steps int, to int")
+    return map_rows(texts, follow, "g long, own long, edge long, far long")
+
+
+_STEP = 0x9E3779B97F4A7
+
+
+def _sure(edges: np.ndarray, sure: int) -> np.ndarray:
+    return edges ^ np.int64(sure * _STEP)
+
+
+def _shared(chains: DataFrame) -> DataFrame:
+    """(edge, far): the furthest of an end that another document has, too."""
     chains = checkpointed(chains)
-    shared = chains.groupBy("g").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("g")
-    on = chains.join(checkpointed(shared), "g", "left_semi")
-    return on.groupBy("own", "row", "place", "right").agg(F.max("steps").alias("steps"), F.max_by("to", "steps").alias("to"))
+    both = checkpointed(chains.groupBy("g").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("g"))
+    return chains.join(both, "g", "left_semi").groupBy("edge").agg(F.max("far").alias("far"))
+
+
+def grown(texts: DataFrame, ends: DataFrame, least: int) -> DataFrame:
+    """(own, row, place, right, steps, to): how many words an end grows, and the code point it comes to.
+
+    Texts are read again, and where an end may be (a few false alarms only add to what ends are compared
+    with) beginnings of the words beyond it are named by a hash, together with the five words before them.
+    """
+    coarse = checkpointed(_shared(_chains(texts, Presence(ends, "edge"), True, least)).join(ends.select("edge"), "edge", "right"))
+    sure = F.coalesce(F.shiftright("far", 32), F.lit(0))
+    sure_of = checkpointed(coarse.select(F.col("edge").bitwiseXOR(sure * F.lit(_STEP)).alias("x")))
+    fine = _shared(_chains(texts, Presence(sure_of, "x"), False, least))
+    far = coarse.unionByName(fine).groupBy("edge").agg(F.max("far").alias("far")).where("far IS NOT NULL")
+    steps, to = F.shiftright("far", 32).cast("int").alias("steps"), F.col("far").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("to")
+    return ends.join(far, "edge").select("own", "row", "place", "right", steps, to)
 
 
 def _passages(t: pd.DataFrame, least: int) -> dict:
-    """The stretches of the passages in whole documents, a row of ``t`` for each repeated paragraph and copy of a row."""
-    key = ["own", "row", "place"]
-    copies = t.groupby(key)["place"].transform("size")
-    t = t.assign(copies=copies).drop_duplicates(key)
-    c = {k: t[k].tolist() for k in t.columns}
-    names = ("doc_id", "start", "end", "passage_words", "class_id", "class_size", "class_docs", "keep_doc_id", "removed", "own", "row", "turn")
+    """The stretches of the passages in whole documents.
+
+    A row of ``t`` is a repeated paragraph, one for each copy of its row, or (``steps`` not 0) how far
+    its left (below 0) or right end grows, with ``span`` the code point.
+    """
+    names = ("own", "row", "start", "end", "passage_words", "class_id", "keep", "removed", "turn")
     out: dict[str, list] = {k: [] for k in names}
+    ends = t[t["steps"] != 0]
+    far = {x[:3] + (x[3] > 0,): x[3:] for x in zip(ends["own"].tolist(), ends["row"].tolist(), (ends["at"].to_numpy() >> 32).tolist(), ends["steps"].tolist(), ends["span"].tolist(), strict=True)}
+    t = t[t["steps"] == 0]
+    key = ["own", "row", "at"]
+    copies = t.groupby(key)["at"].transform("size").to_numpy()[~t.duplicated(key).to_numpy()].tolist() if len(t) else []
+    t, joined = _joined(t) if len(t) else (t, np.empty(0, bool))
+    own, row, kind, keep = (t[c].tolist() for c in ("own", "row", "class_id", "keep"))
+    at, span = t["at"].to_numpy(), t["span"].to_numpy()
+    place, word, size = (at >> 32).tolist(), (at & 0xFFFFFFFF).tolist(), (t["sizes"].to_numpy() & 255).tolist()
+    start, end = (span >> 32).tolist(), (span & 0xFFFFFFFF).tolist()
+    stays, met = [], set()
+    for x in zip(own, row, kind, keep, strict=True):
+        stays.append(x[0] == x[3] and x[:3] not in met)
+        met.add(x[:3])
 
     def close(total: int, runs: list) -> None:
         """``runs``: first and last paragraph, first and last code point, of each run of the passage."""
         if total < least:
             return
-        stretches: list[list] = []  # code points, class of the keeper and fate, first paragraph
-        for first, last, start, end in runs:
+        stretches: list[list] = []  # code points, keeper and fate, first paragraph
+        for first, last, left, right in runs:
             for i in range(first, last + 1):
-                a, b = start if i == first else c["start"][i], end if i == last else c["end"][i]
-                keeper = (c["keep_unnamed"][i], c["keep_own"][i])
-                gone = (c["own"][i], c["row"][i], c["start"][i]) != (c["keep_own"][i], c["keep_row"][i], c["keep_start"][i])
-                if stretches and stretches[-1][2] == (keeper, gone):
+                a, b = left if i == first else start[i], right if i == last else end[i]
+                fate = (keep[i], not stays[i])
+                if stretches and stretches[-1][2] == fate:
                     stretches[-1][1] = max(b, stretches[-1][1])
                 else:
-                    stretches.append([max(a, stretches[-1][1] if stretches else 0), b, (keeper, gone), i])
-        for turn in range(c["copies"][runs[0][0]]):
-            for a, b, ((unnamed, keep), gone), i in stretches:
+                    stretches.append([max(a, stretches[-1][1] if stretches else 0), b, fate, i])
+        for turn in range(copies[runs[0][0]]):
+            for a, b, (keeper, gone), i in stretches:
                 if a < b:
-                    values = (
-                        None if c["unnamed"][i] else c["own"][i], a, b, total, c["class_id"][i], c["class_size"][i], c["class_docs"][i],
-                        None if unnamed else keep, gone or turn > 0, c["own"][i], c["row"][i], turn,
-                    )
-                    for k, v in zip(names, values, strict=True):
+                    for k, v in zip(names, (own[i], row[i], a, b, total, kind[i], keeper, gone or turn > 0, turn), strict=True):
                         out[k].append(v)
 
     low = high = covered = 0
     doc, runs = None, []
-    i, n = 0, len(t)
-    while i < n:
-        j = i
-        while j + 1 < n and (c["own"][j + 1], c["row"][j + 1], c["place"][j + 1]) == (c["own"][i], c["row"][i], c["place"][j] + 1):
-            j += 1
-        a, start, b, end = c["word"][i], c["start"][i], c["word"][j] + c["size"][j], c["end"][j]
+    stops = np.flatnonzero(~joined).tolist() + [len(t) - 1] if len(t) else []
+    i = 0
+    for j in stops:
+        a, left, b, right = word[i], start[i], word[j] + size[j], end[j]
         for k in range(i, j + 1):
-            if c["word"][k] - c["steps_l"][k] < a:
-                a, start = c["word"][k] - c["steps_l"][k], c["to_l"][k]
-            if c["word"][k] + c["size"][k] + c["steps_r"][k] > b:
-                b, end = c["word"][k] + c["size"][k] + c["steps_r"][k], c["to_r"][k]
+            steps, to = far.get((own[k], row[k], place[k], False), (0, 0))
+            if word[k] + steps < a:
+                a, left = word[k] + steps, to
+            steps, to = far.get((own[k], row[k], place[k], True), (0, 0))
+            if word[k] + size[k] + steps > b:
+                b, right = word[k] + size[k] + steps, to
         more = b - max(a, high)
-        if runs and doc == (c["own"][i], c["row"][i]) and covered + more >= SHARE * (b - low):
+        if runs and doc == (own[i], row[i]) and covered + more >= SHARE * (b - low):
             high, covered = max(b, high), covered + max(more, 0)
         else:
             close(high - low, runs)
-            doc, low, high, covered, runs = (c["own"][i], c["row"][i]), a, b, b - a, []
-        runs.append((i, j, start, end))
+            doc, low, high, covered, runs = (own[i], row[i]), a, b, b - a, []
+        runs.append((i, j, left, right))
         i = j + 1
     close(high - low, runs)
     return out
@@ -328,25 +398,23 @@ def _passages(t: pd.DataFrame, least: int) -> dict:
 def _stretches(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     texts = _texts(docs, id_col, text_col)
     places = repeated_places(texts, least)
-    growths = checkpointed(grown(texts, _ends(places, least), least))
-    key = ["own", "row", "place"]
-    for right, side in ((False, "l"), (True, "r")):
-        part = growths.where(F.col("right") == right).select(*key, F.col("steps").alias(f"steps_{side}"), F.col("to").alias(f"to_{side}"))
-        places = places.join(part, key, "left").fillna(0, [f"steps_{side}", f"to_{side}"])
-    columns = [
-        "own", "row", "unnamed", "place", "word", "size", "start", "end", "class_id", "class_size", "class_docs", "keep_unnamed", "keep_own",
-        "keep_row", "keep_start", "steps_l", "to_l", "steps_r", "to_r",
-    ]
-    kinds = "doc_id long, start int, end int, passage_words int, class_id long, class_size long, class_docs long, keep_doc_id long, removed boolean"
-    return _by_document(places, lambda t: _passages(t, least), f"{kinds}, own long, row long, turn int", columns)
+    ends = grown(texts, _ends(places, least), least)
+    side = F.when(F.col("right"), F.col("steps")).otherwise(-F.col("steps"))
+    none = F.lit(0).cast("long")
+    ends = ends.select("own", "row", F.shiftleft(F.col("place").cast("long"), 32).alias("at"), F.lit(0).alias("sizes"), F.col("to").cast("long").alias("span"), none.alias("class_id"), none.alias("keep"), side.alias("steps"))
+    rows = places.withColumn("steps", F.lit(0)).unionByName(ends)
+    dealt = rows.repartition(shuffle_partitions(docs.sparkSession), "own", "row").sortWithinPartitions("own", "row", "at")
+    kinds = "own long, row long, start int, end int, passage_words int, class_id long, keep long, removed boolean, turn int"
+    return _by_document(dealt, lambda t: _passages(t, least), kinds)
 
 
 def repeated_paragraphs(docs: DataFrame, least: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, passage_words, class_id, class_size, class_docs, keep_doc_id, removed).
+    """(doc_id, start, end, passage_words, class_id, keep_doc_id, removed).
 
     The class is that of the stretch's first paragraph; ``start`` and ``end`` are code points.
     """
-    return _stretches(docs, least, id_col, text_col).drop("own", "row", "turn")
+    found = _stretches(docs, least, id_col, text_col)
+    return found.select(_doc_id("own").alias("doc_id"), "start", "end", "passage_words", "class_id", _doc_id("keep").alias("keep_doc_id"), "removed")
 
 
 def cleaned(docs: DataFrame, least: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +440,8 @@ def cleaned(docs: DataFrame, least: int = WORDS, id_col: str = "doc_id", text_co
     tagged = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in where.items()])
     text, doc_id = F.col(where[text_col]), F.col(where[id_col]).cast("long")
     row = F.xxhash64(text_of(where[text_col]))
-    tagged = tagged.withColumns({"own": F.coalesce(doc_id, row.bitwiseOR(F.lit(-(1 << 63)))), "row": row})
+    own_id = F.coalesce(doc_id, row.bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED)))
+    tagged = tagged.withColumns({"own": own_id, "row": row})
     joined = tagged.join(spans, ["own", "row"], "left")
     cleared = F.when(F.col("_spans").isNull(), text).otherwise(F.pandas_udf(cut, "string")(text, F.col("_spans")))
     return joined.withColumn(where[text_col], cleared).select(*[F.col(n).alias(c) for c, n in where.items()])

@@ -214,6 +214,12 @@ class Paragraphs:
         """First and last code point (exclusive) of each paragraph in its text."""
         return self.words.start[self.index[self.word]], self.words.end[self.index[self.word + self.size - 1]]
 
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word of each paragraph's document, and the word after its last."""
+        first, stop = self.word[self.place == 0], (self.word + self.size)[self.last]
+        document = np.cumsum(self.place == 0) - 1
+        return first[document], stop[document]
+
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash, whether it lies inside the paragraph of its first word) for every word."""
         return shingle_hashes(self.hash, SHINGLE), self.off + SHINGLE <= np.repeat(self.size, self.size)

@@ -161,7 +161,7 @@ def wrapped(rng, own):
 
 def passages_in_texts(rng, n, lengths):
     """Texts of unrelated words with common passages inside, at any place and wrapped anew each time."""
-    word = lambda: "".join(rng.choice("abcdefghä") for _ in range(rng.randint(2, 8)))
+    word = lambda: "".join(rng.choice("abcdefghä") for _ in range(rng.randint(4, 8)))
     passages = [[word() for _ in range(rng.choice(lengths))] for _ in range(n // 6)]
     out = []
     for _ in range(n):
@@ -200,7 +200,7 @@ def test_passages_in_long_lines_and_new_wraps(spark):
     docs = spark.createDataFrame([(0, a), (1, b), (2, c), (3, " ".join(word() for _ in range(200)))], "doc_id long, text string")
     got = paragraph_dedup.repeated_paragraphs(docs).toPandas()
     assert reported_passages(got) == brute_passages([a, b, c])
-    assert set(got.passage_words) == {60} and set(got.class_docs) <= {2, 3} and set(got.keep_doc_id) <= {0, 1}
+    assert set(got.passage_words) == {60} and set(got.keep_doc_id) <= {0, 1}
 
 
 def test_lightly_edited_passages(spark):
@@ -241,7 +241,7 @@ def test_paragraph_classes_match_brute_force(spark, monkeypatch, group):
     for r, (d, *_) in zip(roots, rows):
         docs_of.setdefault(r, set()).add(d)
     want = {x: r for x, r in zip(rows, roots) if len(docs_of[r]) > 1}
-    got = {(r.own, r.start, r.end): r.class_id for r in places.itertuples()}
+    got = {(r.own, r.span >> 32, r.span & 0xFFFFFFFF): r.class_id for r in places.itertuples()}
     assert set(got) == set(want)
     assert len({(got[x], want[x]) for x in want}) == len(set(want.values())) == len(set(got.values()))
 
@@ -272,7 +272,7 @@ def test_paragraphs_awkward(spark):
     assert paragraph_dedup.repeated_paragraphs(eight.union(eight)).count() == 0
     other = eight.withColumn("doc_id", eight.doc_id + 1).select(*docs.columns)
     got = paragraph_dedup.repeated_paragraphs(eight.union(other).union(other)).toPandas()
-    assert set(got.class_docs) == {2} and set(got.keep_doc_id) == {8}
+    assert set(got.keep_doc_id) == {8}
     first = got[got.doc_id == 8].sort_values("start")  # its text repeats a word inside, too
     assert not first.removed.iloc[0] and first.removed.iloc[1:].all()
     assert got[got.doc_id == 9].removed.all() and len(got[got.doc_id == 9]) % 2 == 0
