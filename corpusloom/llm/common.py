@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows of a batch that goes back to the JVM.
+OUT_ROWS = 1 << 13
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut.
 
@@ -47,7 +51,9 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
                     yield {n: part.column(i) for i, n in enumerate(part.schema.names)}
 
         for got in fn(columns()):
-            yield pa.RecordBatch.from_arrays([as_array(got[f.name], f.type) for f in out], schema=out)
+            whole = pa.RecordBatch.from_arrays([as_array(got[f.name], f.type) for f in out], schema=out)
+            for start in range(0, whole.num_rows, OUT_ROWS):  # the JVM holds a batch at a time
+                yield whole.slice(start, OUT_ROWS)
 
     return df.mapInArrow(run, schema)
 

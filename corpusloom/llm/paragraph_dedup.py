@@ -272,7 +272,7 @@ def _chains(texts: DataFrame, wanted: Presence, coarse: bool, least: int) -> Dat
             out: dict[str, list] = {k: [] for k in ("g", "own", "edge", "far")}
             own, row = batch["own"].to_numpy(), batch["row"].to_numpy()
             for p in _paragraphs(batch["text"], least):
-                start, end = p.words.start[p.index], p.words.end[p.index]
+                place_of = p.words.start[p.index], p.words.end[p.index]
                 shingle, _ = p.shingles()
                 first, stop = p.bounds()
                 for right in (False, True):
@@ -280,20 +280,23 @@ def _chains(texts: DataFrame, wanted: Presence, coarse: bool, least: int) -> Dat
                     # The words that are there: those of the neighbour and some more, as its end may depend on what follows.
                     beyond = np.append(p.size[1:], 0) if right else np.append(0, p.size[:-1])
                     room = np.minimum(np.where(p.last if right else p.place == 0, 0, beyond) + REACH, stop - p.word - p.size if right else p.word - first)
-                    for sure in [0] if coarse else range(0, int(room.max()) + 1, LADDER):
-                        steps = np.arange(sure + LADDER, MOST + REACH + 1, LADDER) if coarse else np.arange(sure + 1, sure + LADDER)
-                        for i in np.flatnonzero((room > sure) & wanted.may_hold(names if coarse else _sure(names, sure))).tolist():
-                            a, b = int(p.word[i]), int(p.word[i] + p.size[i])
-                            n = int(room[i])
-                            if right:
-                                on, to, seed = p.hash[b : b + n], end[b : b + n], shingle[b - SHINGLE]
-                            else:
-                                on, to, seed = p.hash[a - n : a][::-1], start[a - n : a][::-1], shingle[a]
-                            at = steps[steps <= n]
-                            out["g"].append(growth(on, int(seed) ^ (1 if right else 2))[at - 1].view(np.int64))
-                            out["far"].append(at << 32 | to[at - 1])
-                            out["own"].append(np.full(len(at), own[p.doc[i]]))
-                            out["edge"].append(np.full(len(at), names[i]))
+                    sure = [0] if coarse else range(0, int(room.max()) + 1, LADDER)
+                    hits = [np.flatnonzero((room > s) & wanted.may_hold(names if coarse else _sure(names, s))) for s in sure]
+                    at, known = np.concatenate(hits), np.repeat(sure, [len(h) for h in hits])
+                    tried = np.arange(LADDER, MOST + REACH + 1, LADDER) if coarse else np.arange(1, LADDER)
+                    for k in range(0, len(at), 4096):
+                        i, steps = at[k : k + 4096], known[k : k + 4096, None] + tried
+                        near = (p.word + p.size)[i] if right else p.word[i] - 1
+                        reach = np.arange(max(1, int(room[i].max())))
+                        word = np.clip(near[:, None] + (reach if right else -reach), 0, len(p.hash) - 1)
+                        seed = shingle[near - SHINGLE if right else near + 1] ^ np.uint64(1 + right)
+                        grown = growth(np.where(reach < room[i, None], p.hash[word], np.uint64(0)), seed)
+                        e, c = np.nonzero(steps <= room[i, None])
+                        t = steps[e, c]
+                        out["g"].append(grown[e, t - 1].view(np.int64))
+                        out["far"].append(t << 32 | place_of[right][word[e, t - 1]])
+                        out["own"].append(own[p.doc[i[e]]])
+                        out["edge"].append(names[i[e]])
             yield {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
     return map_rows(texts, follow, "g long, own long, edge long, far long")

@@ -19,7 +19,7 @@ REACH = 6
 LEAST, MOST = 5, 40
 SHINGLE = 5
 #: Bytes that are worked on at once, whole documents together or a long one in parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _RNG = np.random.default_rng(6)
 _LOWER = np.arange(256)
@@ -234,7 +234,6 @@ class Paragraphs:
         return out
 
 
-def growth(hashes: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of ever longer beginnings of a row of words, for one seed."""
-    with np.errstate(over="ignore"):
-        return mix(np.cumsum(mix(hashes * _ODD[: len(hashes)])) ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF))
+def growth(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes of ever longer beginnings of rows of words, each row with its seed."""
+    return mix(np.cumsum(mix(hashes * _ODD[: hashes.shape[1]]), axis=1) ^ seeds[:, None])
