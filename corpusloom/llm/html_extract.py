@@ -1,32 +1,38 @@
 """Main text of web pages by wrapper induction (operator 10).
 
-Wrappers: all pages of a host are read, copies (equal texts) once. Pages with the same containers
-(tag, class and place, digits alike) are one layout. A text that stands at the same path of
-nearly all pages of a layout, or of nearly all of a host, is constant, part of the
-template; places whose texts differ are slots. A wrapper is the set of the constants of a host and
-of its layouts. Texts are counted map-side by host, layout, path and text, so no host is one task's work;
-layouts and hosts of fewer than ``LEAST_PAGES`` different pages have nothing to tell a constant by.
-
-Roles: slots hold menus and adverts as well as the article, and these differ from page to page
-too, so alignment alone can't tell them apart. A slot is therefore content only if it isn't
-below an element that HTML marks as something else (nav, footer, aside, form, script, style ..,
-or a class, id or role that says menu, advert, cookie notice, comments ..), and if the page has
-article or main elements, only below them.
-
-Every page is then read whole again: blocks in page order, constants and other roles left
-out, white space in a block turned into one space. Wrappers go to the executors by broadcast
-while they are few (``BROADCAST_ROWS`` constants, checked); beyond that pages and wrappers are
+Outlines: a page becomes the tree of its block elements, where alike siblings that follow each other
+(paragraphs, list items, rows, comments) are one node. Pages of a host with the same container tags are one layout,
+and the page of a layout whose text has the least hash is its reference.
+
+Wrappers: every page's outline is aligned with the reference of its layout by simple tree matching
+(the order-preserving matching of two trees with the most nodes), and words, link words and texts are
+counted by node of the reference over all pages, map-side first. A node whose text is the same on nearly all
+pages of the layout, or a text that is on nearly all pages of the host, is constant: template. The
+others are slots. Slots hold menus, adverts and comments as well as the article, and these differ
+from page to page, too. The content region is therefore induced from the counts: from the root down, the
+container that has most of the prose in slots, where text in links, and groups of alike records without headings
+(comments, teasers), are no prose. Where HTML says ``article`` or ``main``, these are the region.
+In the region everything stays, constant sentences as well, but for what is link text or records
+and, where alignment can't tell, what HTML or a whole class or id says it is (nav, form, aside,
+"cookie-notice", "ad"; a name that only contains such a word says nothing).
+
+Every page is then read whole again and aligned with its reference; its blocks in the region's nodes are
+the text, white space in a block as one space. Layouts and hosts of fewer than ``LEAST_PAGES`` different pages
+have no constants; the region then comes from the counts of these pages. Wrappers go to the executors by
+broadcast while they are few (``BROADCAST_ROWS`` nodes, checked); beyond that pages and wrappers are
 joined by host.
 
-Defined cases: null or empty html gives the empty text; a null or hostless url means no wrapper;
-broken markup is read as far as it goes; repeated rows give repeated results; extra columns are
-ignored; an empty table gives an empty result.
+Defined cases: null or empty html gives the empty text; a null or hostless url means no wrapper, the region is that of
+the page; broken markup is read as far as it goes; nodes more than ``DEEP`` levels down belong to their
+ancestor there; repeated rows give repeated results; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import xxhash
@@ -37,6 +43,9 @@ from corpusloom.llm.common import checkpointed, map_rows
 
 LEAST_PAGES = 4
 SHARE = 0.8
+#: A container is gone into while it holds this part of the prose.
+MOST_PROSE = 0.6
+DEEP = 60
 BROADCAST_ROWS = 200_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -51,7 +60,7 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SAME_STOP = frozenset("ul ol dl table tbody thead select menu".split())
 _NOT_TEXT = frozenset(
     "head title script style noscript template nav footer aside form button select textarea iframe svg canvas object audio video "
-    "menu dialog fieldset datalist".split()
+    "menu dialog datalist".split()
 )
 #: What makes a layout; paragraphs, lists, tables and their like depend on what a page says.
 _CONTAINER = frozenset("html body div section article main header footer nav aside form".split())
@@ -59,14 +68,17 @@ _DIGITS = re.compile("[0-9]+")
 #: These take no room in a text.
 _UNSEEN = frozenset("script style noscript template".split())
 _NOT_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-_NOT_NAME = frozenset(
+#: What a class or id must say as a whole to be believed, with words of mere structure beside it.
+_ROLE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar masthead header footer sidebar aside ad ads advert adverts "
     "advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices banner alert "
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
-    "comment comments commentlist reply replies respond disqus login search searchform form widget pagination pager skip".split()
+    "comment comments commentlist reply replies respond disqus login searchform pagination pager skip".split()
+)
+_STRUCTURE_WORDS = frozenset(
+    "site page main top bottom left right inner outer box bar wrap wrapper container block area section list item items slot unit "
+    "links link widget row col column content group panel primary secondary user reader the".split()
 )
-#: Names that begin so say what stands beside an element (with-sidebar), not what it is.
-_ABOUT = frozenset("with has no without is".split())
 
 
 class Node:
@@ -86,11 +98,14 @@ def _skipped(tag: str, attrs: dict, parent: Node) -> bool:
         return False
     if tag == "header":  # an article's own header holds its title
         return not _in_article(parent)
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().replace("_", "-").split()
-    parts = {p for n in names if n.split("-")[0] not in _ABOUT for p in n.split("-")}
-    if not parts & _NOT_NAME:
-        return False
-    return parts & _NOT_NAME != {"header"} or not _in_article(parent)
+    roles = {r for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split() for r in _said(n)}
+    return bool(roles) and (roles != {"header"} or not _in_article(parent))
+
+
+def _said(name: str) -> set[str]:
+    """The roles that a name says, if it says nothing else."""
+    parts = {x for x in re.split("[-_]+", name) if x}
+    return parts & _ROLE_WORDS if parts <= _ROLE_WORDS | _STRUCTURE_WORDS else set()
 
 
 def _in_article(node: Node | None) -> bool:
@@ -150,133 +165,393 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def _block_key(path: str, text: str) -> int:
-    return zlib.crc32(f"{path}\0{text}".encode("utf-8", "surrogatepass"))
-
-
-def blocks(root: Node) -> list[tuple[Node, bool, str]]:
-    """(innermost block element, below article or main, text) of the blocks with text that aren't skipped."""
-    out: list[tuple[Node, bool, str]] = []
+def blocks(root: Node) -> list[tuple[Node, str, int]]:
+    """(innermost block element, text, words in links) of the blocks with text that aren't skipped."""
+    out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
+    linked = 0
 
-    def flush(node: Node, inside: bool) -> None:
+    def flush(node: Node) -> None:
+        nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((node, inside, text))
+            out.append((node, text, linked))
+        linked = 0
 
-    # Without recursion, as broken pages nest deeply: (node, next child, block, inside).
+    # Without recursion, as broken pages nest deeply: (node, next child, block, in a link).
     stack = [(root, 0, root, False)]
     while stack:
-        node, i, block, inside = stack.pop()
+        node, i, block, link = stack.pop()
         if i == len(node.children):
             if node is block:
-                flush(block, inside)
+                flush(block)
             continue
-        stack.append((node, i + 1, block, inside))
+        stack.append((node, i + 1, block, link))
         child = node.children[i]
         if isinstance(child, str):
             parts.append(child)
+            linked += len(child.split()) if link else 0
         elif child.tag == "br":
             parts.append(" ")
         elif child.skip:
             if child.tag not in _INLINE and child.tag not in _UNSEEN:
-                flush(block, inside)
+                flush(block)
         elif child.tag in _INLINE:
-            stack.append((child, 0, block, inside))
+            stack.append((child, 0, block, link or child.tag == "a"))
         else:
-            flush(block, inside)
-            stack.append((child, 0, child, inside or child.tag in ("article", "main")))
+            flush(block)
+            stack.append((child, 0, child, link))
     return out
 
 
-def _path(node: Node) -> str:
-    names = []
-    while node.parent is not None:
-        names.append(f"{node.tag}.{node.name}")
-        node = node.parent
-    return "/".join(reversed(names))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are records when they are repeated with two or more elements inside.
+_RECORD = _CONTAINER | {"li", "dd"}
+
+
+class Outline:
+    """The tree of a page's block elements, in page order, alike siblings that follow each other as one node.
+
+    Per node: ``tags``, ``names``, ``parents`` (-1 for the root), ``repeats``, own ``words``, of these ``links``, and ``texts``,
+    a hash of its own text; ``node_of`` finds the node of an element.
+    """
+
+    def __init__(self, root: Node):
+        self.found = blocks(root)
+        self.tags, self.names, self.parents, self.repeats = [], [], [], []
+        self.node_of: dict[int, int] = {}
+        shapes = _shapes(root)
+        # (element, parent's node, level); the children of a node are numbered one behind the other.
+        stack = [(root, -1, 0, None)]
+        while stack:
+            element, parent, level, twin = stack.pop()
+            if twin is not None and twin[0] == shapes[id(element)]:
+                at = twin[1]
+                self.repeats[at] += 1
+                self.node_of[id(element)] = at
+                continue
+            at = len(self.tags)
+            if twin is not None:
+                twin[:] = [shapes[id(element)], at]
+            self.node_of[id(element)] = at
+            self.tags.append(element.tag)
+            self.names.append(_DIGITS.sub("0", element.name))
+            self.parents.append(parent)
+            self.repeats.append(1)
+            if level < DEEP:
+                mine = [None, -1]
+                stack += [(c, at, level + 1, mine) for c in reversed(list(_block_children(element)))]
+        self.words, self.links = [0] * len(self.tags), [0] * len(self.tags)
+        texts: list[list[str]] = [[] for _ in self.tags]
+        self.at = []
+        for element, text, linked in self.found:
+            i = self.node(element)
+            self.at.append(i)
+            self.words[i] += len(text.split())
+            self.links[i] += linked
+            texts[i].append(text)
+        self.texts = [_hash("\0".join(t)) if t else 0 for t in texts]
+
+    def node(self, element: Node) -> int:
+        while id(element) not in self.node_of:
+            element = element.parent
+        return self.node_of[id(element)]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+
+
+def _block_children(element: Node) -> Iterator[Node]:
+    """Block elements below, also through inline ones."""
+    stack = list(reversed(element.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, Node) and not child.skip:
+            if child.tag in _INLINE:
+                stack += reversed(child.children)
+            else:
+                yield child
+
+
+def _shapes(root: Node) -> dict[int, int]:
+    """A hash of the structure below each block element, runs of alike children as one."""
+    out: dict[int, int] = {}
+    stack = [(root, False)]
+    while stack:
+        element, ready = stack.pop()
+        if not ready:
+            stack.append((element, True))
+            stack += [(c, False) for c in _block_children(element)]
+            continue
+        below: list[int] = []
+        for c in _block_children(element):
+            if not below or below[-1] != out[id(c)]:
+                below.append(out[id(c)])
+        out[id(element)] = hash((element.tag, _DIGITS.sub("0", element.name), tuple(below)))
+    return out
 
 
-def layout(root: Node) -> int:
-    """A number from 1 of the page's set of container paths."""
-    seen, stack = set(), [(root, 0)]
+def layout(outline: Outline) -> int:
+    """A number from 1 of the page's set of container paths, by tags."""
+    paths: list[int] = []
+    for tag, parent in zip(outline.tags, outline.parents, strict=True):
+        above = paths[parent] if parent >= 0 else 0
+        paths.append(zlib.crc32(f"{above}/{tag}".encode("utf-8", "surrogatepass")) if tag in _CONTAINER else above)
+    return zlib.crc32(",".join(map(str, sorted(set(paths)))).encode()) >> 1 | 1
+
+
+def simple_tree_matching(tags: list, names: list, parents: list, tags2: list, names2: list, parents2: list) -> dict[int, int]:
+    """Nodes of the first tree -> nodes of the second in a matching with the most weight that keeps order and ancestry.
+
+    A node matches one of the same tag (weight 2, and 1 more for the same name).
+    """
+    if tags == tags2 and names == names2 and parents == parents2:
+        return {i: i for i in range(len(tags))}
+
+    def children(parents: list) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in parents]
+        for i, p in enumerate(parents):
+            if p >= 0:
+                out[p].append(i)
+        return out
+
+    below, below2 = children(parents), children(parents2)
+    tables: dict[tuple[int, int], tuple[int, list]] = {}
+
+    def weigh(a: int, b: int) -> int:
+        """The weight of the best matching of the subtrees, whose roots match."""
+        x, y = below[a], below2[b]
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x, 1):
+            row, above = table[i], table[i - 1]
+            for j, d in enumerate(y, 1):
+                best = max(above[j], row[j - 1])
+                if tags[c] == tags2[d]:
+                    best = max(best, above[j - 1] + weigh(c, d))
+                row[j] = best
+        total = table[-1][-1] + 2 + (names[a] == names2[b])
+        tables[a, b] = total, table
+        return total
+
+    weigh(0, 0)
+    out, stack = {}, [(0, 0)]
     while stack:
-        node, own = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node) and child.tag in _CONTAINER:
-                path = zlib.crc32(f"{own}/{child.tag}.{_DIGITS.sub('0', child.name)}".encode("utf-8", "surrogatepass"))
-                seen.add(path)
-                stack.append((child, path))
-    return zlib.crc32(",".join(map(str, sorted(seen))).encode()) >> 1 | 1
+        a, b = stack.pop()
+        out[a] = b
+        x, y, table = below[a], below2[b], tables[a, b][1]
+        i, j = len(x), len(y)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                stack.append((x[i], y[j]))
+    return out
+
+
+def content(tags: list, parents: list, repeats: list, words: list, links: list, constant: list) -> set[int]:
+    """The nodes of the content region, by the counts of their own words."""
+    n = len(tags)
+    if not n:
+        return set()
+    below: list[list[int]] = [[] for _ in tags]
+    for i, p in enumerate(parents):
+        if p >= 0:
+            below[p].append(i)
+    heading, all_words, all_links = [t in _HEADINGS for t in tags], list(words), list(links)
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        heading[p] |= heading[i]
+        all_words[p] += all_words[i]
+        all_links[p] += all_links[i]
+    inner = [0] * n
+    for i in range(n - 1, 0, -1):
+        inner[parents[i]] += inner[i] + 1
+    record = [repeats[i] > 1 and inner[i] > 1 and not heading[i] and tags[i] in _RECORD for i in range(n)]
+    menu = [2 * all_links[i] > all_words[i] for i in range(n)]
+
+    def sums(skip) -> list[int]:
+        total = [0 if constant[i] else max(0, words[i] - links[i]) for i in range(n)]
+        for i in range(n - 1, 0, -1):
+            total[parents[i]] += 0 if skip(i) else total[i]
+        return total
+
+    prose = sums(lambda i: record[i] or menu[i])
+    plain = prose[0] == 0  # nothing but records, links or constants
+    if plain:
+        prose = sums(lambda i: False)
+    if prose[0] == 0:
+        return set(range(n)) if not any(constant) else {i for i in range(n) if not constant[i]}
+    said = [i for i in range(n) if tags[i] in ("article", "main") and prose[i]]
+    out: set[int] = set()
+    if said:
+        for i in range(n):
+            if i in said or parents[i] in out:
+                out.add(i)
+        return out
+    region = 0
+    while True:
+        deeper = [c for c in below[region] if tags[c] in _CONTAINER and prose[c] >= MOST_PROSE * prose[region] and (plain or not record[c] and not menu[c])]
+        if not deeper:
+            break
+        if not below[deeper[0]]:  # its text stands in it, headings and paragraphs beside it
+            beside = [c for c in below[region] if not below[c] and tags[c] not in _CONTAINER and not menu[c] and not constant[c]]
+            return {deeper[0], *beside}
+        region = deeper[0]
+    for i in range(n):
+        if i == region or parents[i] in out and (plain or not record[i] and not menu[i]):
+            out.add(i)
+    return out
 
 
-def main_text(html: str, constants=frozenset()) -> str:
+def _kept(outline: Outline, wrapper: dict | None) -> set[int]:
+    """The nodes of a page that are content: those aligned with the wrapper's, and what stands below them."""
+    own = None
+    if wrapper is not None:
+        reference = wrapper["layouts"].get(layout(outline))
+        if reference is not None:
+            match = simple_tree_matching(outline.tags, outline.names, outline.parents, *reference["tree"])
+            keep, kept = reference["keep"], set()
+            for i, p in enumerate(outline.parents):
+                at = match.get(i)
+                if at in keep if at is not None else p in kept:
+                    kept.add(i)
+            if any(outline.words[i] for i in kept):
+                return kept
+        own = [t in wrapper["texts"] for t in outline.texts]
+    return content(outline.tags, outline.parents, outline.repeats, outline.words, outline.links, own or [False] * len(outline.tags))
+
+
+def main_text(html: str, wrapper: dict | None = None) -> str:
     """The page's blocks of content, joined by blank lines."""
-    root = parse(html)
-    found = blocks(root)
-    if any(inside for _, inside, _ in found):
-        found = [x for x in found if x[1]]
-    if constants:
-        own = layout(root) << 32
-        keys = [_block_key(_path(node), t) for node, _, t in found]
-        found = [x for x, key in zip(found, keys, strict=True) if key not in constants and own | key not in constants]
-    return "\n\n".join(t for *_, t in found)
+    outline = Outline(parse(html))
+    kept = _kept(outline, wrapper)
+    return "\n\n".join(text for (_, text, _), i in zip(outline.found, outline.at, strict=True) if i in kept)
 
 
 def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, constants) of the hosts that have constants: block keys, below the layout if of a layout only."""
+OUTLINE = "tags array<string>, names array<string>, parents array<int>, repeats array<int>"
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """(host, layout, page, outline, words, links, texts) of the different pages of each host; ``page`` is a hash of its text."""
 
     def read(batches):
         for batch in batches:
-            out: dict[str, list] = {"host": batch["host"].to_pylist(), "texts": [], "layout": [], "keys": []}
+            names = ("page", "layout", "tags", "names", "parents", "repeats", "words", "links", "texts")
+            out: dict[str, list] = {k: [] for k in names}
             for html in batch["html"].to_pylist():
-                root = parse(html)
-                found = blocks(root)
-                texts = "\0".join(t for *_, t in found)
-                out["texts"].append(xxhash.xxh64_intdigest(texts.encode("utf-8", "surrogatepass"), 42) - (1 << 63))
-                out["layout"].append(layout(root))
-                out["keys"].append(sorted({_block_key(_path(node), t) for node, _, t in found}))
-            yield out
+                o = Outline(parse(html))
+                page = _hash("\0".join(text for _, text, _ in o.found))
+                for k, v in zip(names, (page, layout(o), o.tags, o.names, o.parents, o.repeats, o.words, o.links, o.texts), strict=True):
+                    out[k].append(v)
+            yield {"host": batch["host"], **out}
 
     rows = pages.select(_host().alias("host"), "html").where("host <> '' AND html <> ''")
-    read_rows = map_rows(rows, read, "host string, texts long, layout long, keys array<long>", batch_rows=500)
-    page = checkpointed(read_rows.groupBy("host", "texts").agg(F.min(F.struct("layout", "keys")).alias("p")).select("host", "p.*"))
-    sizes = page.groupBy("host", "layout").agg(F.count("*").alias("pages"))
-    counts = checkpointed(page.select("host", "layout", F.explode("keys").alias("key")).groupBy("host", "layout", "key").agg(F.count("*").alias("n")))
+    read_rows = map_rows(rows, read, f"host string, page long, layout long, {OUTLINE}, words array<int>, links array<int>, texts array<long>", batch_rows=500)
+    return checkpointed(read_rows.dropDuplicates(["host", "page"]))
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """(host, layout, node, text, n, words, links, repeats): counts of each node of a reference, and of texts of a host (layout 0), combined map-side."""
+
+    def count(batches):
+        for batch in batches:
+            seen: dict[tuple, list] = {}
+            columns = [batch[c].to_pylist() for c in ("host", "layout", "tags", "names", "parents", "repeats", "words", "links", "texts", "ref_tags", "ref_names", "ref_parents")]
+            for host, lay, tags, names, parents, repeats, words, links, texts, *reference in zip(*columns, strict=True):
+                match = simple_tree_matching(tags, names, parents, *reference)
+                own = enumerate(zip(texts, words, links, repeats, strict=True))
+                keys = [((host, lay, match[i], t), w, k, r) for i, (t, w, k, r) in own if (t or r > 1) and i in match]
+                keys += [((host, 0, 0, t), 0, 0, 1) for t in {t for t in texts if t}]
+                for key, w, k, r in keys:
+                    got = seen.setdefault(key, [0, 0, 0, 1])
+                    got[0] += 1
+                    got[1] += w
+                    got[2] += k
+                    got[3] = max(got[3], r)
+            keys, values = list(seen), list(seen.values())
+            yield {c: [x[i] for x in keys] for i, c in enumerate(("host", "layout", "node", "text"))} | {c: [x[i] for x in values] for i, c in enumerate(("n", "words", "links", "repeats"))}
+
+    found = map_rows(rows, count, "host string, layout long, node int, text long, n long, words long, links long, repeats int", batch_rows=2000)
+    return found.groupBy("host", "layout", "node", "text").agg(*[F.sum(c).alias(c) for c in ("n", "words", "links")], F.max("repeats").alias("repeats"))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layouts, texts): per layout its reference and the nodes that are content, and the constant texts of the host."""
+    page = outlines(pages)
+    tree = ["tags", "names", "parents"]
+    reference = page.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min(F.struct("page", *tree)).alias("r"))
+    reference = checkpointed(reference.select("host", "layout", "pages", *[F.col(f"r.{c}").alias(f"ref_{c}") for c in tree]))
+    counts = checkpointed(_aligned(page.join(reference, ["host", "layout"])))
+    nearly = lambda n, of: (n >= LEAST_PAGES) & (n - 1 >= SHARE * (of - 1) - 1e-9)
+    sizes = reference.groupBy("host").agg(F.sum("pages").alias("pages"))
+    texts = counts.where("layout = 0").join(sizes, "host").where(nearly(F.col("n"), F.col("pages")))
+    texts = texts.groupBy("host").agg(F.collect_set("text").alias("texts"))
+    said = F.when(F.col("text") != 0, F.col("n"))
+    node = counts.where("layout <> 0").groupBy("host", "layout", "node").agg(
+        F.coalesce(F.max(said), F.lit(0)).alias("top"), F.max_by("text", said).alias("text"), F.sum("words").alias("words"), F.sum("links").alias("links"), F.max("repeats").alias("repeats")
+    )
+    of_node = ("node", "top", "words", "links", "text", "repeats")
+    nodes = node.groupBy("host", "layout").agg(F.collect_list(F.struct(*of_node)).alias("nodes"))
+    whole = reference.join(nodes, ["host", "layout"]).join(texts, "host", "left").select("host", "layout", "pages", *[f"ref_{c}" for c in tree], *[F.col(f"nodes.{c}").alias(c) for c in of_node], "texts")
+
+    def decide(batches):
+        for batch in batches:
+            out = []
+            for row in zip(*[batch[c].to_pylist() for c in ("pages", "ref_tags", "ref_parents", *of_node, "texts")], strict=True):
+                of, tags, parents, at, top, words, links, text, repeats, known = row
+                total, linked, constant, most = [0] * len(tags), [0] * len(tags), [False] * len(tags), [1] * len(tags)
+                for i, n, w, k, t, r in zip(at, top, words, links, text, repeats, strict=True):
+                    total[i], linked[i], most[i] = w, k, r
+                    constant[i] = n >= LEAST_PAGES and n - 1 >= SHARE * (of - 1) - 1e-9 or t in (known or ())
+                out.append(sorted(content(tags, parents, most, total, linked, constant)))
+            yield {c: batch[c] for c in ("host", "layout", "ref_tags", "ref_names", "ref_parents", "texts")} | {"keep": out}
+
+    kinds = "host string, layout long, ref_tags array<string>, ref_names array<string>, ref_parents array<int>, texts array<long>, keep array<int>"
+    decided = map_rows(whole, decide, kinds)
+    parts = F.collect_list(F.struct("layout", "ref_tags", "ref_names", "ref_parents", "keep")).alias("l")
+    by_host = decided.groupBy("host").agg(parts, F.first("texts").alias("texts"))
+    return by_host.select("host", *[F.col(f"l.{c}").alias(c) for c in ("layout", "ref_tags", "ref_names", "ref_parents", "keep")], "texts")
+
+
+WRAPPER = ("layout", "ref_tags", "ref_names", "ref_parents", "keep", "texts")
 
-    def nearly_all(counted, sized, *by):
-        found = counted.where(F.col("n") >= LEAST_PAGES).join(sized.where(F.col("pages") >= LEAST_PAGES), list(by))
-        return found.where(F.col("n") - 1 >= SHARE * (F.col("pages") - 1) - 1e-9)
 
-    of_host = nearly_all(counts.groupBy("host", "key").agg(F.sum("n").alias("n")), sizes.groupBy("host").agg(F.sum("pages").alias("pages")), "host")
-    of_layout = nearly_all(counts, sizes, "host", "layout").select("host", F.shiftleft("layout", 32).bitwiseOR(F.col("key")).alias("key"))
-    return of_host.select("host", "key").union(of_layout).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("constants"))
+def _wrapper(layouts: list | None, tags: list, names: list, parents: list, keep: list, texts: list | None) -> dict | None:
+    if layouts is None:
+        return None
+    own = {lay: {"tree": (t, n, p), "keep": frozenset(k)} for lay, t, n, p, k in zip(layouts, tags, names, parents, keep, strict=True)}
+    return {"layouts": own, "texts": frozenset(texts or ())}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages(page_id, url, html)``."""
     own = checkpointed(wrappers(pages))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
-    size = own.agg(F.sum(F.size("constants") + 1).alias("n")).first()["n"] or 0
+    size = own.agg(F.sum(F.size(F.flatten("ref_tags")) + F.greatest(F.size("texts"), F.lit(0)) + 1).alias("n")).first()["n"] or 0
     if size <= BROADCAST_ROWS:
-        known = {r["host"]: frozenset(r["constants"]) for r in own.collect()}
+        known = {r["host"]: _wrapper(*[r[c] for c in WRAPPER]) for r in own.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(known)
-        rows = rows.withColumn("constants", F.lit(None).cast("array<long>"))
+        columns = rows
     else:
         shared = None
-        rows = rows.join(own, "host", "left")
+        columns = rows.join(own, "host", "left")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for html, host, constants in zip(*[batch[c].to_pylist() for c in ("html", "host", "constants")], strict=True):
-                texts.append(main_text(html, shared.value.get(host, frozenset()) if shared else frozenset(constants or ())))
+            given = zip(*[batch[c].to_pylist() for c in WRAPPER], strict=True) if shared is None else None
+            for html, host in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), strict=True):
+                texts.append(main_text(html, shared.value.get(host) if shared else _wrapper(*next(given))))
             yield {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    columns = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host", "constants")
+    columns = columns.withColumn("page_id", F.col("page_id").cast("long"))
     return map_rows(columns, run, "page_id long, url string, text string, n_chars long", batch_rows=500)

@@ -440,14 +440,94 @@ def test_wrapper_induction_finds_constants_and_content(spark):
 
 
 def test_every_layout_of_a_host_has_its_constants(spark):
-    a = "<body><div class='a'><p>Terms of A</p></div><div class='t'><p>text {n}</p><p>all pages say so</p></div></body>"
-    b = "<body><div class='t'><p>text {n}</p><p>all pages say so</p></div><section><div class='t'><p>Terms of B</p></div></section></body>"
-    html = lambda i, minor: (b if minor(i) else a).format(n=f"w{i}")
+    terms = " ".join(["terms"] * 40)
+    a = "<body><div class='a'><p>Terms of A {t}</p></div><div class='t'><p>text {n}</p><p>all pages say so</p></div></body>"
+    b = "<body><div class='t'><p>text {n}</p><p>all pages say so</p></div><section><div class='t'><p>Terms of B {t}</p></div></section></body>"
+    html = lambda i, minor: (b if minor(i) else a).format(n=f"w{i}", t=terms)
     hosts = {"half": (40, lambda i: i % 2 == 0), "minor": (200, lambda i: i % 20 == 7)}
     rows = [(1000 * k + i, f"https://{h}.example/{i}", html(i, minor)) for k, (h, (n, minor)) in enumerate(hosts.items()) for i in range(n)]
     rows += [(9000 + i, f"https://copies.example/{i}", f"<body><div class='n{i}'></div><p>one text</p></body>") for i in range(9)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id").text
-    assert all(got[i] == (f"text w{i % 1000}" if i < 9000 else "one text") for i, *_ in rows)
+    # What all pages say outside of the region is template; a constant sentence in it stays.
+    assert all(got[i] == (f"text w{i % 1000}\n\nall pages say so" if i < 9000 else "one text") for i, *_ in rows)
+
+
+def neutral_page(i, comments=3, licence=True):
+    """A page without article or main, whose names say nothing."""
+    rng = random.Random(i)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    menu = "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(12))
+    legal = "This site uses your data as described at great length below. " * 12
+    paragraphs = [say(rng.randint(8, 30)) for _ in range(rng.randint(2, 5))] + (["This article is published under a free licence."] if licence else [])
+    body = f"<h1>{say(4)}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    said = "".join(f"<div class='k{k % 2}'><span>{say(1)}</span><div>{say(1)}</div><p>{say(9)}</p></div>" for k in range(comments))
+    html = f"<html><body><div class='c1'><ul>{menu}</ul></div><div class='c4'><p>{legal}</p></div><div class='c2'>{body}</div><div class='c3'>{said}</div></body></html>"
+    return html, body
+
+
+def test_neutral_names_need_the_wrapper(spark):
+    """Menu, notice and comments go by alignment; alone, a page's long notice would win over its article."""
+    made = [neutral_page(i, comments=i % 4) for i in range(30)]
+    rows = [(i, f"https://n.example/{i}", html) for i, (html, _) in enumerate(made)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id").text
+    want = ["\n\n".join(re.findall(r"<(?:h1|p)>(.*?)</(?:h1|p)>", body)) for _, body in made]
+    assert [got[i] for i in range(30)] == want
+    assert sum(html_extract.main_text(html) != w for (html, _), w in zip(made, want)) > 10
+
+
+def test_whole_names_only(spark):
+    html = (
+        "<article><h1>t</h1><div class='share-price'><p>up 3</p></div><section id='related-work'><p>others</p></section>"
+        "<div class='search-results'><p>found</p></div><fieldset><p>kept</p></fieldset><div class='ad'>buy</div><div class='related-links'><p>more</p></div></article>"
+    )
+    assert html_extract.main_text(html) == "t\n\nup 3\n\nothers\n\nfound\n\nkept"
+
+
+def test_simple_tree_matching_is_best():
+    """Against all order-preserving matchings of small trees."""
+    rng = random.Random(2)
+
+    def tree(n):
+        return [rng.choice("ab") for _ in range(n)], [rng.choice("xy") for _ in range(n)], [-1] + [rng.randrange(i) for i in range(1, n)]
+
+    def ordered(t):
+        """Numbered in page order, as outlines are."""
+        below = [[j for j, p in enumerate(t[2]) if p == i] for i in range(len(t[0]))]
+        order, stack = [], [0]
+        while stack:
+            i = stack.pop()
+            order.append(i)
+            stack += reversed(below[i])
+        at = {i: k for k, i in enumerate(order)}
+        return [t[0][i] for i in order], [t[1][i] for i in order], [-1 if i == 0 else at[t[2][i]] for i in order]
+
+    def best(x, i, y, j):
+        a, b = ([k for k, p in enumerate(t[2]) if p == at] for t, at in ((x, i), (y, j)))
+
+        def pick(m, n):
+            if m == len(a) or n == len(b):
+                return 0
+            out = max(pick(m + 1, n), pick(m, n + 1))
+            return max(out, best(x, a[m], y, b[n]) + pick(m + 1, n + 1)) if x[0][a[m]] == y[0][b[n]] else out
+
+        return 2 + (x[1][i] == y[1][j]) + pick(0, 0)
+
+    for _ in range(300):
+        x, y = ordered(tree(rng.randint(1, 8))), ordered(tree(rng.randint(1, 8)))
+        got = html_extract.simple_tree_matching(*x, *y)
+        assert len(set(got.values())) == len(got) and got[0] == 0
+        for i, j in got.items():
+            assert i == 0 or x[0][i] == y[0][j] and got[x[2][i]] == y[2][j]
+        assert all((i < k) == (got[i] < got[k]) for i in got for k in got)
+        assert sum(2 + (x[1][i] == y[1][j]) for i, j in got.items()) == best(x, 0, y, 0)
+
+
+def test_pages_repeated_long_and_tied(spark):
+    html = "<body><div><ul>" + "<li><a>m</a></li>" * 300 + "</ul></div><div>" + "".join(f"<p>word{i} and more</p>" for i in range(60_000)) + "</div></body>"
+    rows = [(i, f"https://l.example/{i % 3}", html) for i in range(3)] + [(7, "https://l.example/7", "<p>x</p>"), (7, "https://l.example/7", "<p>x</p>")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert got[got.page_id == 7].text.tolist() == ["x", "x"]
+    assert all(t.count("\n\n") == 59_999 for t in got[got.page_id < 3].text)
 
 
 @pytest.mark.parametrize(
