@@ -82,7 +82,7 @@ def gram_jaccard(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Colu
     )
 
 
-def repeat_score(tokens: Column, n: int = 3, least: int = 2) -> Column:
+def repeat_score(tokens: Column, n: int = 3, least: int = 4) -> Column:
     """How many n-grams stand beyond the (least - 1)th time, summed over those that stand ``least`` times."""
     grams = F.array_sort(T.ngrams(tokens, n))
     runs = F.aggregate(

@@ -6,6 +6,7 @@ Loops are found by run lengths: ``runs(words, lag)[i]`` is how many words from i
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -170,6 +171,12 @@ def char_name(char: str) -> str:
     return unicodedata.name(char, "UNKNOWN")
 
 
+def match_contexts(text: str, pattern: str, around: int, most: int, width: int = 160) -> list[str]:
+    """The first matches with the characters around them, cut to ``width``."""
+    found = [text[max(0, m.start() - around) : m.end() + around] for m in itertools.islice(re.finditer(pattern, text, re.M), most)]
+    return [f if len(f) <= width else f[: width - 1] + "…" for f in found]
+
+
 # -- chunking ----------------------------------------------------------------------------
 
 

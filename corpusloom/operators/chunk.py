@@ -82,9 +82,9 @@ def aligned_segments(df: DataFrame, key: str, source: str = "source", target: st
 
 
 def filter_aligned(segments: DataFrame, most_cost: float = 1.2, tokens=(3, 256), ratio=(0.4, 2.5), digits: bool = False) -> DataFrame:
-    """Segments within the cost, length and ratio bands; ``digits``: a source with a digit needs a target with one."""
+    """Segments within the cost, length and ratio bands, lengths in tokens; ``digits``: a source with a digit needs a target with one."""
     s, t = M.byte_tokens(F.col("source")), M.byte_tokens(F.col("target"))
-    ok = (F.col("align_cost") <= most_cost) & s.between(*tokens) & t.between(*tokens) & (F.length("target") / F.length("source")).between(*ratio)
+    ok = (F.col("align_cost") <= most_cost) & s.between(*tokens) & t.between(*tokens) & (t / F.greatest(s, F.lit(1))).between(*ratio)
     if digits:
         ok = ok & (~F.col("source").rlike(r"\d") | F.col("target").rlike(r"\d"))
     return segments.where(ok)

@@ -28,38 +28,73 @@ class Rules:
     braces: bool = False
 
 
-#: Rule names in the order in which they run.
+ALERT = "t0_unknown_visible_char_alert"
+#: Rule names and notes, in the order in which the rules run.
 RULES = [
-    ("t0_unicode_nfc", "nfc", nfc),
-    ("t0_remove_invisible", "invisible", T.remove_invisible),
-    ("t0_whitespace_normalize", "whitespace", T.normalize_whitespace),
-    ("t1_gap_tag_canonicalize", "gaps", T.canonical_gaps),
-    ("t1_brace_whitespace_canonicalize", "braces", T.canonical_braces),
+    ("t0_unicode_nfc", "nfc", nfc, "unicodedata.normalize('NFC')"),
+    ("t0_remove_invisible", "invisible", T.remove_invisible, "remove ZWSP/ZWNJ/ZWJ/BOM"),
+    ("t0_whitespace_normalize", "whitespace", T.normalize_whitespace, "normalize newlines + fold inline whitespace"),
+    (ALERT, "alert", None, None),
+    ("t1_gap_tag_canonicalize", "gaps", T.canonical_gaps, "canonicalize <gap>/<big_gap> tags"),
+    ("t1_brace_whitespace_canonicalize", "braces", T.canonical_braces, "trim inner brace whitespace"),
 ]
 
 
-def clean(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``df`` with its text cleaned and ``edits``: (rule_id, before, after) of each rule that changed it.
+EDIT = "struct<rule_id:string,before:string,after:string,note:string,pos:bigint,context:string,severity:string>"
 
-    Each rule is a projection of its own, so that no expression is repeated inside the next.
+
+def alerts(c: Column, known: Column, around: int = 20) -> Column:
+    """An edit that changes nothing for each visible character outside the known array: its first place, context and count."""
+
+    def alert(char: Column) -> Column:
+        at = F.instr(c, char)
+        start = F.greatest(at - around, F.lit(1))
+        count = F.length(c) - F.length(F.replace(c, char))
+        return F.struct(
+            F.lit(ALERT).alias("rule_id"), char.alias("before"), char.alias("after"), F.concat(F.lit("count="), count.cast("string")).alias("note"),
+            (at - 1).cast("long").alias("pos"), F.substring(c, start, at - start + around + 1).alias("context"), F.lit("warn").alias("severity"),
+        ).cast(EDIT)
+
+    visible = F.filter(F.array_except(F.array_distinct(F.split(c, "")), known), lambda x: (x != "") & ~x.rlike(r"[\p{C}]") & ~x.isin(" ", "\t", "\n", "\r"))
+    return F.transform(visible, alert)
+
+
+def clean(df: DataFrame, text: str = "text", rules: Rules = Rules(), known: DataFrame | None = None) -> DataFrame:
+    """``df`` with its text cleaned and ``edits``: what each rule changed, and alerts of characters outside ``known(char)``.
+
+    Each rule is a projection of its own, so that no expression is repeated inside the next. Without a known
+    set there are no alerts; it rides along as one array, which Unicode bounds.
     """
-    out, stages = df.withColumn("_s0", T.blank(F.col(text))), [("", "_s0")]
-    for name, toggle, rule in RULES:
-        if getattr(rules, toggle):
-            column = f"_s{len(stages)}"
-            out = out.withColumn(column, rule(F.col(stages[-1][1])))
-            stages.append((name, column))
-    log = [
-        F.struct(F.lit(name).alias("rule_id"), F.col(before).alias("before"), F.col(after).alias("after"))
-        for (_, before), (name, after) in zip(stages, stages[1:], strict=False)
-    ]
-    edits = F.filter(F.array(*log), lambda e: e["before"] != e["after"]) if log else F.array()
-    return out.withColumn("edits", edits).withColumn(text, F.col(stages[-1][1])).drop(*[c for _, c in stages])
+    out, last, log = df.withColumn("_s0", T.blank(F.col(text))), "_s0", []
+    columns = ["_s0"]
+    alerting = rules.alert and known is not None
+    if alerting:
+        out = out.crossJoin(F.broadcast(known.agg(F.collect_set("char").alias("_known"))))
+        columns += ["_known", "_alerts"]
+    for name, toggle, rule, note in RULES:
+        if name == ALERT:
+            if alerting:
+                out = out.withColumn("_alerts", F.when(F.size("_known") > 0, alerts(F.col(last), F.col("_known"))).otherwise(F.array().cast(f"array<{EDIT}>")))
+                log.append(F.col("_alerts"))
+        elif getattr(rules, toggle):
+            column = f"_s{len(columns)}"
+            out = out.withColumn(column, rule(F.col(last)))
+            empty = F.lit(None)
+            edit = F.struct(F.lit(name), F.col(last), F.col(column), F.lit(note), empty, empty, empty).cast(EDIT)
+            log.append(F.when(F.col(last) != F.col(column), F.array(edit)).otherwise(F.array().cast(f"array<{EDIT}>")))
+            columns.append(column)
+            last = column
+    edits = F.concat(*log) if log else F.array().cast(f"array<{EDIT}>")
+    return out.withColumn("edits", edits).withColumn(text, F.col(last)).drop(*columns)
 
 
 def edit_log(cleaned: DataFrame, key: str, split: str = "train") -> DataFrame:
-    """A row per edit."""
-    return cleaned.select(F.lit(split).alias("split"), F.col(key).alias("sample_id"), F.explode("edits").alias("e")).select("split", "sample_id", "e.*")
+    """A row per edit and alert; the note of an alert names its character."""
+    rows = cleaned.select(F.lit(split).alias("split"), F.col(key).alias("sample_id"), F.explode("edits").alias("e")).select("split", "sample_id", "e.*")
+    point = F.lpad(F.hex(F.expr("bigint(conv(hex(encode(before, 'UTF-32')), 16, 10))")), 4, "0")
+    name = F.when(F.col("rule_id") == ALERT, seq.series(seq.char_name)(F.when(F.col("rule_id") == ALERT, F.col("before")).otherwise("x")))
+    note = F.concat(F.lit("unknown visible char '"), F.col("before"), F.lit("' ("), name, F.lit(", U+"), point, F.lit(") "), F.col("note"))
+    return rows.withColumn("note", F.when(F.col("rule_id") == ALERT, note).otherwise(F.col("note")))
 
 
 def first_examples(rows: DataFrame, group: str, order: str, example: Column, n: int) -> DataFrame:
@@ -79,12 +114,32 @@ def known_characters(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(F.array_distinct(F.split(T.blank(F.col(text)), ""))).alias("char")).where("char <> ''").distinct()
 
 
-def symbol_inventory(df: DataFrame, key: str, text: str = "text", examples: int = 5) -> DataFrame:
-    """(char, count, examples): every character with its first rows. Counts combine where the texts are."""
+def symbol_inventory(df: DataFrame, key: str, text: str = "text", examples: int = 5, width: int = 160) -> DataFrame:
+    """(char, count, examples): every character with the first rows that have it, each (row_id, fragment).
+
+    Counts combine where the texts are; texts are fetched for the few rows that are shown only.
+    """
     chars = F.split(T.blank(F.col(text)), "")
     counts = df.select(F.explode(chars).alias("char")).where("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
     rows = df.select(key, F.explode(F.array_distinct(chars)).alias("char")).where("char <> ''")
-    return counts.join(first_examples(rows, "char", key, F.col(key), examples), "char")
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy("char").orderBy(key))).where(F.col("_rn") <= examples)
+    shown = ranked.join(df.select(key, T.blank(F.col(text)).alias("_t")), key)
+    fragment = fragment_around(F.col("_t"), F.col("char"), width)
+    listed = shown.groupBy("char").agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(key).alias("row_id"), fragment.alias("fragment")))).alias("_l"))
+    return counts.join(listed, "char").select("char", "count", F.transform("_l", lambda x: F.struct(x["row_id"].alias("row_id"), x["fragment"].alias("fragment"))).alias("examples"))
+
+
+def truncated(c: Column, width: int) -> Column:
+    return F.when(F.length(c) <= width, c).otherwise(F.concat(F.substring(c, 1, width - 1), F.lit("…")))
+
+
+def fragment_around(c: Column, needle: Column, width: int) -> Column:
+    """At most ``width`` characters around the first place of the needle, with marks where the text goes on."""
+    at = F.instr(c, needle) - 1
+    end = F.least(F.length(c), F.greatest(at - width // 2, F.lit(0)) + width)
+    start = F.greatest(end - width, F.lit(0))
+    body = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(c, start + 1, end - start), F.when(end < F.length(c), "…").otherwise(""))
+    return truncated(body, width)
 
 
 def with_names(inventory: DataFrame) -> DataFrame:
@@ -95,21 +150,14 @@ def with_names(inventory: DataFrame) -> DataFrame:
 
 
 def unknown_alerts(df: DataFrame, key: str, known: DataFrame, text: str = "text", around: int = 20) -> DataFrame:
-    """A warning per row and visible character outside the known set: count, first place and context."""
-    c = T.blank(F.col(text))
-    chars = df.select(key, c.alias("_t"), F.explode(F.array_distinct(F.split(c, ""))).alias("char")).where("char <> ''")
-    strange = chars.join(known.select("char").distinct(), "char", "left_anti")
-    strange = strange.where(~F.col("char").rlike(r"[\p{C}]") & ~F.col("char").isin(" ", "\t", "\n", "\r"))
-    at = F.instr("_t", F.col("char"))
-    start = F.greatest(at - around, F.lit(1))
-    return strange.select(
-        F.col(key).alias("sample_id"),
-        "char",
-        (F.length("_t") - F.length(F.replace("_t", "char"))).cast("long").alias("count"),
-        (at - 1).cast("long").alias("pos"),
-        F.substring("_t", start, at - start + around + 1).alias("context"),
-        F.lit("warn").alias("severity"),
-    )
+    """A warning per row and visible character outside the known set: count, first place and context.
+
+    The known set rides along as one array, so texts are filtered where they are.
+    """
+    one = F.broadcast(known.agg(F.collect_set("char").alias("_known")))
+    found = df.select(key, T.blank(F.col(text)).alias("_t")).crossJoin(one).select(key, F.explode(alerts(F.col("_t"), F.col("_known"), around)).alias("e"))
+    count = F.substring("e.note", 7, 20).cast("long").alias("count")
+    return found.select(F.col(key).alias("sample_id"), F.col("e.before").alias("char"), count, "e.pos", "e.context", "e.severity")
 
 
 #: The profiled patterns.
@@ -128,15 +176,20 @@ PATTERNS = {
 
 
 def pattern_profile(df: DataFrame, key: str, text: str = "text", patterns: dict[str, str] = PATTERNS, examples: int = 10, around: int = 50) -> DataFrame:
-    """(pattern, hits, examples): matches in all rows, and the first ones with their context."""
+    """(pattern, hits, examples): matches in all rows, and the first ones by row and place, each (row_id, fragment).
+
+    Matches are counted where the texts are; places are looked up in the first rows with a match only.
+    """
     c = T.blank(F.col(text))
-    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(c, F.lit(f"(?m){p}")).cast("long").alias("n"), F.regexp_substr(c, F.lit(f"(?m){p}")).alias("m")) for n, p in patterns.items()])
-    hits = df.select(key, c.alias("_t"), F.explode(counts).alias("x")).select(key, "_t", "x.*")
-    at = F.instr("_t", F.col("m"))
-    context = F.substring("_t", F.greatest(at - around, F.lit(1)), F.length("m") + F.least(at - 1, F.lit(around)) + around)
-    counts = hits.groupBy("pattern").agg(F.sum("n").alias("hits"))
-    shown = first_examples(hits.where("n > 0"), "pattern", key, F.struct(F.col(key), context.alias("context")), examples)
-    return counts.join(shown, "pattern", "left")
+    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(c, F.lit(f"(?m){p}")).cast("long").alias("n")) for n, p in patterns.items()])
+    hits = df.select(key, F.explode(counts).alias("x")).select(key, "x.*")
+    totals = hits.groupBy("pattern").agg(F.sum("n").alias("hits"))
+    ranked = hits.where("n > 0").withColumn("_rn", F.row_number().over(W.partitionBy("pattern").orderBy(key))).where(F.col("_rn") <= examples)
+    shown = ranked.join(df.select(key, c.alias("_t")), key)
+    contexts = seq.series(lambda t, name: seq.match_contexts(t, patterns[name], around, examples), "array<string>")(F.col("_t"), F.col("pattern"))
+    flat = shown.withColumn("_f", contexts).groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("_rn", F.col(key).alias("row_id"), "_f"))).alias("_l"))
+    each = F.flatten(F.transform("_l", lambda x: F.transform(x["_f"], lambda f: F.struct(x["row_id"].alias("row_id"), f.alias("fragment")))))
+    return totals.join(flat.select("pattern", F.slice(each, 1, examples).alias("examples")), "pattern", "left")
 
 
 def only_in(left: DataFrame, right: DataFrame, on: str | Sequence[str] = "char") -> DataFrame:

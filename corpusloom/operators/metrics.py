@@ -168,13 +168,13 @@ def with_repeat_count(df: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def _by_text(df: DataFrame, text: Column, flags: dict[str, Column], ignore_empty: bool) -> DataFrame:
-    """Means of the flags over rows, and the share of rows whose text stands more than once, from one aggregation by text."""
+    """Means of the flags over rows, the share of rows whose text stands more than once, and of distinct texts, from one aggregation by text."""
     groups = df.groupBy(text.alias("_t")).agg(F.count("*").alias("_n"), *[F.sum(c.cast("double")).alias(k) for k, c in flags.items()])
     again = F.when((F.col("_n") > 1) & (F.lit(not ignore_empty) | (F.col("_t") != "")), F.col("_n")).otherwise(0)
     n = F.sum("_n")
     share = lambda c: F.try_divide(F.sum(c), n)
     means = [(share(k) * (1 if k.startswith("mean") else 100)).alias(k) for k in flags]
-    return groups.agg(F.coalesce(n, F.lit(0)).alias("n_rows"), *means, (share(again) * 100).alias("repeat_pct"))
+    return groups.agg(F.coalesce(n, F.lit(0)).alias("n_rows"), *means, (share(again) * 100).alias("repeat_pct"), F.try_divide(F.count("*") * 100.0, n).alias("unique_pct"))
 
 
 def _pct(flag: Column) -> Column:
@@ -206,18 +206,33 @@ def health_by_words(df: DataFrame) -> DataFrame:
         "mean_pred_words": F.col("_pw"),
         "mean_ref_words": F.col("_rw"),
     }
-    return _by_text(w, p, flags, ignore_empty=False)
+    return _by_text(w, p, flags, ignore_empty=False).drop("unique_pct")
 
 
 def health_nonempty(df: DataFrame) -> DataFrame:
-    """v3: a copy needs a prediction; empty texts never count as repeated."""
-    p, s, r = T.strip(F.col("prediction")), T.strip(F.col("source")), F.col("reference")
+    """v3: a copy needs a prediction, empty texts never count as repeated, short is in characters; with length statistics."""
+    p, s, r = T.blank(F.col("prediction")), T.blank(F.col("source")), T.blank(F.col("reference"))
+    rows = df.select(p.alias("p"), s.alias("s"), r.alias("r"), F.length(p).alias("pc"), F.length(r).alias("rc"), M.byte_tokens(p).alias("pt"), M.byte_tokens(r).alias("rt"))
     flags = {
-        "empty_pct": p == "",
-        "copy_pct": (p != "") & (p == s),
-        "short_pct": T.word_count(p) < F.greatest(F.lit(1.0), T.word_count(r) / 2),
+        "empty_pct": T.strip(F.col("p")) == "",
+        "copy_pct": (T.strip(F.col("p")) != "") & (T.strip(F.col("p")) == T.strip(F.col("s"))),
+        "short_pct": (F.col("rc") > 0) & (F.col("pc") / F.col("rc") < 0.5),
+        "internal_repeat_pct": M.repeat_score(T.words(F.col("p"))) > 0,
     }
-    return _by_text(df, p, flags, ignore_empty=True)
+    by_text = _by_text(rows, F.col("p"), flags, ignore_empty=True)
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    lengths = rows.agg(
+        zero(F.avg("pt"), "pred_tok_mean"),
+        zero(F.avg("rt"), "ref_tok_mean"),
+        *[zero(F.percentile(c, F.lit(0.95)), f"{name}_p95") for c, name in (("pt", "pred_tok"), ("rt", "ref_tok"), ("pc", "pred_char"), ("rc", "ref_char"))],
+    )
+    return by_text.crossJoin(lengths)
+
+
+def top_repeated(df: DataFrame, column: str = "prediction", k: int = 10) -> DataFrame:
+    """(text, count): of the k most frequent texts those that aren't empty; of equal counts the lesser text."""
+    text = T.blank(F.col(column)).alias("text")
+    return df.groupBy(text).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "text").limit(k).where("text <> ''")
 
 
 def health_rounded(df: DataFrame) -> DataFrame:

@@ -27,14 +27,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Conversations as parents with ordered chunks; every fifth turn is marked short-aligned.
+#: Conversations as parents with ordered chunks; every fifth turn is marked short-aligned, and some predictions loop.
 CHUNKS = """chunks AS (
   SELECT conv_id * 1000 + turn AS id, conv_id AS parent, turn AS chunk_index,
          count(*) OVER (PARTITION BY conv_id) AS chunk_total,
          CASE WHEN turn % 5 = 4 THEN 'short_aligned_gc' ELSE 'ratio' END AS chunk_mode,
          CASE WHEN turn % 5 = 3 THEN 'True' WHEN turn % 2 = 0 THEN 'no' ELSE '' END AS is_short_aligned,
          text AS source, replace(text, 'e', 'E') AS reference,
-         CASE WHEN turn % 7 = 6 THEN '' WHEN turn % 3 = 0 THEN substr(text, 1, length(text) // 3) ELSE text END AS prediction
+         CASE WHEN turn % 7 = 6 THEN '' WHEN turn % 4 = 1 AND conv_id % 5 = 0 THEN repeat(substr(text, 1, 30) || ' ', 5) WHEN turn % 3 = 0 THEN substr(text, 1, length(text) // 3) ELSE text END AS prediction
   FROM conversations)"""
 
 
@@ -49,6 +49,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("source"),
         F.replace("text", F.lit("e"), F.lit("E")).alias("reference"),
         F.when(F.col("turn") % 7 == 6, "")
+        .when((F.col("turn") % 4 == 1) & (F.col("conv_id") % 5 == 0), F.repeat(F.concat(F.substring("text", 1, 30), F.lit(" ")), 5))
         .when(F.col("turn") % 3 == 0, F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int")))
         .otherwise(F.col("text"))
         .alias("prediction"),
@@ -87,6 +88,24 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Documents as translations with formulas, measures and names, and as sources with units and formulas of their own.
+TRANSLATED = """translated AS (
+  SELECT doc_id,
+    CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' 5 ma-na ') WHEN 1 THEN replace(text, ' and ', ' qí-bi ') WHEN 2 THEN text || ' x [x]' ELSE text END AS source,
+    CASE doc_id % 3 WHEN 0 THEN 'From Aššur-idi to Puzur and Ilī: ' WHEN 1 THEN 'To Šalim-ahum, the man of iron and Enlil-bani: ' ELSE '' END
+      || CASE doc_id % 5 WHEN 0 THEN replace(text, ' the ', ' 12 minas of silver, ') WHEN 1 THEN replace(text, ' and ', '. Seal of  Nabû son of Iddin; ') ELSE text END AS reference
+  FROM documents)"""
+
+
+def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, text = F.col("doc_id"), F.col("text")
+    put = lambda a, b: F.replace(text, F.lit(a), F.lit(b))
+    source = F.when(d % 4 == 0, put(" the ", " 5 ma-na ")).when(d % 4 == 1, put(" and ", " qí-bi ")).when(d % 4 == 2, F.concat(text, F.lit(" x [x]"))).otherwise(text)
+    head = F.when(d % 3 == 0, "From Aššur-idi to Puzur and Ilī: ").when(d % 3 == 1, "To Šalim-ahum, the man of iron and Enlil-bani: ").otherwise("")
+    body = F.when(d % 5 == 0, put(" the ", " 12 minas of silver, ")).when(d % 5 == 1, put(" and ", ". Seal of  Nabû son of Iddin; ")).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.concat(head, body).alias("reference"))
+
+
 #: Three candidates a pair, as label and text: a the first half, b the second half, c with every e in upper case; every third pair has a = b.
 CANDIDATES = f"""{PAIRS}, candidates AS (
   SELECT id, label, CASE label WHEN 'a' THEN substr(target, 1, length(target) // 2)

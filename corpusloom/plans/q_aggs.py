@@ -74,17 +74,26 @@ def a6(spark, d):
     return flagged.agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_unknown"))
 
 
-@query("A7_symbol_inventory", "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS char FROM documents), p AS (SELECT doc_id, char, count(*) AS n FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY char ORDER BY doc_id) AS k FROM p) SELECT char, CAST(sum(n) AS BIGINT) AS count, list(doc_id ORDER BY doc_id) FILTER (WHERE k <= 5) AS examples FROM r GROUP BY 1")
+@query(
+    "A7_symbol_inventory",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS char FROM documents), p AS (SELECT doc_id, char, count(*) AS n FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY char ORDER BY doc_id) AS k FROM p),
+s AS (SELECT r.*, text, least(length(text), greatest(instr(text, char) - 81, 0) + 160) AS e FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id AND k <= 5),
+x AS (SELECT *, CASE WHEN e > 160 THEN '…' ELSE '' END || substr(text, greatest(e - 160, 0) + 1, least(e, 160)) || CASE WHEN e < length(text) THEN '…' ELSE '' END AS b FROM s)
+SELECT char, CAST(sum(n) AS BIGINT) AS count, list(doc_id || ': ' || CASE WHEN length(b) <= 160 THEN b ELSE substr(b, 1, 159) || '…' END ORDER BY doc_id) FILTER (WHERE k <= 5) AS examples FROM x GROUP BY 1""",
+)
 def a7(spark, d):
-    return L.symbol_inventory(table(spark, d, "documents"), "doc_id")
+    shown = F.transform("examples", lambda x: F.concat_ws(": ", x["row_id"].cast("string"), x["fragment"]))
+    return L.symbol_inventory(table(spark, d, "documents"), "doc_id").withColumn("examples", shown)
 
 
-@query(
-    "A8_pattern_profile",
-    f"WITH {X.DIRTY} SELECT 'braces' AS pattern, CAST(sum(len(regexp_extract_all(text, '\\{{[^}}]*\\}}'))) AS BIGINT) AS hits FROM dirty UNION ALL SELECT 'angles', CAST(sum(len(regexp_extract_all(text, '<[^>]*>'))) AS BIGINT) FROM dirty UNION ALL SELECT 'percent_codes', CAST(sum(len(regexp_extract_all(text, '%[a-zA-Z]{{1,4}}'))) AS BIGINT) FROM dirty UNION ALL SELECT 'parens', CAST(sum(len(regexp_extract_all(text, '\\([^)]*\\)'))) AS BIGINT) FROM dirty",
-)
+def _hits_sql() -> str:
+    one = "SELECT '{}' AS pattern, CAST(sum(len(regexp_extract_all(text, '(?m){}'))) AS BIGINT) AS hits FROM dirty"
+    return f"WITH {X.DIRTY} " + " UNION ALL ".join(one.format(n, p) for n, p in L.PATTERNS.items())
+
+
+@query("A8_pattern_profile", _hits_sql())
 def a8(spark, d):
-    return L.pattern_profile(X.dirty(spark, d), "doc_id").select("pattern", "hits").where(F.col("pattern").isin("braces", "angles", "percent_codes", "parens"))
+    return L.pattern_profile(X.dirty(spark, d), "doc_id").select("pattern", "hits")
 
 
 @query("A8_pattern_examples")
@@ -151,7 +160,7 @@ def a17(spark, d):
 @query(
     "A18_health_v2",
     f"""WITH {X.CHUNKS}, w AS (SELECT id, prediction, {words('prediction')} AS pw, len({words('reference')}) AS rw, count(*) OVER (PARTITION BY prediction) AS k FROM chunks),
-t AS (SELECT id, unnest(list_transform(range(1, len(pw) - 1), lambda i: array_to_string(pw[i:i+2], ' '))) AS g FROM w), rep AS (SELECT DISTINCT id FROM (SELECT id, g FROM t GROUP BY 1, 2 HAVING count(*) >= 2))
+t AS (SELECT id, unnest(list_transform(range(1, len(pw) - 1), lambda i: array_to_string(pw[i:i+2], ' '))) AS g FROM w), rep AS (SELECT DISTINCT id FROM (SELECT id, g FROM t GROUP BY 1, 2 HAVING count(*) >= 4))
 SELECT count(*) AS n_rows, {FLAG.format('len(pw) = 0')} AS empty_pct, {FLAG.format('len(pw) < greatest(1.0, rw / 2.0)')} AS short_pct, {FLAG.format('k > 1')} AS repeat_pct, {FLAG.format('id IN (SELECT id FROM rep)')} AS internal_repeat_pct, avg(len(pw)) AS mean_pred_words, avg(rw) AS mean_ref_words FROM w""",
 )
 def a18(spark, d):
@@ -160,12 +169,22 @@ def a18(spark, d):
 
 @query(
     "A19_health_v3",
-    f"WITH {X.CHUNKS}, w AS (SELECT *, trim(prediction) AS p, count(*) OVER (PARTITION BY trim(prediction)) AS k FROM chunks) SELECT count(*) AS n_rows, {FLAG.format('''p = '' ''')} AS empty_pct, {FLAG.format('''p <> '' AND p = trim(source)''')} AS copy_pct, {FLAG.format(f'''len({words('p')}) < greatest(1.0, len({words('reference')}) / 2.0)''')} AS short_pct, {FLAG.format('''k > 1 AND p <> '' ''')} AS repeat_pct FROM w",
+    f"""WITH {X.CHUNKS}, w AS (SELECT *, prediction AS p, strlen(prediction) + 1 AS pt, strlen(reference) + 1 AS rt, {words('prediction')} AS pw, count(*) OVER (PARTITION BY prediction) AS k FROM chunks),
+t AS (SELECT id, unnest(list_transform(range(1, len(pw) - 1), lambda i: array_to_string(pw[i:i+2], ' '))) AS g FROM w), rep AS (SELECT DISTINCT id FROM (SELECT id, g FROM t GROUP BY 1, 2 HAVING count(*) >= 4))
+SELECT count(*) AS n_rows, {FLAG.format("trim(p) = ''")} AS empty_pct, {FLAG.format("trim(p) <> '' AND trim(p) = trim(source)")} AS copy_pct,
+ {FLAG.format("length(reference) > 0 AND length(p) / CAST(length(reference) AS DOUBLE) < 0.5")} AS short_pct, {FLAG.format("id IN (SELECT id FROM rep)")} AS internal_repeat_pct,
+ {FLAG.format("k > 1 AND p <> ''")} AS repeat_pct, count(DISTINCT p) * 100 / CAST(count(*) AS DOUBLE) AS unique_pct, avg(pt) AS pred_tok_mean, avg(rt) AS ref_tok_mean,
+ quantile_cont(pt, 0.95) AS pred_tok_p95, quantile_cont(rt, 0.95) AS ref_tok_p95, quantile_cont(length(p), 0.95) AS pred_char_p95, quantile_cont(length(reference), 0.95) AS ref_char_p95 FROM w""",
 )
 def a19(spark, d):
     return S.health_nonempty(X.chunks(spark, d))
 
 
+@query("A19_top_repeated", f"WITH {X.CHUNKS} SELECT * FROM (SELECT prediction AS text, count(*) AS count FROM chunks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) WHERE text <> ''")
+def a19_top(spark, d):
+    return S.top_repeated(X.chunks(spark, d))
+
+
 @query("A20_health_v4", f"WITH {X.CHUNKS} SELECT count(*) AS n_rows, round({FLAG.format('''trim(prediction) = '' ''')}, 4) AS empty_pct, round({FLAG.format('length(prediction) < greatest(1.0, length(reference) / 2.0)')}, 4) AS short_pct, round({FLAG.format('''trim(prediction) = trim(source) AND trim(prediction) <> '' ''')}, 4) AS copy_pct, round(count(DISTINCT prediction) * 100 / CAST(count(*) AS DOUBLE), 4) AS unique_pct FROM chunks")
 def a20(spark, d):
     return S.health_rounded(X.chunks(spark, d))
@@ -182,6 +201,18 @@ def a22(spark, d):
     return _rounded(S.corpus_scores(rows, [M.band(F.col("chunk_total"), [3, 6]).alias("bucket")]))
 
 
+@query("A22_targeted_buckets")
+def a22_targeted(spark, d):
+    """Scores by targeted bucket; a row counts in every bucket whose flag it has."""
+    from corpusloom.functions import terms as N
+
+    c = X.chunks(spark, d).withColumn("source", F.replace("source", F.lit(" the "), F.lit(" ma-na ")))
+    on = {"marker_rich": N.marker_rich(F.col("source")), "measure": N.has_measure(F.col("source"), F.col("reference")), "formula": N.has_formula(F.col("source"), F.col("reference"))}
+    flags = F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]), lambda x: x.isNotNull()))
+    rows = S.with_statistics(c, "prediction", "reference").withColumn("bucket", flags)
+    return _rounded(S.corpus_scores(rows, ["bucket"]))
+
+
 @query("A23_retrieval_buckets", "SELECT o_orderpriority AS bucket, count(*) AS n_rows, avg(o_totalprice) AS mean_score, round(quantile_cont(o_totalprice, 0.95), 1) AS p95_score FROM orders GROUP BY 1")
 def a23(spark, d):
     buckets = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("bucket")).agg(

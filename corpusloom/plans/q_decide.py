@@ -42,10 +42,10 @@ def d4(spark, d):
 
 @query(
     "D5_rerank",
-    "WITH s AS (SELECT l_orderkey AS id, l_partkey AS cand, l_quantity AS q, CASE WHEN max(l_quantity) OVER w - min(l_quantity) OVER w <= 1e-12 THEN 0.5 ELSE (l_quantity - min(l_quantity) OVER w) / (max(l_quantity) OVER w - min(l_quantity) OVER w) END AS m, l_discount, l_tax FROM lineitem WHERE l_orderkey % 10 = 0 WINDOW w AS (PARTITION BY l_orderkey)) SELECT id, cand FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(m + 0.8 * l_discount - 0.6 * l_tax - 0.5 * 0.1, 9) DESC, cand, q) AS r FROM s) WHERE r = 1",
+    "WITH s AS (SELECT l_orderkey AS id, l_partkey AS cand, l_quantity AS q, CASE WHEN max(l_quantity) OVER w - min(l_quantity) OVER w <= 1e-12 THEN 0.5 ELSE (l_quantity - min(l_quantity) OVER w) / (max(l_quantity) OVER w - min(l_quantity) OVER w) END AS m, l_discount, l_tax FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)) SELECT id, cand FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(m + 0.8 * l_discount - 0.6 * l_tax - 0.5 * 0.1, 9) DESC, cand, q) AS r FROM s) WHERE r = 1",
 )
 def d5(spark, d):
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(
+    lines = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("cand"), F.col("l_quantity").alias("model_score"), F.col("l_discount").alias("digit_score"), F.col("l_tax").alias("repeat_penalty"), F.lit(0.1).alias("length_penalty")
     )
     return D.rerank(lines, "id", "cand").select("id", "cand")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import measures as M
@@ -52,12 +54,12 @@ def s5(spark, d):
     return spark.createDataFrame([(got["n"], got["least"], got["most"])], "n long, least long, most long")
 
 
-@query("S6_jsonl_log", "SELECT event_id, event_type, value FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type, value FROM events WHERE event_id % 3 = 1")
+@query("S6_jsonl_log", "SELECT event_id, event_type, value FROM events")
 def s6(spark, d):
     path = IO.scratch(spark, "jsonl")
     events = table(spark, d, "events").select("event_id", "event_type", "value")
-    IO.write_jsonl(events.where("event_id % 3 = 0"), path)
-    IO.write_jsonl(events.where("event_id % 3 = 1"), path)
+    for part in range(3):  # three appends
+        IO.write_jsonl(events.where(f"event_id % 3 = {part}"), path)
     return IO.read_jsonl(spark, path, "event_id long, event_type string, value double")
 
 
@@ -87,11 +89,18 @@ def s9(spark, d):
     return IO.read_csv(spark, found, "n_nationkey int, n_name string, n_regionkey int").groupBy(F.col("n_regionkey").alias("r")).agg(F.count("*").alias("n"))
 
 
-@query("S10_latest_artifact", "SELECT count(*) > 0 AS found, 1 AS n FROM region")
+@query("S10_latest_artifact", "SELECT 'checkpoint-1000' AS checkpoint, 'second' AS newest, CAST(count(*) AS INT) AS n FROM nation")
 def s10(spark, d):
+    """Two artefacts, of which the newer must win, and checkpoints, of which the highest number must."""
     path = IO.scratch(spark, "latest")
-    IO.write_csv(table(spark, d, "region"), path)
-    return IO.latest(IO.list_files(spark, path, "*.csv")).agg((F.count("*") > 0).alias("found"), F.count("*").cast("int").alias("n"))
+    IO.write_csv(table(spark, d, "region"), f"{path}/second-by-name")
+    for number, name in ((900, "first"), (1000, "second")):
+        time.sleep(0.05)
+        IO.write_csv(table(spark, d, "nation").select("n_name", F.lit(name).alias("written")), f"{path}/run/checkpoint-{number}")
+    newest = IO.latest(IO.list_files(spark, path, "*.csv")).first()["path"]
+    best = IO.latest_checkpoint(IO.list_files(spark, f"{path}/run", "*.csv")).first()["checkpoint"]
+    rows = IO.read_csv(spark, newest, "n_name string, written string")
+    return rows.agg(F.lit(best).alias("checkpoint"), F.max("written").alias("newest"), F.count("*").cast("int").alias("n"))
 
 
 @query("S11_artifact_scan")

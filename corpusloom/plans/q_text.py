@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import measures as M
 from corpusloom.functions import seq
+from corpusloom.functions import terms as N
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk as C
 from corpusloom.operators import clean as L
@@ -75,14 +76,27 @@ def a9(spark, d):
     return L.hit_stats(L.edit_log(L.clean(X.dirty(spark, d), rules=ALL_RULES), "doc_id")).select("rule_id", "hits")
 
 
-@query("T7_edit_log")
+RULE_EDIT = "SELECT 'train' AS split, doc_id AS sample_id, '{}' AS rule_id, {} AS before, {} AS after, '{}' AS note, NULL::BIGINT AS pos, NULL AS context, NULL AS severity FROM s4 WHERE {} <> {}"
+RULE_EDITS = " UNION ALL ".join(
+    RULE_EDIT.format(name, f"t{i}", f"t{i + 1}", note, f"t{i}", f"t{i + 1}")
+    for i, (name, note) in enumerate((r[0], r[3]) for r in L.RULES if r[1] not in ("nfc", "alert"))
+)
+
+
+@query(
+    "T7_edit_log",
+    f"""WITH {CLEANED}, c AS (SELECT doc_id, t2, unnest(list_distinct(string_split(t2, ''))) AS c FROM s4), k(c, name, point) AS (VALUES ('{{', 'LEFT CURLY BRACKET', '007B'), ('}}', 'RIGHT CURLY BRACKET', '007D'), ('<', 'LESS-THAN SIGN', '003C'), ('>', 'GREATER-THAN SIGN', '003E'))
+{RULE_EDITS} UNION ALL SELECT 'train', doc_id, '{L.ALERT}', c, c, 'unknown visible char ''' || c || ''' (' || name || ', U+' || point || ') count=' || (length(t2) - length(replace(t2, c, ''))), instr(t2, c) - 1,
+ substr(t2, greatest(instr(t2, c) - 20, 1), instr(t2, c) - greatest(instr(t2, c) - 20, 1) + 21), 'warn' FROM c JOIN k USING (c)""",
+)
 def t7_log(spark, d):
-    return L.edit_log(L.clean(X.dirty(spark, d), rules=ALL_RULES), "doc_id")
+    known = L.known_characters(table(spark, d, "documents")).where(~F.col("char").isin("{", "}", "<", ">"))
+    return L.edit_log(L.clean(X.dirty(spark, d), rules=ALL_RULES, known=known), "doc_id")
 
 
-@query("T8_pair_text", f"WITH {X.DIRTY} SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM dirty WHERE doc_id % 3 <> 0")
+@query("T8_pair_text", f"WITH {X.DIRTY} SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM dirty")
 def t8(spark, d):
-    return X.dirty(spark, d).where("doc_id % 3 <> 0").select("doc_id", T.pair_text(F.col("text"), lower=True).alias("text"))
+    return X.dirty(spark, d).select("doc_id", T.pair_text(F.col("text"), lower=True).alias("text"))
 
 
 @query("T9_fold_whitespace", f"WITH {X.DIRTY} SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM dirty")
@@ -96,9 +110,9 @@ def t10(spark, d):
     return tokens.select(seq.series(seq.token_key)(F.col("token")).alias("token_key"), "n").groupBy("token_key").agg(F.sum("n").alias("n"))
 
 
-@query("T11_source_tokens", f"SELECT tok AS token, count(*) AS n FROM (SELECT regexp_replace(lower(unnest({words('text')})), '^[!-/:-@\\[-`{{-~]+|[!-/:-@\\[-`{{-~]+$', '', 'g') AS tok FROM documents WHERE lang = 'en') WHERE tok <> '' GROUP BY 1")
+@query("T11_source_tokens", f"SELECT tok AS token, count(*) AS n FROM (SELECT regexp_replace(lower(unnest({words('text')})), '^[!-/:-@\\[-`{{-~…]+|[!-/:-@\\[-`{{-~…]+$', '', 'g') AS tok FROM documents) WHERE tok <> '' GROUP BY 1")
 def t11(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     tokens = docs.select(F.explode(T.words(F.col("text"))).alias("t")).select(T.source_token(F.col("t")).alias("token"))
     return tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
@@ -224,9 +238,19 @@ def m8(spark, d):
 TRIGRAMS = f"tg AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) AS g FROM (SELECT conv_id, turn, {words('text')} AS w FROM conversations))"
 
 
-@query("M9_repeat_score", f"WITH {TRIGRAMS}, c AS (SELECT conv_id, turn, g, count(*) AS n FROM tg GROUP BY ALL), s AS (SELECT conv_id, turn, CAST(sum(n - 1) AS BIGINT) AS s FROM c WHERE n >= 2 GROUP BY ALL) SELECT conv_id, turn, coalesce(s, 0) AS score FROM conversations LEFT JOIN s USING (conv_id, turn)")
+def repeat_score(w: str) -> str:
+    """SQL of the repeat score of a list of words: every trigram's count over 3."""
+    grams = f"list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i+2], ' '))"
+    return f"CAST(coalesce((SELECT sum(n - 3) FROM (SELECT count(*) AS n FROM (SELECT unnest({grams}) AS g) GROUP BY g) WHERE n >= 4), 0) AS BIGINT)"
+
+
+LOOPED = words("repeat(text || ' ', 1 + turn % 6)")
+
+
+@query("M9_repeat_score", f"SELECT conv_id, turn, {repeat_score('w')} AS score FROM (SELECT conv_id, turn, {LOOPED} AS w FROM conversations)")
 def m9(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", M.repeat_score(T.words(F.col("text"))).alias("score"))
+    looped = F.repeat(F.concat("text", F.lit(" ")), F.col("turn").cast("int") % 6 + 1)
+    return table(spark, d, "conversations").select("conv_id", "turn", M.repeat_score(T.words(looped)).alias("score"))
 
 
 @query("M10_repeat_penalty", f"WITH {TRIGRAMS}, p AS (SELECT conv_id, turn, 1 - count(DISTINCT g) / CAST(count(*) AS DOUBLE) AS p, count(*) AS n FROM tg GROUP BY ALL) SELECT conv_id, turn, CASE WHEN n > 1 THEN p ELSE 0.0 END AS penalty FROM conversations LEFT JOIN p USING (conv_id, turn)")
@@ -282,7 +306,10 @@ def m17(spark, d):
     return X.chunks(spark, d).select("id", M.selector_score(F.col("chunk_total"), M.byte_tokens(F.col("reference")), F.col("id") % 5 == 0).alias("score"))
 
 
-@query("M18_concat_score")
+@query(
+    "M18_concat_score",
+    f"WITH {X.CHUNKS}, w AS (SELECT id, prediction AS p, {words('prediction')} AS pw, {words('source')} AS sw FROM chunks) SELECT id, greatest(0.0, 0.82 - len(pw) / CAST(greatest(len(sw), 1) AS DOUBLE)) * 120 + (length(p) - length(replace(p, 'gap>', ''))) / CAST(4 AS DOUBLE) * 18 + {repeat_score('pw')} * 4 + CASE WHEN regexp_matches(p, '\\bc\\d+:') THEN 40 ELSE 0 END AS score FROM w",
+)
 def m18(spark, d):
     return X.chunks(spark, d).select("id", M.concat_score(F.col("prediction"), F.col("source")).alias("score"))
 
@@ -292,22 +319,43 @@ def m19(spark, d):
     return X.chunks(spark, d).select("id", M.band(F.col("chunk_total"), [3, 6]).alias("chunk_band"))
 
 
-RARE = f"""tok AS (SELECT doc_id, lower(unnest({words('text')})) AS t FROM documents), f AS (SELECT t FROM tok GROUP BY t HAVING count(*) <= 2 AND length(t) >= 4 AND NOT regexp_matches(t, '\\d'))"""
+RARE = f"""tok AS (SELECT doc_id, regexp_replace(lower(unnest({words('source')})), '^[\\[\\]{{}}()<>.,;:"''`]+|[\\[\\]{{}}()<>.,;:"''`]+$', '', 'g') AS t FROM translated),
+f AS (SELECT t FROM tok WHERE t <> '<gap>' AND length(t) >= 4 AND NOT regexp_matches(t, '[\\p{{Nd}}₀-₉⁰¹²³⁴-⁹]') GROUP BY t HAVING count(*) <= 2)"""
+EDGE = r"[^\p{L}\p{N}_]"
 
 
-@query("M20_targeted_buckets", f"WITH {RARE} SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM tok JOIN f USING (t)) AS rare_name, regexp_matches(d.text, '<gap>|[\\[\\]{{}}<>]|[₀-₉]') AS marker_rich FROM documents d")
+@query(
+    "M20_targeted_buckets",
+    f"""WITH {X.TRANSLATED}, {RARE} SELECT doc_id, doc_id IN (SELECT doc_id FROM tok JOIN f USING (t)) AS rare_name,
+ regexp_matches(source, '<gap>|[\\[\\]{{}}<>]|[₀-₉]|(^|{EDGE})[xX]({EDGE}|$)') AS marker_rich,
+ regexp_matches(source, '(?i)(^|{EDGE})(ma-na|ma\\.na|gin2|g[íi]n|gur|qa|sila3|iku|sar)({EDGE}|$)') OR {" OR ".join(f"contains(lower(reference), '{u}')" for u in T.UNIT_WORDS)} AS measure,
+ {" OR ".join(f"contains(reference, '{u}')" for u in T.FORMULA_STEMS)} OR regexp_matches(source, '(?i)(^|{EDGE})(um-ma|q[ií]-bi|ki-a-am|li-mu-um)({EDGE}|$)') AS formula FROM translated""",
+)
 def m20(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    tokens = docs.select("doc_id", F.explode(T.words(F.lower("text"))).alias("t"))
-    rare = tokens.groupBy("t").agg(F.count("*").alias("n")).where("n <= 2 AND length(t) >= 4").where(~F.col("t").rlike(r"\d"))
+    docs = X.translated(spark, d)
+    s, r = F.col("source"), F.col("reference")
+    tokens = docs.select("doc_id", F.explode(N.name_tokens(s)).alias("t"))
+    rare = tokens.groupBy("t").agg(F.count("*").alias("n")).where("n <= 2")
     hit = tokens.join(rare.select("t"), "t", "left_semi").select("doc_id")
-    return O.membership_flag(docs, hit, "doc_id", "rare_name").select("doc_id", "rare_name", F.col("text").rlike(r"<gap>|[\[\]{}<>]|[₀-₉]").alias("marker_rich"))
+    flags = docs.select("doc_id", N.marker_rich(s).alias("marker_rich"), N.has_measure(s, r).alias("measure"), N.has_formula(s, r).alias("formula"))
+    return O.membership_flag(flags, hit, "doc_id", "rare_name")
 
 
-@query("M21_terms", "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '\\b(?:the|and|und|les)\\b'))) AS terms FROM documents WHERE lang = 'en'")
+TRIM = "regexp_replace(trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+
+
+@query(
+    "M21_terms",
+    f"""WITH {X.TRANSLATED}, m AS (
+ SELECT doc_id, 'formula' AS type, {TRIM.format("x")} AS term FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})((?:Seal of|Sealed by)\\s+[^,.;:\\n"]+)', 2)) AS x FROM translated) WHERE length({TRIM.format("x")}) >= 8
+ UNION ALL SELECT doc_id, 'measure', {TRIM.format("x")} FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})(\\d+(?:\\.\\d+)?\\s+(?:minas?|shekels?|talents?|textiles?|litres?)\\b(?:\\s+of\\s+(?:silver|tin|copper|grain)\\b)?)', 2)) AS x FROM translated)
+ UNION ALL SELECT doc_id, 'name_or_place', n FROM (SELECT doc_id, array_to_string({words('c')}, ' ') AS n, {words('c')} AS w FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(h, '(?i)\\b(to|from)\\b', ' ', 'g'), ',|\\band\\b')) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})(?:To|From)\\s+([^:\\n]+)', 2)) AS h FROM translated)))
+  WHERE len(w) BETWEEN 1 AND 4 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-ZĀĪŪŠṢṬḪ][A-Za-zĀĪŪŠṢṬḪāīūšṣṭḫ''`<>-]+$'))) = 0)
+SELECT type, term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1, 2""",
+)
 def m21(spark, d):
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(?:the|and|und|les)\b"), 0)
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.array_sort(F.array_distinct(found)).alias("terms"))
+    found = X.translated(spark, d).select("doc_id", F.explode(N.terms(F.col("reference"))).alias("x"))
+    return found.groupBy("x.type", "x.term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query("M22_sentence_scores")
@@ -426,7 +474,7 @@ def r13(spark, d):
 
 @query("R14_anchor_spans")
 def r14(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     tokens = docs.select(F.col("doc_id"), T.words(F.col("text")).alias("tokens"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line"))
     sentences = lines.select("doc_id", F.col("position").cast("long").alias("position"), F.element_at(F.split(F.trim("line"), " "), 1).alias("first_word"))
@@ -450,11 +498,11 @@ def r16(spark, d):
     return grams.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query("R17_token_votes", "WITH s AS (SELECT l_orderkey AS query, l_linenumber % 3 AS step, l_suppkey AS token, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL) SELECT query, CAST(step AS INT) AS step, token, CAST(v AS DOUBLE) AS votes, CAST(row_number() OVER (PARTITION BY query, step ORDER BY v DESC, token) AS INT) AS rank FROM s")
+@query("R17_token_votes", "WITH s AS (SELECT l_orderkey AS query, l_linenumber % 3 AS step, l_suppkey AS token, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT query, CAST(step AS INT) AS step, token, CAST(v AS DOUBLE) AS votes, CAST(row_number() OVER (PARTITION BY query, step ORDER BY v DESC, token) AS INT) AS rank FROM s")
 def r17(spark, d):
     from corpusloom.operators.knn import token_votes
 
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    lines = table(spark, d, "lineitem")
     step = (F.col("l_linenumber") % 3).cast("int")
     pad = lambda i: F.when(step == i, F.col("l_suppkey"))
     neighbours = lines.select(F.col("l_orderkey").alias("query"), F.col("l_quantity").cast("double").alias("weight"), F.array(pad(0), pad(1), pad(2)).alias("ids"))

@@ -98,6 +98,13 @@ def latest(files: DataFrame) -> DataFrame:
     return files.agg(F.max(F.struct("modificationTime", "path", "length")).alias("f")).select("f.path", "f.modificationTime", "f.length")
 
 
+def latest_checkpoint(files: DataFrame) -> DataFrame:
+    """(path, checkpoint, number): the folder checkpoint-N with the highest N that holds a file."""
+    name = F.regexp_extract("path", r"/(checkpoint-(\d+))/", 1)
+    named = files.select(F.regexp_extract("path", r"^(.*/checkpoint-\d+)/", 1).alias("path"), name.alias("checkpoint"), F.regexp_extract("path", r"/checkpoint-(\d+)/", 1).alias("n"))
+    return named.where("n <> ''").agg(F.max(F.struct(F.col("n").cast("long").alias("number"), "path", "checkpoint")).alias("f")).select("f.path", "f.checkpoint", "f.number")
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, bytes, sha256) of each file."""
     files = list_files(spark, path, pattern, content=True)
