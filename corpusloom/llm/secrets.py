@@ -6,17 +6,20 @@ letters or digits, 20 or more in all), hex (24 or more of 0-9a-f). A match that
 is dropped, but what it covers is not searched again.
 
 The worklist then unwraps layers: lines with percent escapes or \\u and \\x escapes are decoded as a
-whole, runs of base64 (standard or URL alphabet) are decoded by themselves and joined across line
-breaks, gzip or zlib data inside are inflated, and every stretch of ASCII text in what comes out is a
-layer, whatever stands around it. Each new layer is scanned with the same patterns and unwrapped in turn until
-no layer yields a new one; a layer already seen at the same place is not taken up again. Every
-character of a layer carries the range of original characters that it came from, so spans are
-given in the original text; a span in inflated data covers the whole encoded run. Rounds that would only take
-a level off escape signs escaped more than sixteen times over are one step, and give the same spans.
+whole (a byte that isn't UTF-8 is a character of its own), runs of base64 (standard or URL alphabet) are decoded
+by themselves in each of the four alignments and joined across line breaks, gzip or zlib data inside are inflated, and
+every stretch of ASCII text in what comes out is a layer, whatever stands around it. Each new layer is
+scanned with the same patterns and unwrapped in turn until no layer yields a new one; a layer already seen at
+the same place is not taken up again. A layer knows its parent and, by pieces, where its characters
+come from, so spans are given in the original text; a span in inflated data covers the whole encoded run. Rounds
+that would only take a level off escape signs escaped more than sixteen times over are one step, and give the same spans.
+
+Inflated data are read as a stream, whatever their size and however often compressed: the first ``WINDOW`` bytes as a
+whole and the rest in windows that overlap by ``OVERLAP``. All spans in them are the same run, so it matters only
+that each pattern (and each encoded run of up to ``OVERLAP`` bytes) is whole in some window.
 
 Defined cases: a null text counts as empty (no spans); equal spans are given once; repeated rows
-give repeated results; extra columns are ignored; inflated data of over ``INFLATED`` bytes is cut
-off there (against zip bombs; the run itself stays whole in the text).
+give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +39,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import map_rows, text_of
 
 KINDS = ("assign", "access", "hex")
-INFLATED = 1 << 26
+#: Bytes of inflated data that are scanned at once, and that a window shares with the next.
+WINDOW, OVERLAP = 1 << 24, 1 << 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _KEY = re.compile("pass|secret|token|api", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,6 +56,7 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines: the end of a line, whole lines, the start of a line.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_JOINT = re.compile("[+/_-]")
 #: No pattern, and no escape or base64 run that leads to one, fits in fewer characters of text or holds any other.
 _TEXT = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 _URL_TO_STANDARD = str.maketrans("-_", "+/")
@@ -65,15 +74,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """Decoded text with the original range of each character; ``at`` None: the text itself."""
+    """Decoded text; ``pieces`` tell from which characters of ``parent`` its own come (none: the text itself)."""
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | None = None):
-        self.text, self.at = text, at
+    def __init__(self, text: str, parent: Layer | None = None, pieces: list | None = None):
+        self.text, self.parent = text, parent
+        self.pieces = pieces or []
+        self.starts = [x[0] for x in self.pieces]
 
     def original(self, start: int, end: int) -> tuple[int, int]:
-        if self.at is None:
-            return start, end
-        return self.at[start][0], self.at[end - 1][1]
+        """The range of the original text of characters ``start`` to ``end``."""
+        layer = self
+        while layer.parent is not None:
+            start, end = layer._source(start)[0], layer._source(end - 1)[1]
+            layer = layer.parent
+        return start, end
+
+    def _source(self, i: int) -> tuple[int, int]:
+        first, find = self.pieces[bisect_right(self.starts, i) - 1]
+        return find(i - first)
+
+
+def _same(at: int):
+    """Characters as they are, from ``at`` on."""
+    return lambda i: (at + i, at + i + 1)
+
+
+def _cut(edges: array):
+    """Characters between edges."""
+    return lambda i: (edges[i], edges[i + 1])
+
+
+def _bits(places, size: int, first: int):
+    """Bytes from ``first`` on of a base64 run; ``places[i]`` is where its character ``i`` stands."""
+    return lambda i: (places[(first + i) * 8 // 6], places[min(size, -(-(first + i + 1) * 8 // 6)) - 1] + 1)
 
 
 def _line(layer: Layer, pattern: re.Pattern) -> list[tuple[int, int]]:
@@ -88,32 +121,28 @@ def _line(layer: Layer, pattern: re.Pattern) -> list[tuple[int, int]]:
     return out
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    """(character, start, end) in the run; None if the bytes aren't UTF-8."""
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
+def _percent(run: str) -> tuple[str, array]:
+    """The characters of the run, and the edges between what they come from."""
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    edges = array("q", [0])
     for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
+        edges.append(edges[-1] + (3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode())))
+    return text, edges
 
 
-def _escaped(run: str) -> list[tuple[str, int, int]] | None:
-    out = []
+def _escaped(run: str) -> tuple[str, array] | None:
+    out, edges = [], array("q", [0])
     for m in _UNIT.finditer(run):
         code = int(next(g for g in m.groups() if g), 16)
-        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
-            high, start, _ = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), start, m.end()))
+        if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1]) < 0xDC00:
+            out[-1] = chr(0x10000 + ((ord(out[-1]) - 0xD800) << 10) + code - 0xDC00)
+            edges[-1] = m.end()
         elif code > 0x10FFFF:
             return None
         else:
-            out.append((chr(code), m.start(), m.end()))
-    return out
+            out.append(chr(code))
+            edges.append(m.end())
+    return "".join(out), edges
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode, deep: re.Pattern, level: int) -> tuple[list[Layer], list[tuple[int, int, int]]]:
@@ -124,108 +153,151 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, deep: re.Pattern, level
     """
     text, out, skipped = layer.text, [], []
     for start, end in _line(layer, pattern):
-        runs = [(m.start(), m.end(), got) for m in pattern.finditer(text, start, end) if (got := decode(m.group())) is not None]
+        runs = [(m.start(), m.end(), *got) for m in pattern.finditer(text, start, end) if (got := decode(m.group())) is not None]
         if not runs:
             continue
         signs = {m.start(): (m.end() - m.start() - 1) // level for m in deep.finditer(text, start, end)}
-        if signs and all(a in signs and b == a + 1 + level for a, b, _ in runs):
-            levels = min(signs[a] for a, _, _ in runs) - 1
-            runs = [(a, a + 1 + level * levels, [(text[a], 0, 1 + level * levels)]) for a, _, _ in runs]
-            for a, _, _ in runs:
+        if signs and all(a in signs and b == a + 1 + level for a, b, *_ in runs):
+            levels = min(signs[a] for a, *_ in runs) - 1
+            runs = [(a, a + 1 + level * levels, text[a], array("q", [0, 1 + level * levels])) for a, *_ in runs]
+            for a, *_ in runs:
                 stop = _HEX_RUN.match(text, a + 1).end()
                 for first in range(a + 1 + level, min(a + 1 + level * levels, stop - 23), level):
                     x, y = layer.original(first, stop)
                     skipped.append((x, 2, y))
-        parts, at, last = [], [], start
-        for a, b, got in runs:
-            parts.append(text[last:a])
-            at += [layer.original(i, i + 1) for i in range(last, a)]
-            for c, x, y in got:
-                parts.append(c)
-                at.append(layer.original(a + x, a + y))
+        parts, pieces, last, n = [], [], start, 0
+        for a, b, got, edges in [*runs, (end, end, "", None)]:
+            if a > last:
+                pieces.append((n, _same(last)))
+                parts.append(text[last:a])
+                n += a - last
+            if got:
+                pieces.append((n, _shifted(edges, a)))
+                parts.append(got)
+                n += len(got)
             last = b
-        parts.append(text[last:end])
-        at += [layer.original(i, i + 1) for i in range(last, end)]
-        out.append(Layer("".join(parts), at))
+        if n:
+            out.append(Layer("".join(parts), layer, pieces))
     return out, skipped
 
 
+def _shifted(edges: array, by: int):
+    find = _cut(edges)
+    return lambda i: tuple(by + x for x in find(i))
+
+
 def _squeezed(data: bytes) -> bool:
     return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
 
 
-def _inflated(data: bytes) -> bytes | None:
-    if not _squeezed(data):
-        return None
+def _inflated(data: Iterable[bytes]) -> Iterator[bytes]:
+    """What the compressed stream holds, as far as it can be read."""
+    engine = zlib.decompressobj(47)
     try:
-        return zlib.decompressobj(47).decompress(data, INFLATED)
+        for part in data:
+            while part:
+                if got := engine.decompress(part, OVERLAP):
+                    yield got
+                part = engine.unconsumed_tail
+            if engine.eof:
+                return
     except zlib.error:
-        return None
+        return
 
 
-def _decoded(body: str) -> bytes:
-    """The bytes of a base64 run without padding; a last character that alone holds no byte is left out."""
-    body = body[: len(body) - (len(body) % 4 == 1)].translate(_URL_TO_STANDARD)
-    return base64.b64decode(body + "=" * (-len(body) % 4))
+def _peeked(data: Iterator[bytes], least: int) -> tuple[bytes, Iterator[bytes]]:
+    """The first ``least`` bytes or more, and the whole again."""
+    head = b""
+    for part in data:
+        head += part
+        if len(head) >= least:
+            break
+    return head, chain([head], data)
 
 
-def _deflated(data: bytes) -> bytes | None:
-    """What is left after up to 64 rounds of inflating; None if nothing is compressed."""
-    out, rounds = None, 0
-    while rounds < 64 and (data := _inflated(data)) is not None:
-        out, rounds = data, rounds + 1
-    return out
+def _deflated(data: bytes) -> Iterator[bytes] | None:
+    """What is left after all rounds of inflating; None if nothing is compressed. A cycle ends the rounds."""
+    head, stream, seen, rounds = data, iter([data]), set(), 0
+    while _squeezed(head) and head not in seen:
+        if len(head) < OVERLAP:
+            seen.add(head)
+        inner, rest = _peeked(_inflated(stream), OVERLAP)
+        if not inner:  # it only began like compressed data
+            stream = iter([head]) if rounds == 0 else chain([head], stream)
+            break
+        head, stream, rounds = inner, rest, rounds + 1
+    return stream if rounds else None
 
 
-class Same:
-    """The one range of every character of inflated text."""
+def _decoded(body: str) -> bytes:
+    """The bytes of a base64 run without padding; a last character that alone holds no byte is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)].translate(_URL_TO_STANDARD)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
-    def __init__(self, whole: tuple[int, int]):
-        self.whole = whole
 
-    def __getitem__(self, i: int) -> tuple[int, int]:
-        return self.whole
+def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
+    held = b""
+    for part in stream:
+        held += part
+        if len(held) >= WINDOW:
+            yield held
+            held = held[-OVERLAP:]
+    yield held
 
 
-def _texts(layer: Layer, body: str, places) -> list[Layer]:
+def _texts(layer: Layer, body: str, places, squeezed_only: bool = False) -> Iterator[Layer]:
     """The layers of a base64 run; ``places[i]`` is where its character ``i`` stands in the layer."""
     data = _decoded(body)
-    squeezed = _deflated(data)
-    if squeezed is not None:
-        whole = layer.original(places[0], places[len(body) - 1] + 1)
-        return [Layer(m.group().decode(), Same(whole)) for m in _TEXT.finditer(squeezed)]
-    out = []
-    for m in _TEXT.finditer(data):
-        at = [layer.original(places[i * 8 // 6], places[min(len(body), -(-(i + 1) * 8 // 6)) - 1] + 1) for i in range(m.start(), m.end())]
-        out.append(Layer(m.group().decode(), at))
-    return out
-
-
-def _unpacked(layer: Layer) -> list[Layer]:
+    stream = _deflated(data)
+    if stream is not None:
+        whole = (places[0], places[len(body) - 1] + 1)
+        for window in _windows(stream):
+            for m in _TEXT.finditer(window):
+                yield Layer(m.group().decode(), layer, [(0, lambda i: whole)])
+    elif not squeezed_only:
+        for m in _TEXT.finditer(data):
+            yield Layer(m.group().decode(), layer, [(0, _bits(places, len(body), m.start()))])
+
+
+def _unpacked(layer: Layer) -> Iterator[Layer]:
     """Layers of the text, or compressed text, in base64 runs.
 
-    Lines that are joined may begin before the run does: they are decoded from the first line of
-    each alignment, and from every line that begins like compressed data.
+    A run may be joined to what stands before it by a sign of its alphabet: it is decoded in all four alignments,
+    and as compressed data from behind every such sign. Lines that are joined may begin before the run does, too: they
+    are decoded from the first line of each alignment, and from every line that begins like compressed data.
     """
-    out = []
     for m in _BASE64.finditer(layer.text):
-        out += _texts(layer, m.group().rstrip("="), range(m.start(), m.end()))
+        body = m.group().rstrip("=")
+        for first in range(4):
+            yield from _texts(layer, body[first:], range(m.start() + first, m.end()))
+        for sign in _JOINT.finditer(body):
+            first = sign.end()
+            if first > 3 and _squeezed(_decoded(body[first : first + 4])):
+                yield from _texts(layer, body[first:], range(m.start() + first, m.end()), squeezed_only=True)
     if "\n" not in layer.text:
-        return out
+        return
     for m in _WRAPPED.finditer(layer.text):
         if m.end() - m.start() < 16:
             continue
         pieces = [(p.start(), p.end()) for p in _PIECE.finditer(layer.text, m.start(), m.end())]
         body = "".join([layer.text[a:b] for a, b in pieces])
-        places = [i for a, b in pieces for i in range(a, b)]
+        places = array("q", (i for a, b in pieces for i in range(a, b)))
         aligned, first = set(), 0
         for a, b in pieces[:-1]:
             fresh = first % 4 not in aligned
             aligned.add(first % 4)
             if fresh or _squeezed(_decoded(body[first : first + 4])):
-                out += _texts(layer, body[first:], places[first:])
+                yield from _texts(layer, body[first:], places[first:])
             first += b - a
-    return out
+
+
+def _layers(layer: Layer, found: set) -> Iterator[Layer]:
+    for sign, *unwrap in (("%", _PERCENT, _percent, _DEEP_PERCENT, 2), ("\\", _ESCAPE, _escaped, _DEEP_ESCAPE, 5)):
+        if sign in layer.text:
+            layers, skipped = _replaced(layer, *unwrap)
+            found.update(skipped)
+            yield from layers
+    yield from _unpacked(layer)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -234,15 +306,8 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     found, seen, work = set(base), set(), [Layer(text)]
     while work:
         layer = work.pop()
-        new = []
-        for sign, *unwrap in (("%", _PERCENT, _percent, _DEEP_PERCENT, 2), ("\\", _ESCAPE, _escaped, _DEEP_ESCAPE, 5)):
-            if sign in layer.text:
-                layers, skipped = _replaced(layer, *unwrap)
-                new += layers
-                found.update(skipped)
-        new += _unpacked(layer)
-        for x in new:
-            key = (x.text, x.at[0], x.at[-1])
+        for x in _layers(layer, found):
+            key = (hash(x.text), len(x.text), x.original(0, len(x.text)))
             if key in seen:
                 continue
             seen.add(key)

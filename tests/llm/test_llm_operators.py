@@ -385,6 +385,49 @@ def test_wrapped_base64_is_joined(pack, width, before, newline):
         assert joined in coded and len(joined) <= len(SECRET) * 4 / 3 + 4
 
 
+@pytest.mark.parametrize("sign", ["-", "_", "/", "+", "x-", "ab/", "abc_"])
+@pytest.mark.parametrize("pack", ["base64", "gzip", "zlib"])
+def test_runs_joined_to_a_prefix(sign, pack):
+    encoded = LAYERS[pack](SECRET)
+    text = f"see blob{sign}{encoded} end"
+    spans = [(a, b) for a, k, b in secrets.all_spans(text)[1] if k == 0]
+    assert any(4 <= a < b <= len(text) - 4 for a, b in spans)
+
+
+def test_percent_runs_with_bytes_that_are_not_utf8():
+    text = "a %FF%74%6F%6B%65%6E%3D%61%62%63%64%65%66%67%68%C3 b"
+    assert secrets.all_spans(text)[1] == [(5, 0, 47)]
+
+
+def test_inflated_data_of_any_size_and_depth(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 15)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12)
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("ghijklmnop qrstuvw") for _ in range(n))
+    for before in (0, 40_000, 200_000, 32_768 - 10, 61_440 - 5):
+        data = f"{noise(before)} {SECRET} {noise(50_000)}".encode()
+        for _ in range(70):
+            data = zlib.compress(data)
+        coded = base64.b64encode(data).decode()
+        found = [(a, k, b) for a, k, b in secrets.all_spans(f"x {coded} y")[1] if k == 0]
+        whole = (2, 0, 2 + len(coded.rstrip("=")))  # data that can't be packed further may be found in parts of the run as well
+        assert whole in found and all(a >= 2 and b == whole[2] for a, _, b in found)
+
+
+def test_long_lines_take_little_memory():
+    import time
+    import tracemalloc
+
+    text = "token%3Dabcdefgh " + "some words of a very long line " * 650_000 + "%70assword=hunter2hunter2"
+    began = time.time()
+    tracemalloc.start()
+    _, found = secrets.all_spans(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len([x for x in found if x[1] == 0]) == 2
+    assert len(text) > 20_000_000 and peak < 200_000_000 and time.time() - began < 60
+
+
 def test_secret_query_awkward(spark):
     docs = awkward(spark)
     got = secrets.secret_spans(docs).toPandas()
