@@ -13,7 +13,7 @@ the next range's first one, which is sent to both. Texts are shuffled once, comp
 
 Defined cases: a null text counts as empty; an empty text's fingerprint is all zeros (two empty
 texts are alike, likeness 1); a text shorter than k is one k-mer; a null doc_id comes last in the
-order; rows that share a doc_id are ordered by text; a lone document is its own next; extra
+order; rows that share a doc_id are in the order of their compressed texts' bytes, and of one range; a lone document is its own next; extra
 columns are ignored; an empty table gives an empty result.
 """
 

@@ -127,23 +127,30 @@ def encoder(path: str) -> WordEncoder:
     return _worker["encoder"]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and a 0, cut at the capacity."""
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and a 0, cut at the capacity.
+
+    ``ids`` are little-endian unsigned 32-bit integers.
+    """
+    kinds = f"{PIECE}, ids binary" if ids else PIECE
 
     def cut(batches):
         own, width = encoder(tokenizer), 4 * capacity
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            out = {k.split()[0]: [] for k in kinds.split(", ")}
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = own.encode(text) + b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    for k, v in zip(out, (doc_id, piece, at >> 2, len(part) >> 2, zlib.crc32(part)), strict=True):
+                whole = own.encode(text) + b"\0\0\0\0"
+                for piece, at in enumerate(range(0, len(whole), width)):
+                    part = whole[at : at + width]
+                    for k, v in zip(out, (doc_id, piece, at >> 2, len(part) >> 2, zlib.crc32(part), part), strict=False):
                         out[k].append(v)
             yield out
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return map_rows(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long", batch_rows=500)
+    return map_rows(rows, cut, kinds, batch_rows=500)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -221,9 +228,9 @@ def _ranked(rows: DataFrame, total: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
-    rows = checkpointed(pieces(docs, tokenizer, capacity, id_col, text_col))
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row per piece."""
+    rows = checkpointed(pieces(docs, tokenizer, capacity, id_col, text_col, ids))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, bins = plan(histogram, capacity)
     runs.sort()
@@ -237,12 +244,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
             length, rank = (batch[c].to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             run = runs[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
             turn, nth = np.divmod(rank - run[:, 1], run[:, 3])
-            yield {k: batch[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")} | {
+            yield {k: batch[k] for k in names} | {
                 "sequence_id": pa.array(run[:, 2] + turn),
                 "offset": pa.array(run[:, 4] + nth * length),
             }
 
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    kinds = f"{PIECE}, ids binary" if ids else PIECE
     names = [k.split()[0] for k in kinds.split(", ")]
     ranked = _ranked(rows.where(F.col("length") < capacity), sum(histogram.values()))
     placed = map_rows(ranked.select(*names, "rank"), look_up, f"{kinds}, sequence_id long, offset long", batch_rows=1 << 16)
@@ -251,3 +258,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         *names, (F.monotonically_increasing_id() + F.lit(bins)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     return placed.union(full)
+
+
+def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(sequence_id, length, ids, parts): the packed sequences themselves, one row each.
+
+    ``ids`` are the token ids as little-endian unsigned 32-bit integers, ``parts`` (offset, doc_id, piece) in order.
+    A sequence has ``capacity`` pieces at most, so no group grows.
+    """
+    part = F.struct("offset", "doc_id", "piece", "ids")
+    grouped = pack(docs, tokenizer, capacity, id_col, text_col, ids=True).groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(part)).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda whole, x: F.concat(whole, x["ids"]))
+    parts = F.transform("p", lambda x: F.struct(x["offset"].alias("offset"), x["doc_id"].alias("doc_id"), x["piece"].alias("piece")))
+    return grouped.select("sequence_id", "length", joined.alias("ids"), parts.alias("parts"))

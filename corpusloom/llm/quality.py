@@ -10,7 +10,7 @@ labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null text counts as empty and gets the score of the bias; a null doc_id is never
 trained on and counts as held out = false; repeated rows get equal scores; labels without a
-document or a value are ignored; with no usable labels every score is 0.5; extra columns are ignored.
+document or a value are ignored, of several labels of one doc_id the greatest counts; with no usable labels every score is 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import urllib.parse
@@ -161,6 +162,27 @@ def test_packing_plan_is_a_packing():
         assert bins <= 11 / 9 * least + 2 or 2 * max(lengths) > capacity
 
 
+def test_packed_sequences_hold_the_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 3"))
+    path = P.path("word_bpe_49k.json")
+    library = packing.WordEncoder(path)
+    text_of = dict(docs.toPandas().fillna("").values.tolist())
+    got = packing.sequences(docs, path).collect()
+    seen = Counter()
+    for row in got:
+        ids = np.frombuffer(row.ids, "<u4")
+        assert len(ids) == row.length <= packing.CAPACITY and row.parts[0].offset == 0
+        stops = [p.offset for p in row.parts[1:]] + [row.length]
+        for part, stop in zip(row.parts, stops):
+            whole = np.frombuffer(library._library([text_of[part.doc_id]])[0] + b"\0\0\0\0", "<u4")
+            at = part.piece * packing.CAPACITY
+            assert (ids[part.offset : stop] == whole[at : at + packing.CAPACITY]).all()
+            seen[part.doc_id, part.piece] += 1
+    packed = packing.pack(docs, path).toPandas()
+    assert seen == Counter(zip(packed.doc_id, packed.piece)) and len(got) == packed.sequence_id.nunique()
+
+
 def test_packing_whole(spark, sf_dir):
     path = P.path("word_bpe_49k.json")
     library = packing.WordEncoder(path)
@@ -274,6 +296,60 @@ def test_order_minhash(spark, sf_dir):
     assert order_minhash.compare_neighbours(docs.limit(0)).count() == 0
 
 
+def plain_order_minhash(text):
+    """Order MinHash by loops: numbered k-mers, the two least of each order, in text order, as a tuple."""
+    mask = (1 << 64) - 1
+    codes = [ord(c) for c in text]
+    if not codes:
+        return [0] * order_minhash.COMPONENTS
+    k = min(order_minhash.K, len(codes))
+    seen, numbered = Counter(), []
+    for at in range(len(codes) - k + 1):
+        h = 0x9E3779B97F4A7C15
+        for c in codes[at : at + k]:
+            h = (h ^ c) * 0x100000001B3 & mask
+            h ^= h >> 29
+        h >>= 24
+        mixed = (h ^ (seen[h] * 0x9E3779B97F4A7C15 & mask)) * 0xFF51AFD7ED558CCD & mask
+        seen[h] += 1
+        numbered.append((((mixed ^ mixed >> 33) >> 8) & 0xFFFFFFFF, h, at))
+    out = []
+    for xor, times in zip(order_minhash._XOR.tolist(), order_minhash._TIMES.tolist()):
+        ranked = sorted(numbered, key=lambda x: ((x[0] ^ xor) * times & 0xFFFFFFFF, x[1], x[2]))[:2]
+        pair = [x[0] for x in sorted(ranked, key=lambda x: x[2])]
+        pair = pair * 2 if len(pair) == 1 else pair
+        out.append((pair[0] * 0x9E3779B97F4A7C15 + pair[1]) * 0xC2B2AE3D27D4EB4F % (1 << 64) >> 32)
+    return out
+
+
+def test_order_minhash_matches_plain_loops(sf_dir):
+    rng = random.Random(4)
+    texts = ["", "a", "short", "eight ch", "ninechars", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "éß漢字🙂 mixed 漢字🙂", "abab" * 30]
+    texts += ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 300))) for _ in range(40)] + documents(sf_dir).text.str[:700].tolist()[:30]
+    for text in texts:
+        assert order_minhash.fingerprint(text).tolist() == plain_order_minhash(text), text
+
+
+def test_order_minhash_neighbours_match_plain_loops(spark, sf_dir):
+    own = documents(sf_dir).sort_values("doc_id", ascending=False).reset_index(drop=True)
+    got = queries.op5_order_minhash(spark, sf_dir).toPandas().set_index("doc_id")
+    assert len(got) == len(own)
+    for i, row in own.iterrows():
+        after = own.text[(i + 1) % len(own)]
+        edited = order_minhash.edited_text(row.text, after)
+        a, b, c = (order_minhash.fingerprint(x) for x in (row.text, edited, after))
+        r = got.loc[row.doc_id]
+        assert r.fingerprint == order_minhash.written(a) and r.edited_fingerprint == order_minhash.written(b)
+        assert (r.near_edited, r.near_next, r.n_chars) == ((a == b).mean(), (a == c).mean(), len(row.text))
+
+
+def test_order_minhash_of_null_and_shared_ids(spark):
+    rows = [(None, "one text here"), (None, "two texts here"), (3, "three"), (3, "three"), (3, "third text")]
+    got = order_minhash.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got.fingerprint) == sorted(order_minhash.written(order_minhash.fingerprint(t)) for _, t in rows)
+    assert got.doc_id.isna().sum() == 2
+
+
 def test_order_minhash_sees_order_and_repeats():
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
@@ -452,6 +528,66 @@ def test_quality_on_held_out_labels(spark, sf01_dir):
     assert both[both.quality == 1].predicted.mean() > 0.97
 
 
+def plain_ftrl(examples):
+    """FTRL-proximal by loops over dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+    labels = [y for _, y in examples]
+    bias = (1 << quality.BITS)
+
+    def weight(i):
+        l1 = 0.0 if i == bias else quality.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        sign = (z[i] > 0) - (z[i] < 0)
+        return -(z[i] - sign * l1) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for x, y in examples:
+            x = {**x, bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = len(labels) / (2 * max(1, labels.count(y))) * (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return weight, bias
+
+
+def plain_features(text):
+    """Counts of unigrams and bigrams of words and shapes in hashed slots, as 1 + log, of unit length."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    words = [zlib.crc32(t.encode()) for t in tokens]
+    shapes = [zlib.crc32(("\x00" + quality._shape(t)).encode()) for t in tokens]
+    pair = lambda a, b: (a * 0x9E3779B1 + b * 0x85EBCA77) % (1 << 64) >> 13
+    grams = words + shapes + [pair(*x) for x in zip(words, words[1:])] + [pair(*x) for x in zip(shapes, shapes[1:])]
+    grams += [quality._TWICE for a, b in zip(words, words[1:]) if a == b]
+    counts = Counter(g & ((1 << quality.BITS) - 1) for g in grams)
+    length = math.sqrt(sum((1 + math.log(c)) ** 2 for c in counts.values()))
+    return {i: (1 + math.log(c)) / length for i, c in counts.items()}
+
+
+def test_quality_matches_plain_loops(spark, sf_dir):
+    own = documents(sf_dir)
+    labels = pd.read_parquet(f"{sf_dir}/labels.parquet").dropna(subset=["quality"])
+    used = own.merge(labels[[zlib.crc32(str(i).encode()) % 5 != 0 for i in labels.doc_id]], on="doc_id")
+    used = sorted(used.itertuples(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    weight, bias = plain_ftrl([(plain_features(r.text), int(r.quality)) for r in used])
+    got = queries.op8_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    assert len(got) == len(own)
+    for row in own.itertuples():
+        s = weight(bias) + sum(weight(i) * v for i, v in plain_features(row.text).items())
+        assert abs(got.score[row.doc_id] - 1 / (1 + math.exp(-s))) < 1e-4
+        assert got.held_out[row.doc_id] == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_quality_of_conflicting_labels(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad ### ###")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    two = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (7, 1)], "doc_id long, quality int")
+    assert (quality.fit(docs, one) == quality.fit(docs, two)).all()
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
     docs = awkward(spark)
