@@ -245,8 +245,9 @@ def _ends(places: DataFrame, least: int) -> DataFrame:
         left, right = np.flatnonzero(joined & may[1:]) + 1, np.flatnonzero(joined & may[:-1])
         return _sides(t, left, right) | {"other": np.concatenate([kind[left - 1], kind[right + 1]])}
 
-    ways = _by_document(places, inner, f"{kinds}, other long").join(ends.select("class_id", "right").distinct(), ["class_id", "right"], "left_semi")
+    ways = _by_document(places, inner, f"{kinds}, other long")
     one = ways.groupBy("class_id", "right", "other").agg(F.min(F.struct("own", "row", "place", "edge")).alias("m"))
+    one = checkpointed(one).join(checkpointed(ends.select("class_id", "right").distinct()), ["class_id", "right"], "left_semi")
     return checkpointed(ends.unionByName(one.select("m.*", "right", "class_id")).dropDuplicates(["edge"]))
 
 
