@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import measures as M
 from corpusloom.functions import text as T
-from corpusloom.operators.sample import draw, numbered
-
-COLLECT_GROUPS = 2_000_000
+from corpusloom.operators.sample import draw, group_rank, numbered
+from corpusloom.session import checkpointed
 
 
 def group_quality(df: DataFrame, column: str) -> tuple[int, float]:
@@ -32,23 +31,48 @@ def choose_groups(df: DataFrame, candidates: Sequence[str], key: str, text: str,
     return df.withColumn("group_key", M.source_bucket(F.col(text))), "source_bucket"
 
 
-def balanced_group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): groups from the largest down, each to the lightest fold, the lowest of equal ones.
+def fold_plan(histogram: dict[int, int], k: int) -> list[tuple[int, int, list[int]]]:
+    """(size, first rank, folds in turn): which fold the groups of a size get, by their rank among the groups of that size.
 
-    Only group sizes reach the driver, and only up to a checked number of groups; beyond that
-    groups are dealt by a stable hash, which balances as well among so many.
+    Groups go from the largest down, each to the lightest fold, the lowest of equal ones. Groups of
+    one size add the same to every fold, so the folds they reach take turns, in the order of their weights; another fold joins
+    once the turns have come up to it. A size has at most ``k`` such runs, however many groups it has.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    if sizes.count() > COLLECT_GROUPS:
-        return sizes.select(group, (T.stable_hash(F.col(group)) % k).cast("int").alias("fold"))
-    rows = sorted(((r["n"], r[0]) for r in sizes.collect()), key=lambda x: (-x[0], x[1] is not None, x[1]))
     weights, out = [0] * k, []
-    for n, key in rows:
-        fold = min(range(k), key=lambda i: (weights[i], i))
-        weights[fold] += n
-        out.append((key, fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
+    for size in sorted(histogram, reverse=True):
+        left, rank = histogram[size], 0
+        while left:
+            lowest = min(weights)
+            turns = sorted((i for i in range(k) if weights[i] < lowest + size), key=lambda i: (weights[i], i))
+            above = [w for w in weights if w >= lowest + size]
+            # Whole rounds until a round would start at or above another fold.
+            rounds = left // len(turns)
+            if above:
+                rounds = min(rounds, max(1, (min(above) - max(weights[i] for i in turns)) // size))
+            rounds = max(1, rounds)
+            count = min(left, rounds * len(turns))
+            out.append((size, rank, turns))
+            for j, i in enumerate(turns):
+                weights[i] += size * (count // len(turns) + (j < count % len(turns)))
+            left, rank = left - count, rank + count
+    return out
+
+
+def balanced_group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): groups from the largest down (of equal ones by key, null first), each to the lightest fold, the lowest of equal ones.
+
+    The driver plans on the histogram of group sizes alone; groups are ranked within their size and looked up where they are.
+    """
+    sizes = checkpointed(df.groupBy(group).agg(F.count("*").alias("n")))
+    histogram = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    runs = sorted(fold_plan(histogram, k))
+    kind = "size long, first long, folds array<int>, after long"
+    after = [b[1] if b[0] == a[0] else 1 << 62 for a, b in zip(runs, [*runs[1:], (None, 0, None)], strict=True)]
+    plan = df.sparkSession.createDataFrame([(size, first, folds, stop) for (size, first, folds), stop in zip(runs, after, strict=True)], kind)
+    ranked = group_rank(sizes, "n", [F.col(group).isNotNull(), F.col(group)], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    joined = ranked.join(plan, (F.col("n") == F.col("size")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("after")))
+    turn = ((F.col("_rank") - F.col("first")) % F.size("folds")).cast("int")
+    return joined.select(group, F.get("folds", turn).alias("fold"))
 
 
 def shuffled_folds(df: DataFrame, key: str, k: int, seed: str) -> DataFrame:

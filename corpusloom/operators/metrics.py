@@ -22,6 +22,7 @@ ORDERS, CHAR_ORDERS, WORD_ORDERS = 4, 6, 2
 WIDTH = 2 + 2 * ORDERS + 3 * (CHAR_ORDERS + WORD_ORDERS)
 SIGNATURE = "bleu:nrefs:1|tok:13a|smooth:exp|eff:no;chrf:nc:6|nw:2|beta:2|space:no|eff:yes"
 
+#: The published mteval v13a replacements and patterns.
 _UNESCAPE = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 _SPLIT = (
     (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
@@ -29,6 +30,7 @@ _SPLIT = (
     (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
     (re.compile(r"([0-9])(-)"), r"\1 \2 "),
 )
+#: The marks that a word is split from.
 _PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -56,52 +58,92 @@ def chrf_words(text: str) -> list[str]:
 
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-def _matches(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the multiset intersection."""
-    if not len(a) or not len(b):
-        return 0
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int(np.minimum(n, np.where(y[at] == x, m[at], 0)).sum())
-
-
-def _orders(a: np.ndarray, b: np.ndarray, orders: int):
-    """(n-grams of a, of b, in both) for n from 1 on; items are numbers, an n-gram is its 64-bit hash."""
-    a, b = (x.astype(np.uint64) * _MIX for x in (a, b))
-    x, y = a, b
-    for n in range(1, orders + 1):
-        if n > 1:
-            x = ((x[:-1] ^ (x[:-1] >> np.uint64(29))) * _STEP + a[n - 1 :]) if len(x) > 1 else x[:0]
-            y = ((y[:-1] ^ (y[:-1] >> np.uint64(29))) * _STEP + b[n - 1 :]) if len(y) > 1 else y[:0]
-        yield len(x), len(y), _matches(x, y)
-
-
-def _numbered(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+#: Rows that are counted at once: their number, and the hash of an n-gram, share 63 bits; and characters, for memory.
+_ROWS, _CHARS = 1 << 11, 1 << 20
+
+
+class _Side:
+    """Sequences of many rows, one behind the other, as numbers; ``grow`` makes their n-grams one longer."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        sizes = [len(s) for s in sequences]
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.concatenate([np.empty(0, np.uint64), *sequences]).astype(np.uint64) * _MIX
+        self.gram, self.n = self.first, 1
+
+    def grow(self) -> None:
+        """An n-gram is its 64-bit hash; those that would reach into the next row go."""
+        self.n += 1
+        k = max(0, len(self.first) - self.n + 1)
+        gram = ((self.gram[:k] ^ (self.gram[:k] >> np.uint64(29))) * _STEP) + self.first[self.n - 1 :]
+        self.gram = gram
+        self.whole = self.row[:k] == self.row[self.n - 1 :]
+
+    def keys(self, side: int) -> np.ndarray:
+        """Row, hash and side in one number, for each n-gram."""
+        row, gram = (self.row, self.gram) if self.n == 1 else (self.row[: len(self.gram)][self.whole], self.gram[self.whole])
+        mixed = (gram ^ (gram >> np.uint64(31))) * _MIX
+        return row.astype(np.uint64) << np.uint64(53) | mixed >> np.uint64(12) << np.uint64(1) | np.uint64(side)
+
+
+def _orders(hypotheses: list[np.ndarray], references: list[np.ndarray], orders: int):
+    """Per order and row: n-grams of the hypothesis, of the reference, in both (as multisets)."""
+    rows, (a, b) = len(hypotheses), (_Side(hypotheses), _Side(references))
+    of_row = lambda keys, weights=None: np.bincount((keys >> np.uint64(53)).astype(np.int64), weights, minlength=rows).astype(np.int64)
+    for n in range(orders):
+        if n:
+            a.grow()
+            b.grow()
+        x, y = a.keys(0), b.keys(1)
+        both = np.sort(np.concatenate([x, y]))
+        gram = both >> np.uint64(1)
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+        theirs = np.add.reduceat((both & np.uint64(1)).astype(np.int64), starts) if len(gram) else starts
+        total = np.diff(np.append(starts, len(both)))
+        yield of_row(x), of_row(y), of_row(both[starts], np.minimum(theirs, total - theirs))
+
+
+def _numbered(*sides: list[list[str]]) -> list[list[np.ndarray]]:
     ids: dict[str, int] = {}
-    return tuple(np.array([ids.setdefault(w, len(ids) + 1) for w in side], np.uint64) for side in (a, b))
+    return [[np.array([ids.setdefault(w, len(ids) + 1) for w in text], np.uint64) for text in side] for side in sides]
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer("".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def pair_statistics(hypothesis: str, reference: str) -> list[int]:
-    """The counts of one row, ``WIDTH`` of them."""
-    hyp, ref = tokenize_13a(hypothesis), tokenize_13a(reference)
+def batch_statistics(hypotheses: list[str], references: list[str]) -> np.ndarray:
+    """The counts of each row, ``WIDTH`` of them."""
+    hyp, ref = ([tokenize_13a(t) for t in side] for side in (hypotheses, references))
     own = list(_orders(*_numbered(hyp, ref), ORDERS))
-    out = [len(hyp), len(ref), *[m for *_, m in own], *[n for n, *_ in own]]
-    for counts in _orders(_codes(hypothesis), _codes(reference), CHAR_ORDERS):
+    out = [[len(t) for t in hyp], [len(t) for t in ref], *[m for *_, m in own], *[n for n, *_ in own]]
+    for counts in _orders([_codes(t) for t in hypotheses], [_codes(t) for t in references], CHAR_ORDERS):
         out += counts
-    for counts in _orders(*_numbered(chrf_words(hypothesis), chrf_words(reference)), WORD_ORDERS):
+    words = _numbered([chrf_words(t) for t in hypotheses], [chrf_words(t) for t in references])
+    for counts in _orders(*words, WORD_ORDERS):
         out += counts
-    return out
+    return np.array(out, np.int64).T
+
+
+def pair_statistics(hypothesis: str, reference: str) -> list[int]:
+    return batch_statistics([hypothesis], [reference])[0].tolist()
 
 
 def _statistics(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
-    return pd.Series([pair_statistics(h or "", r or "") for h, r in zip(hypotheses, references, strict=True)])
+    """Equal pairs of a batch are counted once."""
+    pairs: dict[tuple[str, str], int] = {}
+    at = [pairs.setdefault((h or "", r or ""), len(pairs)) for h, r in zip(hypotheses, references, strict=True)]
+    parts, held, size = [], [], 0
+    for pair in pairs:
+        if held and (len(held) == _ROWS or size + len(pair[0]) + len(pair[1]) > _CHARS):
+            parts.append(batch_statistics(*map(list, zip(*held, strict=True))))
+            held, size = [], 0
+        held.append(pair)
+        size += len(pair[0]) + len(pair[1])
+    if held:
+        parts.append(batch_statistics(*map(list, zip(*held, strict=True))))
+    counts = np.concatenate(parts) if parts else np.empty((0, WIDTH), np.int64)
+    return pd.Series(list(counts[at]))
 
 
 def with_statistics(df: DataFrame, hypothesis: str, reference: str, name: str = "stats") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import stable_hash
+from corpusloom.session import checkpointed
 
 
 def draw(key: str, seed: str) -> Column:
@@ -30,17 +31,24 @@ def numbered(df: DataFrame, key: str, name: str = "_pos") -> DataFrame:
     """Rows with their place 0, 1, .. in the order of ``key``, without one global window.
 
     Range partitions are numbered by themselves and shifted by the counts before them (a number
-    per partition).
+    per partition). They are checkpointed, so that counts and numbers are of the same partitions, whatever is run again.
     """
-    ranged = df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
-    before = W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
-    shift = parts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), "_shift")
+    ranged = checkpointed(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     own = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(key)))
-    joined = own.join(shift, own["_part"] == shift["_p"])
+    joined = own.join(F.broadcast(shift), own["_part"] == shift["_p"])
     return joined.withColumn(name, (F.col("_shift") + F.col("_rn") - 1).cast("long")).drop("_part", "_p", "_shift", "_rn")
 
 
+def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: the value at place round(share * (n - 1)), halves to even; none of an empty frame."""
+    n = df.where(F.col(value).isNotNull()).count()
+    placed = numbered(df.select(value).where(F.col(value).isNotNull()), value)
+    return placed.where(F.col("_pos") == round(share * (n - 1))).select(value)
+
+
 def group_rank(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
     """Rows with their rank 1, 2, .. within the group, also where a few groups hold all rows.
 
@@ -99,11 +107,13 @@ def shuffle_column(df: DataFrame, key: str, column: str, seed: str) -> DataFrame
 
 
 def stratified_draws(df: DataFrame, stratum: str, key: str, need: DataFrame, rounds: int, seed: str, total: int) -> DataFrame:
-    """(iteration, key): per iteration ``need`` rows of each stratum, topped up from the rest to ``total``."""
-    runs = df.sparkSession.range(rounds).select(F.col("id").alias("iteration"))
-    each = df.select(stratum, key).crossJoin(F.broadcast(runs))
+    """(iteration, key): per iteration ``need`` rows of each stratum, topped up from the rest to ``total``.
+
+    Each iteration keeps the first ``total`` rows of a stratum at most, cut where they are, before strata are combined.
+    """
+    each = df.select(stratum, key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("iteration"))
     order = F.md5(F.concat_ws("|", F.lit(seed), "iteration", F.col(key).cast("string")).cast("binary"))
-    ranked = each.withColumn("_d", order).withColumn("_rn", F.row_number().over(W.partitionBy("iteration", stratum).orderBy("_d")))
+    ranked = each.withColumn("_d", order).withColumn("_rn", F.row_number().over(W.partitionBy("iteration", stratum).orderBy("_d"))).where(F.col("_rn") <= total)
     marked = ranked.join(F.broadcast(need), stratum, "left").withColumn("_in", F.col("_rn") <= F.coalesce("need", F.lit(0)))
     final = W.partitionBy("iteration").orderBy(F.desc("_in"), "_d")
     return marked.withColumn("_k", F.row_number().over(final)).where(F.col("_k") <= total).select("iteration", key)
@@ -133,9 +143,15 @@ def prefix_split(df: DataFrame, order: str, ratio: float, least: int = 32) -> Da
 def prefix_to_target(groups: DataFrame, size: str, order: str, target: int) -> DataFrame:
     """The groups of the cumulative prefix whose size is nearest to ``target``; of equal gaps the longer one.
 
-    ``groups`` is a small frame, one row per group.
+    Sums run within range partitions and are shifted by the sums before them (a number per partition).
     """
-    running = groups.withColumn("cum", F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    ranged = checkpointed(groups.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum(size).alias("_s"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
+    own = F.sum(size).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    running = ranged.withColumn("cum", own).join(F.broadcast(shift), F.col("_part") == F.col("_p"))
+    running = running.withColumn("cum", F.col("cum") + F.col("_shift")).drop("_part", "_p", "_shift")
     gap = F.abs(F.col("cum") - target)
     best = running.agg(F.min(F.struct(gap.alias("g"), (-F.col("cum")).alias("c"))).alias("b")).select((-F.col("b.c")).alias("_best"), F.col("b.g").alias("_gap"))
-    return running.crossJoin(best).where((F.col("cum") <= F.col("_best")) & (F.col("_gap") <= target)).drop("_best", "_gap")
+    return running.crossJoin(F.broadcast(best)).where((F.col("cum") <= F.col("_best")) & (F.col("_gap") <= target)).drop("_best", "_gap")

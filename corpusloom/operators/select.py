@@ -12,7 +12,8 @@ from corpusloom.functions import measures as M
 from corpusloom.functions import seq
 from corpusloom.functions import text as T
 from corpusloom.operators import metrics as S
-from corpusloom.operators.sample import group_rank
+from corpusloom.operators.sample import numbered, order_statistic
+from corpusloom.session import checkpointed
 
 #: Actions in the order that breaks ties.
 ACTIONS = ["pass_a_prediction", "selective_patch_light", "looptrim_concat", "raw_concat"]
@@ -140,8 +141,12 @@ def apply_policy(df: DataFrame, policy: DataFrame, bucket: str, actions: Sequenc
 
 
 def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], least_ratio: float = 0.85, least_gain: int = 1, threshold: float = 1.0, cap: int = -1) -> DataFrame:
-    """Rows with the chosen text: the best candidate by score where it passes, for the ``cap`` best rows (-1: all)."""
-    c0, of = F.col(base), lambda k, n: F.col(f"_{k}_{n}")
+    """Rows with the chosen text: the best candidate by score where it passes, for the ``cap`` best rows (-1: all).
+
+    ``gate_rank`` and ``gate_score`` are of the rows that pass, the rank up to the cap. Texts are measured once; ranks are found
+    on keys and scores alone.
+    """
+    df0, of = df, lambda k, n: F.col(f"_{k}_{n}")
 
     def option(i: int, name: str) -> Column:
         gain = of("r", base) - of("r", name)
@@ -152,29 +157,48 @@ def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], leas
     df = measured(df, [base, *candidates])
     best = F.array_max(F.filter(F.array(*[option(i, n) for i, n in enumerate(candidates)]), lambda x: x["s"].isNotNull()))
     rows = df.withColumn("_b", best).withColumn("gate_score", F.col("_b.s"))
-    rows = rows.withColumn("_open", F.coalesce(F.col("gate_score") >= threshold, F.lit(False)))
-    rows = group_rank(rows, "_open", [-F.coalesce("gate_score", F.lit(0.0)), F.col(key)], "gate_rank")
-    rows = rows.withColumn("gate_rank", F.when(F.col("_open"), F.col("gate_rank"))).drop("_open")
-    on = F.col("gate_rank").isNotNull() if cap < 0 else F.coalesce(F.col("gate_rank") <= cap, F.lit(False))
-    return unmeasured(rows.withColumn("switched", on).withColumn("chosen", F.when(on, F.col("_b.text")).otherwise(c0)).drop("_b"), [base, *candidates])
+    rows = unmeasured(rows.withColumn("_open", F.coalesce(F.col("gate_score") >= threshold, F.lit(False))), [base, *candidates])
+    scored = checkpointed(rows.where("_open").select(F.col(key).alias("_k"), F.col("gate_score").alias("_s"), F.col("_b.name").alias("_n")))
+    if cap < 0:
+        placed = numbered(scored.withColumn("_o", F.struct((-F.col("_s")).alias("s"), "_k")), "_o").withColumn("gate_rank", F.col("_pos") + 1).drop("_o", "_pos")
+    else:  # ``cap`` rows at most
+        first = scored.orderBy(F.desc("_s"), "_k").limit(cap)
+        placed = F.broadcast(first.withColumn("gate_rank", F.row_number().over(W.orderBy(F.desc("_s"), "_k")).cast("long")))
+    scores = scored.select(F.col("_k").alias("_k2"), F.col("_s").alias("gate_score"))
+    out = df0.join(placed, F.col(key) == F.col("_k"), "left").withColumn("switched", F.col("gate_rank").isNotNull())
+    chosen = F.when(F.col("switched"), column_by_name(F.col("_n"), candidates)).otherwise(F.col(base))
+    return out.withColumn("chosen", chosen).join(scores, F.col(key) == F.col("_k2"), "left").drop("_k", "_k2", "_s", "_n")
 
 
 def gate_grid(df: DataFrame, key: str, base: str, candidate: str, reference: str, ratios: Sequence[float], gains: Sequence[int], thresholds: Sequence[float], caps: Sequence[int]) -> DataFrame:
-    """(parameters, switched, scores) of every row gate of the grid, from statistics taken once a row."""
+    """(parameters, switched, scores) of every row gate of the grid, from statistics taken once a row.
+
+    A cell is the sum over all rows of the base plus, over the rows it switches, what switching changes; capped
+    cells take their best rows, cut where the rows are.
+    """
     rows = S.with_statistics(S.with_statistics(df, base, reference, "_s0"), candidate, reference, "_s1")
     of = lambda k, n: F.col(f"_{k}_{n}")
     gain = of("r", base) - of("r", candidate)
     score = gain + 0.5 * (of("f", base) - of("f", candidate)) + 0.002 * (of("w", candidate) - of("w", base))
-    rows = measured(rows, [base, candidate]).select(key, "_s0", "_s1", gain.alias("_g"), F.round(score, 9).alias("_x"), (of("w", candidate) / F.greatest(of("w", base), F.lit(1))).alias("_r"))
-    grid = [(r, g, t, c) for r in ratios for g in gains for t in thresholds for c in caps]
-    cells = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("ratio", "gain", "threshold", "cap"), (float(a), b, float(t), c), strict=True)]) for a, b, t, c in grid]))
-    long = rows.withColumn("p", cells)
-    ok = (F.col("_r") >= F.col("p.ratio")) & (F.col("_g") >= F.col("p.gain")) & (F.col("_x") >= F.col("p.threshold"))
-    rank = F.row_number().over(W.partitionBy("p", F.col("_ok")).orderBy(F.desc("_x"), key))
-    ranked = long.withColumn("_ok", ok).withColumn("_on", F.col("_ok") & ((F.col("p.cap") < 0) | (rank <= F.col("p.cap"))))
-    picked = ranked.withColumn("stats", F.when(F.col("_on"), F.col("_s1")).otherwise(F.col("_s0")))
-    switched = picked.groupBy("p").agg(F.count_if("_on").alias("switched"))
-    return S.corpus_scores(picked, ["p"]).join(switched, "p").select("p.*", "switched", "n_rows", "bleu", "chrfpp", "geom")
+    change = F.zip_with("_s1", "_s0", lambda a, b: a - b)
+    ratio = of("w", candidate) / F.greatest(of("w", base), F.lit(1))
+    rows = measured(rows, [base, candidate]).select(key, "_s0", change.alias("_s1"), gain.alias("_g"), F.round(score, 9).alias("_x"), ratio.alias("_r"))
+    rows = checkpointed(rows)
+    whole = rows.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(F.col("_s0")[i]), F.lit(0)).alias(f"_b{i}") for i in range(S.WIDTH)])
+    grid = [(float(r), g, float(t), c) for r in ratios for g in gains for t in thresholds for c in caps]
+    cells = df.sparkSession.createDataFrame(grid, "ratio double, gain long, threshold double, cap long")
+    ok = (F.col("_r") >= F.col("ratio")) & (F.col("_g") >= F.col("gain")) & (F.col("_x") >= F.col("threshold"))
+    names = ["ratio", "gain", "threshold", "cap"]
+    listed = F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(c, names, ("double", "long", "double", "long"), strict=True)]) for c in grid]))
+    on = rows.select(key, "_s1", "_g", "_x", "_r", listed.alias("p")).select(key, "_s1", "_g", "_x", "_r", "p.*").where(ok)
+    first = W.partitionBy(*names).orderBy(F.desc("_x"), key)
+    capped = on.where("cap >= 0").withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= max([0, *caps])).where("_rn <= cap").drop("_rn")
+    sums = [F.sum(F.col("_s1")[i]).alias(f"_c{i}") for i in range(S.WIDTH)]
+    switched = on.where("cap < 0").unionByName(capped).groupBy(*names).agg(F.count("*").alias("switched"), *sums)
+    total = F.broadcast(cells).join(switched, names, "left").crossJoin(F.broadcast(whole)).where("n_rows > 0")
+    total = total.withColumns({f"_m{i}": F.col(f"_b{i}") + F.coalesce(F.col(f"_c{i}"), F.lit(0)) for i in range(S.WIDTH)})
+    scored = total.withColumn("bleu", S.bleu()).withColumn("chrfpp", S.chrf())
+    return scored.withColumn("geom", S.geometric(F.col("bleu"), F.col("chrfpp"))).select(*names, F.coalesce("switched", F.lit(0)).alias("switched"), "n_rows", "bleu", "chrfpp", "geom")
 
 
 def shortlist(grid: DataFrame, tolerance: float = 0.03) -> DataFrame:
@@ -187,8 +211,7 @@ def shortlist(grid: DataFrame, tolerance: float = 0.03) -> DataFrame:
 
 def random_policy_p95(scores: DataFrame, value: str) -> DataFrame:
     """The order statistic at round(0.95 * (n - 1)), not interpolated."""
-    ordered = F.array_sort(F.collect_list(value))
-    return scores.agg(ordered.alias("_v")).select(F.get("_v", F.bround((F.size("_v") - 1) * 0.95).cast("int")).alias("p95"))
+    return order_statistic(scores, value, 0.95).select(F.col(value).alias("p95"))
 
 
 def concat_candidates(chunks: DataFrame, parent: str, order: str, text: str) -> DataFrame:

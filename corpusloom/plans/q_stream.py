@@ -9,7 +9,7 @@ from corpusloom.streaming import events as E
 
 @query("X1_stream_tumbling", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def x1(spark, d):
-    return E.run_once(E.tumbling(E.read_events(spark, f"{d}/events.parquet")), "loom_tumbling", scratch(spark, "stream"))
+    return E.run_once(E.tumbling(E.read_events(spark, f"{d}/events.parquet")), scratch(spark, "stream-out"), scratch(spark, "stream"))
 
 
 @query("X2_stream_distinct", "SELECT event_id, event_type FROM events")
@@ -22,7 +22,7 @@ def x2(spark, d):
 
 @query("X3_stream_sessions")
 def x3(spark, d):
-    return E.run_once(E.sessions(E.read_events(spark, f"{d}/events.parquet")), "loom_sessions", scratch(spark, "stream"))
+    return E.run_once(E.sessions(E.read_events(spark, f"{d}/events.parquet")), scratch(spark, "stream-out"), scratch(spark, "stream"))
 
 
 @query("X4_stream_cleaning", "SELECT doc_id, replace(text, chr(9), ' ') AS text FROM documents")

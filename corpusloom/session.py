@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,30 @@ def build_session(app: str = "corpusloom", master: str | None = None, **conf: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only on a local master, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return _LOCAL["folder"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut: what is read twice is then the same twice."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; Spark's reader, so any file system it knows works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

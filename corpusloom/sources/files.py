@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.session import shared_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of the session; a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:

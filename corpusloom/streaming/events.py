@@ -38,11 +38,13 @@ def cleaned(texts: DataFrame, rules: clean.Rules = clean.Rules()) -> DataFrame:
     return clean.clean(texts, rules=rules)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the streaming engine, as a table in memory: for tests and small results."""
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, through the streaming engine; each batch's whole result replaces the last one at ``path``."""
+    spark, schema = stream.sparkSession, stream.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_files(stream: DataFrame, path: str, checkpoint: str):
