@@ -27,7 +27,7 @@ from corpusloom.llm.common import map_rows, text_of
 
 BITS = 18
 TRAIN_ROWS = 8_000
-CACHE_ROWS = 150_000
+CACHE_ROWS = 60_000
 EPOCHS = 3
 THRESHOLD = 0.3
 FOLDS = 5
