@@ -438,14 +438,20 @@ def r9(spark, d):
     return table(spark, d, "documents").select("doc_id", F.filter(F.transform(F.split("text", r"(?:\n+|(?<=[.!?;:])\s+)"), T.strip), lambda x: x != "").alias("sentences"))
 
 
+def _sentence_pairs(spark, d):
+    """Texts beside themselves, with other marks between their sentences and some of them gone."""
+    source = F.replace(F.replace("target", F.lit(". "), F.lit("; ")), F.lit("; T"), F.lit(" T"))
+    return X.pairs(spark, d).select("id", source.alias("source"), "target")
+
+
 @query("R10_length_alignment")
 def r10(spark, d):
-    return C.aligned_segments(X.pairs(spark, d), "id")
+    return C.aligned_segments(_sentence_pairs(spark, d), "id")
 
 
 @query("F8_aligned_filter")
 def f8(spark, d):
-    return C.filter_aligned(C.aligned_segments(X.pairs(spark, d), "id"), digits=True)
+    return C.filter_aligned(C.aligned_segments(_sentence_pairs(spark, d), "id"), digits=True)
 
 
 @query("R11_length_ratio", f"WITH {X.PAIRS} SELECT least(5.0, greatest(0.2, quantile_cont((length(target) + 1) / CAST(length(source) + 1 AS DOUBLE), 0.5))) AS alpha FROM pairs")
