@@ -122,14 +122,9 @@ def sanitize(text: str, most: int = 120, tail: int = 20) -> str:
     return shorten_words(collapse_spans(text), most, tail)
 
 
-def repair_gaps(text: str) -> str:
-    whole = re.sub(r"(?<!<)\bgap>", "<gap>", text, flags=re.IGNORECASE)
-    return fold(re.sub(r"<gap>\s*<gap>", "<gap>", whole))
-
-
 def patch_light(text: str) -> str:
-    """Gap marks repaired, spans clamped, formula loops collapsed."""
-    return collapse_formulas(clamp_spans(repair_gaps(text)))
+    """Spans clamped, formula loops collapsed; gap marks are repaired before, by an expression."""
+    return collapse_formulas(clamp_spans(text))
 
 
 #: Repairs of frequent terms.
@@ -142,17 +137,17 @@ _TERM_REPAIRS = [
 
 
 def lexicon_patcher(terms: Sequence[str]) -> Callable[[str], str]:
-    """A function that writes the terms in their canonical form."""
-    rules = list(_TERM_REPAIRS)
-    for term in terms:
-        rules.append((re.compile(rf"(?i)\b{re.escape(term)}\b"), term.replace("\\", r"\\")))
-        if term.startswith("Seal of "):
-            rules.append((re.compile(rf"(?i)\bseal o(?:f)?\s+{re.escape(term[8:])}\b"), term.replace("\\", r"\\")))
+    """A function that writes the terms in their canonical form, in one pass over the text.
+
+    A term is known in any case; after "seal", "o" stands for "of". Of terms that begin at one place the first listed counts.
+    """
+    forms = [re.escape(t) if not t.startswith("Seal of ") else rf"seal of?\s+{re.escape(t[8:])}" for t in terms]
+    known = re.compile(rf"(?i)\b(?:{'|'.join(f'({f})' for f in forms)})\b") if forms else None
 
     def patch(text: str) -> str:
-        for pattern, to in rules:
+        for pattern, to in _TERM_REPAIRS:
             text = pattern.sub(to, text)
-        return fold(text)
+        return fold(known.sub(lambda m: terms[m.lastindex - 1], text) if known else text)
 
     return patch
 
@@ -304,9 +299,13 @@ def source_segments(text: str) -> list[str]:
     return out
 
 
+#: Fixed value: where a translation's sentences end.
+SENTENCE_END = r"(?:\n+|(?<=[\.\!\?;:])\s+)"
+
+
 def target_segments(text: str) -> list[str]:
     text = re.sub("\r\n?", "\n", text).strip()
-    return [p.strip() for p in re.split(r"(?:\n+|(?<=[\.\!\?;:])\s+)", text) if p.strip()]
+    return [p.strip() for p in re.split(SENTENCE_END, text) if p.strip()]
 
 
 MOVES = ((1, 1), (1, 2), (2, 1))

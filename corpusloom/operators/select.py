@@ -223,7 +223,8 @@ def concat_candidates(chunks: DataFrame, parent: str, order: str, text: str) ->
     dedupe = F.filter(F.col("_p"), lambda x, i: (i == 0) | (x != F.element_at("_p", F.greatest(i, F.lit(1)))))
     out = grouped.withColumn("_p", parts).withColumn("raw", F.array_join("_p", " ")).withColumn("_d", F.array_join(dedupe, " "))
     trim = seq.series(seq.patch_light)
-    return out.select(parent, "raw", seq.series(seq.repair_gaps)(F.col("raw")).alias("gapfix"), trim(F.col("raw")).alias("looptrim"), trim(F.col("_d")).alias("looptrim_dedupe"))
+    out = out.select(parent, "raw", T.repair_gaps(F.col("raw")).alias("gapfix"), T.repair_gaps(F.col("_d")).alias("_d"))
+    return out.select(parent, "raw", "gapfix", trim(F.col("gapfix")).alias("looptrim"), trim(F.col("_d")).alias("looptrim_dedupe"))
 
 
 def best_concat(candidates: DataFrame, parent: str, names=("raw", "gapfix", "looptrim", "looptrim_dedupe")) -> DataFrame:

@@ -170,7 +170,7 @@ def t20(spark, d):
 
 @query("T21_selective_patch")
 def t21(spark, d):
-    return table(spark, d, "documents").select("doc_id", seq.series(seq.patch_light)(_loops()).alias("text"))
+    return table(spark, d, "documents").select("doc_id", seq.series(seq.patch_light)(T.repair_gaps(_loops())).alias("text"))
 
 
 @query(
