@@ -9,6 +9,7 @@ from pyspark.sql.functions import udtf
 
 from corpusloom.functions import measures as M
 from corpusloom.functions import seq
+from corpusloom.operators.sample import quantiles
 
 
 def _train_chunks(sources: pd.Series, targets: pd.Series) -> pd.Series:
@@ -65,7 +66,9 @@ def truncation(df: DataFrame, limit: int = 384, source: str = "source", target:
 def length_ratio(df: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """One row: the median length ratio, clamped to 0.2 .. 5."""
     ratio = (F.length(target) + 1) / (F.length(source) + 1)
-    return df.agg(F.least(F.lit(5.0), F.greatest(F.lit(0.2), F.percentile(ratio, F.lit(0.5)))).alias("alpha"))
+    median = F.col("q0")
+    found = quantiles(df.select(ratio.alias("ratio")), "ratio", [0.5])
+    return found.select(F.when(median.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(0.2), median))).alias("alpha"))
 
 
 def aligned_segments(df: DataFrame, key: str, source: str = "source", target: str = "target", alpha: float | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.sample import quantiles
 
 
 def term_counts(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
@@ -111,15 +112,11 @@ def gate_coverage(df: DataFrame, thresholds: Sequence[float], split: str, bucket
 
 
 def score_quantiles(df: DataFrame, split: str, score: str) -> DataFrame:
-    """Per split and overall: p05, p50, p95 and mean, by grouping sets."""
-    sets = df.groupingSets([[F.col(split)], []], F.col(split))
-    return sets.agg(
-        F.count("*").alias("n"),
-        F.percentile(score, F.lit(0.05)).alias("p05"),
-        F.percentile(score, F.lit(0.5)).alias("p50"),
-        F.percentile(score, F.lit(0.95)).alias("p95"),
-        F.avg(score).alias("mean"),
-    ).withColumn(split, F.coalesce(split, F.lit("overall")))
+    """Per split and overall: p05, p50, p95 and mean."""
+    rows = df.select(F.explode(F.array(F.coalesce(F.col(split), F.lit("overall")), F.lit("overall"))).alias(split), F.col(score).alias("_s"))
+    means = rows.groupBy(split).agg(F.count("*").alias("n"), F.avg("_s").alias("mean"))
+    found = quantiles(rows, "_s", [0.05, 0.5, 0.95], [split]).select(split, *[F.col(f"q{i}").alias(p) for i, p in enumerate(("p05", "p50", "p95"))])
+    return means.join(found, split, "left").select(split, "n", "p05", "p50", "p95", "mean")
 
 
 def token_votes(neighbours: DataFrame, tokens: str) -> DataFrame:

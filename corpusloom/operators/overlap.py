@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import measures as M
 from corpusloom.functions import text as T
+from corpusloom.operators.sample import quantiles
 
 
 def membership_flag(df: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
@@ -59,12 +60,8 @@ def best_similarity(df: DataFrame, reference: DataFrame, text: str = "text") ->
 
 def similarity_summary(best: DataFrame, thresholds: Sequence[float] = (0.85, 0.90, 0.92, 0.95)) -> DataFrame:
     c = F.col("max_similarity")
-    return best.agg(
-        F.count("*").alias("n"),
-        F.max(c).alias("most"),
-        F.percentile(c, F.lit(0.95)).alias("p95"),
-        *[F.count_if(c >= t).alias(f"ge_{round(t * 100)}") for t in thresholds],
-    )
+    counts = best.agg(F.count("*").alias("n"), F.max(c).alias("most"), *[F.count_if(c >= t).alias(f"ge_{round(t * 100)}") for t in thresholds])
+    return counts.crossJoin(F.broadcast(quantiles(best, "max_similarity", [0.95]).select(F.col("q0").alias("p95"))))
 
 
 def first_by_priority(frames: Sequence[DataFrame], key: Column, order: str) -> DataFrame:

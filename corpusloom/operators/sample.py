@@ -49,6 +49,26 @@ def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
     return placed.where(F.col("_pos") == round(share * (n - 1))).select(value)
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, q0, q1, ..): exact interpolated quantiles of a group's values, nulls left out; also where values hardly repeat.
+
+    Values are numbered over the whole table in the order of group and value, and each quantile is read at its two places; no
+    task holds a group's distinct values.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    placed = numbered(rows.withColumn("_k", F.struct(*by, "_v")), "_k", "_at").drop("_k")
+    groups = placed.groupBy(*by).agg(F.count("*").alias("n"), F.min("_at").alias("_base"))
+    places = []
+    for i, share in enumerate(shares):
+        at = (F.col("n") - 1) * share
+        low = F.floor(at)
+        places += [F.struct(F.lit(i).alias("i"), (F.col("_base") + low).alias("at"), (low + 1 - at).alias("w")), F.struct(F.lit(i).alias("i"), (F.col("_base") + F.least(low + 1, F.col("n") - 1)).alias("at"), (at - low).alias("w"))]
+    wanted = groups.select(*by, "n", F.explode(F.array(*places)).alias("p")).select(*by, "n", "p.*")
+    read = wanted.join(placed.select(F.col("_at").alias("at"), "_v"), "at", "left")
+    sums = [F.sum(F.when(F.col("i") == i, F.col("w") * F.col("_v"))).alias(f"q{i}") for i in range(len(shares))]
+    return read.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *sums)
+
+
 def group_rank(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
     """Rows with their rank 1, 2, .. within the group, also where a few groups hold all rows.
 
