@@ -2,7 +2,7 @@
 
 The merges of one pre-token: every adjacent pair whose bytes have a rank stands in the bucket
 of that rank; a bucket is a heap of positions in a doubly linked list of parts, so the leftmost
-pair of a rank comes first. A bitmap of non-empty buckets, with 64-bit words in levels, gives the
+pair of a rank comes first. A bitmap of non-empty buckets, in two levels, gives the
 least rank by find-first-set at each level. A merge relinks the list and queues its two new
 pairs; entries whose pair has changed are skipped when they come up. A pre-token of n bytes
 costs O(n log n), however long it is.
@@ -38,42 +38,34 @@ _CUT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _worker: dict = {}
 
 
+WORD = 10  # bits of a place in a word
+_MASK = (1 << WORD) - 1
+_BIT = [1 << i for i in range(1 << WORD)]
+
+
 class RankBitmap:
-    """A set of ranks below ``size`` with its least member in O(levels)."""
+    """A set of ranks below ``size`` with its least member by find-first-set: words of 1024 ranks, and a word of those that aren't empty."""
 
     def __init__(self, size: int):
-        self.levels = []
-        while True:
-            size = (size + 63) >> 6
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-        self.down = self.levels[::-1]
+        self.words, self.top = [0] * ((size >> WORD) + 1), 0
 
     def add(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> 6
-            old = level[word]
-            level[word] = old | 1 << (rank & 63)
-            if old:
-                return
-            rank = word
+        word = rank >> WORD
+        if not self.words[word]:
+            self.top |= 1 << word
+        self.words[word] |= _BIT[rank & _MASK]
 
     def remove(self, rank: int) -> None:
-        for level in self.levels:
-            word = rank >> 6
-            level[word] ^= 1 << (rank & 63)
-            if level[word]:
-                return
-            rank = word
+        word = rank >> WORD
+        self.words[word] ^= _BIT[rank & _MASK]
+        if not self.words[word]:
+            self.top ^= 1 << word
 
     def least(self) -> int:
         """The least rank of a set that is not empty."""
-        at = 0
-        for level in self.down:
-            word = level[at]
-            at = (at << 6) + (word & -word).bit_length() - 1
-        return at
+        word = (self.top & -self.top).bit_length() - 1
+        ranks = self.words[word]
+        return (word << WORD) + (ranks & -ranks).bit_length() - 1
 
 
 class RankQueue:
@@ -82,34 +74,51 @@ class RankQueue:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bitmap = RankBitmap(max(ranks.values()) + 1)
-        self.buckets: dict[int, list[int]] = {}
+        self.pairs = {(p[0] << 8) + p[1]: r for p, r in ranks.items() if len(p) == 2}
 
     def encode(self, piece: bytes) -> list[int]:
         ranks, n = self.ranks, len(piece)
         if piece in ranks:
             return [ranks[piece]]
-        find, buckets, bitmap = ranks.get, self.buckets, self.bitmap
+        # The bitmap's steps stand here in line, as they run for every pair: a word of ranks, and a top word of words.
+        find, words, top, bits = ranks.get, self.bitmap.words, 0, _BIT
+        buckets: dict[int, int | list[int]] = {}  # a lone position, or a heap of them
+        known = buckets.get
         end = list(range(1, n + 1))  # of the part that starts at a position; 0: no part starts there
         before = list(range(-1, n - 1))
-
-        def queue(rank: int, at: int) -> None:
-            if rank in buckets:
-                heappush(buckets[rank], at)
-            else:
-                buckets[rank] = [at]
-                bitmap.add(rank)
-
+        pair, first = self.pairs.get, piece[0] << 8
         for at in range(n - 1):
-            rank = find(piece[at : at + 2])
+            byte = piece[at + 1]
+            rank = pair(first + byte)
+            first = byte << 8
             if rank is not None:
-                queue(rank, at)
-        while buckets:
-            rank = bitmap.least()
+                bucket = known(rank)
+                if bucket is None:
+                    buckets[rank] = at
+                    word = rank >> WORD
+                    if not words[word]:
+                        top |= 1 << word
+                    words[word] |= bits[rank & _MASK]
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, at]
+                else:
+                    bucket.append(at)  # in order, so a heap
+        while top:
+            word = (top & -top).bit_length() - 1
+            set_ = words[word]
+            low = set_ & -set_
+            rank = (word << WORD) + low.bit_length() - 1
             bucket = buckets[rank]
-            at = heappop(bucket)
+            if type(bucket) is int:
+                at = bucket
+                bucket = None
+            else:
+                at = heappop(bucket)
             if not bucket:
                 del buckets[rank]
-                bitmap.remove(rank)
+                words[word] = set_ = set_ ^ low
+                if not set_:
+                    top ^= 1 << word
             middle = end[at]
             if not middle or middle >= n:
                 continue
@@ -117,16 +126,29 @@ class RankQueue:
             if find(piece[at:stop]) != rank:
                 continue
             end[at], end[middle] = stop, 0
+            fresh = []
             if stop < n:
                 before[stop] = at
                 rank = find(piece[at : end[stop]])
                 if rank is not None:
-                    queue(rank, at)
+                    fresh.append((rank, at))
             left = before[at]
             if left >= 0:
                 rank = find(piece[left:stop])
                 if rank is not None:
-                    queue(rank, left)
+                    fresh.append((rank, left))
+            for rank, at in fresh:
+                bucket = known(rank)
+                if bucket is None:
+                    buckets[rank] = at
+                    word = rank >> WORD
+                    if not words[word]:
+                        top |= 1 << word
+                    words[word] |= bits[rank & _MASK]
+                elif type(bucket) is int:
+                    buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+                else:
+                    heappush(bucket, at)
         out, at = [], 0
         while at < n:
             stop = end[at]
