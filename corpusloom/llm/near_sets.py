@@ -114,7 +114,7 @@ def verified_links(items: DataFrame, group: int, least: float = SIMILARITY, radi
     """
     spark = items.sparkSession
     items = checkpointed(items)
-    sizes = items.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = checkpointed(items.groupBy("comp").agg(F.count("*").alias("n")).where("n > 1"))  # apart, so that a skewed join can be split
     dealt = checkpointed(items.join(sizes, "comp"))
     large = dealt.where(F.col("n") > group)
     if large.limit(1).count():
