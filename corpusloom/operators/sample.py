@@ -107,7 +107,7 @@ def balanced_sample(df: DataFrame, parent: str, key: str, n: int, seed: str) ->
 
     Two stages draw alike: a parent uniformly, then one of its children uniformly.
     """
-    children = df.withColumn("_c", F.row_number().over(W.partitionBy(parent).orderBy(key)) - 1)
+    children = group_rank(df, parent, [F.col(key)], "_c").withColumn("_c", F.col("_c") - 1)
     parents = numbered(df.groupBy(parent).agg(F.count("*").alias("_n")), parent)
     total = parents.count()
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (stable_hash(F.concat(F.lit(seed), F.col("id").cast("string"))) % max(1, total)).alias("_pos"))
