@@ -11,7 +11,8 @@ pages of the layout, or a text that is on nearly all pages of the host, is const
 others are slots. Slots hold menus, adverts and comments as well as the article, and these differ
 from page to page, too. The content region is therefore induced from the counts: from the root down, the
 container that has most of the prose in slots, where text in links, and groups of alike records without headings
-(comments, teasers), are no prose. Where HTML says ``article`` or ``main``, these are the region.
+(comments, teasers), are no prose. Where HTML says ``article`` or ``main``, these are the region (articles alone if they have most of the prose,
+and without articles inside articles, which are comments by definition).
 In the region everything stays, constant sentences as well, but for what is link text or records
 and, where alignment can't tell, what HTML or a whole class or id says it is (nav, form, aside,
 "cookie-notice", "ad"; a name that only contains such a word says nothing).
@@ -386,11 +387,18 @@ def content(tags: list, parents: list, repeats: list, words: list, links: list,
         prose = sums(lambda i: False)
     if prose[0] == 0:
         return set(range(n)) if not any(constant) else {i for i in range(n) if not constant[i]}
-    said = [i for i in range(n) if tags[i] in ("article", "main") and prose[i]]
+    within = [False] * n  # below an article
+    for i in range(1, n):
+        within[i] = within[parents[i]] or tags[parents[i]] == "article"
+    articles = [i for i in range(n) if tags[i] == "article" and prose[i] and not within[i]]
+    said = articles + [i for i in range(n) if tags[i] == "main" and prose[i]]
+    if sum(prose[i] for i in articles) >= MOST_PROSE * max([prose[i] for i in said], default=1):
+        said = articles
     out: set[int] = set()
     if said:
+        # An article in an article is what readers add to it.
         for i in range(n):
-            if i in said or parents[i] in out:
+            if i in said or parents[i] in out and not (tags[i] == "article" and within[i]):
                 out.add(i)
         return out
     region = 0

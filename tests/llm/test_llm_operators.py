@@ -662,6 +662,13 @@ def test_whole_names_only(spark):
     assert html_extract.main_text(html) == "t\n\nup 3\n\nothers\n\nfound\n\nkept"
 
 
+def test_articles_in_main_and_in_articles():
+    html = "<main><p>crumbs here</p><article><h1>t</h1><p>a long text of the article itself</p><article><p>nice</p></article><article><p>yes</p></article></article><div><p>other</p></div></main>"
+    assert html_extract.main_text(html) == "t\n\na long text of the article itself"
+    html = "<main><h1>t</h1><p>a long text of the page itself</p><article><p>teaser</p></article></main>"
+    assert html_extract.main_text(html) == "t\n\na long text of the page itself\n\nteaser"
+
+
 def test_simple_tree_matching_is_best():
     """Against all order-preserving matchings of small trees."""
     rng = random.Random(2)
