@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, text_of
+from corpusloom.llm.common import map_rows, release, text_of
 
 BITS = 18
 TRAIN_ROWS = 8_000
@@ -146,6 +146,8 @@ def keep_good(docs: DataFrame, model: np.ndarray, text_col: str = "text", thresh
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts):
-        return texts.map(lambda t: score_text(t or "", weights.value)).astype("float64")
+        out = texts.map(lambda t: score_text(t or "", weights.value)).astype("float64")
+        release()
+        return out
 
     return docs.where(F.pandas_udf(scored, "double")(F.col(text_col)) >= threshold)

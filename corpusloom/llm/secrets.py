@@ -36,7 +36,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_rows, text_of
+from corpusloom.llm.common import map_rows, release, text_of
 
 KINDS = ("assign", "access", "hex")
 #: Bytes of inflated data that are scanned at once, and that a window shares with the next.
@@ -359,7 +359,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     """``docs`` with the secrets in its texts replaced; ``length_col`` gets the new length in code points."""
 
     def clean(texts):
-        return texts.map(lambda t: t if t is None else redacted(t, all_spans(t)[1]))
+        out = texts.map(lambda t: t if t is None else redacted(t, all_spans(t)[1]))
+        release()
+        return out
 
     cleaned = F.pandas_udf(clean, "string")(F.col(text_col))
     own = docs.columns
