@@ -103,7 +103,7 @@ class Presence:
     def __init__(self, values: DataFrame, column: str):
         """``values`` should be cheap to read: a checkpointed table of longs."""
         wanted = 16 * values.count()
-        self.n = min(self.MOST_BITS, max(1 << 16, 1 << wanted.bit_length()))
+        self.n = min(self.MOST_BITS, 1 << max(16, wanted.bit_length()))
         v = F.col(column)
         slots = values.select(F.explode(F.array(*[F.pmod(x, F.lit(self.n)).cast("int") for x in (v, F.shiftrightunsigned(v, 32))])).alias("s"))
         got = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1, s & 31))").alias("b")).toArrow()

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import near_sets, packing, paragraph_dedup, quality, secrets, segments, simhash
+from corpusloom.llm import common, near_sets, packing, paragraph_dedup, quality, secrets, segments, simhash
 from tests.llm.test_llm_operators import awkward, brute_components, documents
 
 
@@ -45,6 +45,32 @@ def near_copies(rng, n, words=90):
     return out
 
 
+@pytest.mark.parametrize("most", [1 << 28, 1 << 16])
+def test_presence_has_no_false_negatives(spark, monkeypatch, most):
+    monkeypatch.setattr(common.Presence, "MOST_BITS", most)
+    rng = np.random.default_rng(3)
+    own, others = (rng.integers(-(1 << 63), 1 << 63, 20_000, np.int64) for _ in range(2))
+    held = common.Presence(spark.createDataFrame(pd.DataFrame({"v": own})), "v")
+    assert held.may_hold(own).all()
+    assert held.may_hold(others).mean() < (0.03 if most > 1 << 20 else 1.0)
+    assert not common.Presence(spark.createDataFrame([], "v long"), "v").may_hold(others).any()
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 16])
+def test_results_do_not_depend_on_bitmaps(spark, monkeypatch, bits):
+    """A saturated bitmap lets everything through, and nothing changes."""
+    monkeypatch.setattr(common.Presence, "MOST_BITS", bits if bits > 1 << 20 else 64)
+    monkeypatch.setattr(paragraph_dedup, "COMBINED", 300_000 if bits > 1 << 20 else 50)
+    texts, _ = passages_in_texts(random.Random(11), 100, [60, 90])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = paragraph_dedup.repeated_paragraphs(docs).toPandas().sort_values(["doc_id", "start"]).reset_index(drop=True)
+    RESULTS.append(got[["doc_id", "start", "end", "passage_words", "keep_doc_id", "removed"]])
+    pd.testing.assert_frame_equal(RESULTS[0], RESULTS[-1])
+
+
+RESULTS: list = []
+
+
 def sets_of(texts):
     return [s for part in near_sets.document_sets(pa.array(texts)) for s in part.sets()]
 
