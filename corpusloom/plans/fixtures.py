@@ -93,7 +93,7 @@ TRANSLATED = """translated AS (
   SELECT doc_id,
     CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' 5 ma-na ') WHEN 1 THEN replace(text, ' and ', ' qí-bi ') WHEN 2 THEN text || ' x [x]' ELSE text END AS source,
     CASE doc_id % 3 WHEN 0 THEN 'From Aššur-idi to Puzur and Ilī: ' WHEN 1 THEN 'To Šalim-ahum, the man of iron and Enlil-bani: ' ELSE '' END
-      || CASE doc_id % 5 WHEN 0 THEN replace(text, ' the ', ' 12 minas of silver, ') WHEN 1 THEN replace(text, ' and ', '. Seal of  Nabû son of Iddin; ') ELSE text END AS reference
+      || CASE doc_id % 5 WHEN 0 THEN replace(text, ' the ', ' ' || (doc_id % 3 + 1) || ' minas of silver, ') WHEN 1 THEN replace(text, ' and ', '. Seal of  Nabû son of Iddin; ') ELSE text END AS reference
   FROM documents)"""
 
 
@@ -102,7 +102,8 @@ def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = lambda a, b: F.replace(text, F.lit(a), F.lit(b))
     source = F.when(d % 4 == 0, put(" the ", " 5 ma-na ")).when(d % 4 == 1, put(" and ", " qí-bi ")).when(d % 4 == 2, F.concat(text, F.lit(" x [x]"))).otherwise(text)
     head = F.when(d % 3 == 0, "From Aššur-idi to Puzur and Ilī: ").when(d % 3 == 1, "To Šalim-ahum, the man of iron and Enlil-bani: ").otherwise("")
-    body = F.when(d % 5 == 0, put(" the ", " 12 minas of silver, ")).when(d % 5 == 1, put(" and ", ". Seal of  Nabû son of Iddin; ")).otherwise(text)
+    weighed = F.replace(text, F.lit(" the "), F.concat(F.lit(" "), (d % 3 + 1).cast("string"), F.lit(" minas of silver, ")))
+    body = F.when(d % 5 == 0, weighed).when(d % 5 == 1, put(" and ", ". Seal of  Nabû son of Iddin; ")).otherwise(text)
     return table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.concat(head, body).alias("reference"))
 
 

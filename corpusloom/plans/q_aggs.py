@@ -13,8 +13,9 @@ from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
 from corpusloom.operators import select as D
+from corpusloom.operators.lexicon import term_statistics
 from corpusloom.plans import fixtures as X
-from corpusloom.plans.q_text import words
+from corpusloom.plans.q_text import MENTIONS, words
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -270,18 +271,18 @@ def a29(spark, d):
     return folds.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
 
 
-TERMS = f"""{X.CHUNKS}, e AS (SELECT id, lower(prediction) AS p, unnest(list_distinct(list_filter({words('lower(reference)')}, lambda w: length(w) >= 3))) AS term FROM chunks),
-ts AS (SELECT term, count(*) AS ref_count, count(*) FILTER (WHERE contains(p, term)) AS hits, count(*) FILTER (WHERE NOT contains(p, term)) AS misses FROM e GROUP BY 1)"""
+#: Half of the predictions lose a unit.
+TERMS = f"""{MENTIONS}, said AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN replace(reference, 'minas', 'units') ELSE reference END AS p FROM translated),
+e AS (SELECT DISTINCT doc_id, type, term FROM m), ts AS (SELECT type, term, count(*) AS ref_count, count(*) FILTER (WHERE contains(lower(p), lower(term))) AS hits,
+ count(*) FILTER (WHERE NOT contains(lower(p), lower(term))) AS misses FROM e JOIN said USING (doc_id) GROUP BY 1, 2)"""
 
 
 def term_stats(spark, d):
-    terms = F.array_distinct(F.filter(T.words(F.lower("reference")), lambda w: F.length(w) >= 3))
-    rows = X.chunks(spark, d).select(F.lower("prediction").alias("p"), F.explode(terms).alias("term"))
-    hit = F.col("p").contains(F.col("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("ref_count"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
+    said = F.when(F.col("doc_id") % 2 == 1, F.replace("reference", F.lit("minas"), F.lit("units"))).otherwise(F.col("reference"))
+    return term_statistics(X.translated(spark, d).withColumn("prediction", said))
 
 
-@query("A30_term_statistics", f"WITH {TERMS} SELECT term, ref_count, hits, misses FROM ts")
+@query("A30_term_statistics", f"WITH {TERMS} SELECT type, term, ref_count, hits, misses FROM ts")
 def a30(spark, d):
     return term_stats(spark, d)
 

@@ -12,6 +12,7 @@ from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import sample as P
 from corpusloom.operators import select as D
+from corpusloom.operators.lexicon import select_lexicon
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.q_aggs import TERMS, term_stats
 from corpusloom.plans.registry import query
@@ -143,11 +144,9 @@ def d18(spark, d):
     return spark.createDataFrame([(k,) for k in Y.differing_settings(a, b, ["decode.beams", "decode.max_new", "task"])], "setting string")
 
 
-@query("D19_lexicon_selection", f"WITH {TERMS} SELECT term FROM ts WHERE ref_count >= 5 AND misses >= 2 AND misses / CAST(ref_count AS DOUBLE) >= 0.4 AND hits >= 2 ORDER BY hits DESC, ref_count DESC, misses / CAST(ref_count AS DOUBLE), term LIMIT 12")
+@query("D19_lexicon_selection", f"WITH {TERMS} SELECT type, term, hits, 'canonicalize' AS action FROM ts WHERE type = 'measure' AND ref_count >= 5 AND misses >= 2 AND misses / CAST(ref_count AS DOUBLE) >= 0.4 AND hits >= 2 ORDER BY hits DESC, ref_count DESC, misses / CAST(ref_count AS DOUBLE), term LIMIT 12")
 def d19(spark, d):
-    rate = F.col("misses") / F.col("ref_count")
-    good = term_stats(spark, d).where((F.col("ref_count") >= 5) & (F.col("misses") >= 2) & (rate >= 0.4) & (F.col("hits") >= 2))
-    return good.orderBy(F.desc("hits"), F.desc("ref_count"), rate, "term").limit(12).select("term")
+    return select_lexicon(term_stats(spark, d)).select("type", "term", "hits", "action")
 
 
 @query("D20_pseudo_mix", f"WITH {X.PAIRS}, n AS (SELECT count(*) AS n FROM pairs) SELECT id, 0 AS fold FROM pairs UNION ALL (SELECT id, -1 FROM pairs ORDER BY id LIMIT (SELECT CAST(least(512, greatest(64, round_even(n * 0.12, 0))) AS BIGINT) FROM n))")

@@ -344,15 +344,15 @@ def m20(spark, d):
 TRIM = "regexp_replace(trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
 
 
-@query(
-    "M21_terms",
-    f"""WITH {X.TRANSLATED}, m AS (
+#: SQL of every mention of a term in a reference.
+MENTIONS = f"""{X.TRANSLATED}, m AS (
  SELECT doc_id, 'formula' AS type, {TRIM.format("x")} AS term FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})((?:Seal of|Sealed by)\\s+[^,.;:\\n"]+)', 2)) AS x FROM translated) WHERE length({TRIM.format("x")}) >= 8
  UNION ALL SELECT doc_id, 'measure', {TRIM.format("x")} FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})(\\d+(?:\\.\\d+)?\\s+(?:minas?|shekels?|talents?|textiles?|litres?)\\b(?:\\s+of\\s+(?:silver|tin|copper|grain)\\b)?)', 2)) AS x FROM translated)
  UNION ALL SELECT doc_id, 'name_or_place', n FROM (SELECT doc_id, array_to_string({words('c')}, ' ') AS n, {words('c')} AS w FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(h, '(?i)\\b(to|from)\\b', ' ', 'g'), ',|\\band\\b')) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(reference, '(?i)(^|{EDGE})(?:To|From)\\s+([^:\\n]+)', 2)) AS h FROM translated)))
-  WHERE len(w) BETWEEN 1 AND 4 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-ZĀĪŪŠṢṬḪ][A-Za-zĀĪŪŠṢṬḪāīūšṣṭḫ''`<>-]+$'))) = 0)
-SELECT type, term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1, 2""",
-)
+  WHERE len(w) BETWEEN 1 AND 4 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-ZĀĪŪŠṢṬḪ][A-Za-zĀĪŪŠṢṬḪāīūšṣṭḫ''`<>-]+$'))) = 0)"""
+
+
+@query("M21_terms", f"WITH {MENTIONS} SELECT type, term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY 1, 2")
 def m21(spark, d):
     found = X.translated(spark, d).select("doc_id", F.explode(N.terms(F.col("reference"))).alias("x"))
     return found.groupBy("x.type", "x.term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
