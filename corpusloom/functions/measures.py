@@ -83,17 +83,17 @@ def gram_jaccard(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Colu
 
 
 def repeat_score(tokens: Column, n: int = 3, least: int = 4) -> Column:
-    """How many n-grams stand beyond the (least - 1)th time, summed over those that stand ``least`` times."""
-    grams = F.array_sort(T.ngrams(tokens, n))
-    runs = F.aggregate(
-        grams,
-        F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("s")),
-        lambda acc, g: F.when(
-            acc["g"].eqNullSafe(g),
-            F.struct(g.alias("g"), (acc["c"] + 1).alias("c"), (acc["s"] + (acc["c"] + 1 >= least).cast("long")).alias("s")),
-        ).otherwise(F.struct(g.alias("g"), F.lit(1).alias("c"), (acc["s"] + F.lit(int(least <= 1)).cast("long")).alias("s"))),
-    )
-    return runs["s"]
+    """How many n-grams stand beyond the (least - 1)th time, summed over those that stand ``least`` times.
+
+    Among the sorted n-grams these are the ones that equal the one least - 1 places before.
+    """
+    back = least - 1
+
+    def of(grams: Column) -> Column:
+        again = F.filter(F.sequence(F.lit(back), F.size(grams) - 1), lambda i: F.get(grams, i) == F.get(grams, i - back))
+        return F.when(F.size(grams) >= least, F.size(again)).otherwise(0).cast("long")
+
+    return T.let(F.array_sort(T.ngrams(tokens, n)), of)
 
 
 def repeat_penalty(tokens: Column) -> Column:

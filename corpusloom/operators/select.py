@@ -157,8 +157,9 @@ def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], leas
     df = measured(df, [base, *candidates])
     best = F.array_max(F.filter(F.array(*[option(i, n) for i, n in enumerate(candidates)]), lambda x: x["s"].isNotNull()))
     rows = df.withColumn("_b", best).withColumn("gate_score", F.col("_b.s"))
-    rows = unmeasured(rows.withColumn("_open", F.coalesce(F.col("gate_score") >= threshold, F.lit(False))), [base, *candidates])
-    scored = checkpointed(rows.where("_open").select(F.col(key).alias("_k"), F.col("gate_score").alias("_s"), F.col("_b.name").alias("_n")))
+    # Filtered only behind the checkpoint: a pushed-down filter would measure every text again.
+    every = rows.select(F.col(key).alias("_k"), F.col("gate_score").alias("_s"), F.col("_b.name").alias("_n"))
+    scored = checkpointed(every).where(F.col("_s") >= threshold)
     if cap < 0:
         placed = numbered(scored.withColumn("_o", F.struct((-F.col("_s")).alias("s"), "_k")), "_o").withColumn("gate_rank", F.col("_pos") + 1).drop("_o", "_pos")
     else:  # ``cap`` rows at most
