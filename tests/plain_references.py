@@ -911,9 +911,9 @@ def _(t):
         n = 0
         for ts in sorted(own.ts):
             if last is not None and ts - last >= pd.Timedelta(minutes=30):
-                out.append({"session_start": start, "user_id": user, "n": n})
+                out.append({"session_start": start.to_pydatetime(), "user_id": user, "n": n})
                 start, n = None, 0
             start, last, n = start or ts, ts, n + 1
-        out.append({"session_start": start, "user_id": user, "n": n})
+        out.append({"session_start": start.to_pydatetime(), "user_id": user, "n": n})
     return out
 
