@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import checkpointed, map_rows, text_of
 
 CAPACITY = 2048
-CACHE_ROWS = 250_000
+CACHE_ROWS = 100_000
 SALT_ROWS = 2_000
 #: Unicode White_Space, at which the tokenizer's words always end.
 _SPACE = "\t-\r \x85\xa0  -     　"
