@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpointed  # noqa: F401
+from corpusloom.sources.files import scratch
 
 #: Characters of the class [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -170,3 +172,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     linked = edges.join(least, "src")
     out = linked.select(F.col("dst").alias("src"), F.col("m").alias("dst")).where(F.col("src") != F.col("dst"))
     return out.union(least.select("src", F.col("m").alias("dst"))).distinct()
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what is run inside the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+class Stored:
+    """A frame written as Parquet to the shared folder: smaller than a checkpoint, and removed by hand."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, exact_dedup, html_extract, order_minhash, packing, paragraph_dedup, quality, secrets, simhash, token_counts
+from corpusloom.llm import byte_bpe, exact_dedup, html_extract, order_minhash, packing, paragraph_dedup, quality, ranked_search, secrets, simhash
+from corpusloom.llm import token_alignment, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.alignment_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filters.labelled_urls(spark))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_simhash,
@@ -70,9 +84,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_byte_bpe,
         op10_html_extract,
+        op11_token_alignment,
+        op12_url_filters,
+        op13_ranked_search,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op13_ranked_search": ranked_search.ORACLE_SQL}
