@@ -1,9 +1,7 @@
 """Neighbour joins: TF-IDF cosine over character n-grams, dense vectors, hints, gates, vote tallies.
 
-The TF-IDF join runs over an inverted index: rows of (gram, document, weight) meet on the gram,
-products are summed per pair by partial aggregation, and the top k of each query are kept by a
-ranked window that Spark limits before its shuffle. A gram that most documents share makes a hot
-key; skewed joins are split by AQE, and ``most_df`` can leave such grams out.
+Both joins are exact and go by ``topk``: shards of the corpus meet blocks of queries, and upper bounds leave out
+what can't reach a query's k-th score.
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.sample import quantiles
+from corpusloom.operators.topk import dense_top_k, sparse_top_k
+from corpusloom.session import checkpointed
 
 
 def term_counts(df: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
@@ -36,23 +36,32 @@ def weighted(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def top_k(scores: DataFrame, k: int, places: int = 9) -> DataFrame:
-    """(query, doc, score, rank): scores rounded before ranking, ties by document."""
-    rounded = scores.withColumn("score", F.round("score", places))
-    w = W.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def term_ids(weights: DataFrame) -> Column:
+    """The id of a term: a hash of it; where two terms of ``weights(term, ..)`` would share one, another hash."""
+    for seed in range(8):
+        row = weights.agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(F.lit(seed), "term")).alias("ids")).first()
+        if row["n"] == row["ids"]:
+            break
+    return F.xxhash64(F.lit(seed), "term")
+
+
+def vectors(weights: DataFrame, term_id: Column) -> DataFrame:
+    """(key, terms, weights) of ``weights(doc, term, w)``: each document's term ids and weights as arrays."""
+    pairs = F.collect_list(F.struct(term_id.alias("t"), "w")).alias("p")
+    return weights.groupBy(F.col("doc").cast("long").alias("key")).agg(pairs).select("key", F.col("p.t").alias("terms"), F.col("p.w").alias("weights"))
 
 
 def tfidf_neighbours(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int, same: bool = False, most_df: float = 1.0) -> DataFrame:
-    """The k most similar corpus rows of each query; fitted on the corpus alone. ``same``: a row isn't its own neighbour."""
+    """The k most similar corpus rows of each query; fitted on the corpus alone. ``same``: a row isn't its own neighbour.
+
+    Keys are numbers, each of one row of its side.
+    """
     counts = term_counts(corpus, key, text)
-    weights = idf(counts, corpus.count(), most_df)
-    docs = weighted(counts, weights)
-    asked = docs if same else weighted(term_counts(queries, key, text), weights)
-    pairs = asked.select(F.col("doc").alias("query"), "term", F.col("w").alias("wq")).join(docs, "term")
-    if same:
-        pairs = pairs.where("query <> doc")
-    return top_k(pairs.groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("w")).alias("score")), k)
+    weights = checkpointed(idf(counts, corpus.count(), most_df))
+    own = term_ids(weights)
+    docs = checkpointed(vectors(weighted(counts, weights), own))
+    asked = docs if same else checkpointed(vectors(weighted(term_counts(queries, key, text), weights), own))
+    return sparse_top_k(asked, docs, k, same)
 
 
 def merged_neighbours(ranked: DataFrame, target: str, pool: int, k: int, query_target: str | None = None) -> DataFrame:
@@ -132,44 +141,7 @@ def vote_recall(votes: DataFrame, truth: DataFrame, ks: Sequence[int] = (1, 5))
     return joined.agg(*[F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")).alias(f"recall_at_{k}") for k in ks])
 
 
-def dense_neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """(query, doc, score, rank): the k greatest dot products of each query against all rows, exactly.
-
-    A stated query set is asked against every row: queries go out in blocks of ``block`` vectors
-    (a block is broadcast; its size is bounded), each task keeps its own best k by a matrix
-    product, and only those meet in the ranked window.
-    """
-    import numpy as np
-    import pandas as pd
-
-    out = None
-    asked = [(r[key], r[vector]) for r in queries.select(key, vector).limit(block + 1).collect()] if queries.limit(block + 1).count() <= block else None
-    if asked is None:
-        parts = -(-queries.count() // block)
-        split = queries.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(parts)))
-        for i in range(parts):
-            one = dense_neighbours(split.where(F.col("_b") == i).drop("_b"), corpus, key, vector, k, 2 * block)
-            out = one if out is None else out.union(one)
-        return out
-    if not asked:
-        return corpus.sparkSession.createDataFrame([], "query long, doc long, score double, rank int")
-    ids = np.array([i for i, _ in asked], np.int64)
-    matrix = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best(frames):
-        own_ids, own = shared.value
-        for frame in frames:
-            if not len(frame) or not len(own_ids):
-                continue
-            docs = frame[key].to_numpy()
-            scores = own @ np.array(frame[vector].tolist(), np.float64).T
-            scores[own_ids[:, None] == docs[None, :]] = -np.inf
-            n = min(k + 1, scores.shape[1])
-            # Ties at the edge: what equals the k-th score goes along and is ranked by id later.
-            edge = np.partition(scores, -n, axis=1)[:, -n]
-            q, c = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
-            yield pd.DataFrame({"query": own_ids[q], "doc": docs[c], "score": scores[q, c]})
-
-    found = corpus.select(key, vector).mapInPandas(best, "query long, doc long, score double")
-    return top_k(found, k)
+def dense_neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query, doc, score, rank): the k greatest dot products of each query against all other rows, exactly."""
+    side = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    return dense_top_k(side(queries), side(corpus), k)
