@@ -193,7 +193,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
 
     def remove(self) -> None:

@@ -254,19 +254,22 @@ def _packed() -> Column:
 
 
 def _missing(docs: DataFrame, results: DataFrame, hot) -> DataFrame:
-    """(t1, t2, seg, groups, numbers): per different text the results of its segments that aren't broadcast, as lists."""
+    """(t1, t2, seg, groups, numbers): per different text its segments that aren't broadcast with their groups, and the sum of their numbers."""
 
     def miss(batches):
         for batch in batches:
             known = hot.value[0]
-            lists = [[s for s in dict.fromkeys(segments(" " + t)) if s not in known] if _usable(t) else [] for t in batch["text"].to_pylist()]
+            lists = [Counter(s for s in segments(" " + t) if s not in known) if _usable(t) else {} for t in batch["text"].to_pylist()]
             some = pa.array([bool(x) for x in lists], pa.bool_())
-            yield {"t1": batch["t1"].filter(some), "t2": batch["t2"].filter(some), "segs": [x for x in lists if x]}
+            lists = [x for x in lists if x]
+            yield {"t1": batch["t1"].filter(some), "t2": batch["t2"].filter(some), "segs": [list(x) for x in lists], "times": [list(x.values()) for x in lists]}
 
-    found = map_rows(docs.select(*_text_key(), "text"), miss, "t1 long, t2 long, segs array<string>").dropDuplicates(["t1", "t2"])
-    each = found.select("t1", "t2", F.explode("segs").alias("seg")).join(results.select("seg", "groups", _packed()), "seg")
-    lists = each.groupBy("t1", "t2").agg(F.collect_list(F.struct("seg", "groups", "numbers")).alias("l"))
-    return lists.select("t1", "t2", F.col("l.seg").alias("seg"), F.col("l.groups").alias("groups"), F.flatten("l.numbers").alias("numbers"))
+    found = map_rows(docs.select(*_text_key(), "text"), miss, "t1 long, t2 long, segs array<string>, times array<int>").dropDuplicates(["t1", "t2"])
+    each = found.select("t1", "t2", F.explode(F.arrays_zip("segs", "times")).alias("s")).select("t1", "t2", F.col("s.segs").alias("seg"), F.col("s.times").alias("times"))
+    each = each.join(results.select("seg", "groups", _packed()), "seg")
+    sums = [F.sum(F.col("times") * F.get("numbers", F.lit(i))).alias(f"s{i}") for i in range(len(NUMBERS) + 1)]
+    lists = each.groupBy("t1", "t2").agg(F.collect_list(F.struct("seg", "groups")).alias("l"), *sums)
+    return lists.select("t1", "t2", F.col("l.seg").alias("seg"), F.col("l.groups").alias("groups"), F.array(*[f"s{i}" for i in range(len(NUMBERS) + 1)]).alias("numbers"))
 
 
 COLUMNS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -282,7 +285,6 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
 
     def assemble(batches):
         places, table, names = hot.value
-        n_hot = len(places)
         for batch in batches:
             out = {c: [] for c in (*NUMBERS, "groups")}
             for text, seg, own_names, numbers in zip(*[batch[c].to_pylist() for c in ("text", "seg", "groups", "numbers")], strict=True):
@@ -291,14 +293,11 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
                     parts = segments(" " + text)
                     at = list(map(places.get, parts))
                     if None in at:
-                        mine = {s: n_hot + i for i, s in enumerate(seg)}
-                        at = [mine[s] if i is None else i for i, s in zip(at, parts, strict=True)]
-                        more = np.array(numbers, np.int64).reshape(len(seg), len(NUMBERS) + 1)
-                        ids = np.array(at)
-                        total = table[ids[ids < n_hot]].sum(0) + more[ids[ids >= n_hot] - n_hot].sum(0)
-                        strings = [names[i] if i < n_hot else own_names[i - n_hot] for i in at]
+                        mine = dict(zip(seg, own_names, strict=True))
+                        total = table[np.array([i for i in at if i is not None], np.int64)].sum(0) + np.array(numbers, np.int64)
+                        strings = [mine[s] if i is None else names[i] for i, s in zip(at, parts, strict=True)]
                     else:
-                        total = table[np.array(at)].sum(0)
+                        total = table[at].sum(0)
                         strings = [names[i] for i in at]
                     if total[-1]:  # a segment that doesn't come back
                         total[:] = 0
