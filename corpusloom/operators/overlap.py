@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import measures as M
 from corpusloom.functions import text as T
 from corpusloom.operators.sample import quantiles
+from corpusloom.operators.topk import best_jaccard
+from corpusloom.session import checkpointed
 
 
 def membership_flag(df: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
@@ -26,35 +28,35 @@ def without_overlap(df: DataFrame, reference: DataFrame, text: str = "text", nor
     return df.withColumn("_n", normal(F.col(text))).join(keys, "_n", "left_anti").drop("_n")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, text: str = "text", least: float | None = None) -> DataFrame:
-    """(left id, right id, similarity) of texts in one block, by sets of 4-grams.
+def best_in_block(df: DataFrame, reference: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
+    """(text, similarity): for each different text of ``df`` its greatest similarity, by sets of 4-grams, to a reference text in its block.
 
-    Texts are made distinct first, so that a group of copies is one member of its block; sets are
-    built once a text, and a pair's sizes bound its similarity before the sets are compared.
+    Texts whose best is under ``least``, or 0, are left out. Equal texts are 1 and go no further. The others meet the
+    texts of their block by ``topk.best_jaccard``; a gram's id is a hash of it.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        own = df.select(F.col(text).alias(f"{name}_text")).distinct()
-        c = F.col(f"{name}_text")
-        return own.select(c, M.near_block(c).alias("_block"), M.gram_set(c).alias(f"{name}_grams"))
 
-    pairs = side(left, "l").join(side(right, "r"), "_block")
-    if least is not None:
-        small, large = F.least(F.size("l_grams"), F.size("r_grams")), F.greatest(F.size("l_grams"), F.size("r_grams"))
-        pairs = pairs.where((F.col("l_text") == F.col("r_text")) | (small >= large * least))
-    sim = M.gram_jaccard(F.col("l_text"), F.col("r_text"), F.col("l_grams"), F.col("r_grams"))
-    out = pairs.select("l_text", "r_text", sim.alias("similarity"))
-    return out.where(F.col("similarity") >= least) if least is not None else out
+    def side(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct()
+
+    ours, theirs = side(df), side(reference)
+    equal = ours.join(theirs, "t", "left_semi").select(F.col("t").alias(text), F.lit(1.0).alias("similarity"))
+    blocked = lambda rows: rows.where(F.length("t") >= 4).withColumn("block", M.near_block(F.col("t")))
+    left, right = blocked(ours.join(theirs, "t", "left_anti")), blocked(theirs)
+    left = checkpointed(left.join(right.select("block"), "block", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    right = right.join(left.select("block").distinct(), "block", "left_semi")
+    terms = F.transform(M.gram_set(F.col("t")), lambda g: F.xxhash64(g)).alias("terms")
+    found = best_jaccard(left.select("block", "id", terms), right.select("block", terms), least)
+    return equal.unionByName(left.join(found, "id").select(F.col("t").alias(text), "similarity"))
 
 
 def without_near_overlap(df: DataFrame, reference: DataFrame, text: str = "text", least: float = 0.92) -> DataFrame:
     """Rows with no blocked reference text of a similarity of ``least`` or more."""
-    hit = blocked_pairs(df, reference, text, least).select(F.col("l_text").alias(text)).distinct()
-    return df.join(hit, text, "left_anti").select(*df.columns)
+    return df.join(best_in_block(df, reference, text, least).select(text), text, "left_anti").select(*df.columns)
 
 
 def best_similarity(df: DataFrame, reference: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``max_similarity``, 0 where the block holds no reference text."""
-    best = blocked_pairs(df, reference, text).groupBy(F.col("l_text").alias(text)).agg(F.max("similarity").alias("max_similarity"))
+    best = best_in_block(df, reference, text).withColumnRenamed("similarity", "max_similarity")
     return df.join(best, text, "left").withColumn("max_similarity", F.coalesce("max_similarity", F.lit(0.0)))
 
 

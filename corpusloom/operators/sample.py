@@ -28,7 +28,7 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, name: str = "_pos") -> DataFrame:
-    """Rows with their place 0, 1, .. in the order of ``key``, without one global window.
+    """Rows with their place 0, 1, .. in the order of ``key``, which (nearly) is unique, without one global window.
 
     Range partitions are numbered by themselves and shifted by the counts before them (a number
     per partition). They are checkpointed, so that counts and numbers are of the same partitions, whatever is run again.
@@ -42,31 +42,54 @@ def numbered(df: DataFrame, key: str, name: str = "_pos") -> DataFrame:
     return joined.withColumn(name, (F.col("_shift") + F.col("_rn") - 1).cast("long")).drop("_part", "_p", "_shift", "_rn")
 
 
+def totals_before(df: DataFrame, keys: Sequence[str], size: str, name: str) -> DataFrame:
+    """Rows with the sum of ``size`` over the rows before them in the order of ``keys``, which is unique.
+
+    Sums run within range partitions and are shifted by the sums before them (a number per partition), as in ``numbered``.
+    """
+    ranged = checkpointed(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum(size).alias("_s"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
+    own = F.sum(size).over(W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
+    joined = ranged.withColumn("_own", F.coalesce(own, F.lit(0))).join(F.broadcast(shift), F.col("_part") == F.col("_p"))
+    return joined.withColumn(name, F.col("_own") + F.col("_shift")).drop("_part", "_p", "_shift", "_own")
+
+
+def _places(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """(by, value, n, _first, _last): the different values of a group, the places they fill in its order, and its number of values.
+
+    Equal values are counted before anything is put in order, so a value that most rows have is one row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = totals_before(counts, [*by, value], "_n", "_at")
+    groups = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.sum("_n").alias("n"), F.min("_at").alias("_base"))
+    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    joined = placed.join(groups, on) if by else placed.crossJoin(F.broadcast(groups))  # one row
+    first = F.col("_at") - F.col("_base")
+    return joined.select(*by, value, "n", first.alias("_first"), (first + F.col("_n") - 1).alias("_last"))
+
+
 def order_statistic(df: DataFrame, value: str, share: float) -> DataFrame:
     """One row: the value at place round(share * (n - 1)), halves to even; none of an empty frame."""
-    n = df.where(F.col(value).isNotNull()).count()
-    placed = numbered(df.select(value).where(F.col(value).isNotNull()), value)
-    return placed.where(F.col("_pos") == round(share * (n - 1))).select(value)
+    return _places(df.select(value), value, ()).where(F.bround(share * (F.col("n") - 1)).between(F.col("_first"), F.col("_last"))).select(value)
 
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, n, q0, q1, ..): exact interpolated quantiles of a group's values, nulls left out; also where values hardly repeat.
+    """(by, n, q0, q1, ..): exact interpolated quantiles of a group's values, nulls left out.
 
-    Values are numbered over the whole table in the order of group and value, and each quantile is read at its two places; no
-    task holds a group's distinct values.
+    Values are counted, and their counts summed over range partitions: neither many different values nor many
+    equal ones meet in one task.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    placed = numbered(rows.withColumn("_k", F.struct(*by, "_v")), "_k", "_at").drop("_k")
-    groups = placed.groupBy(*by).agg(F.count("*").alias("n"), F.min("_at").alias("_base"))
-    places = []
+    places = _places(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", by)
+    found = [F.coalesce(F.max("n"), F.lit(0)).alias("n")]
     for i, share in enumerate(shares):
         at = (F.col("n") - 1) * share
         low = F.floor(at)
-        places += [F.struct(F.lit(i).alias("i"), (F.col("_base") + low).alias("at"), (low + 1 - at).alias("w")), F.struct(F.lit(i).alias("i"), (F.col("_base") + F.least(low + 1, F.col("n") - 1)).alias("at"), (at - low).alias("w"))]
-    wanted = groups.select(*by, "n", F.explode(F.array(*places)).alias("p")).select(*by, "n", "p.*")
-    read = wanted.join(placed.select(F.col("_at").alias("at"), "_v"), "at", "left")
-    sums = [F.sum(F.when(F.col("i") == i, F.col("w") * F.col("_v"))).alias(f"q{i}") for i in range(len(shares))]
-    return read.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *sums)
+        held = lambda place: F.max(F.when(place.between(F.col("_first"), F.col("_last")), F.col("_v")))
+        found += [held(low).alias(f"_l{i}"), held(F.least(low + 1, F.col("n") - 1)).alias(f"_h{i}"), F.max(at - low).alias(f"_w{i}")]
+    rows = places.groupBy(*by).agg(*found)
+    return rows.select(*by, "n", *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(f"q{i}") for i in range(len(shares))])
 
 
 def group_rank(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
@@ -161,17 +184,8 @@ def prefix_split(df: DataFrame, order: str, ratio: float, least: int = 32) -> Da
 
 
 def prefix_to_target(groups: DataFrame, size: str, order: str, target: int) -> DataFrame:
-    """The groups of the cumulative prefix whose size is nearest to ``target``; of equal gaps the longer one.
-
-    Sums run within range partitions and are shifted by the sums before them (a number per partition).
-    """
-    ranged = checkpointed(groups.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
-    parts = ranged.groupBy("_part").agg(F.sum(size).alias("_s"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shift = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
-    own = F.sum(size).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    running = ranged.withColumn("cum", own).join(F.broadcast(shift), F.col("_part") == F.col("_p"))
-    running = running.withColumn("cum", F.col("cum") + F.col("_shift")).drop("_part", "_p", "_shift")
+    """The groups of the cumulative prefix whose size is nearest to ``target``; of equal gaps the longer one; ``order`` is unique."""
+    running = totals_before(groups, [order], size, "_before").withColumn("cum", F.col("_before") + F.col(size)).drop("_before")
     gap = F.abs(F.col("cum") - target)
     best = running.agg(F.min(F.struct(gap.alias("g"), (-F.col("cum")).alias("c"))).alias("b")).select((-F.col("b.c")).alias("_best"), F.col("b.g").alias("_gap"))
     return running.crossJoin(F.broadcast(best)).where((F.col("cum") <= F.col("_best")) & (F.col("_gap") <= target)).drop("_best", "_gap")

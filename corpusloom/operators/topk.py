@@ -195,6 +195,96 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, same: bool = True
     return _ranked(_crossed(corpus, queries, lambda size: lambda frames: _pack_dense(frames, size), "ids binary, vectors binary").mapInPandas(best, FOUND), k)
 
 
+# -- sets --------------------------------------------------------------------------------
+
+
+class SetShard:
+    """The inverted index of some sets, for the greatest Jaccard similarity to any of them."""
+
+    #: Below this many pairs an index costs more than the pairs.
+    FEW = 16
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        terms = np.concatenate(sets)
+        order = np.argsort(terms, kind="stable")
+        self.docs = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.terms, self.first = np.unique(terms[order], return_index=True)
+        self.last = np.append(self.first[1:], len(order))
+        self.least_size = int(self.sizes.min())
+        self.candidates = 0  # pairs whose overlaps were looked at
+
+    def best(self, own: np.ndarray, least: float) -> float:
+        """The greatest similarity, if it is ``least`` or more and over 0; else 0."""
+        at = np.searchsorted(self.terms, own)
+        has = at < len(self.terms)
+        has[has] = self.terms[at[has]] == own[has]
+        at = at[has]
+        at = at[np.argsort(self.last[at] - self.first[at], kind="stable")]  # rare terms first
+        # A set that has had none of the first i of m shared terms overlaps in m - i at most.
+        left = np.arange(len(at), 0, -1)
+        reach = left / np.maximum(len(own), len(own) + self.least_size - left)
+        probed = int(np.searchsorted(-reach, -least, side="right"))
+        if not probed:
+            return 0.0
+        overlap = self._overlaps(at[:probed])
+        found = np.flatnonzero(overlap)
+        self.candidates += len(found)
+        most = np.minimum(overlap[found] + len(at) - probed, self.sizes[found])
+        found = found[most / (len(own) + self.sizes[found] - most) >= least]
+        if not len(found):
+            return 0.0
+        whole = overlap[found] + self._overlaps(at[probed:])[found] if probed < len(at) else overlap[found]
+        best = float((whole / (len(own) + self.sizes[found] - whole)).max())
+        return best if best >= least else 0.0
+
+    def _overlaps(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.last[at] - self.first[at]
+        places = np.repeat(self.first[at] - np.cumsum(np.append(0, sizes[:-1])), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.docs[places], minlength=len(self.sizes))
+
+
+def _best_of_few(sets: list[np.ndarray], own: np.ndarray, least: float) -> float:
+    mine, best = set(own.tolist()), 0.0
+    for other in sets:
+        shared = len(mine.intersection(other.tolist()))
+        best = max(best, shared / (len(mine) + len(other) - shared))
+    return best if best >= least else 0.0
+
+
+def best_jaccard(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
+    """(id, similarity): for each row of ``left(block, id, terms)`` the greatest Jaccard similarity to a set of ``right(block, terms)`` in its
+    block, where it is over 0 and ``least`` or more; terms are distinct ids.
+
+    Blocks are cut by hash into shards and groups of queries of a bounded size, and every shard of a block meets every group
+    of it, so that a block of any size is many cells of work. A row keeps one number a cell: near copies make no pairs.
+    """
+    part = lambda rows, size: F.ceil(F.col(rows) / size).cast("int")
+    sizes = left.groupBy("block").agg(F.count("*").alias("n_left")).join(right.groupBy("block").agg(F.count("*").alias("n_right")), "block")
+    sizes = sizes.select("block", part("n_right", SHARD).alias("shards"), part("n_left", BLOCK).alias("groups"))
+    cut = lambda n: F.pmod(F.xxhash64("terms"), F.col(n)).cast("int")
+    shards = right.join(sizes, "block").groupBy("block", cut("shards").alias("shard")).agg(F.collect_list("terms").alias("sets"))
+    groups = left.join(sizes, "block").groupBy("block", "shards", cut("groups").alias("group")).agg(F.collect_list("id").alias("ids"), F.collect_list("terms").alias("asked"))
+    groups = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards", "group")
+    cells = groups.join(shards, ["block", "shard"]).select("block", "shard", "ids", "asked", "sets")
+
+    def best(frames):
+        for frame in frames:
+            ids, found, last, shard = [], [], None, None
+            for block, number, own_ids, asked, sets in frame.itertuples(index=False):
+                few = len(asked) * len(sets) <= SetShard.FEW
+                if not few and last != (block, number):
+                    last, shard = (block, number), SetShard(list(sets))
+                for i, own in zip(own_ids.tolist(), asked, strict=True):
+                    score = _best_of_few(sets, own, least) if few else shard.best(own, least)
+                    if score > 0:
+                        ids.append(i)
+                        found.append(score)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "similarity": np.array(found, float)})
+
+    return cells.mapInPandas(best, "id long, similarity double").groupBy("id").agg(F.max("similarity").alias("similarity"))
+
+
 # -- both --------------------------------------------------------------------------------
 
 

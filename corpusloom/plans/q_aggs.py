@@ -14,6 +14,7 @@ from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
 from corpusloom.operators import select as D
 from corpusloom.operators.lexicon import term_statistics
+from corpusloom.operators.sample import quantiles
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.q_text import MENTIONS, words
 from corpusloom.plans.registry import query
@@ -216,10 +217,10 @@ def a22_targeted(spark, d):
 
 @query("A23_retrieval_buckets", "SELECT o_orderpriority AS bucket, count(*) AS n_rows, avg(o_totalprice) AS mean_score, round(quantile_cont(o_totalprice, 0.95), 1) AS p95_score FROM orders GROUP BY 1")
 def a23(spark, d):
-    buckets = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("bucket")).agg(
-        F.count("*").alias("n_rows"), F.avg("o_totalprice").alias("mean_score"), F.round(F.percentile("o_totalprice", F.lit(0.95)), 1).alias("p95_score")
-    )
-    return buckets.orderBy(F.desc("n_rows"), F.desc("mean_score"))
+    orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bucket"), "o_totalprice")
+    buckets = orders.groupBy("bucket").agg(F.count("*").alias("n_rows"), F.avg("o_totalprice").alias("mean_score"))
+    p95 = quantiles(orders, "o_totalprice", [0.95], ["bucket"]).select("bucket", F.round("q0", 1).alias("p95_score"))
+    return buckets.join(p95, "bucket", "left").orderBy(F.desc("n_rows"), F.desc("mean_score"))
 
 
 GATED = f"{X.CHUNKS}, s AS (SELECT id, chunk_mode AS split, (id % 100) / CAST(100 AS DOUBLE) AS top1_score, chunk_total >= 5 AS hard, id % 2 = 0 AS even FROM chunks)"
@@ -306,7 +307,7 @@ def a32(spark, d):
 )
 def a33(spark, d):
     s = table(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_discount") * F.col("l_tax")).alias("b"))
-    q = s.agg(F.percentile("a", F.lit(0.25)).alias("qa"), F.percentile("b", F.lit(0.25)).alias("qb"))
+    q = quantiles(s, "a", [0.25]).select(F.col("q0").alias("qa")).crossJoin(quantiles(s, "b", [0.25]).select(F.col("q0").alias("qb")))
     low_a, low_b = F.col("a") <= F.col("qa"), F.col("b") <= F.col("qb")
     both, any_ = F.count_if(low_a & low_b), F.count_if(low_a | low_b)
     return s.join(F.broadcast(q)).agg(both.alias("both_low"), any_.alias("any_low"), F.try_divide(both, any_).alias("jaccard"))
@@ -329,16 +330,19 @@ def a35(spark, d):
 
 @query("A36_retrieval_latency", "SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) - min(value) AS spread FROM events GROUP BY 1")
 def a36(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"), (F.max("value") - F.min("value")).alias("spread")
-    )
+    events = table(spark, d, "events").select("event_type", "value")
+    means = events.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.max("value") - F.min("value")).alias("spread"))
+    found = quantiles(events, "value", [0.5, 0.95], ["event_type"]).select("event_type", F.col("q0").alias("p50"), F.col("q1").alias("p95"))
+    return means.join(found, "event_type", "left").select("event_type", "n", "mean", "p50", "p95", "spread")
 
 
 @query("A37_cache_hits", "WITH s AS (SELECT o_orderstatus AS split, TRY_CAST(CASE WHEN o_orderkey % 4 = 0 THEN '0.4|0.3' ELSE CAST(o_custkey AS VARCHAR) END AS DOUBLE) AS score FROM orders) SELECT split, count(*) AS n_rows, count(score) AS n_hits, avg(score) AS mean, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.95) AS p95 FROM s GROUP BY 1")
 def a37(spark, d):
     text = F.when(F.col("o_orderkey") % 4 == 0, "0.4|0.3").otherwise(F.col("o_custkey").cast("string"))
     scores = table(spark, d, "orders").select(F.col("o_orderstatus").alias("split"), text.alias("t")).select("split", F.expr("try_cast(t AS double)").alias("score"))
-    return scores.groupBy("split").agg(F.count("*").alias("n_rows"), F.count("score").alias("n_hits"), F.avg("score").alias("mean"), F.percentile("score", F.lit(0.5)).alias("p50"), F.percentile("score", F.lit(0.95)).alias("p95"))
+    means = scores.groupBy("split").agg(F.count("*").alias("n_rows"), F.count("score").alias("n_hits"), F.avg("score").alias("mean"))
+    found = quantiles(scores, "score", [0.5, 0.95], ["split"]).select("split", F.col("q0").alias("p50"), F.col("q1").alias("p95"))
+    return means.join(found, "split", "left")
 
 
 @query("A38_asset_inventory", "SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE n_chars >= 2000) AS n_long FROM documents GROUP BY 1, 2")

@@ -13,6 +13,7 @@ from corpusloom.operators import clean as L
 from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
+from corpusloom.operators.sample import quantiles
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.registry import query
 from corpusloom.session import table
@@ -270,7 +271,7 @@ def m11(spark, d):
 )
 def m12(spark, d):
     ratios = X.pairs(spark, d).select("id", (F.length("target") / F.length("source")).alias("r"))
-    band = ratios.agg(F.percentile("r", F.lit(0.05)).alias("lo"), F.percentile("r", F.lit(0.95)).alias("hi"))
+    band = quantiles(ratios, "r", [0.05, 0.95]).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))
     return ratios.join(F.broadcast(band)).select("id", M.outlier_penalty(F.col("r"), F.col("lo"), F.col("hi")).alias("penalty"))
 
 

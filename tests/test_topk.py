@@ -107,3 +107,37 @@ def test_the_plan_does_not_grow_with_the_queries(spark, monkeypatch):
     asked = lambda n: spark.range(n).selectExpr("id AS key", "array(double(id), 1.0D) AS vector")
     plans = [topk.dense_top_k(asked(n), asked(50), 2)._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (3, 4000)]
     assert plans[0] == plans[1]
+
+
+def jaccard(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.92])
+@pytest.mark.parametrize("shard,block", [(2048, 512), (5, 3)])
+def test_best_jaccard_is_that_of_all_pairs(spark, monkeypatch, shard, block, least):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    make = lambda: np.unique(np.concatenate([np.arange(6), 10 + rng.zipf(1.3, rng.integers(0, 25)) % 40])).tolist()
+    left = [(str(rng.choice(["a", "b", "c"], p=[0.8, 0.15, 0.05])), i, make()) for i in range(90)]
+    right = [(str(rng.choice(["a", "b", "d"])), make()) for _ in range(80)]
+    right += [(b, t) for b, _, t in left[:5]]
+    got = topk.best_jaccard(spark.createDataFrame(left, "block string, id long, terms array<long>"), spark.createDataFrame(right, "block string, terms array<long>"), least)
+    want = {i: max([jaccard(t, u) for c, u in right if c == b], default=0) for b, i, t in left}
+    assert {r.id: r.similarity for r in got.collect()} == {i: s for i, s in want.items() if s > 0 and s >= least}
+
+
+def test_hot_block_of_equal_openings():
+    """Sets that all share an opening: at 0.92 next to none of the pairs is looked at, and near copies are found."""
+    rng = np.random.default_rng(0)
+    opening = np.arange(21)
+    make = lambda: np.concatenate([opening, 100 + rng.choice(1 << 40, 60, replace=False)])
+    sets = [make() for _ in range(3000)]
+    shard = topk.SetShard(sets)
+    assert [shard.best(make(), 0.92) for _ in range(200)] == [0.0] * 200
+    assert shard.candidates < 0.01 * 200 * 3000
+    near = sets[7].copy()
+    near[-2:] = [5 << 41, 6 << 41]
+    assert shard.best(near, 0.92) == 79 / 83 and shard.best(near, 0.96) == 0.0
