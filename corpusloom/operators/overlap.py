@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,22 +101,53 @@ def dedup_summary(df: DataFrame, text: str = "text") -> DataFrame:
     return df.agg(n.alias("n_rows"), unique.alias("n_unique"), (n - unique).alias("n_duplicates"))
 
 
-def containment_join(df: DataFrame, terms: DataFrame, text: str, term: str, most_terms: int = 10_000) -> DataFrame:
+def containment_join(df: DataFrame, terms: DataFrame, text: str, term: str, most_terms: int = 1_000_000, most_chars: int = 16 << 20) -> DataFrame:
     """(rows, term) where the lower-cased text contains the lower-cased term.
 
-    A small lexicon (checked) travels with the plan as an array. A larger one is joined by the
-    first three characters of its terms with the distinct character trigrams of the texts;
-    terms of one or two characters, of which there can't be many, stay in the array.
+    A lexicon of a checked size is broadcast, and each text goes once through its automaton (Aho-Corasick), whatever the number of terms. A larger one is
+    joined by the first three characters of its terms with the distinct character trigrams of the texts; its
+    terms of one or two characters, of which there can't be many, go by the automaton.
     """
     lexicon = terms.select(F.lower(term).alias("matched_term")).where(F.length(term) > 0).distinct()
-    few = lexicon.limit(most_terms + 1).collect()
-    small = len(few) <= most_terms
-    in_array = [r[0] for r in few] if small else [r[0] for r in lexicon.where(F.length("matched_term") < 3).collect()]
+    size = lexicon.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("matched_term")), F.lit(0)).alias("c")).first()
+    small = size["n"] <= most_terms and size["c"] <= most_chars
+    known = [r[0] for r in (lexicon if small else lexicon.where(F.length("matched_term") < 3)).collect()]
     low = F.lower(text)
-    array = F.array(*[F.lit(t) for t in in_array]) if in_array else F.array().cast("array<string>")
-    out = df.withColumn("matched_term", F.explode(F.filter(array, lambda t: low.contains(t))))
+    out = df.withColumn("matched_term", F.explode(matcher(df.sparkSession, known)(low)))
     if small:
         return out
     keyed = lexicon.where(F.length("matched_term") >= 3).withColumn("_g", F.substring("matched_term", 1, 3))
     grams = df.withColumn("_g", F.explode(F.array_distinct(T.char_grams(low, 3))))
     return out.unionByName(grams.join(keyed, "_g").where(low.contains(F.col("matched_term"))).drop("_g"))
+
+
+_automata: dict = {}
+
+
+def _automaton(number: int, terms: Sequence[str]):
+    """The automaton of a broadcast lexicon; a worker keeps the last one."""
+    import ahocorasick
+
+    if number not in _automata:
+        _automata.clear()
+        built = ahocorasick.Automaton()
+        for t in terms:
+            built.add_word(t, t)
+        built.make_automaton()
+        _automata[number] = built
+    return _automata[number]
+
+
+def matcher(spark: SparkSession, terms: Sequence[str]):
+    """A function of a text column: the distinct terms that it contains, in order."""
+    shared = spark.sparkContext.broadcast(list(terms))
+    number = shared._jbroadcast.id()
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        if not shared.value:
+            return texts.map(lambda _: [])
+        built = _automaton(number, shared.value)
+        return texts.map(lambda t: sorted({x for _, x in built.iter(t)}) if t else [])
+
+    return found

@@ -152,16 +152,54 @@ def shuffle_column(df: DataFrame, key: str, column: str, seed: str) -> DataFrame
 def stratified_draws(df: DataFrame, stratum: str, key: str, need: DataFrame, rounds: int, seed: str, total: int) -> DataFrame:
     """(iteration, key): per iteration ``need`` rows of each stratum, topped up from the rest to ``total``.
 
-    Each iteration keeps the first ``total`` rows of a stratum at most, cut where they are, before strata are combined.
+    A round's order is that of MD5(seed, iteration, key). Each task keeps, per iteration and stratum, a heap of the ``total`` first rows it
+    has met; only these are shuffled and ranked, so a round costs a hash a row and no row of the table is multiplied.
     """
-    each = df.select(stratum, key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("iteration"))
-    order = F.md5(F.concat_ws("|", F.lit(seed), "iteration", F.col(key).cast("string")).cast("binary"))
-    ranked = each.withColumn("_d", order).withColumn("_rn", F.row_number().over(W.partitionBy("iteration", stratum).orderBy("_d"))).where(F.col("_rn") <= total)
+    import hashlib
+    import heapq
+
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def keep(frames):
+        heaps: dict[tuple, list] = {}
+        for frame in frames:
+            for value, own in frame.groupby(stratum, dropna=False, sort=False):
+                value = None if pd.isna(value) else value
+                keys = own[key].tolist()
+                texts = [b"" if t is None else f"|{t}".encode() for t in own["_t"].tolist()]
+                for i in range(rounds):
+                    prefix = f"{seed}|{i}".encode()
+                    heap = heaps.setdefault((i, value), [])
+                    for k, text in zip(keys, texts, strict=True):
+                        digest = _Last(hashlib.md5(prefix + text).hexdigest())
+                        if len(heap) < total:
+                            heapq.heappush(heap, (digest, k))
+                        elif heap and heap[0][0] < digest:
+                            heapq.heapreplace(heap, (digest, k))
+        rows = [(i, value, k, d.digest) for (i, value), heap in heaps.items() for d, k in heap]
+        yield pd.DataFrame(rows, columns=["iteration", stratum, key, "_d"])
+
+    found = df.select(stratum, key, F.col(key).cast("string").alias("_t")).mapInPandas(keep, f"iteration long, `{stratum}` {kinds[stratum]}, `{key}` {kinds[key]}, _d string")
+    ranked = found.withColumn("_rn", F.row_number().over(W.partitionBy("iteration", stratum).orderBy("_d"))).where(F.col("_rn") <= total)
     marked = ranked.join(F.broadcast(need), stratum, "left").withColumn("_in", F.col("_rn") <= F.coalesce("need", F.lit(0)))
     final = W.partitionBy("iteration").orderBy(F.desc("_in"), "_d")
     return marked.withColumn("_k", F.row_number().over(final)).where(F.col("_k") <= total).select("iteration", key)
 
 
+class _Last:
+    """A digest whose order is turned round, so that the greatest is on top of a heap."""
+
+    __slots__ = ("digest",)
+
+    def __init__(self, digest: str):
+        self.digest = digest
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.digest > other.digest
+
+
 def dirichlet_weights(labels: Sequence[str], n: int, seed: str) -> list[dict[str, float]]:
     """Weight vectors: equal, one for each label, and n uniform on the simplex."""
     import random

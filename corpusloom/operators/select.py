@@ -172,31 +172,37 @@ def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], leas
 
 
 def gate_grid(df: DataFrame, key: str, base: str, candidate: str, reference: str, ratios: Sequence[float], gains: Sequence[int], thresholds: Sequence[float], caps: Sequence[int]) -> DataFrame:
-    """(parameters, switched, scores) of every row gate of the grid, from statistics taken once a row.
+    """(parameters, switched, scores) of every row gate of the grid, from one pass over statistics taken once a row.
 
-    A cell is the sum over all rows of the base plus, over the rows it switches, what switching changes; capped
-    cells take their best rows, cut where the rows are.
+    A row goes into one bin: of each parameter the strictest value that it passes. A cell is the sum over all rows of the base plus what switching changes
+    in the bins that are as strict as the cell, so its cost depends on the grid and not on the rows. Capped cells (``cap`` best rows;
+    -1: all) are cut from the best rows of each bin of ratio and gain, at most the largest cap a bin.
     """
     rows = S.with_statistics(S.with_statistics(df, base, reference, "_s0"), candidate, reference, "_s1")
     of = lambda k, n: F.col(f"_{k}_{n}")
     gain = of("r", base) - of("r", candidate)
-    score = gain + 0.5 * (of("f", base) - of("f", candidate)) + 0.002 * (of("w", candidate) - of("w", base))
+    score = F.round(gain + 0.5 * (of("f", base) - of("f", candidate)) + 0.002 * (of("w", candidate) - of("w", base)), 9)
     change = F.zip_with("_s1", "_s0", lambda a, b: a - b)
     ratio = of("w", candidate) / F.greatest(of("w", base), F.lit(1))
-    rows = measured(rows, [base, candidate]).select(key, "_s0", change.alias("_s1"), gain.alias("_g"), F.round(score, 9).alias("_x"), ratio.alias("_r"))
-    rows = checkpointed(rows)
-    whole = rows.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(F.col("_s0")[i]), F.lit(0)).alias(f"_b{i}") for i in range(S.WIDTH)])
-    grid = [(float(r), g, float(t), c) for r in ratios for g in gains for t in thresholds for c in caps]
-    cells = df.sparkSession.createDataFrame(grid, "ratio double, gain long, threshold double, cap long")
-    ok = (F.col("_r") >= F.col("ratio")) & (F.col("_g") >= F.col("gain")) & (F.col("_x") >= F.col("threshold"))
+    steps = [sorted({float(r) for r in ratios}), sorted(set(gains)), sorted({float(t) for t in thresholds})]
+    passed = lambda value, values: sum((F.coalesce(value >= v, F.lit(False)).cast("int") for v in values), F.lit(0))
+    values = [F.col("_r"), F.col("_g"), F.col("_x")]
+    rows = measured(rows, [base, candidate]).select(key, "_s0", change.alias("_s1"), gain.alias("_g"), score.alias("_x"), ratio.alias("_r"))
+    rows = checkpointed(rows.select("*", *[passed(v, s).alias(n) for v, s, n in zip(values, steps, ("_i", "_j", "_k"), strict=True)]))
+    sums = lambda column, name: [F.coalesce(F.sum(F.col(column)[i]), F.lit(0)).alias(f"_{name}{i}") for i in range(S.WIDTH)]
+    bins = checkpointed(rows.groupBy("_i", "_j", "_k").agg(F.count("*").alias("_n"), *sums("_s0", "b"), *sums("_s1", "c")))
+    whole = bins.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), *[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(S.WIDTH)])
     names = ["ratio", "gain", "threshold", "cap"]
-    listed = F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(c, names, ("double", "long", "double", "long"), strict=True)]) for c in grid]))
-    on = rows.select(key, "_s1", "_g", "_x", "_r", listed.alias("p")).select(key, "_s1", "_g", "_x", "_r", "p.*").where(ok)
+    grid = [(r, g, t, c, i, j, k) for i, r in enumerate(steps[0]) for j, g in enumerate(steps[1]) for k, t in enumerate(steps[2]) for c in caps]
+    cells = F.broadcast(df.sparkSession.createDataFrame(grid, "ratio double, gain long, threshold double, cap long, i int, j int, k int"))
+    strict = (F.col("_i") > F.col("i")) & (F.col("_j") > F.col("j")) & (F.col("_k") > F.col("k"))
+    open_cells = bins.join(cells.where("cap < 0"), strict).groupBy(*names).agg(F.sum("_n").alias("switched"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(S.WIDTH)])
+    best = W.partitionBy("_i", "_j").orderBy(F.desc("_x"), key)
+    top = rows.where("_i > 0 AND _j > 0 AND _k > 0").withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= max([0, *caps]))
     first = W.partitionBy(*names).orderBy(F.desc("_x"), key)
-    capped = on.where("cap >= 0").withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= max([0, *caps])).where("_rn <= cap").drop("_rn")
-    sums = [F.sum(F.col("_s1")[i]).alias(f"_c{i}") for i in range(S.WIDTH)]
-    switched = on.where("cap < 0").unionByName(capped).groupBy(*names).agg(F.count("*").alias("switched"), *sums)
-    total = F.broadcast(cells).join(switched, names, "left").crossJoin(F.broadcast(whole)).where("n_rows > 0")
+    of_cell = top.select(key, "_s1", "_x", "_i", "_j", "_k").join(cells.where("cap >= 0"), strict).withColumn("_rn", F.row_number().over(first)).where("_rn <= cap")
+    capped = of_cell.groupBy(*names).agg(F.count("*").alias("switched"), *sums("_s1", "c"))
+    total = cells.join(open_cells.unionByName(capped), names, "left").crossJoin(F.broadcast(whole)).where("n_rows > 0")  # one row
     total = total.withColumns({f"_m{i}": F.col(f"_b{i}") + F.coalesce(F.col(f"_c{i}"), F.lit(0)) for i in range(S.WIDTH)})
     scored = total.withColumn("bleu", S.bleu()).withColumn("chrfpp", S.chrf())
     return scored.withColumn("geom", S.geometric(F.col("bleu"), F.col("chrfpp"))).select(*names, F.coalesce("switched", F.lit(0)).alias("switched"), "n_rows", "bleu", "chrfpp", "geom")
