@@ -12,7 +12,7 @@ import pandas as pd
 
 from corpusloom.functions import seq
 from corpusloom.operators import clean, metrics, sample
-from tests.test_functions import slow_bleu, slow_chrf, slow_clamp, slow_collapse, slow_statistics
+from tests.test_functions import in_signs, slow_bleu, slow_chrf, slow_clamp, slow_collapse, slow_statistics
 
 REFERENCES = {}
 
@@ -109,32 +109,15 @@ def loops(text):
 
 
 def slow_formulas(text, times=2):
-    words = text.split()
-    for stem in (s.split() for s in STEMS):
-        out, i = [], 0
-        while i < len(words):
-            done = False
-            if words[i : i + len(stem)] == stem:
-                for n in (2, 3, 4):
-                    if i + n * len(stem) > len(words):
-                        continue
-                    k = 1
-                    while words[i + k * n : i + (k + 1) * n] == words[i : i + n] and i + (k + 1) * n <= len(words):
-                        k += 1
-                    if k > times:
-                        out += words[i : i + n] * times
-                        i += k * n
-                        done = True
-                        break
-                if not done:
-                    out += stem
-                    i += len(stem)
-                    done = True
-            if not done:
-                out.append(words[i])
-                i += 1
-        words = out
-    return " ".join(words)
+    """With a sign for each word: behind a formula's signs a repeated group of 2, 3 or 4, where the text is long enough."""
+    for stem in STEMS:
+        signs, words = in_signs(text.split() + stem.split())
+        own, size = signs[len(signs) - len(stem.split()) :], len(stem.split())
+        loops = "|".join(rf"(?=.{{{n * size}}})(.{{{n}}})\{n - 1}{{{times},}}" for n in (2, 3, 4))
+        found = re.compile(rf"(?s)(?={own})(?:{loops}|{own})")
+        signs = found.sub(lambda m: m[m.lastindex] * times if m.lastindex else m[0], signs[: len(signs) - size])
+        text = " ".join(words[x] for x in signs)
+    return text
 
 
 def gaps(text):
