@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from corpusloom.functions import measures as M
 from corpusloom.functions import seq
@@ -47,14 +47,18 @@ def chunk_sources(df: DataFrame, key: str, source: str = "source") -> DataFrame:
     return _numbered(df.select(key, cut.alias("_c")), key, ["source"])
 
 
-@udtf(returnType="mode: string, chunk_index: int, chunk_total: int, source: string, target: string")
-class ChunkPair:
-    """The chunker as a table function for SQL: LATERAL chunk_pair(source, target)."""
+@F.arrow_udtf(returnType="key: bigint, mode: string, chunk_index: int, chunk_total: int, source: string, target: string")
+class ChunkPairs:
+    """The chunker as a table function for SQL, a batch at a time: chunk_pairs(TABLE(SELECT key, source, target FROM ..))."""
 
-    def eval(self, source: str, target: str):
-        mode, left, right = seq.chunk_pair(source or "", target or "")
-        for i, (a, b) in enumerate(zip(left, right, strict=True)):
-            yield mode, i, len(left), a, b
+    def eval(self, batch: pa.RecordBatch):
+        out = {name: [] for name in ("key", "mode", "chunk_index", "chunk_total", "source", "target")}
+        for key, source, target in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            mode, left, right = seq.chunk_pair(source or "", target or "")
+            for name, values in zip(out, ([key] * len(left), [mode] * len(left), range(len(left)), [len(left)] * len(left), left, right), strict=True):
+                out[name] += values
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        yield pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
 
 def truncation(df: DataFrame, limit: int = 384, source: str = "source", target: str = "target") -> DataFrame:

@@ -13,7 +13,7 @@ from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
 from corpusloom.operators import select as D
-from corpusloom.operators.lexicon import term_statistics
+from corpusloom.operators.lexicon import targeted_flags, term_statistics
 from corpusloom.operators.sample import quantiles
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.q_text import MENTIONS, words
@@ -205,14 +205,12 @@ def a22(spark, d):
 
 @query("A22_targeted_buckets")
 def a22_targeted(spark, d):
-    """Scores by targeted bucket; a row counts in every bucket whose flag it has."""
-    from corpusloom.functions import terms as N
-
-    c = X.chunks(spark, d).withColumn("source", F.replace("source", F.lit(" the "), F.lit(" ma-na ")))
-    on = {"marker_rich": N.marker_rich(F.col("source")), "measure": N.has_measure(F.col("source"), F.col("reference")), "formula": N.has_formula(F.col("source"), F.col("reference"))}
-    flags = F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in on.items()]), lambda x: x.isNotNull()))
-    rows = S.with_statistics(c, "prediction", "reference").withColumn("bucket", flags)
-    return _rounded(S.corpus_scores(rows, ["bucket"]))
+    """Scores by targeted bucket; a row counts in every bucket whose flag it has. Predictions are references without their last third."""
+    c = X.translated(spark, d).withColumn("prediction", F.substring("reference", F.lit(1), F.floor(F.length("reference") * 2 / 3).cast("int")))
+    names = ["marker_rich", "measure", "formula", "rare_name"]
+    flags = F.explode(F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]), lambda x: x.isNotNull()))
+    buckets = targeted_flags(c, "doc_id").select("doc_id", flags.alias("bucket"))
+    return _rounded(S.corpus_scores(S.with_statistics(c, "prediction", "reference").join(buckets, "doc_id"), ["bucket"]))
 
 
 @query("A23_retrieval_buckets", "SELECT o_orderpriority AS bucket, count(*) AS n_rows, avg(o_totalprice) AS mean_score, round(quantile_cont(o_totalprice, 0.95), 1) AS p95_score FROM orders GROUP BY 1")

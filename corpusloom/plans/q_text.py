@@ -8,11 +8,13 @@ from corpusloom.functions import measures as M
 from corpusloom.functions import seq
 from corpusloom.functions import terms as N
 from corpusloom.functions import text as T
+from corpusloom.functions.sql import register
 from corpusloom.operators import chunk as C
 from corpusloom.operators import clean as L
 from corpusloom.operators import metrics as S
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
+from corpusloom.operators.lexicon import targeted_flags
 from corpusloom.operators.sample import quantiles
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.registry import query
@@ -333,13 +335,7 @@ EDGE = r"[^\p{L}\p{N}_]"
  {" OR ".join(f"contains(reference, '{u}')" for u in T.FORMULA_STEMS)} OR regexp_matches(source, '(?i)(^|{EDGE})(um-ma|q[ií]-bi|ki-a-am|li-mu-um)({EDGE}|$)') AS formula FROM translated""",
 )
 def m20(spark, d):
-    docs = X.translated(spark, d)
-    s, r = F.col("source"), F.col("reference")
-    tokens = docs.select("doc_id", F.explode(N.name_tokens(s)).alias("t"))
-    rare = tokens.groupBy("t").agg(F.count("*").alias("n")).where("n <= 2")
-    hit = tokens.join(rare.select("t"), "t", "left_semi").select("doc_id")
-    flags = docs.select("doc_id", N.marker_rich(s).alias("marker_rich"), N.has_measure(s, r).alias("measure"), N.has_formula(s, r).alias("formula"))
-    return O.membership_flag(flags, hit, "doc_id", "rare_name")
+    return targeted_flags(X.translated(spark, d), "doc_id")
 
 
 TRIM = "regexp_replace(trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g')), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
@@ -419,9 +415,9 @@ def r7(spark, d):
 
 @query("R7_chunk_udtf")
 def r7_udtf(spark, d):
-    spark.udtf.register("chunk_pair", C.ChunkPair)
+    register(spark)
     X.pairs(spark, d).createOrReplaceTempView("loom_pairs")
-    return spark.sql("SELECT p.id, c.* FROM loom_pairs p, LATERAL chunk_pair(p.source, p.target) c")
+    return spark.sql("SELECT key AS id, mode, chunk_index, chunk_total, source, target FROM chunk_pairs(TABLE(SELECT id, source, target FROM loom_pairs))")
 
 
 @query("R7_truncation", f"WITH {X.PAIRS} SELECT count(*) AS n_rows, avg(CASE WHEN strlen(source) + 1 > 384 THEN 1.0 ELSE 0.0 END) * 100 AS src_trunc_pct, avg(CASE WHEN strlen(target) + 1 > 384 THEN 1.0 ELSE 0.0 END) * 100 AS tgt_trunc_pct FROM pairs")
