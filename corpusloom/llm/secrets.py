@@ -5,10 +5,10 @@ assign (a key word, an assignment, a value of 6 or more characters), access (AKI
 letters or digits, 20 or more in all), hex (24 or more of 0-9a-f). A match that is too short
 is dropped, but what it covers is not searched again.
 
-The worklist then unwraps layers: lines with percent escapes or \\u and \\x escapes are decoded as a
+The worklist then unwraps layers: lines with percent escapes or \\u, \\x and octal escapes are decoded as a
 whole (a byte that isn't UTF-8 is a character of its own), runs of base64 (standard or URL alphabet) are decoded
-by themselves in each of the four alignments and joined across line breaks, gzip or zlib data inside are inflated, and
-every stretch of ASCII text in what comes out is a layer, whatever stands around it. Each new layer is
+by themselves in each of the four alignments and joined across line breaks, gzip, zlib, bzip2, xz or (as a whole run) raw deflated data inside are inflated, and
+every stretch of ASCII text in what comes out, also with two bytes a character, is a layer, whatever stands around it. Each new layer is
 scanned with the same patterns and unwrapped in turn until no layer yields a new one; a layer already seen at
 the same place is not taken up again. A layer knows its parent and, by pieces, where its characters
 come from, so spans are given in the original text; a span in inflated data covers the whole encoded run. Rounds
@@ -18,20 +18,25 @@ Inflated data are read as a stream, whatever their size and however often compre
 whole and the rest in windows that overlap by ``OVERLAP``. All spans in them are the same run, so it matters only
 that each pattern (and each encoded run of up to ``OVERLAP`` bytes) is whole in some window.
 
+Work grows in proportion to a run, however long it is: places are found by line, and data that only begin like
+compressed ones are decoded no further than the first bytes that aren't.
+
 Defined cases: a null text counts as empty (no spans); equal spans are given once; repeated rows
 give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +46,15 @@ from corpusloom.llm.common import map_rows, release, text_of
 KINDS = ("assign", "access", "hex")
 #: Bytes of inflated data that are scanned at once, and that a window shares with the next.
 WINDOW, OVERLAP = 1 << 24, 1 << 20
+#: Bytes of memory that an xz stream may ask for.
+MEMORY = 1 << 27
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _KEY = re.compile("pass|secret|token|api", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-_UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2})+")
+_UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|([0-3][0-7]{2}))")
 #: An escaped escape sign, over sixteen times around itself, and the length of a level: one at a time would be quadratic.
 _DEEP_PERCENT = re.compile(r"%(?:25){17,}(?=[0-9A-Fa-f]{2})")
 _DEEP_ESCAPE = re.compile(r"\\u005[cC](?:u005[cC]){16,}(?=u[0-9A-Fa-f]{4})")
@@ -56,10 +63,12 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines: the end of a line, whole lines, the start of a line.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+")
 _PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
-_JOINT = re.compile("[+/_-]")
+#: A sign of the alphabet, with what base64 of compressed data can begin with behind it (checked again by ``_squeezed``).
+_JOINT = re.compile("[+/_-](?=[CGKOSWaeimquy26+-][A-P]|H4s|Qlp|[/_]Td)")
 #: No pattern, and no escape or base64 run that leads to one, fits in fewer characters of text or holds any other.
 _TEXT = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
-_URL_TO_STANDARD = str.maketrans("-_", "+/")
+#: The same text with two bytes a character.
+_WIDE = [(0, re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}")), (1, re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){12,}"))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -133,7 +142,7 @@ def _percent(run: str) -> tuple[str, array]:
 def _escaped(run: str) -> tuple[str, array] | None:
     out, edges = [], array("q", [0])
     for m in _UNIT.finditer(run):
-        code = int(next(g for g in m.groups() if g), 16)
+        code = int(m[5], 8) if m[5] else int(m[m.lastindex], 16)
         if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1]) < 0xDC00:
             out[-1] = chr(0x10000 + ((ord(out[-1]) - 0xD800) << 10) + code - 0xDC00)
             edges[-1] = m.end()
@@ -187,20 +196,56 @@ def _shifted(edges: array, by: int):
 
 
 def _squeezed(data: bytes) -> bool:
-    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+    """Whether data begin like gzip, zlib, bzip2 or xz."""
+    if data[:2] == b"\x1f\x8b" or data[:3] == b"BZh" or data[:3] == b"\xfd7z":
+        return True
+    return len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
 
 
 def _inflated(data: Iterable[bytes]) -> Iterator[bytes]:
     """What the compressed stream holds, as far as it can be read."""
-    engine = zlib.decompressobj(47)
+    engine = None
     try:
         for part in data:
-            while part:
-                if got := engine.decompress(part, OVERLAP):
+            if engine is None:
+                kind = part[:3]
+                engine = bz2.BZ2Decompressor() if kind == b"BZh" else lzma.LZMADecompressor(lzma.FORMAT_XZ, MEMORY) if kind == b"\xfd7z" else zlib.decompressobj(47)
+            if isinstance(engine, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                while got := engine.decompress(part, OVERLAP):
                     yield got
-                part = engine.unconsumed_tail
+                    part = b""
+                    if engine.eof:
+                        return
+            else:
+                while part:
+                    if got := engine.decompress(part, OVERLAP):
+                        yield got
+                    part = engine.unconsumed_tail
             if engine.eof:
                 return
+    except (zlib.error, OSError, lzma.LZMAError):
+        return
+
+
+def _raw_deflated(data: bytes) -> Iterator[bytes] | None:
+    """The contents of deflated data without a header, which nothing marks: only if they end where the data do."""
+    engine, out = zlib.decompressobj(-15), []
+    try:
+        while data and not engine.eof:
+            out.append(engine.decompress(data, OVERLAP))
+            data = engine.unconsumed_tail
+            if sum(map(len, out)) > WINDOW:  # surely no chance
+                return chain(out, _rest(engine, data))
+    except zlib.error:
+        return None
+    return iter(out) if engine.eof and len(engine.unused_data) <= 2 and any(out) else None
+
+
+def _rest(engine, data: bytes) -> Iterator[bytes]:
+    try:
+        while data and not engine.eof:
+            yield engine.decompress(data, OVERLAP)
+            data = engine.unconsumed_tail
     except zlib.error:
         return
 
@@ -215,15 +260,16 @@ def _peeked(data: Iterator[bytes], least: int) -> tuple[bytes, Iterator[bytes]]:
     return head, chain([head], data)
 
 
-def _deflated(data: bytes) -> Iterator[bytes] | None:
+def _deflated(data: Iterator[bytes]) -> Iterator[bytes] | None:
     """What is left after all rounds of inflating; None if nothing is compressed. A cycle ends the rounds."""
-    head, stream, seen, rounds = data, iter([data]), set(), 0
+    head, stream = _peeked(data, 4)
+    seen, rounds = set(), 0
     while _squeezed(head) and head not in seen:
         if len(head) < OVERLAP:
             seen.add(head)
         inner, rest = _peeked(_inflated(stream), OVERLAP)
         if not inner:  # it only began like compressed data
-            stream = iter([head]) if rounds == 0 else chain([head], stream)
+            stream = chain([head], stream)
             break
         head, stream, rounds = inner, rest, rounds + 1
     return stream if rounds else None
@@ -231,8 +277,8 @@ def _deflated(data: bytes) -> Iterator[bytes] | None:
 
 def _decoded(body: str) -> bytes:
     """The bytes of a base64 run without padding; a last character that alone holds no byte is left out."""
-    body = body[: len(body) - (len(body) % 4 == 1)].translate(_URL_TO_STANDARD)
-    return base64.b64decode(body + "=" * (-len(body) % 4))
+    body = body[: len(body) - (len(body) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return binascii.a2b_base64(body + "=" * (-len(body) % 4))
 
 
 def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
@@ -245,18 +291,61 @@ def _windows(stream: Iterator[bytes]) -> Iterator[bytes]:
     yield held
 
 
-def _texts(layer: Layer, body: str, places, squeezed_only: bool = False) -> Iterator[Layer]:
-    """The layers of a base64 run; ``places[i]`` is where its character ``i`` stands in the layer."""
-    data = _decoded(body)
-    stream = _deflated(data)
+def _chunks(body: str, first: int) -> Iterator[bytes]:
+    """The bytes of a base64 run from ``first`` on, small parts first: what only begins like compressed data is soon given up."""
+    size = 1 << 8
+    while first < len(body):
+        yield _decoded(body[first : first + size])
+        first, size = first + size, min(2 * size, 1 << 20)
+
+
+class Places:
+    """Where the characters of joined pieces of a text stand in it, from the ``first`` on."""
+
+    def __init__(self, pieces: list[tuple[int, int]], first: int = 0, starts: list[int] | None = None):
+        self.pieces, self.first = pieces, first
+        self.starts = starts or list(accumulate((b - a for a, b in pieces), initial=0))
+
+    def after(self, first: int) -> Places:
+        return Places(self.pieces, first, self.starts)
+
+    def __getitem__(self, i: int) -> int:
+        i += self.first
+        at = bisect_right(self.starts, i, hi=len(self.pieces)) - 1
+        return self.pieces[at][0] + i - self.starts[at]
+
+
+def _texts(layer: Layer, body: str, first: int, places: Places, squeezed_only: bool = False) -> Iterator[Layer]:
+    """The layers of a base64 run from its character ``first`` on; ``places`` tells where they stand in the layer."""
+    squeezed = _squeezed(_decoded(body[first : first + 4]))
+    if squeezed_only and not squeezed:
+        return
+    stream = _deflated(_chunks(body, first)) if squeezed else None
+    data = b"" if stream is not None or squeezed_only else _decoded(body[first:])
+    if len(data) > 16 and data[0] & 6 != 6:
+        stream = _raw_deflated(data)
     if stream is not None:
-        whole = (places[0], places[len(body) - 1] + 1)
+        whole = (places.after(first)[0], places.after(first)[len(body) - first - 1] + 1)
         for window in _windows(stream):
-            for m in _TEXT.finditer(window):
-                yield Layer(m.group().decode(), layer, [(0, lambda i: whole)])
-    elif not squeezed_only:
-        for m in _TEXT.finditer(data):
-            yield Layer(m.group().decode(), layer, [(0, _bits(places, len(body), m.start()))])
+            for text, *_ in _stretches(window):
+                yield Layer(text, layer, [(0, lambda i: whole)])
+    for text, at, width in _stretches(data):
+        find = _bits(places.after(first), len(body) - first, at)
+        yield Layer(text, layer, [(0, _pairs(find) if width == 2 else find)])
+
+
+def _stretches(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, first byte, bytes a character) of the stretches of ASCII text."""
+    for m in _TEXT.finditer(data):
+        yield m.group().decode(), m.start(), 1
+    if b"\x00" in data:
+        for low, pattern in _WIDE:
+            for m in pattern.finditer(data):
+                yield m.group()[low::2].decode(), m.start(), 2
+
+
+def _pairs(find):
+    return lambda i: (find(2 * i)[0], find(2 * i + 1)[1])
 
 
 def _unpacked(layer: Layer) -> Iterator[Layer]:
@@ -267,27 +356,26 @@ def _unpacked(layer: Layer) -> Iterator[Layer]:
     are decoded from the first line of each alignment, and from every line that begins like compressed data.
     """
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
+        body, places = m.group().rstrip("="), Places([(m.start(), m.end())])
         for first in range(4):
-            yield from _texts(layer, body[first:], range(m.start() + first, m.end()))
+            yield from _texts(layer, body, first, places)
         for sign in _JOINT.finditer(body):
             first = sign.end()
             if first > 3 and _squeezed(_decoded(body[first : first + 4])):
-                yield from _texts(layer, body[first:], range(m.start() + first, m.end()), squeezed_only=True)
+                yield from _texts(layer, body, first, places, squeezed_only=True)
     if "\n" not in layer.text:
         return
     for m in _WRAPPED.finditer(layer.text):
         if m.end() - m.start() < 16:
             continue
         pieces = [(p.start(), p.end()) for p in _PIECE.finditer(layer.text, m.start(), m.end())]
-        body = "".join([layer.text[a:b] for a, b in pieces])
-        places = array("q", (i for a, b in pieces for i in range(a, b)))
+        body, places = "".join([layer.text[a:b] for a, b in pieces]), Places(pieces)
         aligned, first = set(), 0
         for a, b in pieces[:-1]:
             fresh = first % 4 not in aligned
             aligned.add(first % 4)
             if fresh or _squeezed(_decoded(body[first : first + 4])):
-                yield from _texts(layer, body[first:], places[first:])
+                yield from _texts(layer, body, first, places, squeezed_only=not fresh)
             first += b - a
 
 

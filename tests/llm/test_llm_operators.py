@@ -1,11 +1,14 @@
 """The ten operators against brute force, round trips, libraries and held-out labels."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -599,6 +602,52 @@ def test_quality_awkward(spark):
     assert quality.score(docs.limit(0), none).count() == 0
 
 
+def _raw_deflate(data):
+    engine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return engine.compress(data) + engine.flush()
+
+
+@pytest.mark.parametrize("pack", [bz2.compress, lzma.compress, _raw_deflate, lambda d: bz2.compress(zlib.compress(d)), lambda d: lzma.compress(b"\x00\xff" + base64.b64encode(d))])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_compressed_layers_of_all_kinds(pack, wrapped):
+    rng = random.Random(1)
+    words = "".join(rng.choice("ghijk lm\n") for _ in range(300))
+    data = pack(f'{words} token = "q9w8e7r6t5y4" {words}'.encode())
+    run = base64.encodebytes(data).decode().rstrip("\n") if wrapped else base64.b64encode(data).decode()
+    base, spans = secrets.all_spans(f"see {run} end")
+    whole = (4, 0, 4 + len(run.rstrip("=")))
+    assert base == [] and whole in spans
+    joined = secrets.all_spans(f"key-{base64.b64encode(bz2.compress(words.encode() + b' password=hunter22 '))[:-4].decode()}")[1]
+    assert joined == [] or joined[0][1] == 0
+
+
+@pytest.mark.parametrize("kind,sign", [("utf-16-le", 0), ("utf-16-be", 1)])
+def test_wide_text_in_base64(kind, sign):
+    run = base64.b64encode("the password = hunter2222 is".encode(kind)).decode()
+    spans = secrets.all_spans("x " + run)[1]
+    first, last = 2 + 4 * 2 * 4 // 3, 2 + 25 * 2 * 4 // 3
+    assert any(k == 0 and abs(a - first) <= 3 and abs(b - last) <= 3 for a, k, b in spans)
+
+
+def test_octal_escapes():
+    text = "".join(f"\\{ord(c):03o}" for c in "api_key:abc123def")
+    assert secrets.all_spans(f"a {text} b") == ([], [(2, 0, 2 + len(text))])
+    assert secrets.all_spans("C:\\123\\temp \\1 \\09")[1] == []
+
+
+def test_work_on_long_runs_is_in_proportion():
+    """Random base64, in which one byte in some hundreds begins like compressed data, in one line and in many."""
+    data = random.Random(5).randbytes(3_000_000)
+    for encode in (base64.b64encode, base64.encodebytes):
+        took = []
+        for n in (len(data) // 4, len(data)):
+            text = encode(data[:n]).decode()
+            began = time.process_time()
+            secrets.all_spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5
+
+
 # -- pages -------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a>{n} menu</a></ul></nav>
