@@ -15,27 +15,31 @@ container that has most of the prose in slots, where text in links, and groups o
 and without articles inside articles, which are comments by definition).
 In the region everything stays, constant sentences as well, but for what is link text or records
 and, where alignment can't tell, what HTML or a whole class or id says it is (nav, form, aside,
-"cookie-notice", "ad"; a name that only contains such a word says nothing).
+"cookie-notice", "ad"; a name that only contains such a word says nothing). Names of boxes that hold prose as well ("related", "share", "reply") count in an
+article only where links outweigh its words, names of boxes say nothing of a paragraph or quotation, and no heading goes by its name.
 
 Every page is then read whole again and aligned with its reference; its blocks in the region's nodes are
 the text, white space in a block as one space. Layouts and hosts of fewer than ``LEAST_PAGES`` different pages
 have no constants; the region then comes from the counts of these pages. Wrappers go to the executors by
 broadcast while they are few (``BROADCAST_ROWS`` nodes, checked); beyond that pages and wrappers are
-joined by host.
+joined by host and layout, so a host of many layouts is many small keys.
 
 Defined cases: null or empty html gives the empty text; a null or hostless url means no wrapper, the region is that of
 the page; broken markup is read as far as it goes; nodes more than ``DEEP`` levels down belong to their
 ancestor there; repeated rows give repeated results; extra columns are ignored; an empty table gives
-an empty result.
+an empty result. A page of many thousand blocks takes time and memory in proportion where its blocks come in turns or are
+like the reference's; else see ``simple_tree_matching`` for the bounds.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +51,12 @@ SHARE = 0.8
 #: A container is gone into while it holds this part of the prose.
 MOST_PROSE = 0.6
 DEEP = 60
+#: Siblings that come in turns (heading, paragraph, heading, paragraph) are folded up to so many a turn.
+PERIOD = 8
+#: Pairs of siblings that are aligned as a whole, and that are weighed for one page; beyond, see ``simple_tree_matching``.
+CELLS, WEIGHED = 1 << 29, 1 << 25
+#: Pairs of siblings up to which their whole table is held.
+SMALL = 1 << 20
 BROADCAST_ROWS = 200_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -76,17 +86,27 @@ _ROLE_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus login searchform pagination pager skip".split()
 )
+#: Names of boxes that hold prose as well as teasers and buttons: in an article the counts of words decide.
+_MAYBE_WORDS = frozenset("related recommended recommendations share sharing social reply replies respond header".split())
+#: Names that say something of a container only, not of a paragraph or quotation.
+_BOX_WORDS = _MAYBE_WORDS | frozenset("topbar masthead footer sidebar aside banner nav navbar navigation menu menubar".split())
+#: A header so called belongs to a part of the page.
+_PART_WORDS = frozenset("page section entry post article content title story".split())
+_PROSE = frozenset("p blockquote pre dl dt dd figcaption q cite".split())
 _STRUCTURE_WORDS = frozenset(
     "site page main top bottom left right inner outer box bar wrap wrapper container block area section list item items slot unit "
     "links link widget row col column content group panel primary secondary user reader the".split()
 )
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Node:
-    __slots__ = ("tag", "name", "children", "skip", "parent")
+    __slots__ = ("tag", "name", "names", "children", "skip", "parent")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, skip: bool):
-        self.tag, self.name, self.parent, self.skip = tag, name, parent, skip
+    def __init__(self, tag: str, name: str, parent: Node | None, skip: bool, names: str = ""):
+        self.tag, self.name, self.parent, self.skip, self.names = tag, name, parent, skip, names
         self.children: list = []  # Nodes and texts
 
 
@@ -95,12 +115,37 @@ def _skipped(tag: str, attrs: dict, parent: Node) -> bool:
         return True
     if (attrs.get("role") or "").lower() in _NOT_ROLE or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if tag == "header":  # an article's own header holds its title
-        return not _in_article(parent)
-    roles = {r for n in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split() for r in _said(n)}
-    return bool(roles) and (roles != {"header"} or not _in_article(parent))
+    return tag == "header" and not _in_article(parent)  # an article's own header holds its title
+
+
+def _drop_named(root: Node) -> None:
+    """Skips what names say is no content. Headings are never skipped by name, and no article or main; prose is where only a box is named."""
+    words: dict[int, tuple[int, int, bool]] = {}  # of an element: words, of these in links, a heading inside
+    stack = [(root, False)]
+    while stack:
+        node, ready = stack.pop()
+        kids = [c for c in node.children if isinstance(c, Node) and not c.skip]
+        if not ready:
+            stack.append((node, True))
+            stack += [(c, False) for c in kids]
+            continue
+        own = sum(len(c.split()) for c in node.children if isinstance(c, str))
+        n, links, heading = own, 0, node.tag in _HEADINGS
+        for c in kids:
+            n, links, heading = n + words[id(c)][0], links + words[id(c)][1], heading or words[id(c)][2]
+        words[id(node)] = n, n if node.tag == "a" else links, heading
+        if not node.names or node.tag in _HEADINGS or node.tag in ("html", "body", "article", "main"):
+            continue
+        roles = {r for name in node.names.lower().split() for r in _said(name)}
+        if not roles or node.tag in _PROSE and roles <= _BOX_WORDS:
+            continue
+        inside = _in_article(node.parent)
+        if roles <= _MAYBE_WORDS:
+            if roles == {"header"} and (inside or heading and _PART_WORDS & set(re.split("[-_ ]+", node.names.lower()))):
+                continue
+            if inside and n - links >= max(8, links):
+                continue
+        node.skip = True
 
 
 def _said(name: str) -> set[str]:
@@ -129,7 +174,8 @@ class TreeBuilder(HTMLParser):
         if tag in _SAME:
             for same in _SAME[tag]:
                 self._close_open(same, _SAME_STOP)
-        node = Node(tag, got.get("class") or got.get("id") or "", self.at, _skipped(tag, got, self.at))
+        names = f"{got.get('class') or ''} {got.get('id') or ''}".strip()
+        node = Node(tag, got.get("class") or got.get("id") or "", self.at, _skipped(tag, got, self.at), names)
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
@@ -163,6 +209,7 @@ def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    _drop_named(builder.root)
     return builder.root
 
 
@@ -206,11 +253,31 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are records when they are repeated with two or more elements inside.
 _RECORD = _CONTAINER | {"li", "dd"}
 
 
+def _folded(shapes: list[int]) -> list[int]:
+    """For each sibling the one it is folded into: itself, or, in a run with a period of up to ``PERIOD``, that of the first turn."""
+    n, out, i = len(shapes), list(range(len(shapes))), 0
+    runs = []
+    for period in range(1, PERIOD + 1):
+        run = [0] * (n + 1)
+        for k in range(n - period - 1, -1, -1):
+            run[k] = run[k + 1] + 1 if shapes[k] == shapes[k + period] else 0
+        runs.append(run)
+    while i < n:
+        # Two alike siblings are a run; longer periods need a third turn.
+        period = next((p for p in range(1, PERIOD + 1) if runs[p - 1][i] >= (1 if p == 1 else 2 * p)), 0)
+        if not period:
+            i += 1
+            continue
+        size = period * (1 + runs[period - 1][i] // period)
+        out[i : i + size] = [i + k % period for k in range(size)]
+        i += size
+    return out
+
+
 class Outline:
     """The tree of a page's block elements, in page order, alike siblings that follow each other as one node.
 
@@ -223,26 +290,25 @@ class Outline:
         self.tags, self.names, self.parents, self.repeats = [], [], [], []
         self.node_of: dict[int, int] = {}
         shapes = _shapes(root)
-        # (element, parent's node, level); the children of a node are numbered one behind the other.
+        # (element, parent's node, level, what it is folded into); the children of a node are numbered one behind the other.
         stack = [(root, -1, 0, None)]
         while stack:
             element, parent, level, twin = stack.pop()
-            if twin is not None and twin[0] == shapes[id(element)]:
-                at = twin[1]
+            if twin is not None:
+                at = self.node_of[id(twin)]
                 self.repeats[at] += 1
                 self.node_of[id(element)] = at
                 continue
             at = len(self.tags)
-            if twin is not None:
-                twin[:] = [shapes[id(element)], at]
             self.node_of[id(element)] = at
             self.tags.append(element.tag)
             self.names.append(_DIGITS.sub("0", element.name))
             self.parents.append(parent)
             self.repeats.append(1)
             if level < DEEP:
-                mine = [None, -1]
-                stack += [(c, at, level + 1, mine) for c in reversed(list(_block_children(element)))]
+                below = list(_block_children(element))
+                first = _folded([shapes[id(c)] for c in below])
+                stack += [(c, at, level + 1, None if f == i else below[f]) for i, (c, f) in reversed(list(enumerate(zip(below, first, strict=True))))]
         self.words, self.links = [0] * len(self.tags), [0] * len(self.tags)
         texts: list[list[str]] = [[] for _ in self.tags]
         self.at = []
@@ -303,54 +369,152 @@ def layout(outline: Outline) -> int:
     return zlib.crc32(",".join(map(str, sorted(set(paths)))).encode()) >> 1 | 1
 
 
-def simple_tree_matching(tags: list, names: list, parents: list, tags2: list, names2: list, parents2: list) -> dict[int, int]:
-    """Nodes of the first tree -> nodes of the second in a matching with the most weight that keeps order and ancestry.
+class _Matching:
+    """Weights of the best order-preserving matchings, by subtrees that are alike (a class): two equal subtrees are matched as they are."""
 
-    A node matches one of the same tag (weight 2, and 1 more for the same name).
-    """
-    if tags == tags2 and names == names2 and parents == parents2:
-        return {i: i for i in range(len(tags))}
-
-    def children(parents: list) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in parents]
+    def __init__(self):
+        self.ids: dict[tuple, int] = {}
+        self.tag: list[str] = []
+        self.name: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.full: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.left = WEIGHED
+
+    def classes(self, tags: list, names: list, parents: list) -> tuple[list[int], list[list[int]]]:
+        """The class of each node, and the children."""
+        below: list[list[int]] = [[] for _ in parents]
         for i, p in enumerate(parents):
             if p >= 0:
-                out[p].append(i)
+                below[p].append(i)
+        out = [0] * len(tags)
+        for i in range(len(tags) - 1, -1, -1):
+            key = (tags[i], names[i], tuple(out[c] for c in below[i]))
+            if key not in self.ids:
+                self.ids[key] = len(self.full)
+                self.tag.append(tags[i])
+                self.name.append(names[i])
+                self.kids.append(key[2])
+                self.full.append(3 + sum(self.full[c] for c in key[2]))
+            out[i] = self.ids[key]
+        return out, below
+
+    def weigh(self, a: int, b: int) -> int:
+        """The weight of the best matching of two subtrees whose roots match."""
+        if a == b:
+            return self.full[a]
+        got = self.weights.get((a, b))
+        if got is None:
+            got = 2 + (self.name[a] == self.name[b])
+            x, y = self.kids[a], self.kids[b]
+            if x and y:
+                self.left -= len(x) * len(y)
+                got += self.score(x, y) if self.left > 0 else self._common(x, y)
+            self.weights[a, b] = got
+        return got
+
+    def _common(self, x: tuple, y: tuple) -> int:
+        """What equal children weigh, in whatever order."""
+        return sum(n * self.full[c] for c, n in (Counter(x) & Counter(y)).items())
+
+    def score(self, x, y) -> int:
+        lead, trail = _ends(x, y)
+        total = sum(self.full[c] for c in x[:lead]) + sum(self.full[c] for c in x[len(x) - trail :])
+        x, y = x[lead : len(x) - trail], y[lead : len(y) - trail]
+        return total + (int(self.last_row(x, y)[-1]) if x and y else 0)
+
+    def row(self, c: int, kinds: list[int], codes: np.ndarray, known: dict) -> np.ndarray:
+        """The weights of a subtree with each of the siblings ``kinds[codes]``."""
+        got = known.get(c)
+        if got is None:
+            got = np.array([self.weigh(c, d) if self.tag[c] == self.tag[d] else 0 for d in kinds], np.int64)
+            known[c] = got
+        return got[codes]
+
+    def rows(self, x, y):
+        """The rows of the alignment's table."""
+        kinds = list(dict.fromkeys(y))
+        at = {d: i for i, d in enumerate(kinds)}
+        codes = np.array([at[d] for d in y], np.int64)
+        known: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, np.int64)
+        yield row
+        for c in x:
+            best = np.maximum(row[1:], row[:-1] + self.row(c, kinds, codes, known))
+            row = np.concatenate([row[:1], np.maximum.accumulate(best)])
+            yield row
+
+    def last_row(self, x, y) -> np.ndarray:
+        for row in self.rows(x, y):  # noqa: B007
+            pass
+        return row
+
+    def pairs(self, x, y) -> list[tuple[int, int]]:
+        """Places (i, j) of a best alignment of siblings, in space that grows with their number alone."""
+        out, work = [], [(0, len(x), 0, len(y))]
+        while work:
+            a, b, c, d = work.pop()
+            lead, trail = _ends(x[a:b], y[c:d])
+            out += [(a + k, c + k) for k in range(lead)] + [(b - 1 - k, d - 1 - k) for k in range(trail)]
+            a, b, c, d = a + lead, b - trail, c + lead, d - trail
+            n, m = b - a, d - c
+            if not n or not m:
+                continue
+            if n * m <= SMALL:
+                out += [(a + i, c + j) for i, j in self._traced(x[a:b], y[c:d])]
+            elif n * m > CELLS:  # in stretches
+                k = -(-n * m // CELLS)
+                work += [(a + n * i // k, a + n * (i + 1) // k, c + m * i // k, c + m * (i + 1) // k) for i in range(k)]
+            elif n == 1 or m == 1:
+                out += [(a + i, c + j) for i, j in self._traced(x[a:b], y[c:d])]
+            else:
+                half = a + n // 2
+                ahead, behind = self.last_row(x[a:half], y[c:d]), self.last_row(x[half:b][::-1], y[c:d][::-1])[::-1]
+                cut = c + int(np.argmax(ahead + behind))
+                work += [(a, half, c, cut), (half, b, cut, d)]
+        return sorted(out)
+
+    def _traced(self, x, y) -> list[tuple[int, int]]:
+        table = list(self.rows(x, y))
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
         return out
 
-    below, below2 = children(parents), children(parents2)
-    tables: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def weigh(a: int, b: int) -> int:
-        """The weight of the best matching of the subtrees, whose roots match."""
-        x, y = below[a], below2[b]
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, c in enumerate(x, 1):
-            row, above = table[i], table[i - 1]
-            for j, d in enumerate(y, 1):
-                best = max(above[j], row[j - 1])
-                if tags[c] == tags2[d]:
-                    best = max(best, above[j - 1] + weigh(c, d))
-                row[j] = best
-        total = table[-1][-1] + 2 + (names[a] == names2[b])
-        tables[a, b] = total, table
-        return total
+def _ends(x, y) -> tuple[int, int]:
+    """How many siblings are equal from the front on, and of the others from the back on."""
+    most = min(len(x), len(y))
+    lead = next((i for i in range(most) if x[i] != y[i]), most)
+    most -= lead
+    return lead, next((i for i in range(most) if x[len(x) - 1 - i] != y[len(y) - 1 - i]), most)
+
 
-    weigh(0, 0)
+def simple_tree_matching(tags: list, names: list, parents: list, tags2: list, names2: list, parents2: list) -> dict[int, int]:
+    """Nodes of the first tree -> nodes of the second in a matching with the most weight that keeps order and ancestry.
+
+    A node matches one of the same tag (weight 2, and 1 more for the same name). Equal subtrees are weighed once, and siblings that are equal
+    from the front or the back on are matched without a table; of the others' table two rows are held. Where more than
+    ``CELLS`` pairs of siblings would meet they are aligned in stretches, and where the subtrees of a page make more than ``WEIGHED`` pairs of children
+    in all, further ones are weighed by their equal children: the matching keeps order and ancestry, but may not be the heaviest.
+    """
+    if tags == tags2 and names == names2 and parents == parents2:
+        return {i: i for i in range(len(tags))}
+    matching = _Matching()
+    (own, below), (own2, below2) = matching.classes(tags, names, parents), matching.classes(tags2, names2, parents2)
     out, stack = {}, [(0, 0)]
     while stack:
         a, b = stack.pop()
         out[a] = b
-        x, y, table = below[a], below2[b], tables[a, b][1]
-        i, j = len(x), len(y)
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                stack.append((x[i], y[j]))
+        x, y = below[a], below2[b]
+        if x and y:
+            stack += [(x[i], y[j]) for i, j in matching.pairs([own[c] for c in x], [own2[d] for d in y])]
     return out
 
 
@@ -396,9 +560,11 @@ def content(tags: list, parents: list, repeats: list, words: list, links: list,
         said = articles
     out: set[int] = set()
     if said:
+        said = set(said)
+        opening = _openings(tags, parents, said, heading)
         # An article in an article is what readers add to it.
         for i in range(n):
-            if i in said or parents[i] in out and not (tags[i] == "article" and within[i]):
+            if i in said or i in opening or parents[i] in out and not (tags[i] == "article" and within[i]):
                 out.add(i)
         return out
     region = 0
@@ -416,31 +582,47 @@ def content(tags: list, parents: list, repeats: list, words: list, links: list,
     return out
 
 
+def _openings(tags: list, parents: list, said: set[int], heading: list) -> set[int]:
+    """What stands between a heading of ``main`` and the first article behind it: the article's head, though outside of it."""
+    out: set[int] = set()
+    for main in {parents[i] for i in said if parents[i] >= 0 and tags[parents[i]] == "main"}:
+        begun = False
+        for i in range(main + 1, len(tags)):
+            if parents[i] == main:
+                if i in said:
+                    break
+                begun = begun or heading[i]
+                if begun:
+                    out.add(i)
+    return out
+
+
 def _kept(outline: Outline, wrapper: dict | None) -> set[int]:
-    """The nodes of a page that are content: those aligned with the wrapper's, and what stands below them."""
+    """The nodes of a page that are content: those aligned with its wrapper's, and what stands below them."""
     own = None
     if wrapper is not None:
-        reference = wrapper["layouts"].get(layout(outline))
-        if reference is not None:
-            match = simple_tree_matching(outline.tags, outline.names, outline.parents, *reference["tree"])
-            keep, kept = reference["keep"], set()
-            for i, p in enumerate(outline.parents):
-                at = match.get(i)
-                if at in keep if at is not None else p in kept:
-                    kept.add(i)
-            if any(outline.words[i] for i in kept):
-                return kept
+        match = simple_tree_matching(outline.tags, outline.names, outline.parents, *wrapper["tree"])
+        keep, kept = wrapper["keep"], set()
+        for i, p in enumerate(outline.parents):
+            at = match.get(i)
+            if at in keep if at is not None else p in kept:
+                kept.add(i)
+        if any(outline.words[i] for i in kept):
+            return kept
         own = [t in wrapper["texts"] for t in outline.texts]
     return content(outline.tags, outline.parents, outline.repeats, outline.words, outline.links, own or [False] * len(outline.tags))
 
 
-def main_text(html: str, wrapper: dict | None = None) -> str:
-    """The page's blocks of content, joined by blank lines."""
-    outline = Outline(parse(html))
+def _content_text(outline: Outline, wrapper: dict | None = None) -> str:
     kept = _kept(outline, wrapper)
     return "\n\n".join(text for (_, text, _), i in zip(outline.found, outline.at, strict=True) if i in kept)
 
 
+def main_text(html: str) -> str:
+    """The blocks of content of a page by itself, joined by blank lines."""
+    return _content_text(Outline(parse(html)))
+
+
 def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
 
@@ -464,7 +646,7 @@ def outlines(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(_host().alias("host"), "html").where("host <> '' AND html <> ''")
     read_rows = map_rows(rows, read, f"host string, page long, layout long, {OUTLINE}, words array<int>, links array<int>, texts array<long>", batch_rows=500)
-    return checkpointed(read_rows.dropDuplicates(["host", "page"]))
+    return checkpointed(read_rows.dropDuplicates(["host", "layout", "page"]))
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
@@ -493,7 +675,7 @@ def _aligned(rows: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, layouts, texts): per layout its reference and the nodes that are content, and the constant texts of the host."""
+    """(host, layout, ref_tags, ref_names, ref_parents, keep, texts): a layout's reference, the nodes that are content, and its constant texts."""
     page = outlines(pages)
     tree = ["tags", "names", "parents"]
     reference = page.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min(F.struct("page", *tree)).alias("r"))
@@ -501,65 +683,66 @@ def wrappers(pages: DataFrame) -> DataFrame:
     counts = checkpointed(_aligned(page.join(reference, ["host", "layout"])))
     nearly = lambda n, of: (n >= LEAST_PAGES) & (n - 1 >= SHARE * (of - 1) - 1e-9)
     sizes = reference.groupBy("host").agg(F.sum("pages").alias("pages"))
-    texts = counts.where("layout = 0").join(sizes, "host").where(nearly(F.col("n"), F.col("pages")))
-    texts = texts.groupBy("host").agg(F.collect_set("text").alias("texts"))
+    template = counts.where("layout = 0").join(sizes, "host").where(nearly(F.col("n"), F.col("pages"))).select("host", "text", F.lit(True).alias("known"))
+    here = counts.where("layout <> 0")
     said = F.when(F.col("text") != 0, F.col("n"))
-    node = counts.where("layout <> 0").groupBy("host", "layout", "node").agg(
+    node = here.groupBy("host", "layout", "node").agg(
         F.coalesce(F.max(said), F.lit(0)).alias("top"), F.max_by("text", said).alias("text"), F.sum("words").alias("words"), F.sum("links").alias("links"), F.max("repeats").alias("repeats")
     )
-    of_node = ("node", "top", "words", "links", "text", "repeats")
+    node = node.join(template, ["host", "text"], "left").withColumn("known", F.col("known").isNotNull())
+    of_node = ("node", "top", "words", "links", "known", "repeats")
     nodes = node.groupBy("host", "layout").agg(F.collect_list(F.struct(*of_node)).alias("nodes"))
-    whole = reference.join(nodes, ["host", "layout"]).join(texts, "host", "left").select("host", "layout", "pages", *[f"ref_{c}" for c in tree], *[F.col(f"nodes.{c}").alias(c) for c in of_node], "texts")
+    texts = here.where("text <> 0").join(template, ["host", "text"]).groupBy("host", "layout").agg(F.collect_set("text").alias("texts"))
+    whole = reference.join(nodes, ["host", "layout"]).join(texts, ["host", "layout"], "left")
+    whole = whole.select("host", "layout", "pages", *[f"ref_{c}" for c in tree], *[F.col(f"nodes.{c}").alias(c) for c in of_node], "texts")
 
     def decide(batches):
         for batch in batches:
             out = []
-            for row in zip(*[batch[c].to_pylist() for c in ("pages", "ref_tags", "ref_parents", *of_node, "texts")], strict=True):
-                of, tags, parents, at, top, words, links, text, repeats, known = row
+            for row in zip(*[batch[c].to_pylist() for c in ("pages", "ref_tags", "ref_parents", *of_node)], strict=True):
+                of, tags, parents, at, top, words, links, known, repeats = row
                 total, linked, constant, most = [0] * len(tags), [0] * len(tags), [False] * len(tags), [1] * len(tags)
-                for i, n, w, k, t, r in zip(at, top, words, links, text, repeats, strict=True):
+                for i, n, w, k, t, r in zip(at, top, words, links, known, repeats, strict=True):
                     total[i], linked[i], most[i] = w, k, r
-                    constant[i] = n >= LEAST_PAGES and n - 1 >= SHARE * (of - 1) - 1e-9 or t in (known or ())
+                    constant[i] = n >= LEAST_PAGES and n - 1 >= SHARE * (of - 1) - 1e-9 or t
                 out.append(sorted(content(tags, parents, most, total, linked, constant)))
             yield {c: batch[c] for c in ("host", "layout", "ref_tags", "ref_names", "ref_parents", "texts")} | {"keep": out}
 
-    kinds = "host string, layout long, ref_tags array<string>, ref_names array<string>, ref_parents array<int>, texts array<long>, keep array<int>"
-    decided = map_rows(whole, decide, kinds)
-    parts = F.collect_list(F.struct("layout", "ref_tags", "ref_names", "ref_parents", "keep")).alias("l")
-    by_host = decided.groupBy("host").agg(parts, F.first("texts").alias("texts"))
-    return by_host.select("host", *[F.col(f"l.{c}").alias(c) for c in ("layout", "ref_tags", "ref_names", "ref_parents", "keep")], "texts")
+    kinds = "host string, layout long, ref_tags array<string>, ref_names array<string>, ref_parents array<int>, keep array<int>, texts array<long>"
+    return map_rows(whole, decide, kinds, batch_rows=200)
 
 
-WRAPPER = ("layout", "ref_tags", "ref_names", "ref_parents", "keep", "texts")
+WRAPPER = ("ref_tags", "ref_names", "ref_parents", "keep", "texts")
 
 
-def _wrapper(layouts: list | None, tags: list, names: list, parents: list, keep: list, texts: list | None) -> dict | None:
-    if layouts is None:
-        return None
-    own = {lay: {"tree": (t, n, p), "keep": frozenset(k)} for lay, t, n, p, k in zip(layouts, tags, names, parents, keep, strict=True)}
-    return {"layouts": own, "texts": frozenset(texts or ())}
+def _wrapper(tags: list | None, names: list, parents: list, keep: list, texts: list | None) -> dict | None:
+    return None if tags is None else {"tree": (tags, names, parents), "keep": frozenset(keep), "texts": frozenset(texts or ())}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages(page_id, url, html)``."""
     own = checkpointed(wrappers(pages))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
-    size = own.agg(F.sum(F.size(F.flatten("ref_tags")) + F.greatest(F.size("texts"), F.lit(0)) + 1).alias("n")).first()["n"] or 0
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
+    size = own.agg(F.sum(F.size("ref_tags") + F.greatest(F.size("texts"), F.lit(0)) + 1).alias("n")).first()["n"] or 0
+    shared = None
     if size <= BROADCAST_ROWS:
-        known = {r["host"]: _wrapper(*[r[c] for c in WRAPPER]) for r in own.collect()}
+        known = {(r["host"], r["layout"]): _wrapper(*[r[c] for c in WRAPPER]) for r in own.collect()}
         shared = pages.sparkSession.sparkContext.broadcast(known)
-        columns = rows
     else:
-        shared = None
-        columns = rows.join(own, "host", "left")
+        rows = map_rows(rows, _with_layouts, "page_id long, url string, html string, host string, layout long", batch_rows=500).join(own, ["host", "layout"], "left")
 
     def run(batches):
         for batch in batches:
             texts = []
             given = zip(*[batch[c].to_pylist() for c in WRAPPER], strict=True) if shared is None else None
             for html, host in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), strict=True):
-                texts.append(main_text(html, shared.value.get(host) if shared else _wrapper(*next(given))))
+                outline = Outline(parse(html))
+                texts.append(_content_text(outline, shared.value.get((host, layout(outline))) if shared else _wrapper(*next(given))))
             yield {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    columns = columns.withColumn("page_id", F.col("page_id").cast("long"))
-    return map_rows(columns, run, "page_id long, url string, text string, n_chars long", batch_rows=500)
+    return map_rows(rows, run, "page_id long, url string, text string, n_chars long", batch_rows=500)
+
+
+def _with_layouts(batches):
+    for batch in batches:
+        yield {c: batch[c] for c in ("page_id", "url", "html", "host")} | {"layout": [layout(Outline(parse(html))) for html in batch["html"].to_pylist()]}

@@ -782,6 +782,68 @@ def test_page_parts(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><h1>t</h1><p>a text of some words</p><div class='related'><p>This section is prose about related work and has many words.</p></div></article>", "t\n\na text of some words\n\nThis section is prose about related work and has many words."),
+        ("<article><h1>t</h1><p>words of text</p><div class='related'><p>See <a href='/'>one more of our long stories about this here</a></p></div></article>", "t\n\nwords of text"),
+        ("<article><p class='share'>Prices of a share rose.</p><blockquote class='reply'>He replied at once.</blockquote><p>end</p></article>", "Prices of a share rose.\n\nHe replied at once.\n\nend"),
+        ("<body><div><h1 class='page-header'>Title</h1><h2 class='section-header'>Part</h2><p>some text of it</p></div></body>", "Title\n\nPart\n\nsome text of it"),
+        ("<main><h1>Title</h1><p>intro</p><article><p>a longer text of many words here</p></article><div><p>other</p></div></main>", "Title\n\nintro\n\na longer text of many words here"),
+        ("<article><h1>t</h1><p>words of text</p><div class='alert'>watch out</div><p class='advert'>buy now</p></article>", "t\n\nwords of text"),
+    ],
+)
+def test_names_drop_no_headings_and_no_prose(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def long_page(n, seed=None):
+    """Blocks in turns, or with a seed in any order."""
+    rng = random.Random(seed)
+    turn = lambda i: f"<h2>head {i}</h2><p>text {i} of it</p>"
+    some = lambda i: rng.choice([f"<h2>head {i}</h2>", f"<p>text {i} of it</p>", f"<div class='k{i % 3}'><p>text {i} of it</p></div>", f"<ul><li>point {i}</li></ul>"])
+    return "<body><div>" + "".join((turn if seed is None else some)(i) for i in range(n)) + "</div></body>"
+
+
+@pytest.mark.parametrize("seed", [None, 4])
+def test_long_pages_take_time_and_memory_in_proportion(seed):
+    import tracemalloc
+
+    outline = lambda k: html_extract.Outline(html_extract.parse(long_page(10_000 + k, seed and seed + k)))
+    a, b = outline(0), outline(3)
+    tracemalloc.start()
+    began = time.process_time()
+    match = html_extract.simple_tree_matching(a.tags, a.names, a.parents, b.tags, b.names, b.parents)
+    assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert len(match) > 0.7 * len(a.tags)
+
+
+def test_siblings_in_turns_are_folded():
+    fold = html_extract._folded
+    assert fold([1, 1, 1, 2]) == [0, 0, 0, 3]
+    assert fold([1, 2, 1, 2, 1, 2, 1]) == [0, 1, 0, 1, 0, 1, 6]
+    assert fold([1, 2, 1, 2]) == [0, 1, 2, 3]
+    assert fold([]) == []
+
+
+def test_matching_in_halves_and_in_stretches(monkeypatch):
+    rng = random.Random(8)
+    weigh = lambda x, y, found: sum(3 if a == b else 2 for a, b in ((x[i], y[j]) for i, j in found))
+    for _ in range(40):
+        m = html_extract._Matching()
+        x, y = ([rng.choice("ab") for _ in range(rng.randint(1, 40))] for _ in "xy")
+        (own, _), (own2, _) = (m.classes(["r", *["p"] * len(z)], ["", *z], [-1, *[0] * len(z)]) for z in (x, y))
+        best = m.pairs(own[1:], own2[1:])
+        monkeypatch.setattr(html_extract, "SMALL", 4)
+        halves = m.pairs(own[1:], own2[1:])
+        assert weigh(x, y, halves) == weigh(x, y, best) == m.score(tuple(own[1:]), tuple(own2[1:]))
+        monkeypatch.setattr(html_extract, "CELLS", 20)
+        parts = m.pairs(own[1:], own2[1:])
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(parts, parts[1:]))
+        monkeypatch.undo()
+
+
 def test_wrappers_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = [(i, f"https://h.example/{i}", PAGE.format(n=f"w{i}")) for i in range(6)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
