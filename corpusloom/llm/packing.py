@@ -217,7 +217,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 
 def _ranked(rows: DataFrame, total: int) -> DataFrame:
     """``rows`` with ``rank``: 0, 1, .. within each length."""
-    salts = max(1, min(4096, total // SALT_ROWS))
+    salts = max(1, min(1 << 20, total // SALT_ROWS))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null text counts as empty and gets the score of the bias; a null doc_id is never
 trained on and counts as held out = false; repeated rows get equal scores; labels without a
-document or a value are ignored, of several labels of one doc_id the greatest counts; with no usable labels every score is 0.5; extra columns are ignored.
+document or a value are ignored, of several labels of one doc_id the greatest counts, of several texts the one with the greatest hash; with no usable labels every score is 0.5; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,6 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     # At most ``rows`` rows of two numbers: the broadcast doesn't grow with the input.
     chosen = usable.orderBy(order, "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text a doc_id, whichever order rows come in.
+    texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"), F.max("label").alias("label"))
 
     def learn(batches):
         examples = {}

@@ -591,6 +591,14 @@ def test_quality_of_conflicting_labels(spark):
     assert (quality.fit(docs, one) == quality.fit(docs, two)).all()
 
 
+def test_quality_of_several_texts_of_one_document(spark):
+    """The same model in whatever order the rows come."""
+    rows = [(1, "good words here"), (1, "other ### words"), (1, "third of them"), (2, "bad ### ###"), (2, "bad ### ###"), (3, None), (3, "more of it")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    models = [quality.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert (models[0] == models[1]).all()
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (99, 1)], "doc_id long, quality int")
     docs = awkward(spark)
