@@ -15,6 +15,7 @@ from corpusloom.operators import select as D
 from corpusloom.operators.lexicon import select_lexicon
 from corpusloom.plans import fixtures as X
 from corpusloom.plans.q_aggs import TERMS, term_stats
+from corpusloom.plans.q_text import repeat_score, words
 from corpusloom.plans.registry import query
 from corpusloom.session import table
 
@@ -79,7 +80,20 @@ def d8(spark, d):
     return D.apply_policy(rows, policy, "bucket", actions).select("id", "bucket", "action", "switched")
 
 
-@query("D9_row_gate")
+def _formulas(c: str) -> str:
+    return " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in T.FORMULA_STEMS)
+
+
+#: A candidate's gain in repeats, its words, and its score against the base.
+GATE = f"""{X.CHUNKS}, t AS (SELECT id, prediction || ' ' || prediction || ' ' || prediction AS a, prediction AS b, source AS c FROM chunks),
+w AS (SELECT *, {words('a')} AS wa, {words('b')} AS wb, {words('c')} AS wc, {_formulas('a')} AS fa, {_formulas('b')} AS fb, {_formulas('c')} AS fc FROM t),
+r AS (SELECT *, {repeat_score('wa')} AS ra, {repeat_score('wb')} AS rb, {repeat_score('wc')} AS rc FROM w),
+o AS (SELECT id, len(wa) AS na, ra - rb AS gain, len(wb) AS n, fa - fb AS f FROM r UNION ALL SELECT id, len(wa), ra - rc, len(wc), fa - fc FROM r),
+s AS (SELECT id, max(round(gain + 0.5::DOUBLE * f + 0.002::DOUBLE * (n - na), 9)) AS score FROM o WHERE n >= na * 0.3::DOUBLE AND gain >= 1 GROUP BY id),
+k AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS gate_rank FROM s WHERE score >= 1.0)"""
+
+
+@query("D9_row_gate", f"WITH {GATE} SELECT c.id, gate_rank, gate_rank IS NOT NULL AS switched FROM chunks c LEFT JOIN (SELECT * FROM k WHERE gate_rank <= 40) USING (id)")
 def d9(spark, d):
     return D.row_gate(_actions(spark, d), "id", "pass_a_prediction", ["selective_patch_light", "looptrim_concat"], least_ratio=0.3, cap=40).select("id", "gate_rank", "switched")
 

@@ -68,7 +68,18 @@ def w7(spark, d):
     return P.prefix_to_target(groups, "n", "_o", 300).select("source", "n")
 
 
-@query("W8_chunk_windows")
+#: A window starts at every chunk, or, of a parent with three chunks at most, behind the one before; it grows while both sides fit.
+WINDOWS = f"""{X.CHUNKS}, l AS (SELECT parent, source, reference, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY parent) AS total,
+  lead(source) OVER w AS s1, lead(source, 2) OVER w AS s2, lead(reference) OVER w AS r1, lead(reference, 2) OVER w AS r2 FROM chunks WINDOW w AS (PARTITION BY parent ORDER BY chunk_index)),
+n AS (SELECT *, CASE WHEN s1 IS NULL OR greatest(strlen(source) + strlen(s1), strlen(reference) + strlen(r1)) + 2 > 2000 THEN 1
+  WHEN s2 IS NULL OR greatest(strlen(source) + strlen(s1) + strlen(s2), strlen(reference) + strlen(r1) + strlen(r2)) + 3 > 2000 THEN 2 ELSE 3 END AS n FROM l),
+f AS (SELECT *, max(CASE WHEN i = 0 THEN n END) OVER (PARTITION BY parent) AS n0 FROM n),
+g AS (SELECT *, n0 + max(CASE WHEN i = n0 THEN n END) OVER (PARTITION BY parent) AS n1 FROM f),
+t AS (SELECT parent, i AS first_chunk, n AS n_chunks, concat_ws(' ', source, CASE WHEN n > 1 THEN s1 END, CASE WHEN n > 2 THEN s2 END) AS source,
+  concat_ws(' ', reference, CASE WHEN n > 1 THEN r1 END, CASE WHEN n > 2 THEN r2 END) AS reference FROM g WHERE total > 3 OR i = 0 OR i = n0 OR i = n1)"""
+
+
+@query("W8_chunk_windows", f"WITH {WINDOWS} SELECT parent, min(first_chunk) AS first_chunk, CAST(arg_min(n_chunks, first_chunk) AS BIGINT) AS n_chunks, source, reference FROM t GROUP BY parent, source, reference")
 def w8(spark, d):
     return R.windows(X.chunks(spark, d), "parent", "chunk_index", "source", "reference", 2000)
 
@@ -130,7 +141,12 @@ def l7(spark, d):
     return P.cap_per_group(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 3, "42")
 
 
-@query("L8_balanced_sample")
+@query(
+    "L8_balanced_sample",
+    """WITH g AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS c, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source) - 1 AS p FROM documents),
+d AS (SELECT CAST('0x' || substr(md5('42' || i), 1, 8) AS BIGINT) % (SELECT count(DISTINCT source) FROM documents) AS p, CAST('0x' || substr(md5('42child' || i), 1, 8) AS BIGINT) AS h FROM range(400) r(i))
+SELECT source, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM d JOIN g ON g.p = d.p AND g.c = d.h % g.n GROUP BY source""",
+)
 def l8(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     drawn = P.balanced_sample(docs, "source", "doc_id", 400, "42")
@@ -148,7 +164,13 @@ def l10(spark, d):
     return P.shuffle_column(X.pairs(spark, d).select("id", "source", "target"), "id", "target", "42")
 
 
-@query("L11_stratified_draws")
+@query(
+    "L11_stratified_draws",
+    """WITH r AS (SELECT i, lang, doc_id, md5('42|' || i || '|' || doc_id) AS d FROM documents, range(20) t(i)),
+m AS (SELECT *, row_number() OVER (PARTITION BY i, lang ORDER BY d) <= CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 ELSE 0 END AS needed FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY needed DESC, d) AS k FROM m)
+SELECT i AS iteration, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM k WHERE k <= 10 GROUP BY i""",
+)
 def l11(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     need = spark.createDataFrame([("en", 5), ("de", 3)], "lang string, need int")

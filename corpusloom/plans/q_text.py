@@ -126,7 +126,11 @@ def t12(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_markup(marked).alias("text"))
 
 
-@query("T13_repair_gaps")
+@query(
+    "T13_repair_gaps",
+    r"""WITH g AS (SELECT doc_id, regexp_replace(replace(text, ' the ', ' gap> <gap> <gap> '), '(?i)(^|[^<\p{L}\p{N}_])gap>', '\1<gap>', 'g') AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(regexp_replace(t, '<gap>\s*<gap>', '<gap>', 'g'), '\s+', ' ', 'g')) AS text FROM g""",
+)
 def t13(spark, d):
     broken = F.replace("text", F.lit(" the "), F.lit(" gap> <gap> <gap> "))
     return table(spark, d, "documents").select("doc_id", T.repair_gaps(broken).alias("text"))
@@ -288,7 +292,18 @@ def _noise(spark, d):
     return X.pairs(spark, d).select("id", "source", "target", kind.alias("kind"), ((F.col("id") % 10) / 10).alias("cost"), (F.col("turn") + 1).alias("chunk_total"))
 
 
-@query("M14_noise_score")
+#: Whether a trigram stands three times or more in a list of words.
+THRICE = "CASE WHEN len({w}) > 2 THEN list_max(map_values(list_aggregate(list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i+2], ' ')), 'histogram'))) >= 3 ELSE false END"
+
+
+@query(
+    "M14_noise_score",
+    f"""WITH {X.PAIRS}, w AS (SELECT *, {words('source')} AS sw, {words('target')} AS tw FROM pairs), m AS (SELECT *, len(tw) / CAST(greatest(len(sw), 1) AS DOUBLE) AS ratio FROM w)
+SELECT id, CASE WHEN id % 2 = 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + least(2.0::DOUBLE, (id % 10) / 10::DOUBLE / 0.4::DOUBLE) + CASE id % 3 WHEN 0 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END + CASE id % 3 WHEN 1 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN {THRICE.format(w='tw')} THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {THRICE.format(w='sw')} THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN ratio < 0.3 OR ratio > 2.2 THEN 1.0::DOUBLE WHEN ratio < 0.45 OR ratio > 1.7 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+ + CASE WHEN length(target) - length(replace(target, '<gap>', '')) >= 15 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN turn + 1 >= 8 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS score FROM m""",
+)
 def m14(spark, d):
     return _noise(spark, d).select("id", M.noise_score(F.col("source"), F.col("target"), F.col("id") % 2 == 0, F.col("cost"), F.col("kind"), F.col("chunk_total")).alias("score"))
 
@@ -396,7 +411,12 @@ def r4(spark, d):
     return table(spark, d, "documents").select("doc_id", cut(F.col("text")).alias("parts"))
 
 
-@query("R5_resize")
+@query(
+    "R5_resize",
+    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n?|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
+w AS (SELECT *, list_filter(string_split(array_to_string(p, ' '), ' '), lambda x: x <> '') AS w FROM p), n AS (SELECT *, least(3, len(w)) AS n FROM w)
+SELECT doc_id, CASE WHEN len(p) = 3 THEN p WHEN n = 0 THEN ['', '', ''] ELSE list_transform(range(0, n), lambda i: array_to_string(w[CAST(round_even(i * len(w) / CAST(n AS DOUBLE), 0) AS BIGINT) + 1:CAST(round_even((i + 1) * len(w) / CAST(n AS DOUBLE), 0) AS BIGINT)], ' ')) END AS parts FROM n""",
+)
 def r5(spark, d):
     fit = seq.series(lambda t: seq.resize(seq.split_parts(t, ["\n"]), 3), "array<string>")
     return table(spark, d, "documents").select("doc_id", fit(F.col("text")).alias("parts"))
@@ -430,7 +450,10 @@ def r8(spark, d):
     return C.chunk_sources(table(spark, d, "documents").select("doc_id", F.col("text").alias("source")), "doc_id")
 
 
-@query("R9_sentence_split")
+@query(
+    "R9_sentence_split",
+    r"""SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g'), '\n+|\x01'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS sentences FROM documents""",
+)
 def r9(spark, d):
     return table(spark, d, "documents").select("doc_id", F.filter(F.transform(F.split("text", r"(?:\n+|(?<=[.!?;:])\s+)"), T.strip), lambda x: x != "").alias("sentences"))
 
