@@ -76,6 +76,20 @@ def differing_settings(a: dict, b: dict, keys: Sequence[str]) -> list[str]:
     return [k for k in keys if at(a, k) != at(b, k)]
 
 
+def consistent_settings(runs: DataFrame, config: str, keys: Sequence[str]) -> DataFrame:
+    """(setting, n_values, consistent) over the JSON configurations of runs; a missing setting is a value of its own."""
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("setting"), F.get_json_object(config, f"$.{k}").alias("v")) for k in keys]))
+    found = runs.select(values.alias("x")).groupBy("x.setting").agg((F.count_distinct("x.v") + F.max(F.col("x.v").isNull().cast("int"))).alias("n_values"))
+    return found.withColumn("consistent", F.col("n_values") <= 1)
+
+
+def parameter_grid(df: DataFrame, lists: dict[str, Sequence]) -> DataFrame:
+    """Each row with every combination of the values; the lists are short parameters."""
+    for name, values in lists.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
 def mix_plan(available: Column, train_rows: Column, ratios: dict[str, float]) -> Column:
     """An array of (name, wanted, status) of the mixes by ratio."""
     return F.array(

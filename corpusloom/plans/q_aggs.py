@@ -143,9 +143,11 @@ def a15(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(S.geometric(F.col("s_acctbal"), F.col("s_nationkey").cast("double")), 6).alias("geom"))
 
 
-@query("A16_metric_signature")
+@query("A16_metric_signature", f"WITH {X.CHUNKS} SELECT chunk_mode AS split, '{S.SIGNATURE}' AS signature, count(*) AS n_pairs, count(*) FILTER (WHERE trim(reference) <> '') AS n_references FROM chunks GROUP BY 1")
 def a16(spark, d):
-    return spark.createDataFrame([(S.SIGNATURE,)], "signature string")
+    """The record that goes with scores: how they are taken, and over how many pairs."""
+    pairs = X.chunks(spark, d).groupBy(F.col("chunk_mode").alias("split")).agg(F.count("*").alias("n_pairs"), F.count_if(F.trim("reference") != "").alias("n_references"))
+    return pairs.select("split", F.lit(S.SIGNATURE).alias("signature"), "n_pairs", "n_references")
 
 
 FLAG = "avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100"

@@ -151,11 +151,17 @@ def d17(spark, d):
     return Y.acceptance(metrics, "smoke", ["chunk_mode"]).select("chunk_mode", "ok")
 
 
-@query("D18_config_consistency")
+@query(
+    "D18_config_consistency",
+    """WITH r AS (SELECT o_orderpriority, CAST(year(min(o_orderdate)) AS VARCHAR) AS since, CAST(count(*) AS VARCHAR) AS n, min(o_orderstatus) AS task FROM orders GROUP BY 1),
+v AS (SELECT 'data.since' AS setting, since AS v FROM r UNION ALL SELECT 'rows', n FROM r UNION ALL SELECT 'task', task FROM r UNION ALL SELECT 'data.seed', NULL FROM r)
+SELECT setting, count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS n_values, count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) <= 1 AS consistent FROM v GROUP BY 1""",
+)
 def d18(spark, d):
-    a = {"decode": {"beams": 4, "max_new": 384}, "task": "x"}
-    b = {"decode": {"beams": 8, "max_new": 384}, "task": "x"}
-    return spark.createDataFrame([(k,) for k in Y.differing_settings(a, b, ["decode.beams", "decode.max_new", "task"])], "setting string")
+    """Settings of one run a priority of orders, as the runs' JSON records have them."""
+    data = F.struct(F.year(F.min("o_orderdate")).alias("since"))
+    runs = table(spark, d, "orders").groupBy("o_orderpriority").agg(data.alias("data"), F.count("*").alias("rows"), F.min("o_orderstatus").alias("task"))
+    return Y.consistent_settings(runs.select(F.to_json(F.struct("data", "rows", "task")).alias("config")), "config", ["data.since", "rows", "task", "data.seed"])
 
 
 @query("D19_lexicon_selection", f"WITH {TERMS} SELECT type, term, hits, 'canonicalize' AS action FROM ts WHERE type = 'measure' AND ref_count >= 5 AND misses >= 2 AND misses / CAST(ref_count AS DOUBLE) >= 0.4 AND hits >= 2 ORDER BY hits DESC, ref_count DESC, misses / CAST(ref_count AS DOUBLE), term LIMIT 12")

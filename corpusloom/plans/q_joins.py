@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import gates as Y
 from corpusloom.operators import knn as K
 from corpusloom.operators import overlap as O
 from corpusloom.operators import reconstruct as R
@@ -197,14 +198,18 @@ def j18(spark, d):
     return c.select("id", "parent", F.col("chunk_total").alias("total")).join(meta, ["id", "parent"], "left")
 
 
-@query("J19_parameter_grid", "SELECT b.beams, l.penalty, r.ratio FROM (VALUES (1), (4), (8)) b(beams), (VALUES (0.8::DOUBLE), (1.0::DOUBLE)) l(penalty), (VALUES ('a'), ('b')) r(ratio)")
+@query(
+    "J19_parameter_grid",
+    """WITH l AS (SELECT lang, b.most, u.unit, CASE u.unit WHEN 'chars' THEN length(text) ELSE strlen(text) END AS n FROM documents, (VALUES (200), (1000), (5000)) b(most), (VALUES ('chars'), ('bytes')) u(unit))
+SELECT lang, most, unit, count(*) AS n_rows, count(*) FILTER (WHERE n > most) * 100 / CAST(count(*) AS DOUBLE) AS pct_over FROM l GROUP BY 1, 2, 3""",
+)
 def j19(spark, d):
-    """Constant parameter lists: a product of a dozen rows by construction."""
-    one = spark.range(1)
-    lists = {"beams": [1, 4, 8], "penalty": [0.8, 1.0], "ratio": ["a", "b"]}
-    for name, values in lists.items():
-        one = one.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return one.drop("id")
+    """Rows over each candidate limit, in each unit, of each language; lengths are summed up before the lists multiply anything."""
+    lengths = table(spark, d, "documents").groupBy("lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).agg(F.count("*").alias("n"))
+    grid = Y.parameter_grid(lengths, {"most": [200, 1000, 5000], "unit": ["chars", "bytes"]})
+    size = F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))
+    counts = grid.groupBy("lang", "most", "unit").agg(F.sum("n").alias("n_rows"), F.sum(F.when(size > F.col("most"), F.col("n")).otherwise(0)).alias("over"))
+    return counts.select("lang", "most", "unit", "n_rows", (F.col("over") * 100 / F.col("n_rows")).alias("pct_over"))
 
 
 @query("J20_candidate_pairs", f"WITH {X.CANDIDATES} SELECT a.id, a.label AS left_label, b.label AS right_label, a.text = b.text AS same FROM candidates a JOIN candidates b ON a.id = b.id AND a.label < b.label")

@@ -700,11 +700,6 @@ def _(t):
     return out
 
 
-@reference("D18_config_consistency")
-def _(t):
-    return [{"setting": "decode.beams"}]
-
-
 @reference("D25_group_folds")
 def _(t):
     """Groups from the largest down, each to the lightest fold, without any plan on sizes."""
@@ -740,11 +735,6 @@ def _(t):
     return metric_rows(t, t.candidates(), ["label"], lambda c: c["label"], lambda c: (c["text"], c["reference"]), ("n_rows", "chrfpp"))
 
 
-@reference("A16_metric_signature")
-def _(t):
-    return [{"signature": metrics.SIGNATURE}]
-
-
 def bucket(c):
     return "le_3" if c["total"] <= 3 else "4_6" if c["total"] <= 6 else "gt_6"
 
