@@ -29,7 +29,8 @@ def x2(spark, d):
     "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM g GROUP BY user_id, s",
 )
 def x3(spark, d):
-    return E.run_once(E.sessions(E.read_events(spark, f"{d}/events.parquet")), scratch(spark, "stream-out"), scratch(spark, "stream"))
+    stream = E.sessions(E.read_events(spark, f"{d}/events.parquet"))
+    return E.run_changes(stream, scratch(spark, "stream-out"), scratch(spark, "stream"), ["user_id", "session_start"]).where("n > 0")
 
 
 @query("X4_stream_cleaning", "SELECT doc_id, replace(text, chr(9), ' ') AS text FROM documents")

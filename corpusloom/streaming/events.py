@@ -94,9 +94,60 @@ def first_of_key(events: DataFrame, key: str, order: str, late_minutes: int = 12
     return marked.groupBy(key).transformWithStateInPandas(first, outputStructType=out, outputMode="Update", timeMode="EventTime")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    counted = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
-    return counted.select(F.col("session_window.start").cast("timestamp_ntz").alias("session_start"), "user_id", "n")
+class _Sessions(StatefulProcessor):
+    """A key's open sessions: rows at most ``gap`` apart. What a batch changes is sent out; a session that was joined to an earlier one has no rows left.
+
+    A timer drops sessions that the watermark, with the lateness allowed, has left behind.
+    """
+
+    def __init__(self, key: str, gap: int, late: int):
+        self.key, self.gap, self.late = key, gap, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "starts array<long>, lasts array<long>, counts array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = list(zip(*map(list, self.open.get()), strict=True)) if self.open.exists() else []
+        new = [(t, t, 1) for frame in rows for t in frame["event_micros"].tolist()]
+        after: list[list[int]] = []
+        for start, last, n in sorted([*before, *new]):
+            if after and start - after[-1][1] <= self.gap:
+                after[-1][1], after[-1][2] = max(after[-1][1], last), after[-1][2] + n
+            else:
+                after.append([start, last, n])
+        changed = {s: n for s, _, n in after} | {s: 0 for s, *_ in before if s not in {x[0] for x in after}}
+        for s, _, n in before:
+            if changed.get(s) == n:
+                del changed[s]
+        self._keep(after)
+        yield pd.DataFrame({self.key: [key[0]] * len(changed), "session_micros": list(changed), "n": list(changed.values())})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.late - self.gap
+        self._keep([x for x in zip(*map(list, self.open.get()), strict=True) if x[1] > passed] if self.open.exists() else [])
+        return iter(())
+
+    def _keep(self, sessions: list) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not sessions:
+            self.open.clear()
+            return
+        self.open.update(tuple([int(x[i]) for x in sessions] for i in range(3)))
+        self.handle.registerTimer((min(x[1] for x in sessions) + self.gap + self.late) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(events: DataFrame, key: str = "user_id", gap_minutes: int = 30, late_minutes: int = 120) -> DataFrame:
+    """(key, session_start, n) of each session that a batch changes; n is 0 where it is now part of an earlier one."""
+    kind = events.schema[key].dataType.simpleString()
+    marked = events.select(key, "ts", F.unix_micros("ts").alias("event_micros")).withWatermark("ts", f"{late_minutes} minutes")
+    processor = _Sessions(key, gap_minutes * 60_000_000, late_minutes * 60_000_000)
+    found = marked.groupBy(key).transformWithStateInPandas(processor, outputStructType=f"{key} {kind}, session_micros long, n long", outputMode="Update", timeMode="EventTime")
+    return found.select(F.timestamp_micros("session_micros").cast("timestamp_ntz").alias("session_start"), key, "n")
 
 
 def without_repeats(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -107,15 +158,6 @@ def cleaned(texts: DataFrame, rules: clean.Rules = clean.Rules()) -> DataFrame:
     return clean.clean(texts, rules=rules)
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the streaming engine; each batch's whole result replaces the last one at ``path``."""
-    spark, schema = stream.sparkSession, stream.schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(path)
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(path)
-
-
 def run_changes(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str]) -> DataFrame:
     """All that is there now, through the streaming engine in update mode: what each batch changes is written, and the last change of a key read."""
     spark, schema = stream.sparkSession, stream.schema

@@ -109,6 +109,31 @@ def test_sliding_windows_of_late_rows(spark, folder):
     assert {((r.window_start - naive).total_seconds() / 60, r.event_type): (r.n, r.total) for r in got.collect()} == want
 
 
+def test_sessions_of_late_rows(spark, folder):
+    """Late rows that lengthen a session, start it earlier, or join two."""
+    rng = random.Random(9)
+    batches = [[(rng.choice("abc"), 0, 40 * b + rng.randint(-90, 60)) for _ in range(7)] for b in range(6)]
+    batches += [[("d", 0, 300), ("d", 0, 350)], [("d", 0, 325)], [("d", 0, 290)]]
+    stream = events.sessions(arriving(spark, folder, batches).select("key", "ts"), "key", 30, 600)
+    got = events.run_changes(stream, f"{folder}/out", f"{folder}/state", ["key", "session_start"]).where("n > 0")
+    want = {}
+    for key in "abcd":
+        times = sorted(m for b in batches for k, _, m in b if k == key)
+        start = None
+        for before, t in zip([None, *times], times):
+            start = t if before is None or t - before > 30 else start
+            want[key, start] = want.get((key, start), 0) + 1
+    naive = START.replace(tzinfo=None)
+    assert {(r.key, (r.session_start - naive).total_seconds() / 60): r.n for r in got.collect()} == want
+
+
+def test_state_of_sessions_is_dropped_by_timers(spark, folder):
+    batches = [[("a", 0, 0)], [("b", 0, 1000)], [("b", 0, 1001)], [("a", 0, 1002)]]
+    stream = events.sessions(arriving(spark, folder, batches).select("key", "ts"), "key", 30, 60)
+    got = events.run_changes(stream, f"{folder}/out", f"{folder}/state", ["key", "session_start"])
+    assert sorted((r.key, r.n) for r in got.collect()) == [("a", 1), ("a", 1), ("b", 2)]
+
+
 def test_texts_on_a_stream_against_a_table(spark, folder):
     for i, texts in enumerate((["a", " b ", "c"], ["b", "d", None])):
         spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{folder}/in/b{i}")
