@@ -13,7 +13,8 @@ the next range's first one, which is sent to both. Texts are shuffled once, comp
 
 Defined cases: a null text counts as empty; an empty text's fingerprint is all zeros (two empty
 texts are alike, likeness 1); a text shorter than k is one k-mer; a null doc_id comes last in the
-order; rows that share a doc_id are in the order of their compressed texts' bytes, and of one range; a lone document is its own next; extra
+order; rows that share a doc_id are in the order of their compressed texts' bytes, or, where they are so many that they fill several ranges, of a
+hash of their texts first, by which they are dealt (wholly repeated rows stay together); a lone document is its own next; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -117,44 +118,70 @@ def edited_text(text: str, following: str) -> str:
 _LEAST = -(1 << 63)
 
 
+class Ranges:
+    """Ranges of the order (doc_id descending, then ``hash`` ascending), numbered against it.
+
+    ``cuts`` are quantiles of the ids. An id that fills several of them is as many ranges of hashes; of all others only the id counts.
+    """
+
+    def __init__(self, cuts: list[int]):
+        self.bounds, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.times = np.where(times > 1, times + 1, 0)
+        self.first = np.concatenate([[0], np.cumsum(1 + self.times)])
+
+    def hot(self) -> list[int]:
+        return self.bounds[self.times > 0].tolist()
+
+    def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, keys, side="left")
+        out = self.first[at]
+        if not len(self.bounds):
+            return out
+        own = np.minimum(at, len(self.bounds) - 1)
+        times = np.where((at < len(self.bounds)) & (self.bounds[own] == keys), self.times[own], 0)
+        turn = ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64) * times >> 32
+        return out + np.where(times > 0, times - turn, 0)
+
+
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
     parts = 4 * shuffle_partitions(spark)
-    # At most ``parts`` numbers each: cut points, and the greatest id of every range.
-    cuts = sorted(set(ids.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    bounds = np.array(cuts, np.float64).astype(np.int64)
-    shared = spark.sparkContext.broadcast(bounds)
-
-    def range_of(keys):
-        return np.searchsorted(shared.value, keys, side="left")
+    # At most ``parts`` numbers each: cut points, and the first document of every range.
+    cuts = docs.select(key.alias("key")).approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
+    ranges = Ranges(np.array(cuts, np.float64).astype(np.int64).tolist())
+    hashed = F.when(key.isin(ranges.hot()), F.xxhash64(text_of(text_col))).otherwise(0) if ranges.hot() else F.lit(0).cast("long")
+    shared = spark.sparkContext.broadcast(ranges)
 
     def tops(batches):
-        best: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            keys = batch["key"].to_numpy(zero_copy_only=False)
-            for part in np.unique(own := range_of(keys)):
-                best[int(part)] = max(best.get(int(part), _LEAST), int(keys[own == part].max()))
-        yield {"part": list(best), "key": list(best.values())}
-
-    ends = map_rows(ids, tops, "part int, key long").groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    order = [(r["part"], r["key"]) for r in ends]
+            keys, hashes = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "hash"))
+            for part in np.unique(own := shared.value.of(keys, hashes)).tolist():
+                top = int(keys[own == part].max())
+                mine = -top, int(hashes[(own == part) & (keys == top)].min())
+                best[part] = min(best.get(part, mine), mine)
+        yield {"part": list(best), "key": [-k for k, _ in best.values()], "hash": [h for _, h in best.values()]}
+
+    found = map_rows(docs.select(key.alias("key"), hashed.alias("hash")), tops, "part long, key long, hash long")
+    first = found.groupBy("part").agg(F.min(F.struct((-F.col("key").cast("decimal(20,0)")).alias("k"), "hash", "key")).alias("m"))
+    order = [(r["part"], (r["m"]["key"], r["m"]["hash"])) for r in first.orderBy("part").collect()]
     # The first document of each range also goes, behind the others, to the range above it.
-    above = {key: order[(i + 1) % len(order)][0] for i, (_, key) in enumerate(order)}
+    above = {of: order[(i + 1) % len(order)][0] for i, (_, of) in enumerate(order)}
     firsts = spark.sparkContext.broadcast(above)
 
     def deal(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("part", "guest", "key", "doc_id", "body")}
-            keys = batch["key"].to_pylist()
-            ranges = range_of(np.array(keys, np.int64)).tolist()
-            for part, key, doc_id, text in zip(ranges, keys, batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            out: dict[str, list] = {k: [] for k in ("part", "guest", "key", "hash", "doc_id", "body")}
+            keys, hashes = batch["key"].to_pylist(), batch["hash"].to_pylist()
+            own = shared.value.of(np.array(keys, np.int64), np.array(hashes, np.int64)).tolist()
+            for part, key, mark, doc_id, text in zip(own, keys, hashes, batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 body = squeeze.compress(text.encode())
-                places = [(part, 0)] + ([(firsts.value[key], 1)] if key in firsts.value else [])
+                places = [(part, 0)] + ([(firsts.value[key, mark], 1)] if (key, mark) in firsts.value else [])
                 for to, guest in places:
-                    for k, v in zip(out, (to, guest, key, doc_id, body), strict=True):
+                    for k, v in zip(out, (to, guest, key, mark, doc_id, body), strict=True):
                         out[k].append(v)
             yield out
 
@@ -187,13 +214,9 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield out
             out = {k: [] for k in _OUT}
 
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        text_of(text_col).alias("text"),
-    )
-    dealt = map_rows(rows, deal, "part int, guest int, key long, doc_id long, body binary", batch_rows=500)
-    near = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", F.desc("key"), "body")
+    rows = docs.select(key.alias("key"), hashed.alias("hash"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    dealt = map_rows(rows, deal, "part long, guest int, key long, hash long, doc_id long, body binary", batch_rows=500)
+    near = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", F.desc("key"), "hash", "body")
     kinds = ("long", "long", "string", "string", "string", "double", "double")
     return map_rows(near, compare, ", ".join(f"{n} {k}" for n, k in zip(_OUT, kinds, strict=True)), batch_rows=500)
 

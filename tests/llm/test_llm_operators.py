@@ -19,6 +19,7 @@ import pandas as pd
 import public_tokenizers as P
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, exact_dedup, html_extract, order_minhash, packing, quality, queries, secrets, simhash, token_counts
@@ -353,6 +354,37 @@ def test_order_minhash_of_null_and_shared_ids(spark):
     assert got.doc_id.isna().sum() == 2
 
 
+@pytest.mark.parametrize("hot", [None, 7, 0, 99])
+def test_order_minhash_of_one_id_with_most_rows(spark, hot):
+    """The id's rows are many ranges, and every document still meets the next one of one order."""
+    rng = random.Random(3)
+    rows = [(hot if rng.random() < 0.7 else rng.randint(0, 99), f"text {i} " + "ab"[i % 2] * (i % 30)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = order_minhash.compare_neighbours(frame).toPandas()
+    assert len(got) == 600
+    marks = Counter(order_minhash.written(order_minhash.fingerprint(t)) for _, t in rows)
+    assert Counter(got.fingerprint) == marks
+    key = F.coalesce(F.col("doc_id"), F.lit(order_minhash._LEAST))
+    hashes = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    squeeze = zstandard.ZstdCompressor(level=3)
+    id_of = lambda d: order_minhash._LEAST if d is None else d
+    cuts = frame.select(key.alias("key")).approxQuantile("key", [i / 16 for i in range(1, 16)], 0.2 / 16)
+    of_hot = set(order_minhash.Ranges([int(c) for c in cuts]).hot())
+    assert id_of(hot) in of_hot
+    order = sorted(rows, key=lambda r: (-id_of(r[0]), hashes[r[1]] if id_of(r[0]) in of_hot else 0, squeeze.compress(r[1].encode())))
+    want = Counter((d, hashlib.sha256(order_minhash.edited_text(t, order[(i + 1) % 600][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
+    assert Counter((None if pd.isna(d) else int(d), e) for d, e in zip(got.doc_id, got.edited_sha256)) == want
+
+
+def test_ranges_of_a_hot_id():
+    ranges = order_minhash.Ranges([5, 9, 9, 9, 20])
+    low, high = -(1 << 63), (1 << 63) - 1
+    of = lambda *rows: ranges.of(np.array([k for k, _ in rows]), np.array([h for _, h in rows])).tolist()
+    assert ranges.hot() == [9]
+    # Ids downwards, and of the hot one hashes upwards, go from the highest range to the lowest.
+    assert of((99, 0), (20, 0), (10, 0), (9, low), (9, -1), (9, 0), (9, high), (8, 0), (6, 0), (5, 0), (1, 0)) == [7, 6, 6, 5, 4, 3, 2, 1, 1, 0, 0]
+
+
 def test_order_minhash_sees_order_and_repeats():
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
