@@ -164,11 +164,12 @@ def row_gate(df: DataFrame, key: str, base: str, candidates: Sequence[str], leas
         placed = numbered(scored.withColumn("_o", F.struct((-F.col("_s")).alias("s"), "_k")), "_o").withColumn("gate_rank", F.col("_pos") + 1).drop("_o", "_pos")
     else:  # ``cap`` rows at most
         first = scored.orderBy(F.desc("_s"), "_k").limit(cap)
-        placed = F.broadcast(first.withColumn("gate_rank", F.row_number().over(W.orderBy(F.desc("_s"), "_k")).cast("long")))
-    scores = scored.select(F.col("_k").alias("_k2"), F.col("_s").alias("gate_score"))
-    out = df0.join(placed, F.col(key) == F.col("_k"), "left").withColumn("switched", F.col("gate_rank").isNotNull())
+        ranks = first.select("_k", F.row_number().over(W.orderBy(F.desc("_s"), "_k")).cast("long").alias("gate_rank"))
+        placed = scored.join(F.broadcast(ranks), "_k", "left")
+    # Keys, scores and ranks are put together first: the texts are joined once.
+    out = df0.join(placed.withColumnRenamed("_s", "gate_score"), F.col(key) == F.col("_k"), "left").withColumn("switched", F.col("gate_rank").isNotNull())
     chosen = F.when(F.col("switched"), column_by_name(F.col("_n"), candidates)).otherwise(F.col(base))
-    return out.withColumn("chosen", chosen).join(scores, F.col(key) == F.col("_k2"), "left").drop("_k", "_k2", "_s", "_n")
+    return out.withColumn("chosen", chosen).drop("_k", "_n")
 
 
 def gate_grid(df: DataFrame, key: str, base: str, candidate: str, reference: str, ratios: Sequence[float], gains: Sequence[int], thresholds: Sequence[float], caps: Sequence[int]) -> DataFrame:
