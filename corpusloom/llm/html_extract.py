@@ -260,15 +260,18 @@ _RECORD = _CONTAINER | {"li", "dd"}
 def _folded(shapes: list[int]) -> list[int]:
     """For each sibling the one it is folded into: itself, or, in a run with a period of up to ``PERIOD``, that of the first turn."""
     n, out, i = len(shapes), list(range(len(shapes))), 0
+    if n < 2:
+        return out
     runs = []
-    for period in range(1, PERIOD + 1):
+    longest = max(1, min(PERIOD, n // 3))
+    for period in range(1, longest + 1):
         run = [0] * (n + 1)
         for k in range(n - period - 1, -1, -1):
             run[k] = run[k + 1] + 1 if shapes[k] == shapes[k + period] else 0
         runs.append(run)
     while i < n:
         # Two alike siblings are a run; longer periods need a third turn.
-        period = next((p for p in range(1, PERIOD + 1) if runs[p - 1][i] >= (1 if p == 1 else 2 * p)), 0)
+        period = next((p for p in range(1, longest + 1) if runs[p - 1][i] >= (1 if p == 1 else 2 * p)), 0)
         if not period:
             i += 1
             continue
