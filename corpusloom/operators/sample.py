@@ -12,6 +12,10 @@ from corpusloom.functions.text import stable_hash
 from corpusloom.session import checkpointed
 
 
+#: Different values that one task may put in order; beyond, they are dealt into ranges.
+ONE_TASK = 200_000
+
+
 def draw(key: str, seed: str) -> Column:
     """The order of a draw: MD5 of seed and key."""
     return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
@@ -59,9 +63,15 @@ def totals_before(df: DataFrame, keys: Sequence[str], size: str, name: str) -> D
 def _places(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """(by, value, n, _first, _last): the different values of a group, the places they fill in its order, and its number of values.
 
-    Equal values are counted before anything is put in order, so a value that most rows have is one row.
+    Equal values are counted before anything is put in order, so a value that most rows have is one row. Results are the same
+    whether the values are few enough for one task or dealt into ranges.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")))
+    if counts.count() <= ONE_TASK:  # nothing to deal out
+        group = W.partitionBy(*by).orderBy(value)
+        first = F.coalesce(F.sum("_n").over(group.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        whole = F.sum("_n").over(W.partitionBy(*by))
+        return counts.select(*by, value, whole.alias("n"), first.alias("_first"), (first + F.col("_n") - 1).alias("_last"))
     placed = totals_before(counts, [*by, value], "_n", "_at")
     groups = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.sum("_n").alias("n"), F.min("_at").alias("_base"))
     on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
