@@ -8,7 +8,6 @@ from corpusloom.functions import measures as M
 from corpusloom.functions import seq
 from corpusloom.functions import terms as N
 from corpusloom.functions import text as T
-from corpusloom.functions.sql import register
 from corpusloom.operators import chunk as C
 from corpusloom.operators import clean as L
 from corpusloom.operators import metrics as S
@@ -435,7 +434,7 @@ def r7(spark, d):
 
 @query("R7_chunk_udtf")
 def r7_udtf(spark, d):
-    register(spark)
+    spark.udtf.register("chunk_pairs", C.ChunkPairs)  # sql.register makes all functions known
     X.pairs(spark, d).createOrReplaceTempView("loom_pairs")
     return spark.sql("SELECT key AS id, mode, chunk_index, chunk_total, source, target FROM chunk_pairs(TABLE(SELECT id, source, target FROM loom_pairs))")
 
