@@ -36,6 +36,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def trim_spaces(c: Column) -> Column:
+    """Without space separators (Zs) at both ends, as SQL's trim; tabs and line ends stay."""
+    return F.regexp_replace(c, r"^\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+
+
 def remove_invisible(c: Column) -> Column:
     return F.translate(c, INVISIBLE, "")
 
@@ -124,11 +129,20 @@ PROMPT_MARKUP = [
 ]
 
 
-def strip_markup(c: Column) -> Column:
-    """Prompt markup out, white space folded."""
+def has_markup(c: Column) -> Column:
+    return c.rlike("(?iU)" + "|".join(PROMPT_MARKUP))
+
+
+def without_markup(c: Column) -> Column:
+    """Each piece of prompt markup as a space."""
     for pattern in PROMPT_MARKUP:
         c = F.regexp_replace(c, "(?iU)" + pattern, " ")
-    return fold_whitespace(c)
+    return c
+
+
+def strip_markup(c: Column) -> Column:
+    """Prompt markup out, white space folded."""
+    return fold_whitespace(without_markup(c))
 
 
 def repair_gaps(c: Column) -> Column:
