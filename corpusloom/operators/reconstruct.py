@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +34,15 @@ def ordered(child: Sequence[str] | str, order: str | Column) -> Column:
     return F.array_sort(F.collect_list(F.struct(key.alias("_o"), *columns)))
 
 
-def rebuild(chunks: DataFrame, parent: str, order: str | Column, texts: Sequence[str], glue: str = "\n") -> DataFrame:
-    """A row per parent: each text column's stripped non-blank chunks, in order, joined by ``glue``."""
-    grouped = chunks.groupBy(parent).agg(ordered(texts, order).alias("_c"))
+def rebuild(
+    chunks: DataFrame, parent: str, order: str | Column, texts: Sequence[str], glue: str = "\n", strip: Callable[[Column], Column] = T.strip
+) -> DataFrame:
+    """A row per parent: each text column's stripped non-blank chunks, in order, joined by ``glue``; chunks without a place come last."""
+    key = F.col(order) if isinstance(order, str) else order
+    grouped = chunks.groupBy(parent).agg(ordered(texts, F.struct(key.isNull().alias("last"), key.alias("at"))).alias("_c"))
 
     def joined(c: str) -> Column:
-        return F.array_join(F.filter(F.transform("_c", lambda x: T.strip(T.blank(x[c]))), lambda t: t != ""), glue)
+        return F.array_join(F.filter(F.transform("_c", lambda x: strip(T.blank(x[c]))), lambda t: t != ""), glue)
 
     return grouped.select(parent, *[joined(c).alias(c) for c in texts])
 
