@@ -89,8 +89,12 @@ def clean(df: DataFrame, text: str = "text", rules: Rules = Rules(), known: Data
 
 
 def edit_log(cleaned: DataFrame, key: str, split: str = "train") -> DataFrame:
-    """A row per edit and alert; the note of an alert names its character."""
-    rows = cleaned.select(F.lit(split).alias("split"), F.col(key).alias("sample_id"), F.explode("edits").alias("e")).select("split", "sample_id", "e.*")
+    """A row per edit and alert; the note of an alert names its character.
+
+    An outer explode: for an inner one Spark infers a filter on ``edits`` and pushes it below the rules, where each is repeated inside the next.
+    """
+    each = cleaned.select(F.lit(split).alias("split"), F.col(key).alias("sample_id"), F.explode_outer("edits").alias("e"))
+    rows = each.where("e.rule_id IS NOT NULL").select("split", "sample_id", "e.*")
     point = F.lpad(F.hex(F.expr("bigint(conv(hex(encode(before, 'UTF-32')), 16, 10))")), 4, "0")
     name = F.when(F.col("rule_id") == ALERT, seq.series(seq.char_name)(F.when(F.col("rule_id") == ALERT, F.col("before")).otherwise("x")))
     note = F.concat(F.lit("unknown visible char '"), F.col("before"), F.lit("' ("), name, F.lit(", U+"), point, F.lit(") "), F.col("note"))
@@ -105,9 +109,9 @@ def first_examples(rows: DataFrame, group: str, order: str, example: Column, n:
 
 
 def hit_stats(log: DataFrame, examples: int = 3) -> DataFrame:
-    """Per rule its hits and first examples."""
+    """Per rule its hits and first examples, which Spark leaves out if they are not selected: the join is a left one on a unique key."""
     counts = log.groupBy("rule_id").agg(F.count("*").alias("hits"))
-    return counts.join(first_examples(log, "rule_id", "sample_id", F.struct("sample_id", "before", "after"), examples), "rule_id")
+    return counts.join(first_examples(log, "rule_id", "sample_id", F.struct("sample_id", "before", "after"), examples), "rule_id", "left")
 
 
 def known_characters(df: DataFrame, text: str = "text") -> DataFrame:
