@@ -42,13 +42,15 @@ def trim_spaces(c: Column) -> Column:
 
 
 def remove_invisible(c: Column) -> Column:
-    return F.translate(c, INVISIBLE, "")
+    for char in INVISIBLE:
+        c = F.replace(c, F.lit(char), F.lit(""))
+    return c
 
 
 def normalize_whitespace(c: Column) -> Column:
     """Line ends as \\n, every other run of white space as one space."""
-    lines = F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\r", "\n")
-    return F.regexp_replace(lines, r"(?U)[^\S\n]+", " ")
+    lines = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.regexp_replace(lines, r"(?U)[^\S\n ][^\S\n]*| [^\S\n]+", " ")  # a single space is left as it is
 
 
 def fold_whitespace(c: Column) -> Column:

@@ -14,8 +14,9 @@ from corpusloom.functions import text as T
 
 
 def nfc(c: Column) -> Column:
-    """NFC; pure ASCII texts never go to Python's normaliser for nothing."""
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(seq.series(seq.nfc)(c))
+    """NFC; texts below U+0300 are in it as they are, and only nulls go to Python in their place."""
+    other = F.when(~c.rlike(r"^[\x00-\u02FF]*\z"), c)
+    return F.coalesce(F.when(other.isNull(), c), seq.series(seq.nfc)(other))
 
 
 @dataclass(frozen=True)
